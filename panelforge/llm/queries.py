@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelforge.llm.context_mixing import mixing_scores
 from panelforge.llm.ngram_jaccard import jaccard_components
 from panelforge.llm.substring import without_repeats
 
@@ -31,3 +32,8 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@_query
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_scores(_table(spark, sf_dir, "documents"))
