@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm.context_mixing import mixing_scores
+from panelforge.llm.embedding_dedup import embedding_components
 from panelforge.llm.ngram_jaccard import jaccard_components
 from panelforge.llm.substring import without_repeats
 
@@ -37,3 +38,8 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_scores(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(_table(spark, sf_dir, "embeddings"))
