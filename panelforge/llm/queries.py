@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelforge.llm.context_mixing import mixing_scores
+from panelforge.llm.decontaminate import leaks
 from panelforge.llm.embedding_dedup import embedding_components
+from panelforge.llm.language_id import identify
+from panelforge.llm.licenses import license_scan
 from panelforge.llm.ngram_jaccard import jaccard_components
+from panelforge.llm.source_mixing import mix_sources
 from panelforge.llm.substring import without_repeats
+from panelforge.llm.url_filter import host_of, url_verdicts
+from panelforge.llm.warc_zip import read_packages, write_packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,3 +50,45 @@ def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@_query
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    rows = read_packages(write_packages(pages))
+    ids = [F.col(c).cast("long").alias(c) for c in ("page_id", "refers_to")]
+    return rows.select(ids[0], "payload_bytes", "payload_digest", "record_type", ids[1])
+
+
+@_query
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mix_sources(_table(spark, sf_dir, "documents"))
+    return taken.select("row.doc_id", "row.source", "n_tokens", "weight", "epoch", "block")
+
+
+@_query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("row.doc_id", F.expr("crc32(cast(row.doc_id as string)) % 5 = 0").alias("held_out"), "lang_pred", "score")
+
+
+# Names of sites whose pages make the list.
+LISTED_SITES = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
+
+
+@_query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    listed = pages.where(host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_SITES)})\."))
+    return url_verdicts(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
