@@ -1,10 +1,4 @@
-"""Registered queries of the library, with the DuckDB SQL that gives the same rows."""
+"""All registered queries of the library (the training-data subpackage registers its own)."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from panelforge.catalog import aggregates, cleaning, joins, linear, panels, resampling, sampling, sources, vectors, windows, workloads  # noqa: F401
+from panelforge.registry import QUERIES, SQL  # noqa: F401
