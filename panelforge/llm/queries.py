@@ -15,7 +15,7 @@ from panelforge.llm.licenses import license_scan
 from panelforge.llm.ngram_jaccard import jaccard_components
 from panelforge.llm.source_mixing import mix_sources
 from panelforge.llm.substring import without_repeats
-from panelforge.llm.url_filter import host_of, url_verdicts
+from panelforge.llm.url_filter import RULES, host_of, url_verdicts
 from panelforge.llm.warc_zip import read_packages, write_packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,52 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+# -- DuckDB SQL with the same rows, for the queries that SQL can express ----------------------------
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+SQL["op1_ngram_jaccard"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER.format("text"))}, []) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM s), u AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(m.b, n.doc_id)) AS component_id FROM n LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = n.doc_id"""
+
+SQL["op2_collision_counting"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+g AS (SELECT * FROM v WHERE list_inner_product(x, x) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.9),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a), d AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, least(e.vec_id, coalesce(c.b, e.vec_id)) AS component_id, least(e.vec_id, coalesce(c.b, e.vec_id)) = e.vec_id AS kept FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN d ON d.a = e.vec_id"""
+
+SQL["op3_substring_dedup"] = f"""
+WITH w AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) AS h FROM w WHERE len(w) >= 35),
+x AS (SELECT doc_id, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM x), p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS t FROM w),
+k AS (SELECT p.doc_id, count(*) AS kept, string_agg(t, ' ' ORDER BY p.p) AS t FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.p = p.p WHERE c.p IS NULL GROUP BY p.doc_id)
+SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
+
+SQL["op6_warc_zip"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, strlen(html) AS payload_bytes,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS UBIGINT) >> (35 - 5 * (i % 8))) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f USING (h)"""
+
+_RULES_SQL = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{{i}}}" for i, (_, h, p) in enumerate(sorted(RULES, key=lambda r: -len(r[1] + r[2]))))
+_SORTED = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+
+SQL["op9_url_filter"] = f"""
+WITH x AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+y AS (SELECT page_id, {_LOWER.format("regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM x),
+z AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www\\.|m\\.)', '') || regexp_replace(path, '(\\.html|/)$', '') END AS c FROM y),
+l AS (SELECT DISTINCT c FROM z WHERE regexp_matches(host, '(^|\\.)({"|".join(LISTED_SITES)})\\.'))
+SELECT page_id, host, path, CASE {_RULES_SQL.format(*(f"'{h}{p}'" for _, h, p in _SORTED))} END AS rule,
+ CASE {_RULES_SQL.format(*(f"'{v}'" for v, _, _ in _SORTED))} WHEN c IN (SELECT c FROM l) THEN 'block' ELSE 'allow' END AS verdict FROM z"""
