@@ -203,7 +203,7 @@ def b21_clr_shares(spark, d):
     return clr(s, "entity", "v").select("entity", "measure", r6("clr").alias("clr"))
 
 
-@query(f"WITH {WIDE} SELECT entity, visit, coalesce(click, 0) AS click, coalesce(error, 0) AS error FROM (SELECT entity, visit, round_even(click, 6) + 0.0 AS click, round_even(error, 6) + 0.0 AS error, (click IS NULL)::INT + (error IS NULL)::INT + (view IS NULL)::INT AS m FROM wide) WHERE m <= 1")
+@query(f"WITH {WIDE} SELECT entity, visit, coalesce(click, 0) AS click, coalesce(error, 0) AS error FROM (SELECT entity, visit, {q6('click')} AS click, {q6('error')} AS error, (click IS NULL)::INT + (error IS NULL)::INT + (view IS NULL)::INT AS m FROM wide) WHERE m <= 1")
 def b22_complete_case(spark, d):
     w = wide(spark, d).where(clean.missing_count(*map(F.col, ("click", "error", "view"))) <= 1)
     return w.select("entity", "visit", *[F.coalesce(r6(c), F.lit(0.0)).alias(c) for c in ("click", "error")])

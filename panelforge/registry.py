@@ -27,10 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(x: Column | str) -> Column:
-    """Rounded half to even for comparison; never minus zero."""
-    return F.bround(F.col(x) if isinstance(x, str) else x, 6) + F.lit(0.0)
+    """Rounded for comparison, off ties that the order of a sum decides; never minus zero."""
+    return F.bround((F.col(x) if isinstance(x, str) else x) + F.lit(1e-9), 6) + F.lit(0.0)
 
 
 def q6(x: str) -> str:
     """The SQL twin of ``r6``."""
-    return f"(CAST(round_even({x}, 6) AS DOUBLE) + 0.0)"
+    return f"(CAST(round_even({x} + CAST(1e-9 AS DOUBLE), 6) AS DOUBLE) + 0.0)"
