@@ -20,11 +20,11 @@ from panelforge.operators.vectors import matrix
 
 
 def design(df: DataFrame, features: str | Sequence[str], targets: Sequence[str] = (), weight: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """``x array<double>`` of features then targets; rows with a missing one are left out."""
+    """``_x array<double>`` of features then targets; rows with a missing one are left out."""
     x = F.transform(features, lambda v: v.cast("double")) if isinstance(features, str) else F.array(*[F.col(c).cast("double") for c in features])
     row = F.concat(x, F.array(*[F.col(t).cast("double") for t in targets])) if targets else x
-    out = df.select(*keep, row.alias("x"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"))
-    return out.where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)) & F.col("w").isNotNull())
+    out = df.select(*keep, row.alias("_x"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("_w"))
+    return out.where(~F.exists("_x", lambda v: v.isNull() | F.isnan(v)) & F.col("_w").isNotNull())
 
 
 def grams(x: DataFrame, by: str) -> dict[object, np.ndarray]:
@@ -34,11 +34,11 @@ def grams(x: DataFrame, by: str) -> dict[object, np.ndarray]:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[object, np.ndarray] = {}
         for batch in batches:
-            a = matrix(batch["x"])
+            a = matrix(batch["_x"])
             if not len(a):
                 continue
             a = np.column_stack([np.ones(len(a)), a])
-            w, keys = batch["w"].to_numpy(zero_copy_only=False), np.array(batch[by].to_pylist(), dtype=object)
+            w, keys = batch["_w"].to_numpy(zero_copy_only=False), np.array(batch[by].to_pylist(), dtype=object)
             for k in dict.fromkeys(keys.tolist()):
                 rows = keys == k
                 total[k] = total.get(k, 0) + (a[rows] * w[rows, None]).T @ a[rows]
@@ -52,7 +52,7 @@ def grams(x: DataFrame, by: str) -> dict[object, np.ndarray]:
         return pa.table({by: table[by][:1], "g": pa.array([sum(np.frombuffer(g) for g in table["g"].to_pylist()).tobytes()], pa.binary())})
 
     out = {}
-    for r in x.select(by, "x", "w").mapInArrow(part, schema).groupBy(by).applyInArrow(merge, schema).toLocalIterator():
+    for r in x.select(by, "_x", "_w").mapInArrow(part, schema).groupBy(by).applyInArrow(merge, schema).toLocalIterator():
         g = np.frombuffer(r["g"])
         out[r[by]] = g.reshape(int(len(g) ** 0.5), -1)
     return out
@@ -113,7 +113,7 @@ class Ridge:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                a = matrix(batch["x"])
+                a = matrix(batch["_x"])
                 w = table[[at[f] for f in batch[fold].to_pylist()]]
                 p = w[:, 0] + (a * w[:, 1:]).sum(1) if len(a) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(p)], [*columns, name])
