@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelforge.catalog.fixtures import ENTITY_LAG, FRAMES, OUTCOMES, SHOTS, VISITS, entity_lag, frames, outcomes, shots, visits
-from panelforge.operators import panel, windows
+from panelforge.catalog.fixtures import OUTCOMES, SHOTS, VISITS, outcomes, shots, visits
+from panelforge.operators import panel
 from panelforge.registry import q6, query, r6, table
 
 

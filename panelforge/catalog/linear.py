@@ -10,9 +10,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.catalog.fixtures import CELLS, CODES, ENTITY_LAG, FRAMES, WIDE, cells, codes, entity_lag, frames, wide
+from panelforge.catalog.fixtures import ENTITY_LAG, FRAMES, codes, entity_lag, frames, wide
 from panelforge.operators import aggregate, geometry, linear, vectors, windows
-from panelforge.registry import q6, query, r6, table
+from panelforge.registry import q6, query, r6
 
 FOLDS = 5
 

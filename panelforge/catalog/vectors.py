@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from panelforge.catalog.fixtures import CODES, FRAMES, cells, codes, entity_lag, frames
+from panelforge.catalog.fixtures import FRAMES, entity_lag, frames
 from panelforge.operators import resample, vectors
-from panelforge.registry import q6, query, r6, table
+from panelforge.registry import q6, query, r6
 
 E = "CAST(emb[{i}] AS DOUBLE)"
 

@@ -8,8 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from panelforge.catalog.cleaning import _FILES, _IDS, _RAW, _files, _ids, _raw
-from panelforge.catalog.fixtures import CODES, ENTITY_LAG, FRAMES, MEASURES, OUTCOMES, VISITS, codes, entity_lag, frames, outcomes, visits
-from panelforge.operators import resample
+from panelforge.catalog.fixtures import CODES, MEASURES, OUTCOMES, VISITS, codes, frames, outcomes, visits
 from panelforge.plans import jobs
 from panelforge.registry import q6, query, r6, table
 from panelforge.streaming import incremental
