@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words (runs of letters and digits) become template tokens: numbers, units and names (capitalised words
-that don't begin a sentence) turn into typed placeholders, neighbouring numbers into one; other words
+Words (runs of letters and digits) become template tokens: numbers, units and names (words with one
+capital, in front, that don't begin a sentence) turn into typed placeholders, neighbouring numbers into one; other words
 are lower-cased. Windows of ``WINDOW`` tokens are hash-joined with the benchmark's. A match lines a
 document up with an item; where the values in their slots go together one to one (equal, or changed
 the same way each time), the windows count, so questions with other numbers and names are caught and
@@ -36,8 +36,8 @@ UNITS = (
 
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_DIGIT, _UPPER, _STOP = (np.zeros(256, bool) for _ in range(3))
-_DIGIT[48:58] = _UPPER[65:91] = True
+_DIGIT, _STOP = (np.zeros(256, bool) for _ in range(2))
+_DIGIT[48:58] = True
 _STOP[[33, 46, 63]] = True
 NUMBER, UNIT, NAME = (mix(np.array([x], U64))[0] for x in (101, 102, 103))
 
@@ -48,10 +48,20 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(word_hashes(joined, starts, ends))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z and the Latin-1 capitals in lower case (their UTF-8 keeps its length)."""
+    low = LOWER[data]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    after = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
+    low[after] += 32
+    return low
+
+
 def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template token, value (the word's own hash) and document of each token."""
     starts, ends, doc = spans(data, offsets, _BREAK)
-    values = word_hashes(LOWER[data], starts, ends)
+    low = lowered(data)
+    values = word_hashes(low, starts, ends)
     tokens = values.copy()
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     number = digits[ends] - digits[starts] == ends - starts
@@ -60,7 +70,10 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
     begins = np.ones(len(doc), bool)
     begins[1:] = (doc[1:] != doc[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
-    name = _UPPER[data[starts]] & ~begins if len(doc) else np.zeros(0, bool)
+    raised = np.concatenate([[0], np.cumsum(low != data)])
+    first = np.minimum(starts + 1 + (data[starts] == 0xC3), ends)
+    # one capital, in front: words all in capitals are plain
+    name = (raised[first] > raised[starts]) & (raised[ends] - raised[starts] == 1) & (ends > first) & ~begins
     tokens[unit], tokens[name], tokens[number] = UNIT, NAME, NUMBER
     keep = np.ones(len(doc), bool)
     keep[1:] = ~(number[1:] & number[:-1] & (doc[1:] == doc[:-1]))

@@ -408,3 +408,10 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert out.count() > 0 and "doc_id" in out.columns
     twice = stage["ngram_jaccard"](spark, known.unionAll(known), str(tmp_path))
     assert twice.count() == one.count()
+
+
+def test_leaks_in_capitals(spark):
+    plain = "He said that nobody knew when the old été house by the river was built or by whom it was sold in the end"
+    df = spark.createDataFrame([(1, f"x. {plain.upper()}!! y"), (2, plain.upper()[:40]), (3, plain.replace("é", "e"))], "doc_id long, text string")
+    got = {r.doc_id for r in decontaminate.leaks(df, spark.createDataFrame([(5, plain)], "item_id long, text string")).collect()}
+    assert 1 in got and 2 not in got
