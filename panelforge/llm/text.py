@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = (1 << 20) - 64
+SLICE = (1 << 19) - 64
 U64 = np.uint64
 
 SPACE = np.zeros(256, bool)
@@ -53,18 +53,22 @@ def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.n
     """Rows [a, b), their UTF-8 bytes and offsets into them. Nulls count as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
     n = len(texts)
     if not n:
         return
-    _, where, what = texts.buffers()
-    offsets = np.frombuffer(where, np.int64)[texts.offset : texts.offset + n + 1]
+    _, where, what = texts.buffers()  # read in place: a batch is never copied whole
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    offsets = np.frombuffer(where, np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
     data = np.frombuffer(what, np.uint8) if what is not None else np.zeros(0, np.uint8)
+    if texts.null_count and np.diff(offsets)[texts.is_null().to_numpy(zero_copy_only=False)].any():
+        yield from slices(pc.fill_null(texts, ""), limit)
+        return
     a = 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
+    pa.default_memory_pool().release_unused()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
