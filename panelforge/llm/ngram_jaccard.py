@@ -32,6 +32,10 @@ WORDS, NUM, DEN = 5, 75, 100
 #: Members of a signature up to which all its pairs are candidates at once.
 SMALL = 24
 INDEX, RESIDUE, PROBE, PROBE_NEAR, PROBE_RESIDUE = range(5)
+#: Members that one task compares at once; a larger signature is split into pairs of pieces.
+PIECE = 2048
+#: Signatures that a member carries along.
+FIRST = 8
 #: Hashes per part of an exchange.
 PART = 1_000_000
 
@@ -224,26 +228,61 @@ def _matched(table: pa.Table) -> pa.Table:
     })
 
 
-def _crossing(table: pa.Table) -> pa.Table:
-    """Pairs of a signature's members that are in different components, and may link by size."""
-    node, n, comp = (table[c].to_numpy() for c in ("a", "n_a", "component"))
-    order = np.argsort(comp, kind="stable")
-    node, n, comp = node[order], n[order], comp[order]
+def _sketch(values: np.ndarray) -> bytes:
+    """Parity bitmap of a set, of two to four bits a shingle; it folds by halves to smaller ones."""
+    bits = 64
+    while bits < 2 * len(values):
+        bits *= 2
+    odd = np.bincount((values & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _crossing(best: bool, table: pa.Table) -> pa.Table:
+    """Pairs of a signature's members that are in different components and can still link; or the likeliest pair of each two components.
+
+    Sets that link differ in few shingles, and the bitmaps differ in no more bits than the sets in
+    shingles. This drops no pair that links; only what is left is verified on whole sets.
+    """
+    order = np.lexsort((table["component"].to_numpy(), table["side"].to_numpy()))
+    node, n, comp, side = (table[c].to_numpy()[order] for c in ("a", "n_a", "component", "side"))
+    maps = [np.frombuffer(x, "<u8") for x in table["sketch"].take(pa.array(order)).to_pylist()]
+    width = min((len(x) for x in maps), default=1)
+    folded = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in maps]) if maps else np.zeros((0, 1), U64)
+    split = int(np.searchsorted(side, 1))
+    ids = table["ids"].combine_chunks()
+    ids, mine = None if best else [ids[int(i)].values.to_numpy() for i in order], table["id"][0].as_py() if len(order) else 0
     out = []
-    for i in range(len(node)):
-        later = np.searchsorted(comp, comp[i], "right")
-        ok = later + np.flatnonzero(_fits(n[later:], n[i]))
-        out.append(np.stack([np.full(len(ok), node[i]), node[ok]]))
-    x = np.sort(np.concatenate(out, axis=1), axis=0) if out else np.zeros((2, 0), np.int64)
+    for i in range(split):
+        # within one piece each pair once, by component; between two pieces all of the other's
+        at = np.arange(np.searchsorted(comp[:split], comp[i], "right"), split) if split == len(node) else split + np.flatnonzero(comp[split:] != comp[i])
+        differ = np.bitwise_count(folded[at] ^ folded[i]).sum(1)
+        ok = _fits(n[at], n[i]) & (differ * (DEN + NUM) <= (DEN - NUM) * (n[at] + n[i]))
+        if not best:
+            ok[ok] = [not len(x) or x[0] >= mine for x in (np.intersect1d(ids[i], ids[j], assume_unique=True) for j in at[ok])]
+        gap, at = differ[ok] / (n[at[ok]] + n[i]), at[ok]
+        out.append(np.stack([np.full(len(at), node[i]), node[at], np.full(len(at), comp[i]), comp[at], (gap * 1e9).astype(np.int64)]))
+    x = np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
+    if best and x.shape[1]:
+        x = x[:, np.lexsort((x[4], x[3], x[2]))]
+        x = x[:, np.concatenate([[True], (np.diff(x[2]) != 0) | (np.diff(x[3]) != 0)])]
+    x = np.sort(x[:2], axis=0)
     return pa.table({"a": pa.array(x[0], pa.int64()), "b": pa.array(x[1], pa.int64())})
 
 
+def _likeliest(table: pa.Table) -> pa.Table:
+    return _crossing(True, table)
+
+
+def _remaining(table: pa.Table) -> pa.Table:
+    return _crossing(False, table)
+
+
 def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in slices(batch["text"]):
             values, n = shingles(data, offsets, k)
             at = np.concatenate([[0], np.cumsum(n)])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array([values[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array([values[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary()), pa.array([_sketch(values[x:y]) for x, y in zip(at, at[1:])], pa.binary())], ["doc_id", "grams", "sketch"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,19 +332,25 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         texts.mapInArrow(partial(_signatures, parts, k), blocks.SCHEMA + ", sizes binary")
         .groupBy("part").applyInArrow(_matched, "a long, b long, n_a long, n_b long, sig long, part int")
     )
-    sets = written(texts.mapInArrow(partial(_sets, k), "doc_id long, grams binary"))
-    first = checkpointed(_links(found.where("sig < 0").select("a", "b").distinct(), sets))
-    where = components(first)
-
-    members = found.where("sig >= 0").select("part", "sig", "a", "n_a")
-    members = members.join(where.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    open_ = members.groupBy("part", "sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("part", "sig")
-    more = (
-        members.join(open_, ["part", "sig"])
-        .groupBy("part", "sig").applyInArrow(_crossing, "a long, b long")
-        .distinct().join(found.where("sig < 0").select("a", "b").distinct(), ["a", "b"], "left_anti")
-    )
-    links = first.unionAll(checkpointed(_links(more, sets)))
+    sets = written(texts.mapInArrow(partial(_sets, k), "doc_id long, grams binary, sketch binary"))
+    tried = found.where("sig < 0").select("a", "b").distinct()
+    links = checkpointed(_links(tried, sets))
+    # signatures of many members: join what components the likeliest pairs join, then try all that is left
+    hot = found.where("sig >= 0").select("part", "sig", "a", "n_a")
+    sketches = sets.select(F.col("doc_id").alias("a"), "sketch")
+    for best in () if hot.isEmpty() else (True, False):
+        of = written(hot.join(components(links).withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a")))
+        open_ = of.groupBy("part", "sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).where("x < y").select("part", "sig", "pieces")
+        of = written(of.join(open_, ["part", "sig"]).withColumn("id", F.shiftleft(F.col("part").cast("long"), 40).bitwiseOR(F.col("sig"))))
+        # the first few signatures of each member: a pair needn't go out again where both have an earlier one
+        first = of.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("id")), 1, FIRST).alias("ids"))
+        of = of.join(first.join(sketches, "a"), "a").withColumn("own", F.pmod(F.xxhash64("a"), F.col("pieces")).cast("int"))
+        of = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        of = of.select("part", "sig", "a", "n_a", "sketch", "component", "id", "ids", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+        more = of.groupBy("part", "sig", "x", "y").applyInArrow(_likeliest if best else _remaining, "a long, b long")
+        more = checkpointed(more.distinct().join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            tried, links = tried.unionAll(more), links.unionAll(checkpointed(_links(more, sets)))
     joined = components(links)
 
     of_class = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
