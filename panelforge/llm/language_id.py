@@ -13,10 +13,11 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm.store import checkpointed
 from panelforge.llm.text import LOWER, U64, mix, slices
 
 BITS, GRAMS = 15, 3
@@ -24,6 +25,9 @@ BITS, GRAMS = 15, 3
 PER_LABEL = 600
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 2e-5, 1e-5, 4
 SCALE = 30.0
+#: Document frequencies go out in pieces, and are added up in two steps.
+PIECES, FAN = 16, 64
+SMALL = 16 << 20
 
 
 @lru_cache(maxsize=1)
@@ -60,7 +64,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _pieces(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of at most ``most`` documents."""
     for batch in batches:
-        for a, b, data, offsets in slices(batch["text"]):
+        for a, b, data, offsets in slices(batch["text"], 1 << 18):
             for x in range(a, b, most):
                 y = min(b, x + most)
                 at = offsets[x - a : y - a + 1]
@@ -76,12 +80,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total += seen.sum(0)
         n += int(has.sum())
     if n:
-        yield pa.RecordBatch.from_pydict({"i": pa.array([0], pa.int32()), "data": pa.array([np.append(total, n).astype("<i8").tobytes()], pa.binary())})
+        group = TaskContext.get().partitionId() % FAN
+        rows = np.split(total, PIECES)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(PIECES), pa.int32()), "g": pa.array([group] * PIECES, pa.int32()), "data": pa.array([np.append(x, n).astype("<i8").tobytes() for x in rows], pa.binary())})
 
 
 def _add(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x, "<i8") for x in table["data"].to_pylist())
-    return pa.table({"i": table["i"][:1], "data": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"i": table["i"][:1], "g": table["g"][:1], "data": pa.array([total.tobytes()], pa.binary())})
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,13 +172,16 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     learn = F.expr(f"crc32(cast({doc_id} as string)) % 5 <> 0") if learn is None else learn
     train = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id), F.col(text)).alias("order"))
     df, n = np.zeros(1 << BITS), 0
-    for r in train.select("text").mapInArrow(_frequencies, "i int, data binary").groupBy("i").applyInArrow(_add, "i int, data binary").collect():
+    kind = "i int, g int, data binary"
+    sums = train.select("text").mapInArrow(_frequencies, kind).groupBy("i", "g").applyInArrow(_add, kind).groupBy("i").applyInArrow(_add, kind)
+    for r in sums.collect():
         x = np.frombuffer(r.data, "<i8")
-        df, n = x[:-1], int(x[-1])
+        df[r.i * len(x[:-1]) : (r.i + 1) * len(x[:-1])], n = x[:-1], int(x[-1])
     idf = np.log((1 + n) / (1 + df)) + 1
-    sizes = train.groupBy("lang").count()
+    sizes = checkpointed(train.groupBy("lang").count())
+    near = F.broadcast(sizes) if (sizes.agg(F.sum(F.octet_length("lang") + 24)).first()[0] or 0) <= SMALL else sizes
     share = F.least(F.lit(1.0), F.lit(float(PER_LABEL)) / F.col("count"))
-    sample = train.join(sizes, "lang").where((F.pmod("order", F.lit(1 << 30)) / float(1 << 30)) < share).select("text", "lang", "order")
+    sample = train.join(near, "lang").where((F.pmod("order", F.lit(1 << 30)) / float(1 << 30)) < share).select("text", "lang", "order")
     rows = sorted(sample.mapInArrow(_features, "lang string, order long, at binary, tf binary").collect(), key=lambda r: (r.order, r.lang, r.at))
     labels = sorted({r.lang for r in rows})
     known = [(at := np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r.tf, "<f4") * idf[at] * SCALE, labels.index(r.lang)) for r in rows]
