@@ -3,15 +3,16 @@
 Words (runs of letters and digits) become template tokens: numbers, units and names (words with one
 capital, in front, that don't begin a sentence) turn into typed placeholders, neighbouring numbers into one; other words
 are lower-cased. Windows of ``WINDOW`` tokens are hash-joined with the benchmark's. A match lines a
-document up with an item; where the values in their slots go together one to one (equal, or changed
-the same way each time), the windows count, so questions with other numbers and names are caught and
-chance matches of mere templates aren't.
+document up with an item. Windows whose slots hold the item's values count; of the others the largest
+set found whose values go together (a value of one side always beside the same value of the other), so
+questions with other numbers and names are caught and chance matches of mere templates mostly aren't.
+Items without such a window, and those of at most ``WINDOW`` words, are also joined word by word.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.text import LOWER, U64, mix, slices, spans, window_hashes, word_hashes
+from panelforge.llm.text import LOWER, U64, WORD_BASE, mix, powers, slices, spans, window_hashes, word_hashes
 
 WINDOW, LITERAL, ENOUGH, COVER = 8, 4, 6, 0.5
 #: Bytes of benchmark text that go to the executors at once; a larger benchmark is gone through in turns.
@@ -57,8 +58,8 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return low
 
 
-def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template token, value (the word's own hash) and document of each token."""
+def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template token, value (the word's own hash; of all words for neighbouring numbers) and document of each token; hash and document of each word."""
     starts, ends, doc = spans(data, offsets, _BREAK)
     low = lowered(data)
     values = word_hashes(low, starts, ends)
@@ -77,7 +78,11 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     tokens[unit], tokens[name], tokens[number] = UNIT, NAME, NUMBER
     keep = np.ones(len(doc), bool)
     keep[1:] = ~(number[1:] & number[:-1] & (doc[1:] == doc[:-1]))
-    return tokens[keep], values[keep], doc[keep]
+    up, down = powers(WORD_BASE, len(doc) + 1)
+    prefix = np.concatenate([np.zeros(1, U64), np.cumsum(values * up[: len(doc)], dtype=U64)])
+    first = np.flatnonzero(keep)
+    joined = (prefix[np.append(first[1:], len(doc))] - prefix[first]) * down[first] if len(first) else values
+    return tokens[keep], joined, doc[keep], values, doc
 
 
 def _windows(tokens: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,29 +97,53 @@ def _windows(tokens: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarra
 
 
 class Index:
-    """Template windows of benchmark items: hash, item, place; and each item's tokens and values."""
+    """Windows of benchmark items: hash, item, place; of template tokens, and of words for items that need those; and each item's tokens and values."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         rows = [(i, t) for i, t in rows if i is not None and t]
         text = [t.encode() for _, t in rows]
         data = np.frombuffer(b"".join(text), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in text])]).astype(np.int64)
-        tokens, values, doc = templates(data, offsets)
+        tokens, values, doc, words, word_doc = templates(data, offsets)
         edge = np.searchsorted(doc, np.arange(len(rows) + 1))
         self.items = np.array([i for i, _ in rows], np.int64)
         self.tokens = [tokens[a:b] for a, b in zip(edge, edge[1:])]
         self.values = [values[a:b] for a, b in zip(edge, edge[1:])]
-        self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         lengths = np.diff(edge)
-        self.total = np.zeros(len(rows), np.int64)
-        for width in sorted({min(WINDOW, int(n)) for n in lengths if n >= LITERAL}):
-            mine = (lengths >= WINDOW) if width == WINDOW else (lengths == width)
-            at, hashes = _windows(tokens, doc, width)
+        self.by_width, self.total = self._by_width(partial(_windows, tokens, doc), doc, edge, lengths, lengths >= LITERAL)
+        edge = np.searchsorted(word_doc, np.arange(len(rows) + 1))
+        lengths = np.diff(edge)
+        literal = (lengths > 0) & ((self.total == 0) | (lengths <= WINDOW))
+        self.literal, self.literal_total = self._by_width(partial(_literal_windows, words, word_doc), word_doc, edge, lengths, literal)
+
+    @staticmethod
+    def _by_width(windows: Callable[[int], tuple[np.ndarray, np.ndarray]], doc: np.ndarray, edge: np.ndarray, lengths: np.ndarray, wanted: np.ndarray) -> tuple[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+        out, total = {}, np.zeros(len(lengths), np.int64)
+        for width in np.unique(np.minimum(WINDOW, lengths[wanted])).tolist():
+            mine = wanted & ((lengths >= WINDOW) if width == WINDOW else (lengths == width))
+            at, hashes = windows(width)
             ok = mine[doc[at]] if len(at) else np.zeros(0, bool)
             at, hashes = at[ok], hashes[ok]
             order = np.argsort(hashes, kind="stable")
-            self.by_width[width] = hashes[order], doc[at[order]], (at - edge[doc[at]])[order]
-            self.total += np.bincount(doc[at], minlength=len(rows))
+            out[width] = hashes[order], doc[at[order]], (at - edge[doc[at]])[order]
+            total += np.bincount(doc[at], minlength=len(lengths))
+        return out, total
+
+
+def _literal_windows(words: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the runs of words that lie in one document."""
+    hashes = window_hashes(words, width)
+    at = np.flatnonzero(doc[: len(hashes)] == doc[width - 1 :]) if len(hashes) else np.zeros(0, np.int64)
+    return at, hashes[at]
+
+
+def _joined(found: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, item and place of each pair of equal windows."""
+    hashes, item, place = found
+    low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+    n = high - low
+    pair = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return np.repeat(at, n), item[pair], place[pair]
 
 
 def _consistent(left: np.ndarray, right: np.ndarray) -> bool:
@@ -123,28 +152,60 @@ def _consistent(left: np.ndarray, right: np.ndarray) -> bool:
     return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
 
 
-def _found(index: Index, tokens: np.ndarray, values: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, float, bool]]:
+def _counted(slots: np.ndarray, left: np.ndarray, right: np.ndarray, places: np.ndarray, width: int) -> tuple[np.ndarray, bool]:
+    """The places whose windows count, and whether a slot in those has another value.
+
+    ``slots``: sorted places of the slots, with their ``left`` and ``right`` values. Each value of one
+    side goes with the value of the other that most windows have beside it; the better side is taken.
+    """
+
+    def free(bad: np.ndarray) -> np.ndarray:
+        return np.searchsorted(bad, places) == np.searchsorted(bad, places + width)
+
+    exact = free(slots[left != right])
+    if exact.all() or _consistent(left, right):
+        return places, not exact.all()
+    weight = np.searchsorted(places, slots, "right") - np.searchsorted(places, slots - width, "right")
+    best = exact
+    for one, other in ((left, right), (right, left)):
+        votes: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+        for a, b, w in zip(one.tolist(), other.tolist(), weight.tolist()):
+            votes[a][b] += w
+        taken = np.array([max(votes[a], key=lambda b: (votes[a][b], a == b, b)) for a in one.tolist()], U64)
+        kept = exact | free(slots[taken != other])
+        best = kept if kept.sum() > best.sum() else best
+    return places[best], bool((best & ~exact).any())
+
+
+def _found(index: Index, tokens: np.ndarray, values: np.ndarray, doc: np.ndarray, words: np.ndarray, word_doc: np.ndarray) -> Iterator[tuple[int, int, int, float, bool]]:
     lined: dict[tuple[int, int, int], set[tuple[int, int]]] = defaultdict(set)
-    for width, (hashes, item, place) in index.by_width.items():
-        at, own = _windows(tokens, doc, width)
-        if not len(at) or not len(hashes):
-            continue
-        low = np.searchsorted(hashes, own, "left")
-        for i in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own):
-            for j in range(low[i], np.searchsorted(hashes, own[i], "right")):
-                lined[int(doc[at[i]]), int(item[j]), int(at[i] - place[j])].add((int(place[j]), width))
+    for width, windows in index.by_width.items():
+        at, item, place = _joined(windows, *_windows(tokens, doc, width))
+        for d, j, shift, p in zip(doc[at].tolist(), item.tolist(), (at - place).tolist(), place.tolist()):
+            lined[d, j, shift].add((p, width))
     best: dict[tuple[int, int], tuple[set[int], bool]] = {}
-    for (d, j, shift), places in lined.items():
-        width = next(iter(places))[1]
-        at = np.unique(np.concatenate([np.arange(p, p + width) for p, _ in places]))
-        slot = np.isin(index.tokens[j][at], (NUMBER, UNIT, NAME))
-        left, right = index.values[j][at][slot], values[shift + at][slot]
-        if _consistent(left, right):
+    for (d, j, shift), found in lined.items():
+        width = next(iter(found))[1]
+        places = np.array(sorted(p for p, _ in found))
+        at = np.unique(places[:, None] + np.arange(width))
+        slots = at[np.isin(index.tokens[j][at], (NUMBER, UNIT, NAME))]
+        kept, other = _counted(slots, index.values[j][slots], values[shift + slots], places, width)
+        if len(kept):
             seen, changed = best.get((d, j), (set(), False))
-            best[d, j] = seen | {p for p, _ in places}, changed or bool((left != right).any())
+            best[d, j] = seen | set(kept.tolist()), changed or other
+    done = set()
     for (d, j), (places, changed) in best.items():
         if len(places) >= ENOUGH or len(places) >= COVER * index.total[j]:
+            done.add((d, j))
             yield d, int(index.items[j]), len(places), len(places) / int(index.total[j]), changed
+    literal = [np.zeros((0, 3), np.int64)]
+    for width, windows in index.literal.items():
+        at, item, place = _joined(windows, *_literal_windows(words, word_doc, width))
+        literal.append(np.stack([word_doc[at], item, place], axis=1))
+    pairs, n = np.unique(np.unique(np.concatenate(literal), axis=0)[:, :2], axis=0, return_counts=True)
+    for (d, j), k in zip(pairs.tolist(), n.tolist()):
+        if (d, j) not in done and (k >= ENOUGH or k >= COVER * index.literal_total[j]):
+            yield d, int(index.items[j]), k, k / int(index.literal_total[j]), False
 
 
 def _matches(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +222,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     """``(doc_id, item_id, n_windows, coverage, changed)`` for each document with most of an item.
 
     A pair counts with at least half of the item's windows, or with six of them (13 words). ``changed``:
-    a slot's value differs. Null and empty texts on either side match nothing; items of fewer than four
-    tokens, or without a window of four plain words, can't be found. Repeated rows give repeated rows; a
+    a slot's value differs. Null and empty texts on either side match nothing. Items without a window of
+    four plain words (also all of fewer than four tokens) are found by their words only, as they stand;
+    so are those of at most eight words that have one, besides. Even an item of one word is looked for. Repeated rows give repeated rows; a
     repeated item id gives a row for each of its texts found. Other columns are ignored.
     """
     spark = docs.sparkSession

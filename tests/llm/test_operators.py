@@ -415,3 +415,18 @@ def test_leaks_in_capitals(spark):
     df = spark.createDataFrame([(1, f"x. {plain.upper()}!! y"), (2, plain.upper()[:40]), (3, plain.replace("é", "e"))], "doc_id long, text string")
     got = {r.doc_id for r in decontaminate.leaks(df, spark.createDataFrame([(5, plain)], "item_id long, text string")).collect()}
     assert 1 in got and 2 not in got
+
+
+def test_leaks_judges_slots_by_window_and_finds_items_without_template(spark):
+    ask = "a farmer has 3 red apples in the first of 3 baskets and then 4 boys come to take all of them away before the evening"
+    other = {1: ask.replace("of 3", "of 5"), 2: ask.replace("has 3", "has 5").replace("of 3", "of 7"), 3: ask.replace("3", "5").replace("4", "5")}
+    tail = "and then we all went home after it"
+    exact = {5: f"he wrote 12. 3 km 5 kg 7 on it {tail}", 6: f"Then they saw What Now? {tail}", 7: f"first 31 41 59 26 53 58 97 93 23 84 {tail}", 8: f"first 31 41 59 26 {tail}", 9: f"he wrote 3 km 5 kg 8 {tail}"}
+    df = spark.createDataFrame([*other.items(), *exact.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(70, ask), (71, "3 km 5 kg 7"), (72, "what now"), (73, "31 41 59 26 53 58 97 93 23 84")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.coverage, r.changed) for r in decontaminate.leaks(df, bench).collect()}
+    assert {(d, 70) for d in (1, 2, 3)} | {(5, 71), (6, 72), (7, 73)} == set(got)
+    assert all(got[d, 70][2] for d in (1, 2, 3)) and all(got[d, 70][1] == 1 for d in (1, 2, 3))
+    assert got[5, 71] == (1, 1.0, False) and got[6, 72] == (1, 1.0, False) and got[7, 73] == (3, 1.0, False)
+    crossed = decontaminate._counted(np.array([0, 10, 20, 30]), np.array([1, 1, 2, 2], np.uint64), np.array([5, 6, 6, 5], np.uint64), np.arange(31), 8)
+    assert 0 < len(crossed[0]) < 31
