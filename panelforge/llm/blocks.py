@@ -32,9 +32,9 @@ def unpacked(data: bytes, width: int = TAIL) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def block_rows(values: np.ndarray, owner: np.ndarray, keys: np.ndarray, parts: int, extra: dict[str, tuple[np.ndarray, int]] | None = None) -> pa.RecordBatch:
-    """Blocks of hashes whose ``owner`` indexes ``keys``; ``extra`` columns go along at a byte width."""
-    part = parts_of(values, parts)
+def block_rows(values: np.ndarray, owner: np.ndarray, keys: np.ndarray, parts: int, extra: dict[str, tuple[np.ndarray, int]] | None = None, part: np.ndarray | None = None, width: int = TAIL) -> pa.RecordBatch:
+    """Blocks of hashes whose ``owner`` indexes ``keys``; ``extra`` columns go along at a byte width. Values of another ``width`` bring their ``part``."""
+    part = parts_of(values, parts) if part is None else part
     order = np.argsort(part, kind="stable")
     part, values, owner = part[order], values[order], owner[order]
     new = np.ones(len(values), bool)
@@ -49,22 +49,22 @@ def block_rows(values: np.ndarray, owner: np.ndarray, keys: np.ndarray, parts: i
         "part": pa.array(names.astype(np.int32)),
         "owners": pa.array([owners[a:b].tobytes() for a, b in zip(cut_run, ends_run)], pa.binary()),
         "counts": pa.array([length[a:b].tobytes() for a, b in zip(cut_run, ends_run)], pa.binary()),
-        "tails": pa.array([packed(values[a:b]) for a, b in zip(cut, ends)], pa.binary()),
+        "tails": pa.array([packed(values[a:b], width) for a, b in zip(cut, ends)], pa.binary()),
     }
-    for name, (more, width) in (extra or {}).items():
+    for name, (more, wide) in (extra or {}).items():
         more = more[order]
-        columns[name] = pa.array([packed(more[a:b].astype(np.uint64), width) for a, b in zip(cut, ends)], pa.binary())
+        columns[name] = pa.array([packed(more[a:b].astype(np.uint64), wide) for a, b in zip(cut, ends)], pa.binary())
     return pa.RecordBatch.from_pydict(columns)
 
 
-def block_values(table: pa.Table, extra: dict[str, int] | None = None) -> tuple[np.ndarray, ...]:
+def block_values(table: pa.Table, extra: dict[str, int] | None = None, width: int = TAIL) -> tuple[np.ndarray, ...]:
     """The hashes' tails, their owners' keys, and the extra columns of a group of blocks."""
     joined = lambda name: b"".join(x for x in table[name].to_pylist())
     keys = np.frombuffer(joined("owners"), "<i8")
     counts = np.frombuffer(joined("counts"), "<u4")
-    out = [unpacked(joined("tails")), np.repeat(keys, counts)]
-    for name, width in (extra or {}).items():
-        out.append(unpacked(joined(name), width))
+    out = [unpacked(joined("tails"), width), np.repeat(keys, counts)]
+    for name, wide in (extra or {}).items():
+        out.append(unpacked(joined(name), wide))
     return tuple(out)
 
 

@@ -430,3 +430,42 @@ def test_leaks_judges_slots_by_window_and_finds_items_without_template(spark):
     assert got[5, 71] == (1, 1.0, False) and got[6, 72] == (1, 1.0, False) and got[7, 73] == (3, 1.0, False)
     crossed = decontaminate._counted(np.array([0, 10, 20, 30]), np.array([1, 1, 2, 2], np.uint64), np.array([5, 6, 6, 5], np.uint64), np.arange(31), 8)
     assert 0 < len(crossed[0]) < 31
+
+
+def test_mixing_counts_every_context():
+    r = np.random.default_rng(3)
+    data = r.integers(97, 101, 4000).astype(np.uint8)
+    keys, n = context_mixing.merged(context_mixing.sextuples(data, np.array([0, 4000])), np.full(4000, 1 << 25))  # past what float32 adds by ones
+    single = np.zeros(1 << 16, np.int64)
+    np.add.at(single, (keys & np.uint64(0xFFFF)).astype(int), n)
+    paths = context_mixing.Counts(single, keys, n).paths(keys)
+    every = list(zip(keys.tolist(), n.tolist()))
+    for i in range(0, len(keys), 97):
+        for o, order in enumerate(context_mixing.ORDERS):
+            for d in range(9):
+                same = lambda k: (k & ((1 << 8 * (order + 1)) - 1)) >> (8 - d)  # noqa: B023, E731
+                assert paths[o, d, i] == sum(c for k, c in every if same(k) == same(int(keys[i])))
+
+
+def test_mixing_learns_by_full_count():
+    keys = np.array([ord("a") | ord("b") << 8, ord("c") | ord("b") << 8], np.uint64)
+    out = []
+    for often in (64, 64000):
+        n = np.array([often, 64])
+        single = np.zeros(1 << 16, np.int64)
+        single[keys.astype(int)] = n
+        batch = context_mixing.pa.RecordBatch.from_pydict({"vals": [keys.astype("<u8").tobytes()], "counts": [n.astype("<i8").tobytes()]})
+        rows = list(context_mixing._learn_weights(single, iter([batch])))
+        out.append(np.frombuffer(rows[0]["data"][0].as_py(), "<f8")[-1])
+    assert out == [128, 64064]
+
+
+def test_mixing_join_of_rare_sextuples_gives_the_scores_of_the_table(spark, monkeypatch):
+    rows = [(i, " ".join(words(60, i)), i % 5 == 0) for i in range(40)] + [(40, None, True), (41, "", False)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, held boolean")
+    score = lambda: sorted((r.doc_id, r.score) for r in context_mixing.mixing_scores(df, held_out=F.col("held")).collect())
+    table = score()
+    monkeypatch.setattr(context_mixing, "GRAM_HEAD", 0)
+    joined = score()
+    assert [i for i, _ in table] == [i for i, _ in joined] and [x for _, x in table] == pytest.approx([x for _, x in joined], rel=1e-9)
+    assert all(x < 0 for i, x in table if i < 40)
