@@ -14,20 +14,17 @@ from panelforge.llm.store import checkpointed
 SMALL = 16 << 20
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for each node of ``links``; the component is its smallest node.
 
     Each round hangs every node's larger neighbours, then its smaller ones, onto the smallest
     neighbour; stars are all that is left after a number of rounds that grows with the logarithm of
-    the longest chain. Groups are reduced by ``min`` and joined back, never collected, so a node with
+    the longest chain; rounds go on until then. Groups are reduced by ``min`` and joined back, never collected, so a node with
     very many neighbours is an ordinary (splittable) join key. Null and self links are ignored; an
     empty table gives an empty result.
     """
     edges = checkpointed(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
-    for _ in range(max_rounds):
-        near = _near(edges.count())
-        if _stars(edges, near):
-            break
+    while not _stars(edges, near := _near(edges.count())):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(near(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")

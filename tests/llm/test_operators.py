@@ -173,6 +173,57 @@ def test_embedding_components(spark):
     assert embedding_dedup.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def cosines(rows):
+    x = np.array(rows, float)
+    x = x / np.abs(x).max(1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x @ x.T
+
+
+def test_embedding_rows_keep_repeated_and_null_ids_and_extreme_norms(spark):
+    r = np.random.default_rng(8)
+    base = r.standard_normal((6, 8)).tolist()
+    rows = [(1, base[0]), (1, base[1]), (1, base[0]), (2, base[1]), (None, base[1]), (None, base[2]), (3, [1e200, 0.0]), (4, [1e200, 1.0]), (5, [1e-200, 1e-210]), (6, [0.0, -1e-300]), (7, [1.0]), (8, [5.0]), (9, [-2.0])]
+    got = embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(1, 1, 1, True), (1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (None, 2, 1, False), (None, 0, None, True), (3, 2, 3, True), (4, 2, 3, False), (5, 2, 3, False), (6, 0, 6, True), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("noise", [0.004, 0.03, 0.1])
+def test_embedding_groups_of_near_copies(spark, monkeypatch, noise):
+    """Tight balls, balls whose edges lie about the threshold, and loose groups; small pieces."""
+    monkeypatch.setattr(embedding_dedup, "PIECE", 100)
+    r = np.random.default_rng(4)
+    base = r.standard_normal((3, 16))
+    other = base + 0.48 * r.standard_normal((3, 16))  # next to the threshold
+    rows = np.concatenate([np.repeat(base, 150, 0), np.repeat(other, 60, 0), r.standard_normal((300, 16))])
+    rows = (rows + noise * r.standard_normal(rows.shape)).astype(np.float32)
+    rows = np.concatenate([rows, rows[:80]]).tolist()
+    s = cosines(rows) >= 0.9
+    np.fill_diagonal(s, False)
+    want = union(range(len(rows)), [(int(a), int(b)) for a, b in zip(*np.nonzero(s))])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "vec_id int, embedding array<float>").repartition(3)
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embedding_dedup.embedding_components(df).collect()}
+    found, all_ = sum(x[0] for x in got.values()), int(s.sum())
+    assert 0.999 * all_ <= found <= all_ and all(n <= s[i].sum() for i, (n, *_) in got.items())
+    assert sum(got[i] == (s[i].sum(), want[i], want[i] == i) for i in got) >= 0.97 * len(got)
+
+
+def test_collision_count_and_ends_are_calibrated():
+    r = np.random.default_rng(6)
+    for n in (2000, 100_000, 10_000_000):
+        plan = embedding_dedup.Plan(n, math.acos(0.9))
+        x, z = r.standard_normal((2, 600, 24))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        y = 0.9 * x + math.sqrt(0.19) * z
+        met = [bool(set(a) & set(b)) for a, b in zip(plan.lists(x)[0].tolist(), plan.lists(y)[0].tolist())]
+        near = np.abs(plan.sketch(x).astype(int) - plan.sketch(y)) <= embedding_dedup.STEPS + 1
+        assert np.mean(met) >= 0.995 and np.mean(near.sum(1) >= plan.whole) >= 0.995 and np.mean(near[:, : embedding_dedup.FIRST].sum(1) >= plan.first) >= 0.995
+        assert np.mean(np.abs(plan.sketch(x).astype(int) - plan.sketch(z)) <= embedding_dedup.STEPS + 1) < 0.5
+
+
 def removed(t, window):
     w = {i: split(x, False) for i, x in t.items()}
     c = Counter(tuple(x[j : j + window]) for x in w.values() for j in range(len(x) - window + 1))
