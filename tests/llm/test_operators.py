@@ -498,17 +498,82 @@ def test_mixing_counts_every_context():
                 assert paths[o, d, i] == sum(c for k, c in every if same(k) == same(int(keys[i])))
 
 
-def test_mixing_learns_by_full_count():
+def brute_mixing(t, held):
+    """The whole score again: dictionaries of counts, one sextuple after the other."""
+    m = context_mixing
+    grams = {i: [int.from_bytes(bytes(reversed((b"\0" * 5 + x)[j : j + 6])), "little") for j in range(len(x))] for i, x in t.items()}
+    train = Counter(g for i, x in grams.items() if not held[i] for g in x)
+    counts = [Counter() for _ in m.ORDERS]
+    for g, c in train.items():
+        for o, order in enumerate(m.ORDERS):
+            own = g & ((1 << 8 * (order + 1)) - 1)
+            for d in range(9):
+                counts[o][d, own >> (8 - d)] += c
+
+    def inputs(g, d, without):
+        bit, node, x, seen = (g & 255) >> (7 - d) & 1, (1 << d) | ((g & 255) >> (8 - d)), [], 0
+        for o, order in enumerate(m.ORDERS):
+            own = g & ((1 << 8 * (order + 1)) - 1)
+            same, every = counts[o][d + 1, own >> (7 - d)], counts[o][d, own >> (8 - d)]
+            other, same = every - same, max(same - 1, 0) if without else same
+            x.append(math.log((same + 0.4) / (other + 0.4)) * (2 * bit - 1))
+            seen = same + other
+        return np.array([*x, 0.3]), node * m.GATES + (seen > 0) + (seen > 8), node, bit
+
+    squash = lambda v: 1 / (1 + math.exp(-min(max(v, -12), 12)))
+    place = lambda v: min(max(int((v + 8) * (m.STEPS / 16)), 0), m.STEPS - 1)
+    weights = np.full((256 * m.GATES, len(m.ORDERS) + 1), 0.3)
+    order = [g for _, g in sorted((int(text.mix(np.array([g], np.uint64))[0]), g) for g in train)]
+    for t_ in range(m.PASSES):
+        for a in range(0, len(order), m.TOGETHER):
+            for d in range(8):
+                step, mass = np.zeros_like(weights), np.zeros(len(weights))
+                for g in order[a : a + m.TOGETHER]:
+                    x, gate, _, bit = inputs(g, d, True)
+                    step[gate] += (bit - squash(weights[gate] @ x)) * train[g] * x
+                    mass[gate] += train[g]
+                weights += m.RATE / (1 + t_) * step / np.sqrt(mass + 1)[:, None]
+    hits = np.zeros((256 * m.STEPS, 2))
+    for g, c in train.items():
+        for d in range(8):
+            x, gate, node, bit = inputs(g, d, True)
+            hits[node * m.STEPS + place(weights[gate] @ x), bit] += c
+    prior = np.array([squash((k + 0.5) * (16 / m.STEPS) - 8) for k in range(m.STEPS)] * 256)
+    refined = (hits[:, 1] + 20 * prior) / (hits.sum(1) + 20)
+    logs = {}
+    for g in {g for x in grams.values() for g in x}:
+        logs[g] = 0.0
+        for d in range(8):
+            x, gate, node, bit = inputs(g, d, False)
+            v = min(max(weights[gate] @ x, -8), 8)
+            p = 0.5 * (squash(v) + refined[node * m.STEPS + place(v)])
+            logs[g] += math.log10(p if bit else 1 - p)
+    return {i: sum(logs[g] for g in x) for i, x in grams.items()}
+
+
+def test_mixing_score_matches_brute_force_whatever_the_partitions(spark):
+    rows = [(i, " ".join(words(12 + i, i % 9)), i % 5 == 1) for i in range(24)] + [(30, None, True), (31, "", False), (32, "é", True)]
+    want = brute_mixing({i: (x or "").encode() for i, x, _ in rows}, {i: h for i, _, h in rows})
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (2, 4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = {r.doc_id: r.score for r in context_mixing.mixing_scores(df.repartition(n, "text"), held_out=F.col("held")).collect()}
+            assert got.keys() == want.keys()
+            assert [got[i] for i in want] == pytest.approx([want[i] for i in want], rel=1e-6, abs=1e-9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_mixing_draws_by_full_count():
     keys = np.array([ord("a") | ord("b") << 8, ord("c") | ord("b") << 8], np.uint64)
-    out = []
-    for often in (64, 64000):
-        n = np.array([often, 64])
-        single = np.zeros(1 << 16, np.int64)
-        single[keys.astype(int)] = n
-        batch = context_mixing.pa.RecordBatch.from_pydict({"vals": [keys.astype("<u8").tobytes()], "counts": [n.astype("<i8").tobytes()]})
-        rows = list(context_mixing._learn_weights(single, iter([batch])))
-        out.append(np.frombuffer(rows[0]["data"][0].as_py(), "<f8")[-1])
-    assert out == [128, 64064]
+    n = np.array([64_000_000, 64_000])
+    single = np.zeros(1 << 16, np.int64)
+    single[keys.astype(int)] = n
+    batch = context_mixing.pa.RecordBatch.from_pydict({"vals": [keys.astype("<u8").tobytes()], "counts": [n.astype("<i8").tobytes()]})
+    row, = context_mixing._drawn(single, 1e-3, iter([batch]))
+    assert np.frombuffer(row["times"][0].as_py(), "<i8").tolist() == pytest.approx([64_000, 64], abs=1)
 
 
 def test_mixing_join_of_rare_sextuples_gives_the_scores_of_the_table(spark, monkeypatch):
