@@ -3,14 +3,16 @@
 One automaton holds all notice phrases and the identifier tag, as word sequences with a blank on
 either side; one pass over a text's words finds them all. The expression after a tag is read from the
 text itself, turned into postfix by a shunting-yard parser (``with`` binds tighter than ``and``,
-``and`` tighter than ``or``) and evaluated: the label of each licence named, whether any choice is
-open (``or``), and whether the expression is well formed.
+``and`` tighter than ``or``) and evaluated: ``and`` asks for the stricter of two obligations, ``or``
+leaves the choice of the laxer, ``with`` an exception makes a strong copyleft weak.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -47,6 +49,17 @@ NOTICES = {
     "all rights reserved": "all-rights-reserved",
 }
 
+# Obligations from lax to strict, and the families of identifiers with theirs. A family's label is the notices' one.
+LEVELS = ("permissive", "attribution", "weak copyleft", "strong copyleft", "network copyleft", "no derivatives", "noncommercial")
+FAMILIES = {
+    "mit": ("mit", 0), "0bsd": ("bsd", 0), "bsd-2-clause": ("bsd-2-clause", 0), "bsd-3-clause": ("bsd-3-clause", 0), "isc": ("isc", 0),
+    "zlib": ("zlib", 0), "unlicense": ("public-domain", 0), "cc0": ("cc0", 0), "bsl-1": ("bsl-1", 0), "apache-2": ("apache-2", 1),
+    "cc-by": ("cc-by", 1), "lgpl": ("lgpl", 2), "mpl-2": ("mpl-2", 2), "epl-2": ("epl-2", 2), "cc-by-sa": ("cc-by-sa", 2),
+    "gpl-2": ("gpl-2", 3), "gpl-3": ("gpl-3", 3), "agpl": ("agpl", 4), "cc-by-nd": ("cc-by-nd", 5),
+    "cc-by-nc": ("cc-by-nc", 6), "cc-by-nc-sa": ("cc-by-nc-sa", 6), "cc-by-nc-nd": ("cc-by-nc-nd", 6),
+}
+_STRONG, _WEAK = 3, 2
+
 TAG = "spdx license identifier"
 _TAG = re.compile(rb"spdx-license-identifier\s*:", re.IGNORECASE)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*|[^\s]")
@@ -87,19 +100,35 @@ def postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
-def evaluate(rpn: list[str]) -> tuple[frozenset[str], bool]:
-    """Licences named and whether there is a choice. An exception goes with its licence: ``gpl-2.0 with x``."""
-    stack: list[tuple[frozenset[str], bool]] = []
+def family(identifier: str) -> tuple[str, int] | None:
+    """Label and obligation of an identifier, whatever its version's zeros and suffixes; None if it is unknown."""
+    name = re.sub(r"(-only|-or-later|\+)$", "", identifier.lower().rstrip("."))
+    for form in (name, re.sub(r"\.0$", "", name), re.sub(r"-\d+(\.\d+)*$", "", name)):
+        if form in FAMILIES:
+            return FAMILIES[form]
+    return None
+
+
+def evaluate(rpn: list[str]) -> tuple[frozenset[str], frozenset[str], bool, int | None]:
+    """Labels of the licences named, identifiers unknown, whether there is a choice, and what the expression obliges to (None: unknown)."""
+    stack: list[tuple[frozenset[str], frozenset[str], bool, int | None]] = []
+    none: frozenset[str] = frozenset()
     for token in rpn:
         if token in _RANK and len(stack) >= 2:
             right, left = stack.pop(), stack.pop()
             if token == "with":
-                names = frozenset(f"{x}-with-{y}" for x in left[0] for y in right[0])
-                stack.append((names, left[1]))
+                stack.append((left[0], left[1], left[2], _WEAK if left[3] == _STRONG else left[3]))
+                continue
+            known = [x[3] for x in (left, right) if x[3] is not None]
+            if token == "or":
+                level = min(known, default=None)
             else:
-                stack.append((left[0] | right[0], left[1] or right[1] or token == "or"))
+                level = max(known) if len(known) == 2 else None
+            stack.append((left[0] | right[0], left[1] | right[1], left[2] or right[2] or token == "or", level))
+        elif found := family(token):
+            stack.append((frozenset([found[0]]), none, False, found[1]))
         else:
-            stack.append((frozenset([token.lower().rstrip(".")]), False))
+            stack.append((none, frozenset([token]), False, None))
     return stack[-1]
 
 
@@ -113,37 +142,48 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def scan(finder: ahocorasick.Automaton, raw: bytes) -> tuple:
-    """One text: words, base places, first and last base word, base labels, all labels, expressions, choice, score."""
+    """One text: words, base places, first and last base word, base labels, all labels, expressions, unknown identifiers, choice, obligation, score."""
     words = raw.translate(TABLE).split()
-    line = b" " + b" ".join(words) + b" "
-    text = line.decode("utf-8")
+    text = (b" " + b" ".join(words) + b" ").decode("utf-8")
     n_base, first, last, tagged = 0, None, None, False
     base: set[str] = set()
-    labels: set[str] = set()
+    hits: list[tuple[int, int, str]] = []
+    starts: list[int] = []
     for end, (length, label, is_base) in finder.iter(text):
         if label is None:
             tagged = True
             continue
-        labels.add(label)
+        hits.append((end - length + 1, end, label))
         if is_base:
-            at = text.count(" ", 0, end - length + 2) - 1
+            starts = starts or list(accumulate((len(w.decode("utf-8")) + 1 for w in words), initial=1))
+            at = bisect(starts, end - length + 2) - 1
             n_base += 1
             first, last = (at if first is None else min(first, at)), (at if last is None else max(last, at))
             base.add(label)
-    expressions, choice, named = [], False, 0
+    # of notices within one another the longest stands; base labels stay
+    labels, reach = set(base), -1
+    for _, end, label in sorted(hits, key=lambda h: (h[0], -h[1])):
+        if end > reach:
+            labels.add(label)
+            reach = end
+    expressions, unknown, choice, levels = [], set(), False, []
     if tagged:
         for m in _TAG.finditer(raw):
-            rpn = postfix(raw[m.end() :].split(b"\n", 1)[0].decode("utf-8"))
+            line = raw[m.end() :].split(b"\n", 1)[0] if len(raw) - m.end() < 4096 else raw[m.end() : (raw.find(b"\n", m.end()) + 1 or len(raw) + 1) - 1]
+            rpn = postfix(line.decode("utf-8"))
             if rpn:
-                names, any_of = evaluate(rpn)
+                names, other, any_of, level = evaluate(rpn)
                 expressions.append(" ".join(rpn))
                 labels |= names
-                choice, named = choice or any_of, named + 1
-    score = 1.0 if named else 0.9 if base else 0.6 if labels else 0.0
-    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), expressions, choice, score
+                unknown |= other
+                choice = choice or any_of
+                levels.append(level)
+    obliges = LEVELS[max(levels)] if levels and None not in levels else None
+    score = 1.0 if expressions and not unknown else 0.9 if base else 0.6 if labels else 0.5 if unknown else 0.0
+    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), expressions, sorted(unknown), choice, obliges, score
 
 
-_FIELDS = pa.struct([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("expressions", pa.list_(pa.string())), ("choice", pa.bool_()), ("score", pa.float64())])
+_FIELDS = pa.struct([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("expressions", pa.list_(pa.string())), ("unknown", pa.list_(pa.string())), ("choice", pa.bool_()), ("obliges", pa.string()), ("score", pa.float64())])
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +198,17 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, words, base places and labels, all labels, expressions, choice, score.
+    """One row per row of ``docs``: the id, words, base places and labels, all labels, expressions and what they say, score.
 
     Null and empty texts have no words, no labels (empty strings) and score 0. Words are maximal runs of
-    ASCII letters and digits and of all characters beyond ASCII. Repeated rows are scanned alike. The
-    score is 1 with a well-formed identifier expression, 0.9 with a base phrase, 0.6 with another
-    notice, else 0. An expression that breaks off counts up to its first licence. Other columns are ignored.
+    ASCII letters and digits and of all characters beyond ASCII. Repeated rows are scanned alike. A
+    licence has one label, named by notice or identifier; identifiers of no known family go to
+    ``unknown``, not to the labels. ``obliges`` is the strictest of the text's expressions (null with
+    none, or if an unknown identifier decides). The score is 1 with expressions of known identifiers, 0.9
+    with a base phrase, 0.6 with another notice, 0.5 with unknown identifiers only, else 0. An expression
+    that breaks off counts up to its first licence. The work is linear in a text's length and places.
+    Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(_scanned, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, choice boolean, score double")
+    return rows.mapInArrow(_scanned, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, unknown array<string>, choice boolean, obliges string, score double")

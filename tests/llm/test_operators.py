@@ -270,7 +270,9 @@ def test_model_learns(docs, spark):
 LICENCE = [
     ("Released UNDER the MIT License.", 1, "mit", "mit"),
     ("the Apache License, Version 2.0 and under the mit-license / CC BY-NC 4.0", 3, "apache-2,cc-by-nc,mit", None),
-    ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0 WITH Classpath-exception-2.0\nx", 0, "", "apache-2.0,gpl-2.0-with-classpath-exception-2.0,mit"),
+    ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0 WITH Classpath-exception-2.0\nx", 0, "", "apache-2,gpl-2,mit"),
+    ("licensed under CC BY-NC-SA 4.0, cc by 4.0", 1, "cc-by-nc", "cc-by,cc-by-nc,cc-by-nc-sa"), ("CC BY-NC-SA", 1, "cc-by-nc", "cc-by-nc,cc-by-nc-sa"),
+    ("Apache License, Version 2.0\nSPDX-License-Identifier: Apache-2.0", 1, "apache-2", "apache-2"), ("SPDX-License-Identifier: whatever-you-like", 0, "", ""),
     (None, 0, "", ""), ("", 0, "", ""), ("summit licensee", 0, "", ""), ("é under the mit licensé", 0, "", ""),
     ("under the mit license under the mit license", 2, "mit", "mit"),
 ]
@@ -290,6 +292,27 @@ def test_license_scan(spark, none):
     assert licenses.license_scan(none).count() == 0
 
 
+def test_expressions_are_evaluated():
+    value = lambda x: licenses.evaluate(licenses.postfix(x))
+    level = lambda x: value(x)[3]
+    assert level("MIT OR AGPL-3.0-only") == 0 and level("MIT AND AGPL-3.0-only") == 4 and level("MIT OR Apache-2.0 AND GPL-3.0+") == 0
+    assert level("(MIT OR Apache-2.0) AND GPL-3.0-or-later") == 3 and level("GPL-2.0 WITH Classpath-exception-2.0") == 2
+    assert level("MIT AND Mine-1.0") is None and level("MIT OR Mine-1.0") == 0 and value("MIT OR Mine-1.0")[1:3] == ({"Mine-1.0"}, True)
+    assert {licenses.family(x)[0] for x in ("GPL-2.0", "GPL-2.0+", "gpl-2.0-only", "GPL-2.0-or-later")} == {"gpl-2"} and licenses.family("x") is None
+
+
+def test_license_scan_is_linear_in_places():
+    import time
+
+    finder, took = licenses.automaton(), []
+    for n in (20_000, 80_000):
+        start = time.perf_counter()
+        row = licenses.scan(finder, b"x under the MIT license " * n)
+        took.append(time.perf_counter() - start)
+        assert row[1] == n and row[2] == 1 and row[3] == 5 * n - 4
+    assert took[1] < 10 * took[0]
+
+
 def test_expressions():
     assert licenses.postfix("MIT or Apache-2.0 and GPL-2.0 with X") == ["MIT", "Apache-2.0", "GPL-2.0", "X", "with", "and", "or"]
     assert licenses.postfix("(MIT or BSD) and X") == ["MIT", "BSD", "or", "X", "and"]
@@ -400,12 +423,16 @@ URLS = [
 ]
 
 
-def test_url_verdicts(spark):
+@pytest.mark.parametrize("small", [16 << 20, 300, 0])
+def test_url_verdicts(spark, monkeypatch, small):
+    monkeypatch.setattr(url_filter, "SMALL", small)
     pages = spark.createDataFrame([(i, u, "x") for i, (u, *_) in enumerate(URLS)], "page_id long, url string, verdict string")
     listed = spark.createDataFrame([("http://spam.com/a",), (None,), ("nothing",), ("http://spam.com/a",)], "url string")
     got = {r.page_id: r for r in url_filter.url_verdicts(pages, listed).collect()}
     for i, (_, *want) in enumerate(URLS):
         assert [got[i].host, got[i].path, got[i].rule, got[i].verdict] == want
+    twice = url_filter.url_verdicts(pages.unionAll(pages).withColumn("listed", F.lit("clash")).withColumn("_url", F.lit(1)), listed)
+    assert twice.count() == 2 * len(URLS) and twice.columns == ["page_id", "host", "path", "rule", "verdict", "listed"]
     assert url_filter.url_verdicts(pages, listed.limit(0)).count() == len(URLS) and url_filter.url_verdicts(pages.limit(0), listed).count() == 0
 
 
