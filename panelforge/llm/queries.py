@@ -78,15 +78,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", F.expr("crc32(cast(row.doc_id as string)) % 5 = 0").alias("held_out"), "lang_pred", "score")
 
 
-# Names of sites whose pages make the list.
-LISTED_SITES = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
+#: Titles with runs of signs: pages of machine-made junk. Their URLs are the list; other addresses of the same page fall with them.
+JUNK_TITLE = r"<title>[^<]*(%%%|###|\*\*\*)"
 
 
 @_query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    listed = pages.where(host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_SITES)})\."))
-    return url_verdicts(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+    return url_verdicts(pages, pages.where(F.col("html").rlike(JUNK_TITLE))).select("page_id", "host", "path", "rule", "verdict")
 
 
 @_query
@@ -135,9 +134,9 @@ _RULES_SQL = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND start
 _SORTED = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
 
 SQL["op9_url_filter"] = f"""
-WITH x AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-y AS (SELECT page_id, {_LOWER.format("regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM x),
+WITH x AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+y AS (SELECT page_id, html, {_LOWER.format("regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM x),
 z AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www\\.|m\\.)', '') || regexp_replace(path, '(\\.html|/)$', '') END AS c FROM y),
-l AS (SELECT DISTINCT c FROM z WHERE regexp_matches(host, '(^|\\.)({"|".join(LISTED_SITES)})\\.'))
+l AS (SELECT DISTINCT c FROM z WHERE c IS NOT NULL AND regexp_matches(html, '{JUNK_TITLE}'))
 SELECT page_id, host, path, CASE {_RULES_SQL.format(*(f"'{h}{p}'" for _, h, p in _SORTED))} END AS rule,
  CASE {_RULES_SQL.format(*(f"'{v}'" for v, _, _ in _SORTED))} WHEN c IN (SELECT c FROM l) THEN 'block' ELSE 'allow' END AS verdict FROM z"""

@@ -85,10 +85,17 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, page_id: str = "page_id",
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"))
     rows = rows.withColumn("_url", F.when(F.col("host") != "", canonical(F.col("host"), F.col("path"))))
     rows = rows.withColumn("_block", _block(F.col("_url"), blocks))
-    probed = rows.join(F.broadcast(words) if blocks * 64 <= SMALL else words, "_block", "left")
-    probed = probed.withColumn("_maybe", F.when(F.coalesce(F.col("_word").bitwiseAND(_bits(F.col("_url"))) == _bits(F.col("_url")), F.lit(False)), F.col("_url")))
-    exact = entries.select(F.col("_url").alias("_maybe"), F.lit(True).alias("listed"))
-    out = probed.join(F.broadcast(exact) if size <= SMALL else exact, "_maybe", "left")
+    exact = entries.select("_url", F.lit(True).alias("listed"))
+    hit = F.coalesce(F.col("_word").bitwiseAND(_bits(F.col("_url"))) == _bits(F.col("_url")), F.lit(False))
+    if size <= SMALL and blocks * 64 <= SMALL:
+        probed = rows.join(F.broadcast(words), "_block", "left").withColumn("_url", F.when(hit, F.col("_url")))
+        out = probed.join(F.broadcast(exact), "_url", "left")
+    else:  # a row without a host, and one that the filter rules out, goes past the shuffles
+        near = F.broadcast(words) if blocks * 64 <= SMALL else words
+        probed = rows.where("_url is not null").join(near, "_block", "left").withColumn("_hit", hit)
+        found = probed.where("_hit").join(F.broadcast(exact) if size <= SMALL else exact, "_url", "left")
+        rest = probed.where("not _hit").select("page_id", "host", "path").unionByName(rows.where("_url is null").select("page_id", "host", "path"))
+        out = found.select("page_id", "host", "path", "listed").unionByName(rest.withColumn("listed", F.lit(None).cast("boolean")))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     in_list = F.coalesce("listed", F.lit(False))
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(in_list, "block").otherwise("allow")).alias("verdict"), in_list.alias("listed"))
