@@ -1,10 +1,11 @@
 """WARC in ZIP packages: written as stored members, read by ranges.
 
-A package is a ZIP archive with ``archive/data.warc.gz`` (a gzip member per record, so a record is a
-range of bytes), ``indexes/index.cdxj`` (a JSON line per record: id, offset, length) and
-``datapackage.json``, all stored, not compressed by ZIP. The reader needs only ``read_at(offset, n)``: it finds the end of the
-central directory (and its ZIP64 form), lists the members, and reads each record the index names
-straight from its place; nothing is extracted.
+A package is a ZIP file with ``archive/data.warc.gz`` (a gzip member per record, so a record is a
+range of bytes), ``indexes/index.cdxj`` (sorted lines of key, timestamp and JSON with offset and
+length) and ``datapackage.json``, all stored, not compressed by ZIP. The reader needs only
+``read_at(offset, n)``: it finds the end of the central directory (and its ZIP64 form), lists the
+members, and reads each record the index names straight from its place in the open file; nothing is
+extracted, and no archive is held in memory.
 """
 
 from __future__ import annotations
@@ -14,21 +15,26 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
+import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.store import written
+from panelforge.llm.store import shared_dir, written
 
 #: Bytes of records after which a package is closed.
 PACKAGE = 8 << 20
 SMALL = 16 << 20
 DATA, INDEX, MANIFEST = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
+DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -93,12 +99,18 @@ class Package:
     def whole(self, name: str) -> bytes:
         return self.range(name, 0, self.members[name][2])
 
-    def records(self) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
-        """WARC headers, HTTP headers and payload of each record the index names."""
-        base = self.start_of(DATA)
-        for line in self.whole(INDEX).splitlines():
-            where = json.loads(line)
-            yield parse(gzip.decompress(self.read_at(base + where["offset"], where["length"])))
+    def records(self) -> Iterator[tuple[dict[str, str], dict[str, str], bytes] | str]:
+        """WARC headers, HTTP headers and payload of each record that an index names; of one that can't be read, what is wrong."""
+        for name in sorted(m for m in self.members if m.startswith("indexes/") and m.endswith(".cdxj")):
+            for line in self.whole(name).splitlines():
+                if not line.strip():
+                    continue
+                try:
+                    where = json.loads(line[line.index(b"{") :])
+                    data = "archive/" + where.get("filename", DATA).rsplit("/", 1)[-1]
+                    yield parse(gzip.decompress(self.range(data, int(where["offset"]), int(where["length"]))))
+                except (ValueError, KeyError, EOFError, OSError, zlib.error) as e:
+                    yield f"{type(e).__name__}: {e}"
 
 
 def _headers(block: bytes) -> dict[str, str]:
@@ -128,41 +140,70 @@ def record(page_id: str, url: str, payload: bytes, refers_to: str | None) -> byt
     """One record; a revisit keeps the HTTP headers (so the payload's length) and leaves the payload out."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    lines = [
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
+    ]
     if refers_to is not None:
-        lines[5:5] = [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        lines[6:6] = [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def sort_key(url: str) -> str:
+    """The URL with its host's parts in reverse: ``http://a.b.c/d`` is ``c,b,a)/d``."""
+    rest = url.split("://", 1)[-1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    return re.sub(r"\s", "%20", ",".join(reversed(host.lower().split("."))) + ")" + rest[len(host) :])
+
+
 def package(records: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
-    """A package of (id, gzipped record) pairs."""
+    """A package of (url, gzipped record) pairs."""
     out, offset, lines = io.BytesIO(), 0, []
-    for name, data in records:
-        lines.append(json.dumps({"id": name, "offset": offset, "length": len(data)}))
+    stamp = re.sub(r"\D", "", DATE)
+    for url, data in records:
+        where = {"url": url, "offset": str(offset), "length": str(len(data)), "filename": DATA.rsplit("/", 1)[-1]}
+        lines.append(f"{sort_key(url)} {stamp} {json.dumps(where)}")
         offset += len(data)
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
         with z.open(zipfile.ZipInfo(DATA), "w", force_zip64=zip64) as f:
             for _, data in records:
                 f.write(data)
-        z.writestr(zipfile.ZipInfo(INDEX), "\n".join(lines))
+        z.writestr(zipfile.ZipInfo(INDEX), "\n".join(sorted(lines)))
         z.writestr(zipfile.ZipInfo(MANIFEST), json.dumps({"profile": "data-package", "records": len(records)}))
     return out.getvalue()
 
 
-def _packed(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+
+
+def _put(folder: str, data: bytes) -> str:
+    """Write a package under its content's hash: a task that runs again writes the same file, and none is ever seen half done."""
+    name = f"{folder}/{hashlib.sha1(data).hexdigest()}.wacz"
+    store, path = _opened(name)
+    store.create_dir(path.rsplit("/", 1)[0])
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        part = f"{path}.{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as f:
+            f.write(data)
+        store.move(part, path)
+    return name
+
+
+def _packed(limit: int, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: list[tuple[str, bytes]] = []
     size = 0
 
     def close() -> pa.RecordBatch:
         data = package(kept)
-        return pa.RecordBatch.from_pydict({"name": pa.array([f"{hashlib.sha1(data).hexdigest()}.wacz"]), "content": pa.array([data], pa.binary())})
+        return pa.RecordBatch.from_pydict({"name": pa.array([_put(folder, data)]), "size": pa.array([len(data)])})
 
     for batch in batches:
         for name, url, html, first in zip(*(batch[c] for c in ("id", "url", "html", "first"))):
             payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-            name = name.as_py() or ""
-            data = gzip.compress(record(name, (url.as_py() or "").replace("\r", " ").replace("\n", " "), payload, first.as_py()), 1, mtime=0)
-            kept.append((name, data))
+            url = (url.as_py() or "").replace("\r", " ").replace("\n", " ")
+            data = gzip.compress(record(name.as_py() or "", url, payload, first.as_py()), 1, mtime=0)
+            kept.append((url, data))
             size += len(data)
             if size >= limit:
                 yield close()
@@ -172,9 +213,9 @@ def _packed(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def write_packages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, limit: int = PACKAGE) -> DataFrame:
-    """``(name, content)``: packages that hold a record for each row of ``pages``, in the shared folder.
+    """``(name, size)``: package files that hold a record for each row of ``pages``, in the shared folder.
 
-    Rows with equal payloads of at least ``least`` bytes revisit the one with the smallest id; rows with
+    Only files of this table count: what a task that was run again may leave besides is never read. Rows with equal payloads of at least ``least`` bytes revisit the one with the smallest id; rows with
     that id itself, and rows without an id, are responses. Null payloads are empty. An empty table gives no package.
     """
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
@@ -183,30 +224,56 @@ def write_packages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     same = written(same)
     near = F.broadcast(same) if same.count() * 96 <= SMALL else same
     rows = rows.join(near, "digest", "left").select(F.col("id").cast("string").alias("id"), "url", "html", F.when(F.col("first") != F.col("id"), F.col("first")).cast("string").alias("first"))
-    return written(rows.mapInArrow(partial(_packed, limit), "name string, content binary"))
+    folder = f"{shared_dir(pages.sparkSession)}/packages-{uuid.uuid4().hex}"
+    return written(rows.mapInArrow(partial(_packed, limit, folder), "name string, size long"))
+
+
+_COLUMNS = {"page_id": pa.string(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.string(), "html": pa.string(), "error": pa.string()}
+
+
+def _row(found: tuple[dict[str, str], dict[str, str], bytes] | str, payloads: bool) -> tuple:
+    if isinstance(found, str):
+        return (None,) * 7 + (found,)
+    warc, http, payload = found
+    bare = lambda x: x.removeprefix("<").removesuffix(">").removeprefix("urn:page:") or None
+    kind, stated = warc.get("warc-type", ""), warc.get("warc-payload-digest", "").removeprefix("sha1:")
+    revisit, error = kind == "revisit", None
+    if not revisit and stated != digest(payload):
+        error = "payload and digest differ"
+    size = int(http.get("content-length", len(payload))) if revisit else len(payload)
+    return bare(warc.get("warc-record-id", "")), warc.get("warc-target-uri"), size, stated, kind, bare(warc.get("warc-refers-to", "")) if revisit else None, payload.decode("utf-8", "replace") if payloads and not revisit else None, error
 
 
 def _read(payloads: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), _COLUMNS.values())], list(_COLUMNS))
+
     for batch in batches:
-        for content in batch["content"]:
-            data = content.as_buffer()
-            rows = []
-            for warc, http, payload in Package(lambda at, n: data.slice(at, min(n, data.size - at)).to_pybytes(), data.size).records():
-                revisit = warc["warc-type"] == "revisit"
-                stated = warc["warc-payload-digest"].removeprefix("sha1:")
-                if not revisit and digest(payload) != stated:
-                    raise ValueError(f"payload of {warc['warc-record-id']} is damaged")
-                strip = lambda x: x.removeprefix("<urn:page:").removesuffix(">")
-                rows.append((strip(warc["warc-record-id"]) or None, warc["warc-target-uri"], int(http["content-length"]), stated, warc["warc-type"], strip(warc["warc-refers-to"]) if revisit else None, payload.decode() if payloads and not revisit else None))
-            for a in range(0, len(rows), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i == 2 else pa.string()) for i, x in enumerate(zip(*rows[a : a + 512]))], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"])
+        for name, size in zip(batch["name"].to_pylist(), batch["size"].to_pylist()):
+            store, path = _opened(name)
+            rows: list[tuple] = []
+            with store.open_input_file(path) as f:
+                try:
+                    for found in Package(lambda at, n: f.read_at(n, at), size).records():  # noqa: B023
+                        rows.append(_row(found, payloads))
+                        if len(rows) == 512:
+                            yield batch_of(rows)
+                            rows = []
+                except (ValueError, struct.error) as e:
+                    rows.append(_row(f"{type(e).__name__}: {e}", payloads))
+            if rows:
+                yield batch_of(rows)
 
 
 def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
-    """A row for each record of packages given as ``(name, content)`` rows; ids are text."""
-    return packages.select("content").mapInArrow(partial(_read, payloads), "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, html string")
+    """A row for each record of package files given as ``(name, size)`` rows; ids are text.
+
+    A record or index line that can't be read, and a file that is no package, give a row with ``error``
+    (and nothing else); a payload that doesn't have its digest has ``error`` beside its columns.
+    """
+    return packages.select("name", "size").mapInArrow(partial(_read, payloads), "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, html string, error string")
 
 
 def packages_at(spark: SparkSession, path: str) -> DataFrame:
-    """Packages that are files, for ``read_packages``."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), "content")
+    """The package files at a path, for ``read_packages``; only their names and sizes are read here."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), F.col("length").alias("size"))
