@@ -7,6 +7,10 @@ document up with an item. Windows whose slots hold the item's values count; of t
 set found whose values go together (a value of one side always beside the same value of the other), so
 questions with other numbers and names are caught and chance matches of mere templates mostly aren't.
 Items without such a window, and those of at most ``WINDOW`` words, are also joined word by word.
+
+The windows of a benchmark of a checked size are a sorted table that is broadcast and searched. A larger
+benchmark and the documents are dealt out by window hash and meet in a shuffled hash join; the pairs
+that have a window in common are then judged on their whole texts, in the same way.
 """
 
 from __future__ import annotations
@@ -21,11 +25,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm import blocks
+from panelforge.llm.store import checkpointed, partitions
 from panelforge.llm.text import LOWER, U64, WORD_BASE, mix, powers, slices, spans, window_hashes, word_hashes
 
 WINDOW, LITERAL, ENOUGH, COVER = 8, 4, 6, 0.5
-#: Bytes of benchmark text that go to the executors at once; a larger benchmark is gone through in turns.
-TURN = 16 << 20
+#: Bytes of benchmark text up to which its windows are broadcast, and bytes of text for a part of the shuffled join.
+SMALL, PART = 16 << 20, 4 << 20
 
 # Units of measurement.
 UNITS = (
@@ -49,6 +55,9 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(word_hashes(joined, starts, ends))
 
 
+UNIT_HASHES = _unit_hashes()
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z and the Latin-1 capitals in lower case (their UTF-8 keeps its length)."""
     low = LOWER[data]
@@ -66,7 +75,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     tokens = values.copy()
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     number = digits[ends] - digits[starts] == ends - starts
-    units = _unit_hashes()
+    units = UNIT_HASHES
     unit = units[np.minimum(np.searchsorted(units, values), len(units) - 1)] == values
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
     begins = np.ones(len(doc), bool)
@@ -218,6 +227,78 @@ def _matches(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[p
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a).take(pa.array(d)), *(pa.array(x) for x in rest)], ["doc_id", "item_id", "n_windows", "coverage", "changed"])
 
 
+def _salted(hashes: np.ndarray, literal: bool, width: int) -> np.ndarray:
+    return mix(hashes + U64(width + 16 * literal))
+
+
+def _item_rows(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Window hashes of items, dealt out by hash."""
+    for batch in batches:
+        index = Index(list(zip(batch["key"].to_pylist(), batch["t"].to_pylist())))
+        found = [(_salted(h, literal, width), item) for literal, windows in ((False, index.by_width), (True, index.literal)) for width, (h, item, _) in windows.items()]
+        if sum(len(h) for h, _ in found):
+            yield _sided(np.concatenate([h for h, _ in found]), np.concatenate([i for _, i in found]), index.items, parts, True)
+
+
+def _document_rows(widths: list[tuple[bool, int]], parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Window hashes of documents in the widths that items have, dealt out by hash."""
+    for batch in batches:
+        keys = batch["key"].to_numpy()
+        for a, b, data, offsets in slices(batch["text"]):
+            tokens, _, doc, words, word_doc = templates(data, offsets)
+            for literal, width in widths:
+                own, of = (words, word_doc) if literal else (tokens, doc)
+                at, hashes = (_literal_windows if literal else _windows)(own, of, width)
+                if len(at):
+                    yield _sided(_salted(hashes, literal, width), of[at], keys[a:b], parts, False)
+
+
+def _sided(hashes: np.ndarray, owner: np.ndarray, keys: np.ndarray, parts: int, item: bool) -> pa.RecordBatch:
+    rows = blocks.block_rows(hashes, owner, keys, parts)
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array([item] * rows.num_rows)], [*rows.schema.names, "item"])
+
+
+def _widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        index = Index(list(zip(batch["key"].to_pylist(), batch["t"].to_pylist())))
+        found = [(literal, width) for literal, windows in ((False, index.by_width), (True, index.literal)) for width in windows]
+        yield pa.RecordBatch.from_pydict({"literal": pa.array([x for x, _ in found], pa.bool_()), "width": pa.array([x for _, x in found], pa.int32())})
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """Documents and items that have a window of this part in common."""
+    item = table["item"].combine_chunks()
+    (hashes, owner), (known, items) = (blocks.block_values(table.filter(side)) for side in (pa.compute.invert(item), item))
+    order = np.lexsort((items, known))
+    known, items = known[order], items[order]
+    at, place, _ = _joined((known, items, items), np.arange(len(hashes)), hashes)
+    pairs = np.unique(np.stack([owner[at], place], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+    return pa.table({"key": pa.array(pairs[:, 0], pa.int64()), "item": pa.array(pairs[:, 1], pa.int64())})
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs judged on their whole texts."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            row = batch.slice(n, 1)
+            index = Index([(row["i"][0].as_py(), row["t"][0].as_py())])
+            for _, _, data, offsets in slices(row["text"]):
+                for _, *found in _found(index, *templates(data, offsets)):
+                    yield pa.RecordBatch.from_arrays([row["doc_id"], *(pa.array([x]) for x in found)], ["doc_id", "item_id", "n_windows", "coverage", "changed"])
+
+
+def _shuffled(rows: DataFrame, items: DataFrame, size: int, kind: str) -> DataFrame:
+    spark = rows.sparkSession
+    rows, items = (x.withColumn("key", F.xxhash64(*x.columns)) for x in (rows, items))
+    widths = sorted((r.literal, r.width) for r in items.select("key", "t").mapInArrow(_widths, "literal boolean, width int").distinct().collect())
+    parts = int(max(4 * partitions(spark), size // PART, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART))
+    schema = f"{blocks.SCHEMA}, item boolean"
+    both = rows.select("key", "text").mapInArrow(partial(_document_rows, widths, parts), schema).union(items.select("key", "t").mapInArrow(partial(_item_rows, parts), schema))
+    pairs = checkpointed(both.groupBy("part").applyInArrow(_met, "key long, item long").distinct())
+    both = pairs.join(rows, "key").join(items.withColumnRenamed("key", "item"), "item")
+    return both.select("i", "t", "text", "doc_id").mapInArrow(_judged, kind)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc_id, item_id, n_windows, coverage, changed)`` for each document with most of an item.
 
@@ -230,13 +311,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t <> ''")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    turns = size // TURN + 1
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id long, n_windows long, coverage double, changed boolean"
-    out = None
-    for turn in range(turns):
-        part = items.where(F.pmod(F.xxhash64("t"), F.lit(turns)) == turn) if turns > 1 else items
-        index = spark.sparkContext.broadcast(Index(sorted((r.i, r.t) for r in part.toLocalIterator())))
-        found = rows.mapInArrow(partial(_matches, index), kind)
-        out = found if out is None else out.unionAll(found)
-    return out
+    if size > SMALL:
+        return _shuffled(rows, items, size, kind)
+    index = spark.sparkContext.broadcast(Index(sorted((r.i, r.t) for r in items.collect())))
+    return rows.mapInArrow(partial(_matches, index), kind)

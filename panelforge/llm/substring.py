@@ -89,7 +89,7 @@ def _windows(window: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iter
                 "part": pa.array(names.astype(np.int32)),
                 "keys": column(ids[a:b][owner[run]], "<i8"),
                 "starts": column(place[run], "<u4"),
-                "lengths": column(length, "<u2" if window - gram < 65535 else "<u4"),
+                "lengths": column(length, "<u4"),
                 "anchors": pa.array([blocks.packed(anchor[run][by[i:j]]) for i, j in zip(cuts, cuts[1:])], pa.binary()),
                 "tails": pa.array([blocks.packed(prints[order[i:j]]) for i, j in zip(cut_windows, cut_windows[1:])], pa.binary()),
                 "found": pa.array([x.astype("<i8").tobytes() for x in share], pa.binary()),
@@ -99,7 +99,7 @@ def _windows(window: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iter
 def _repeats(table: pa.Table) -> pa.Table:
     """Runs of repeated windows by document: start and length pairs."""
     joined = lambda name: b"".join(table[name].to_pylist())
-    lengths = np.frombuffer(joined("lengths"), "<u2").astype(np.int64)
+    lengths = np.frombuffer(joined("lengths"), "<u4").astype(np.int64)
     key = np.repeat(np.frombuffer(joined("keys"), "<i8"), lengths)
     inner = np.arange(len(key)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     place = np.repeat(np.frombuffer(joined("starts"), "<u4").astype(np.int64), lengths) + inner

@@ -509,6 +509,40 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert twice.count() == one.count()
 
 
+@pytest.mark.parametrize("small", [16 << 20, 0])
+def test_leaks_match_brute_force_broadcast_and_shuffled(spark, monkeypatch, small):
+    monkeypatch.setattr(decontaminate, "SMALL", small)
+    r = random.Random(12)
+    vocab = [v for v in VOCAB if len(v) > 2 and v not in decontaminate.UNITS][:120]
+    items = {i: [r.choice(vocab) for _ in range(r.choice([1, 3, 7, 8, 9, 20, 45]))] for i in range(60)}
+    docs = {}
+    for d in range(150):
+        w = [r.choice(vocab) for _ in range(r.choice([0, 5, 30, 80]))]
+        for i in r.sample(sorted(items), r.randint(0, 2)):
+            a = r.randrange(len(items[i]))
+            cut = items[i][a : a + r.randint(1, 45)] if r.random() < 0.5 else items[i]
+            at = r.randint(0, len(w))
+            w[at:at] = cut
+        docs[d] = w
+    docs[150] = docs[3] * 400  # a long text
+    want = set()
+    for d, w in docs.items():
+        for i, x in items.items():
+            k = min(8, len(x))
+            mine = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+            n, total = sum(tuple(x[j : j + k]) in mine for j in range(len(x) - k + 1)), len(x) - k + 1
+            if n >= decontaminate.ENOUGH or n and n >= decontaminate.COVER * total:
+                want.add((d, i, n, round(n / total, 9), False))
+    df = spark.createDataFrame([(d, " ".join(w), "x") for d, w in docs.items()] + [(3, " ".join(docs[3]), "x"), (500, None, "x")], "doc_id long, text string, item_id string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(x), 1) for i, x in items.items()] + [(900, None, 1), (None, "abc", 1)], "item_id long, text string, key int")
+    got = [(x.doc_id, x.item_id, x.n_windows, round(x.coverage, 9), x.changed) for x in decontaminate.leaks(df, bench).collect()]
+    assert set(got) == want and len(want) > 60
+    assert len(got) == len(want) + sum(d == 3 for d, *_ in want)  # the repeated row repeats its pairs
+    swap = ITEM.replace("Paris", "Rome").replace("Lyon", "Milan").replace("120", "3,450")
+    x = decontaminate.leaks(spark.createDataFrame([(1, f"So. {swap}.")], "doc_id long, text string"), spark.createDataFrame([(70, ITEM)], "item_id long, text string")).collect()
+    assert [(y.doc_id, y.item_id, y.changed) for y in x] == [(1, 70, True)]
+
+
 def test_leaks_in_capitals(spark):
     plain = "He said that nobody knew when the old été house by the river was built or by whom it was sold in the end"
     df = spark.createDataFrame([(1, f"x. {plain.upper()}!! y"), (2, plain.upper()[:40]), (3, plain.replace("é", "e"))], "doc_id long, text string")
