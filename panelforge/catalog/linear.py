@@ -185,8 +185,7 @@ def _variables(spark, d):
 @query()
 def i17_screen(spark, d):
     f = _folded(spark, d).select("frame", "fold", "emb")
-    rows = linear.screen(_variables(spark, d), f, "variable", "frame", "value", "emb", "fold")
-    return spark.createDataFrame([(v, n, r) for v, n, r in rows], "variable string, n long, r2 double").withColumn("r2", r6("r2"))
+    return linear.screen(_variables(spark, d), f, "variable", "frame", "value", "emb", "fold").withColumn("r2", r6("r2"))
 
 
 @query()
@@ -196,8 +195,9 @@ def i18_split_screen(spark, d):
     long = _variables(spark, d)
     half = F.pmod(F.xxhash64("frame"), F.lit(2))
     first = linear.screen(long.where(half == 0), f, "variable", "frame", "value", "emb", "fold", least=50)
-    second = {v: (n, r) for v, n, r in linear.screen(long.where(half == 1), f, "variable", "frame", "value", "emb", "fold", least=50)}
-    return spark.createDataFrame([(v, r, *second[v]) for v, _, r in first[:2]], "variable string, ranked double, n long, tested double").select("variable", r6("ranked").alias("ranked"), "n", r6("tested").alias("tested"))
+    second = linear.screen(long.where(half == 1), f, "variable", "frame", "value", "emb", "fold", least=50)
+    best = first.orderBy(F.desc("r2"), "variable").limit(2).withColumnRenamed("r2", "ranked").drop("n")
+    return best.join(second, "variable").select("variable", r6("ranked").alias("ranked"), "n", r6("r2").alias("tested"))
 
 
 @query()
@@ -239,12 +239,13 @@ def i22_axis_labels(spark, d):
 
 
 _KNN = "p AS (SELECT a.frame AS src, b.frame AS dst, list_distance(a.v, b.v) AS dist FROM v8 a, v8 b WHERE a.frame <> b.frame), knn AS (SELECT src, dst, dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round_even(dist, 9), dst) AS rank FROM p) WHERE rank <= 10)"
-_V8 = "v8 AS (SELECT frame, list_transform(range(8), lambda i: CAST(emb[i + 1] AS DOUBLE)) AS v FROM frames)"
+_V8 = "v8 AS (SELECT frame, list_transform(emb, lambda x: CAST(x AS DOUBLE)) AS v FROM frames)"
+_HALVES = "h1 AS (SELECT frame, v[1:32] AS v FROM v8), h2 AS (SELECT frame, v[33:64] AS v FROM v8)"
 
 
-def _knn(spark, d, start=1, k=10):
-    f = frames(spark, d).select("frame", F.slice("emb", start, 8).alias("v"))
-    return geometry.nearest(f, "frame", "v", k)
+def _knn(spark, d, k=10, vector="emb"):
+    f = frames(spark, d).withColumns({"first": F.slice("emb", 1, 32), "second": F.slice("emb", 33, 32)})
+    return geometry.nearest(f.select("frame", vector), "frame", vector, k)
 
 
 @query(f"WITH {FRAMES}, {_V8}, {_KNN} SELECT src, dst, CAST(rank AS INTEGER) AS rank, {q6('dist')} AS dist FROM knn")
@@ -257,16 +258,20 @@ def i23_affinity(spark, d):
     return geometry.affinity(_knn(spark, d), 7).withColumn("w", r6("w"))
 
 
-@query(f"""WITH {FRAMES}, m AS (SELECT frame, i, CASE WHEN (frame + i) % 4 > 0 THEN CAST(emb[i + 1] AS DOUBLE) END AS v FROM frames, range(8) r(i)), p AS (SELECT a.frame AS src, b.frame AS dst, sqrt(sum(pow(a.v - b.v, 2)) * 8 / count(*)) AS dist FROM m a JOIN m b ON a.i = b.i AND a.frame <> b.frame WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY ALL HAVING count(*) >= 4)
+@query(f"""WITH {FRAMES}, m AS (SELECT frame, i, CASE WHEN (frame + i) % 4 > 0 THEN CAST(emb[i + 1] AS DOUBLE) END AS v FROM frames, range(64) r(i)), p AS (SELECT a.frame AS src, b.frame AS dst, sqrt(sum(pow(a.v - b.v, 2)) * 64 / count(*)) AS dist FROM m a JOIN m b ON a.i = b.i AND a.frame <> b.frame WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY ALL HAVING count(*) >= 4)
 SELECT src, dst, CAST(rank AS INTEGER) AS rank, {q6('dist')} AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round_even(dist, 9), dst) AS rank FROM p) WHERE rank <= 3""")
 def i24_masked_nearest(spark, d):
-    f = frames(spark, d).select("frame", F.transform(F.slice("emb", 1, 8), lambda v, i: F.when((F.col("frame") + i) % 4 > 0, v)).alias("v"))
+    f = frames(spark, d).select("frame", F.transform("emb", lambda v, i: F.when((F.col("frame") + i) % 4 > 0, v)).alias("v"))
     return geometry.nearest(f, "frame", "v", 3, geometry.masked(4)).select("src", "dst", "rank", r6("dist").alias("dist"))
 
 
-@query(f"WITH {FRAMES}, {_V8}, {_KNN}, w8 AS (SELECT frame, list_transform(range(8), lambda i: CAST(emb[i + 5] AS DOUBLE)) AS v FROM frames), p2 AS (SELECT a.frame AS src, b.frame AS dst, list_distance(a.v, b.v) AS dist FROM w8 a, w8 b WHERE a.frame <> b.frame), k2 AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round_even(dist, 9), dst) AS rank FROM p2) WHERE rank <= 10) SELECT k.src, {q6('count(k2.dst) / 10.0')} AS overlap FROM knn k LEFT JOIN k2 ON k.src = k2.src AND k.dst = k2.dst GROUP BY k.src")
+_NEAR = "SELECT src, dst FROM (SELECT a.frame AS src, b.frame AS dst, row_number() OVER (PARTITION BY a.frame ORDER BY round_even(list_distance(a.v, b.v), 9), b.frame) AS rank FROM {0} a, {0} b WHERE a.frame <> b.frame) WHERE rank <= 10"
+
+
+@query(f"WITH {FRAMES}, {_V8}, {_HALVES}, k1 AS ({_NEAR.format('h1')}), k2 AS ({_NEAR.format('h2')}) SELECT k.src, {q6('count(k2.dst) / 10.0')} AS overlap FROM k1 k LEFT JOIN k2 ON k.src = k2.src AND k.dst = k2.dst GROUP BY k.src")
 def i25_neighbour_overlap(spark, d):
-    return geometry.overlap(_knn(spark, d), _knn(spark, d, 5), 10).select("src", r6("overlap").alias("overlap"))
+    """Two spaces: the halves of the vector."""
+    return geometry.overlap(_knn(spark, d, vector="first"), _knn(spark, d, vector="second"), 10).select("src", r6("overlap").alias("overlap"))
 
 
 @query(f"WITH {FRAMES}, {_V8}, {_KNN}, r AS (SELECT src, ln(max(dist) FILTER (rank = 2) / max(dist) FILTER (rank = 1)) AS m FROM knn WHERE rank <= 2 GROUP BY src HAVING max(dist) FILTER (rank = 1) > 0), e AS (SELECT m, -ln(1 - row_number() OVER (ORDER BY m, src) / (count(*) OVER () + 1.0)) AS y FROM r) SELECT {q6('count(*) / sum(m)')} AS mle, {q6('sum(m * y) / sum(m * m)')} AS regression FROM e")
@@ -279,18 +284,21 @@ def i26_levina_bickel(spark, d):
     return geometry.levina_bickel(_knn(spark, d), 10).select(r6("dimension").alias("dimension"), r6("harmonic").alias("harmonic"))
 
 
-_PAIRS = "pr AS (SELECT a.frame AS a, b.frame AS b FROM frames a JOIN frames b ON b.frame % 61 = (a.frame * 7 + 3) % 61 AND a.frame < b.frame)"
+DRAWS = 20_000
+_PAIRS = f"""nr AS (SELECT frame, row_number() OVER (ORDER BY frame) AS i, count(*) OVER () AS n FROM frames), dr AS (SELECT d, (d * 7919 + d * d % 10007 * 31) % n + 1 AS i, (d * 104729 + d * d % 9973 * 17) % n + 1 AS j FROM range(1, {DRAWS + 1}) r(d), (SELECT max(n) AS n FROM nr)),
+ pr AS (SELECT DISTINCT least(x.frame, y.frame) AS a, greatest(x.frame, y.frame) AS b FROM dr JOIN nr x ON x.i = dr.i JOIN nr y ON y.i = dr.j WHERE x.frame <> y.frame)"""
 
 
 def _pairs(spark, d):
-    f = frames(spark, d).select("frame")
-    a = f.select(F.col("frame").alias("a"), ((F.col("frame") * 7 + 3) % 61).alias("k"))
-    return a.join(f.select(F.col("frame").alias("b"), (F.col("frame") % 61).alias("k")), "k").where("a < b").select("a", "b")
+    """A bounded sample of pairs, drawn in a way that SQL can state too."""
+    k = F.col("_d")
+    draw = {1: k * 7919 + k * k % 10007 * 31, 2: k * 104729 + k * k % 9973 * 17}
+    return geometry.sampled_pairs(frames(spark, d), "frame", DRAWS, draw.get)
 
 
 @query(f"WITH {FRAMES}, {_V8}, {_PAIRS}, x AS (SELECT list_distance(p.v, q.v) AS d FROM pr JOIN v8 p ON p.frame = a JOIN v8 q ON q.frame = b), e AS (SELECT unnest([0.05, 0.1, 0.2, 0.3])::DOUBLE AS share), r AS (SELECT share, (SELECT quantile_cont(d, 0.05) FROM x) AS r5, (SELECT quantile_cont(d, 0.1) FROM x) AS r10, (SELECT quantile_cont(d, 0.2) FROM x) AS r20, (SELECT quantile_cont(d, 0.3) FROM x) AS r30 FROM e) SELECT {q6('regr_slope(ln(share), ln(CASE share WHEN 0.05 THEN r5 WHEN 0.1 THEN r10 WHEN 0.2 THEN r20 ELSE r30 END))')} AS dimension FROM r")
 def i27_correlation_dimension(spark, d):
-    x = geometry.pair_distances(frames(spark, d).withColumn("v", F.slice("emb", 1, 8)), "frame", "v", _pairs(spark, d))
+    x = geometry.pair_distances(frames(spark, d), "frame", "emb", _pairs(spark, d))
     shares = (0.05, 0.1, 0.2, 0.3)
     q = x.agg(*[F.percentile("dist", F.lit(s)).alias(f"r{i}") for i, s in enumerate(shares)])
     rows = q.select(F.inline(F.array(*[F.struct(F.ln(F.lit(s)).alias("y"), F.ln(F.col(f"r{i}")).alias("x")) for i, s in enumerate(shares)])))
@@ -304,7 +312,7 @@ def i28_cluster_links(spark, d):
 
 @query()
 def i29_components(spark, d):
-    return geometry.connected(_knn(spark, d, k=2)).groupBy("component").agg(F.count("*").alias("n"))
+    return geometry.connected(_knn(spark, d, 2)).groupBy("component").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -338,10 +346,11 @@ def i33_topic_factors(spark, d):
     return m.itemFactors.select(F.col("id").alias("code"), F.size("features").alias("rank"))
 
 
-@query(f"WITH {FRAMES}, {_V8}, {_PAIRS}, w8 AS (SELECT frame, list_transform(range(8), lambda i: CAST(emb[i + 5] AS DOUBLE)) AS v FROM frames), x AS (SELECT list_distance(p.v, q.v) AS d1, list_distance(r.v, s.v) AS d2 FROM pr JOIN v8 p ON p.frame = a JOIN v8 q ON q.frame = b JOIN w8 r ON r.frame = a JOIN w8 s ON s.frame = b), k AS (SELECT rank() OVER (ORDER BY d1) AS a, rank() OVER (ORDER BY d2) AS b FROM x) SELECT CAST(round_even(corr(a, b), 4) AS DOUBLE) AS similarity FROM k")
+@query(f"WITH {FRAMES}, {_V8}, {_HALVES}, {_PAIRS}, x AS (SELECT list_distance(p.v, q.v) AS d1, list_distance(r.v, s.v) AS d2 FROM pr JOIN h1 p ON p.frame = a JOIN h1 q ON q.frame = b JOIN h2 r ON r.frame = a JOIN h2 s ON s.frame = b), k AS (SELECT rank() OVER (ORDER BY d1) AS a, rank() OVER (ORDER BY d2) AS b FROM x) SELECT CAST(round_even(corr(a, b), 4) AS DOUBLE) AS similarity FROM k")
 def i34_representational_similarity(spark, d):
+    """Rank correlation of pair distances in two spaces, the halves of the vector, over the sampled pairs."""
     p = _pairs(spark, d)
-    f = frames(spark, d).withColumn("v", F.slice("emb", 1, 8)).withColumn("w", F.slice("emb", 5, 8))
+    f = frames(spark, d).withColumn("v", F.slice("emb", 1, 32)).withColumn("w", F.slice("emb", 33, 32))
     x = geometry.pair_distances(f, "frame", "v", p).withColumnRenamed("dist", "d1").join(geometry.pair_distances(f, "frame", "w", p).withColumnRenamed("dist", "d2"), ["a", "b"])
     x = windows.ranked(windows.ranked(x, "d1", "ra"), "d2", "rb")
     return x.agg(F.bround(F.corr("ra", "rb"), 4).alias("similarity"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelforge.operators.lineage import scratch
 from panelforge.registry import q6, query, r6, table
 from panelforge.sources import tables
 
@@ -80,9 +81,7 @@ def a07_resolve_extension(spark, d):
 @query("SELECT dataset, count(*) AS n FROM (SELECT l_linestatus AS dataset FROM lineitem) GROUP BY dataset")
 def a08_written_mapping(spark, d):
     """Writes the mapping by dataset into the shared folder and counts what is read back."""
-    import tempfile
-
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/mapping"
+    path = scratch(spark, "mapping")
     tables.write_by(table(spark, d, "lineitem").select(F.col("l_linestatus").alias("dataset"), "l_orderkey"), path, "dataset")
     return spark.read.schema("l_orderkey long, dataset string").parquet(path).groupBy("dataset").agg(F.count("*").alias("n"))
 

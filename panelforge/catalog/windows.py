@@ -72,15 +72,15 @@ def f09_grid_path(spark, d):
     return windows.to_grid(p, "entity", "t", "v").groupBy(F.col("at").cast("long").alias("at_day")).agg(F.count("*").alias("n"), r6(F.avg("v")).alias("value"))
 
 
-_P = "pv AS (SELECT part AS id, (part * 7919 % 9973) / CAST(9973 AS DOUBLE) AS p FROM (SELECT DISTINCT l_partkey AS part FROM lineitem WHERE l_partkey < 400))"
+_P = "pv AS (SELECT part AS id, (part * 7919 % 9973) / CAST(9973 AS DOUBLE) AS p FROM (SELECT DISTINCT l_partkey AS part FROM lineitem))"
 _ADJ = "m AS (SELECT *, count(*) OVER () AS m, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r FROM pv)"
 
 
 def _pv(spark, d):
-    return table(spark, d, "lineitem").where("l_partkey < 400").select(F.col("l_partkey").alias("id")).distinct().withColumn("p", (F.col("id") * 7919 % 9973) / 9973.0)
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("id")).distinct().withColumn("p", (F.col("id") * 7919 % 9973) / 9973.0)
 
 
-@query(f"WITH {_P}, {_ADJ}, h AS (SELECT sum(1.0 / i) AS h FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM pv))) AS i)) SELECT id, {q6('least(1, min(p * m / r) OVER w)')} AS bh, {q6('least(1, min(p * m / r * h) OVER w)')} AS by FROM m, h WINDOW w AS (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)")
+@query(f"WITH {_P}, {_ADJ}, h AS (SELECT sum(CAST(1 AS DOUBLE) / i) AS h FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM pv))) AS i)) SELECT id, {q6('least(1, min(p * m / r) OVER w)')} AS bh, {q6('least(1, min(p * m / r * h) OVER w)')} AS by FROM m, h WINDOW w AS (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)")
 def f10_adjusted_p(spark, d):
     x = windows.adjust_p(_pv(spark, d)).withColumnRenamed("q", "bh")
     return windows.adjust_p(x, method="by").select("id", r6("bh").alias("bh"), r6("q").alias("by"))

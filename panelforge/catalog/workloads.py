@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from panelforge.catalog.cleaning import _FILES, _IDS, _RAW, _files, _ids, _raw
 from panelforge.catalog.fixtures import CODES, MEASURES, OUTCOMES, VISITS, codes, frames, outcomes, visits
+from panelforge.operators.lineage import scratch
 from panelforge.plans import jobs
 from panelforge.registry import q6, query, r6, table
 from panelforge.streaming import incremental
 
 
-def _scratch(spark, name):
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark, d):
     t = table(spark, d, "events")
     return spark.readStream.schema(t.schema).parquet(f"{d}/events.parquet*").withColumn("time", F.col("ts").cast("timestamp"))
@@ -27,7 +22,7 @@ def _stream(spark, d):
 @query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids, CAST(sum(event_id) AS BIGINT) AS total FROM (SELECT DISTINCT event_id FROM events)")
 def l01_incremental_ingest(spark, d):
     """Twice over the same files: what is in the sink stays as it is."""
-    path, check = _scratch(spark, "ingest"), _scratch(spark, "ingest-state")
+    path, check = scratch(spark, "ingest"), scratch(spark, "ingest-state")
     for _ in range(2):
         s = incremental.deduplicated(_stream(spark, d), "time", "event_id").select("event_id", "time")
         incremental.to_table(s, path, check).awaitTermination()
@@ -46,7 +41,7 @@ def l02_drift_monitor(spark, d):
 
 @query(f"SELECT event_type, count(value) AS n, {q6('sum(value)')} AS s, {q6('sum(value * value)')} AS ss FROM events GROUP BY event_type")
 def l03_running_sums(spark, d):
-    path, check = _scratch(spark, "sums"), _scratch(spark, "sums-state")
+    path, check = scratch(spark, "sums"), scratch(spark, "sums-state")
     incremental.merge_sums(_stream(spark, d), "event_type", "value", path, check).awaitTermination()
     parts = spark.read.schema("event_type string, n long, s double, ss double, epoch int").parquet(path)
     return incremental.merged_sums(parts, "event_type").select("event_type", "n", r6("s").alias("s"), r6("ss").alias("ss"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelforge.operators.windows import running
+
 
 def trimmed_mean(df: DataFrame, key: str, value: str, share: float = 0.2, least: int = 3) -> DataFrame:
     """Mean without the lowest and highest ``share`` of rows; the plain mean below ``least`` rows."""
@@ -70,14 +73,40 @@ def bimodality(df: DataFrame, by: Sequence[str], value: str, least: int = 8) ->
 
 
 def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rank AUC of ``score`` for ``label`` (1 against 0); ties count half; nulls go.
+    """Rank AUC of ``score`` for ``label`` (1 against 0), with Mann-Whitney's U; ties count half; nulls go.
 
-    Rows are first reduced to counts by score, so the running totals are over distinct scores.
+    Rows are first reduced to counts by score; those are summed up by ranges.
     """
     c = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_q"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    x = c.withColumn("_below", F.coalesce(F.sum("_q").over(w), F.lit(0)))
-    return x.groupBy(*by).agg((F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2.0)) / F.nullif(F.sum("_p") * F.sum("_q"), F.lit(0))).alias("auc"), F.sum("_p").alias("n1"), F.sum("_q").alias("n0"))
+    x = running(c, score, ["_q"], by=by)
+    u = F.sum(F.col("_p") * (F.col("_q_upto") - F.col("_q") / 2.0))
+    t = F.col("_p") + F.col("_q")
+    g = x.groupBy(*by).agg(u.alias("u"), F.sum("_p").alias("n1"), F.sum("_q").alias("n0"), F.sum(t * t * t - t).alias("ties"))
+    return g.select(*by, (F.col("u") / F.nullif(F.col("n1") * F.col("n0"), F.lit(0))).alias("auc"), "u", "ties", "n1", "n0")
+
+
+def normal_p(z: Column) -> Column:
+    """Two-sided p of a normal deviate: the series of erf near zero, the continued fraction of erfc in the tail (about 1e-9)."""
+    x = F.abs(z) / math.sqrt(2)
+    term, total = x, x
+    for k in range(1, 40):
+        term = -term * x * x / k
+        total = total + term / (2 * k + 1)
+    deep = F.lit(0.0)
+    for k in range(40, 0, -1):
+        deep = F.lit(k / 2) / (x + deep)
+    return F.when(x < 2, 1 - 2 / math.sqrt(math.pi) * total).otherwise(F.exp(-x * x) / (math.sqrt(math.pi) * (x + deep)))
+
+
+def mann_whitney(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """U of ``label`` 1 against 0, its tie-corrected normal deviate (with continuity correction) and two-sided p."""
+    g = auc(df, label, score, by)
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
+    n = n1 + n0
+    sd = F.sqrt(n1 * n0 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    gap = F.col("u") - n1 * n0 / 2
+    z = F.sign(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)) / F.nullif(sd, F.lit(0.0))
+    return g.select(*by, "u", "auc", z.alias("z"), "n1", "n0").withColumn("p", normal_p(F.col("z")))
 
 
 def kruskal(df: DataFrame, group: str, rank: str) -> DataFrame:
@@ -97,12 +126,11 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def ks_distance(df: DataFrame, group: str, first: str, second: str, value: str) -> DataFrame:
-    """Largest distance between two groups' distribution functions, over distinct values."""
+    """Largest distance between two groups' distribution functions, over distinct values summed up by ranges."""
     c = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b"))
-    w = Window.orderBy(value)
     t = c.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    x = c.select(F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb")).crossJoin(F.broadcast(t))
-    return x.agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"))
+    x = running(c, value, ["a", "b"]).crossJoin(F.broadcast(t))
+    return x.agg(F.max(F.abs(F.col("a_upto") / F.col("na") - F.col("b_upto") / F.col("nb"))).alias("ks"))
 
 
 def random_effects(df: DataFrame, by: Sequence[str], effect: str, variance: str) -> DataFrame:

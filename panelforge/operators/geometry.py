@@ -10,11 +10,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelforge.operators.lineage import cut
 from panelforge.operators.vectors import matrix
+from panelforge.operators.windows import numbered
 
 BLOCK = 2048
 
@@ -43,8 +45,8 @@ def masked(least: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
 
 
 def nearest(df: DataFrame, row: str, vector: str, k: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray] = euclidean, blocks: int | None = None) -> DataFrame:
-    """``(src, dst, rank, dist)``: the k nearest others of each row; ties by id. Work is quadratic, memory a block pair."""
-    x = df.select(F.col(row).cast("long").alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
+    """``(src, dst, rank, dist)``: the k nearest others of each row; ties by id. Null vectors have and are no neighbours. Work is quadratic, memory a block pair."""
+    x = df.where(F.col(vector).isNotNull()).select(F.col(row).cast("long").alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
     if blocks is None:
         blocks = max(1, -(-x.count() // BLOCK))
     x = x.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
@@ -93,7 +95,7 @@ def two_nn(edges: DataFrame) -> DataFrame:
     r = edges.where("rank <= 2").groupBy("src").agg(F.max(F.when(F.col("rank") == 1, F.col("dist"))).alias("r1"), F.max(F.when(F.col("rank") == 2, F.col("dist"))).alias("r2")).where("r1 > 0")
     x = r.select("src", F.ln(F.col("r2") / F.col("r1")).alias("m"))
     n = x.count()
-    e = x.withColumn("y", -F.ln(1 - F.row_number().over(Window.orderBy("m", "src")) / float(n + 1)))
+    e = numbered(x, ["m", "src"]).withColumn("y", -F.ln(1 - F.col("number") / float(n + 1)))
     return e.agg((F.count("*") / F.sum("m")).alias("mle"), (F.sum(F.col("m") * F.col("y")) / F.sum(F.col("m") * F.col("m"))).alias("regression"))
 
 
@@ -111,29 +113,19 @@ def cluster_links(edges: DataFrame, labels: DataFrame, node: str, label: str) ->
     return e.join(rows, "a").join(cols, "b").crossJoin(F.broadcast(total)).select("a", "b", "observed", (F.col("observed") * F.col("t") / (F.col("ra") * F.col("cb"))).alias("ratio"))
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """``(node, component)`` by label propagation with pointer jumping; lineage is cut in the shared folder each round."""
+def connected(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` by label propagation with pointer jumping, until nothing changes; lineage is cut each round."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionAll(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    both = _cut(both)
-    label = _cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")))
-    for _ in range(rounds):
+    both = cut(both)
+    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")))
+    while True:
         new = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m")).join(label, "a").select("a", F.least("m", "c").alias("c"))
         jump = new.select(F.col("a").alias("c"), F.col("c").alias("cc"))
-        new = _cut(new.join(jump, "c", "left").select("a", F.least("c", F.coalesce("cc", "c")).alias("c")))
+        new = cut(new.join(jump, "c", "left").select("a", F.least("c", F.coalesce("cc", "c")).alias("c")))
         changed = new.join(label.withColumnRenamed("c", "old"), "a").where("c <> old").limit(1).count()
         label = new
         if not changed:
-            break
-    return label.select(F.col("a").alias("node"), F.col("c").alias("component"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+            return label.select(F.col("a").alias("node"), F.col("c").alias("component"))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> np.ndarray:
@@ -214,3 +206,14 @@ def pair_distances(df: DataFrame, row: str, vector: str, pairs: DataFrame) -> Da
     one = df.select(F.col(row).alias("a"), F.col(vector).alias("va"))
     two = df.select(F.col(row).alias("b"), F.col(vector).alias("vb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", gap.alias("dist"))
+
+
+def sampled_pairs(df: DataFrame, row: str, n: int, draw: Callable[[int], Column] | None = None) -> DataFrame:
+    """``n`` draws of two rows (a, b), by hash of the draw's number; draws of one row twice go, repeats stay once."""
+    draw = draw or (lambda side: F.xxhash64("_d", F.lit(side)))
+    x = cut(numbered(df.select(row), [row]))
+    total = x.count()
+    d = df.sparkSession.range(1, n + 1).withColumnRenamed("id", "_d")
+    d = d.select(*[(F.pmod(draw(side), F.lit(max(total, 1))) + 1).alias(f"_{side}") for side in (1, 2)])
+    one, two = x.select(F.col("number").alias("_1"), F.col(row).alias("a")), x.select(F.col("number").alias("_2"), F.col(row).alias("b"))
+    return d.join(one, "_1").join(two, "_2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()

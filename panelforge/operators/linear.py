@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from panelforge.operators.vectors import matrix
+from panelforge.operators.windows import numbered
 
 
 def design(df: DataFrame, features: str | Sequence[str], targets: Sequence[str] = (), weight: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -27,35 +27,68 @@ def design(df: DataFrame, features: str | Sequence[str], targets: Sequence[str]
     return out.where(~F.exists("_x", lambda v: v.isNull() | F.isnan(v)) & F.col("_w").isNotNull())
 
 
-def grams(x: DataFrame, by: str) -> dict[object, np.ndarray]:
-    """Per value of ``by``: the Gram matrix of (1, x), weighted. Partial per batch, merged by key."""
-    kind = dict(x.dtypes)[by]
+#: Bytes of Gram matrices that a Python worker holds before they go out.
+HELD = 64 << 20
+
+
+def gram_table(x: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``(by, g binary)``: the Gram matrix of (1, x), weighted, per key. Summed per batch, sent on when full, merged by key."""
+    kinds = ", ".join(f"{c} {dict(x.dtypes)[c]}" for c in by)
+    schema = f"{kinds}, g binary"
+    names = list(by)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[object, np.ndarray] = {}
+        total: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*total), types)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([g.ravel().tobytes() for g in total.values()], pa.binary())], [*names, "g"])
+
         for batch in batches:
             a = matrix(batch["_x"])
             if not len(a):
                 continue
+            types = [batch[c].type for c in names]
             a = np.column_stack([np.ones(len(a)), a])
-            w, keys = batch["_w"].to_numpy(zero_copy_only=False), np.array(batch[by].to_pylist(), dtype=object)
-            for k in dict.fromkeys(keys.tolist()):
-                rows = keys == k
-                total[k] = total.get(k, 0) + (a[rows] * w[rows, None]).T @ a[rows]
+            w = batch["_w"].to_numpy(zero_copy_only=False)
+            keys = list(zip(*(batch[c].to_pylist() for c in names)))
+            places: dict[tuple, list[int]] = {}
+            for i, k in enumerate(keys):
+                places.setdefault(k, []).append(i)
+            for k, at in places.items():
+                own = a[at]
+                held += 0 if k in total else own.shape[1] ** 2 * 8
+                total[k] = total.get(k, 0) + (own * w[at, None]).T @ own
+            if held > HELD:
+                yield out()
+                total, held = {}, 0
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), x_type), pa.array([g.ravel().tobytes() for g in total.values()], pa.binary())], [by, "g"])
-
-    x_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
-    schema = f"{by} {kind}, g binary"
+            yield out()
 
     def merge(table: pa.Table) -> pa.Table:
-        return pa.table({by: table[by][:1], "g": pa.array([sum(np.frombuffer(g) for g in table["g"].to_pylist()).tobytes()], pa.binary())})
+        return pa.table({**{c: table[c][:1] for c in names}, "g": pa.array([_added(table["g"]).tobytes()], pa.binary())})
 
-    out = {}
-    for r in x.select(by, "_x", "_w").mapInArrow(part, schema).groupBy(by).applyInArrow(merge, schema).toLocalIterator():
-        g = np.frombuffer(r["g"])
-        out[r[by]] = g.reshape(int(len(g) ** 0.5), -1)
-    return out
+    return x.select(*names, "_x", "_w").mapInArrow(part, schema).groupBy(*names).applyInArrow(merge, schema)
+
+
+def _added(column: pa.ChunkedArray) -> np.ndarray:
+    total: np.ndarray | None = None
+    for g in column:
+        one = np.frombuffer(g.as_buffer())
+        total = one.copy() if total is None else np.add(total, one, out=total)
+    return total
+
+
+def _square(g: bytes) -> np.ndarray:
+    flat = np.frombuffer(g)
+    return flat.reshape(int(len(flat) ** 0.5), -1)
+
+
+def grams(x: DataFrame, by: str) -> dict[object, np.ndarray]:
+    """The Gram matrices of few keys (folds, strata) on the driver."""
+    return {r[by]: _square(r["g"]) for r in gram_table(x, [by]).toLocalIterator()}
 
 
 def total_gram(x: DataFrame) -> np.ndarray:
@@ -85,10 +118,10 @@ def ridge(g: np.ndarray, p: int, alpha: float, standardize: bool = True) -> np.n
 
 
 def dealt_folds(df: DataFrame, entity: str, k: int) -> DataFrame:
-    """``(entity, fold)``: entities by size, largest first, dealt out to and fro. Needs one order of all entities."""
+    """``(entity, fold)``: entities by size, largest first, dealt out to and fro; numbered by ranges."""
     n = df.groupBy(entity).agg(F.count("*").alias("_n"))
-    i = F.row_number().over(Window.orderBy(F.desc("_n"), entity)) - 1
-    turn = i % (2 * k)
+    n = numbered(n, [-F.col("_n"), entity])
+    turn = (F.col("number") - 1) % (2 * k)
     return n.select(entity, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
 
 
@@ -231,25 +264,27 @@ def ladder(cov: np.ndarray, left: Sequence[int], right: Sequence[int], rungs: di
     return out
 
 
-def screen(long: DataFrame, vectors: DataFrame, variable: str, row: str, value: str, vector: str, fold: str, alpha: float = 50.0, least: int = 150) -> list[tuple[str, int, float]]:
-    """One representation against many variables, each on its own complete rows: (variable, n, out-of-fold r2)."""
-    x = design(long.where(F.col(value).isNotNull()).join(vectors, row).withColumn("_k", F.concat_ws("|", variable, F.col(fold).cast("string"))), vector, [value], keep=["_k"])
-    by: dict[str, dict[str, np.ndarray]] = {}
-    for k, g in grams(x, "_k").items():
-        name, _, f = str(k).rpartition("|")
-        by.setdefault(name, {})[f] = g
-    out = []
-    for name, g in by.items():
-        total = sum(g.values())
-        n, p = int(total[0, 0]), total.shape[0] - 2
+def screen(long: DataFrame, vectors: DataFrame, variable: str, row: str, value: str, vector: str, fold: str, alpha: float = 50.0, least: int = 150) -> DataFrame:
+    """``(variable, n, r2)``: one representation against many variables, each on its own complete rows, out of fold.
+
+    A variable's systems are solved where its Gram matrices meet: a task holds the folds of one variable.
+    """
+    x = design(long.where(F.col(value).isNotNull()).join(vectors, row), vector, [value], keep=[variable, fold])
+
+    def solved(table: pa.Table) -> pa.Table:
+        g = [_square(v) for v in table["g"].to_pylist()]
+        total = sum(g)
+        n, p = int(round(total[0, 0])), total.shape[0] - 2
         if n < least or len(g) < 2:
-            continue
+            return pa.table({variable: table[variable][:0], "n": pa.array([], pa.int64()), "r2": pa.array([], pa.float64())})
         rss = 0.0
-        for own in g.values():
+        for own in g:
             v = np.append(-ridge(total - own, p, alpha)[:, 0], 1.0)
             rss += v @ own @ v
-        out.append((name, n, float(1 - rss / (moments_of(total, 0)[2][-1, -1] * n))))
-    return sorted(out, key=lambda r: -r[2])
+        return pa.table({variable: table[variable][:1], "n": pa.array([n]), "r2": pa.array([float(1 - rss / (moments_of(total, 0)[2][-1, -1] * n))])})
+
+    kind = dict(x.dtypes)[variable]
+    return gram_table(x, [variable, fold]).groupBy(variable).applyInArrow(solved, f"{variable} {kind}, n long, r2 double")
 
 
 def o_information(cov: np.ndarray) -> tuple[float, float, float, float]:

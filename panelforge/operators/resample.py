@@ -11,7 +11,8 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from panelforge.operators.windows import numbered
 
 Order = Callable[[str, str], Column]
 
@@ -31,13 +32,19 @@ def replicated(df: DataFrame, n: int, name: str = "replicate") -> DataFrame:
 
 
 def permuted(df: DataFrame, key: str, target: str, n: int, order: Order | None = None, strata: Sequence[str] = ()) -> DataFrame:
-    """Per replicate the target permuted among rows (within ``strata``): column ``<target>_perm``."""
+    """Per replicate the target permuted among rows (within ``strata``): column ``<target>_perm``.
+
+    Rows are numbered once by key, and once per replicate in its order, both by ranges; the numbers
+    are joined. A replicate doesn't have to fit one task.
+    """
     order = order or hash_order()
-    x = replicated(df, n)
-    by = ["replicate", *strata]
-    x = x.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(key)))
-    y = x.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(order("replicate", key), key)).alias("_i"), F.col(target).alias(f"{target}_perm"))
-    return x.join(y, [*by, "_i"]).drop("_i")
+    x = replicated(numbered(df, [key], strata, "_i"), n)
+    y = numbered(replicated(df.select(*strata, key, target), n), [order("replicate", key), key], ["replicate", *strata], "_i")
+    y = y.select("replicate", *[F.col(c).alias(f"_{c}") for c in strata], F.col("_i").alias("_j"), F.col(target).alias(f"{target}_perm")).withColumnRenamed("replicate", "_r")
+    same = (F.col("replicate") == F.col("_r")) & (F.col("_i") == F.col("_j"))
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return x.join(y, same).drop("_i", "_j", "_r", *[f"_{c}" for c in strata])
 
 
 def permutation_test(df: DataFrame, key: str, target: str, statistic: Callable[[str], Column], n: int, order: Order | None = None, strata: Sequence[str] = ()) -> DataFrame:

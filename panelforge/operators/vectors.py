@@ -17,15 +17,27 @@ from pyspark.sql import functions as F
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A list column of one length as a float64 matrix."""
+    """A list column of one length as a float64 matrix. A null vector is a row of nan, a null number nan; other lengths raise."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if not column.null_count and n and len(flat) % n == 0:
+        sizes = np.diff(column.offsets.to_numpy()) if hasattr(column, "offsets") else np.full(n, len(flat) // n)
+        if (sizes == sizes[0]).all():
+            return flat.reshape(n, -1)
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    sizes = np.array([len(v) for v in column if v.is_valid], np.int64)
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors of different lengths")
+    out = np.full((n, int(sizes[0]) if len(sizes) else 0), np.nan)
+    out[valid] = flat.reshape(len(sizes), -1) if len(sizes) else 0
+    return out
 
 
 def _partial_sums(keys: list[str], vector: str, weight: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        batch = batch.filter(batch[vector].is_valid())
         if not batch.num_rows:
             continue
         x = matrix(batch[vector])
@@ -38,7 +50,8 @@ def _partial_sums(keys: list[str], vector: str, weight: str | None, batches: Ite
         start = np.searchsorted(index[order], np.arange(n))
         plain, weighed = np.add.reduceat(x[order], start), np.add.reduceat((x * w[:, None])[order], start)
         first = batch.select(keys).take(pa.array(order[start]))
-        yield pa.RecordBatch.from_arrays([*first.columns, pa.array(np.bincount(index, minlength=n)), pa.array(np.bincount(index, w, minlength=n)), pa.array(list(plain), pa.list_(pa.float64())), pa.array(list(weighed), pa.list_(pa.float64()))], [*keys, "n", "w", "s", "ws"])
+        sums = [pa.array(list(v), pa.list_(pa.float64())) for v in (plain, weighed)]
+        yield pa.RecordBatch.from_arrays([*first.columns, pa.array(np.bincount(index, minlength=n)), pa.array(np.bincount(index, w, minlength=n)), *sums], [*keys, "n", "w", "s", "ws"])
 
 
 def sum_arrays(column: str, length: int) -> Column:
@@ -52,7 +65,7 @@ def _merged(table: pa.Table) -> pa.Table:
 
 
 def mean_by(df: DataFrame, keys: Sequence[str], vector: str, weight: str | None = None) -> DataFrame:
-    """``(keys, n, mean)``: element-wise mean by key; weighted, the plain mean where weights sum to nothing."""
+    """``(keys, n, mean)``: element-wise mean by key of the rows with a vector; weighted, the plain mean where weights sum to nothing. A key without any vector has no row."""
     x = df.select(*keys, vector, *([weight] if weight else []))
     kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
     schema = f"{kinds}, n long, w double, s array<double>, ws array<double>"
@@ -75,14 +88,15 @@ def to_tokens(df: DataFrame, vector: str, width: int) -> DataFrame:
 
 
 def with_pooled(df: DataFrame, vector: str, pools: dict[str, Callable[[np.ndarray], np.ndarray]], width: int) -> DataFrame:
-    """Plug point: each pool maps tokens (rows, patches, width) to vectors (rows, k)."""
+    """Plug point: each pool maps tokens (rows, patches, width) to vectors (rows, k); a null vector has null pools."""
     names = list(pools)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch[vector])
             t = x.reshape(len(x), -1, width)
-            made = [pa.array(list(np.asarray(pools[n](t), float)), pa.list_(pa.float64())) for n in names]
+            missing = ~batch[vector].is_valid().to_numpy(zero_copy_only=False)
+            made = [pa.array([None if m else v for m, v in zip(missing, np.asarray(pools[n](t), float))], pa.list_(pa.float64())) if x.size else pa.nulls(len(x), pa.list_(pa.float64())) for n in names]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
 
     return df.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in df.dtypes), *(f"{n} array<double>" for n in names)]))
@@ -155,15 +169,17 @@ def fused(df: DataFrame, vectors: Sequence[str], name: str = "fused") -> DataFra
 
 
 def assign(df: DataFrame, vector: str, centres: np.ndarray, name: str = "code") -> DataFrame:
-    """The nearest centre of each row and the squared distance (the centres go along with the task)."""
+    """The nearest centre of each row and the squared distance (the centres go along with the task); null for a null vector."""
     kinds = ", ".join(f"{c} {t}" for c, t in df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch[vector])
+            missing = ~batch[vector].is_valid().to_numpy(zero_copy_only=False)
+            x = np.nan_to_num(x) if x.size else np.zeros((len(x), centres.shape[1]))
             d = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :]
             at = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array(np.maximum(d[np.arange(len(at)), at], 0))], [*batch.schema.names, name, "distance"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32), mask=missing), pa.array(np.maximum(d[np.arange(len(at)), at], 0), mask=missing)], [*batch.schema.names, name, "distance"])
 
     return df.mapInArrow(run, f"{kinds}, {name} int, distance double")
 

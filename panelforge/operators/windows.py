@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelforge.operators.lineage import cut
+
 
 def average_rank(by: Sequence[str], order: str | Column) -> Column:
     """Rank with ties averaged; within ``by``."""
@@ -16,22 +18,57 @@ def average_rank(by: Sequence[str], order: str | Column) -> Column:
     return F.rank().over(w.orderBy(o)) + (F.count("*").over(w.partitionBy(*by, o)) - 1) / 2.0
 
 
-def ranked(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """Global average ranks without a one-task window over the rows.
+def dealt_by_range(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
+    """``df`` range-partitioned by ``keys`` and kept so, with the partition in ``_part``: what is before a row is in its partition or in a lower one."""
+    return cut(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), name: str = "number") -> DataFrame:
+    """Row numbers from 1 within ``by`` in a total ``order``, by ranges: neither the rows nor a group have to fit one task."""
+    names = [f"_o{i}" for i in range(len(order))]
+    asc = [F.col(o) if isinstance(o, str) else o for o in order]
+    x = dealt_by_range(df.withColumns(dict(zip(names, asc))), [*by, *names])
+    sizes = x.groupBy("_part", *by).agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", *by, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*names))
+    one = F.col("x._part") == F.col("s._part")
+    for c in by:
+        one = one & F.col(f"x.{c}").eqNullSafe(F.col(f"s.{c}"))
+    out = x.withColumn("_i", inner).alias("x").join(sizes.alias("s"), one)
+    return out.select(*[F.col(f"x.{c}") for c in df.columns], (F.col("_i") + F.col("_before")).cast("long").alias(name))
+
+
+def running(df: DataFrame, value: str, sums: Sequence[str] = (), lows: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """For rows with distinct ``value`` (within ``by``): ``<c>_upto``, sums over the rows up to and with each, and ``<c>_from``, minima from each on."""
+    x = dealt_by_range(df, [*by, value])
+    totals = x.groupBy("_part", *by).agg(*[F.sum(c).alias(f"{c}_t") for c in sums], *[F.min(c).alias(f"{c}_l") for c in lows])
+    whole = Window.partitionBy(*by).orderBy("_part")
+    below, above = whole.rowsBetween(Window.unboundedPreceding, -1), whole.rowsBetween(1, Window.unboundedFollowing)
+    totals = totals.select("_part", *by, *[F.coalesce(F.sum(f"{c}_t").over(below), F.lit(0)).alias(f"{c}_t") for c in sums], *[F.min(f"{c}_l").over(above).alias(f"{c}_l") for c in lows])
+    w = Window.partitionBy("_part", *by).orderBy(value)
+    x = x.withColumns({f"{c}_upto": F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in sums} | {f"{c}_from": F.min(c).over(w.rowsBetween(0, Window.unboundedFollowing)) for c in lows})
+    x = x.join(totals, ["_part", *by])
+    return x.select(*df.columns, *[(F.col(f"{c}_upto") + F.col(f"{c}_t")).alias(f"{c}_upto") for c in sums], *[F.least(f"{c}_from", f"{c}_l").alias(f"{c}_from") for c in lows])
+
 
-    Rows are reduced to counts per value; those are range-partitioned, and each partition starts from
-    the (few) totals of the partitions before it. The ranks are joined back by value.
-    """
+def ranked(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
+    """Global average ranks: rows are reduced to counts by value, those summed up by ranges, and joined back by value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
-    counts = counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id())
-    totals = counts.groupBy("_p").agg(F.sum("_c").alias("_t"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    run = Window.partitionBy("_p").orderBy(value)
-    ranks = counts.join(F.broadcast(totals), "_p").select(value, (F.col("_before") + F.sum("_c").over(run) - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(name))
+    ranks = running(counts, value, ["_c"]).select(value, (F.col("_c_upto") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(name))
     return df.join(ranks, value, "left")
 
 
+def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+    """One row of exact quantiles ``q0``, ``q1``, ... (linear between neighbours): values are counted, and the counts summed up by ranges."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    x = cut(running(counts, "_v", ["_c"]))
+    n = x.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n")).first()["n"]
+    at = [(int(p * (n - 1) + 1e-9), p * (n - 1)) for p in shares]
+    above = lambda k: F.min(F.when(F.col("_c_upto") > k, F.col("_v")))
+    return x.agg(*[(above(k) + (F.coalesce(above(k + 1), above(k)) - above(k)) * max(0.0, t - k)).alias(f"q{i}") for i, (k, t) in enumerate(at)])
+
+
 def clr(df: DataFrame, key: str, value: str, floor: float = 1e-6) -> DataFrame:
     """Centred log-ratio of the shares of ``value`` within ``key``."""
     w = Window.partitionBy(key)
@@ -81,9 +118,8 @@ def with_row(df: DataFrame, *aggs: Column) -> DataFrame:
 
 def percentile_cut(df: DataFrame, value: str, shares: Sequence[float], name: str = "cut") -> DataFrame:
     """Right-closed classes at exact percentiles: 0 to len(shares)."""
-    edges = [F.percentile(value, F.lit(p)).alias(f"_e{i}") for i, p in enumerate(shares)]
-    x = with_row(df, *edges)
-    return x.withColumn(name, sum((F.col(value) > F.col(f"_e{i}")).cast("int") for i in range(len(shares)))).drop(*[f"_e{i}" for i in range(len(shares))])
+    x = df.crossJoin(F.broadcast(quantiles(df, value, shares)))
+    return x.withColumn(name, sum((F.col(value) > F.col(f"q{i}")).cast("int") for i in range(len(shares)))).drop(*[f"q{i}" for i in range(len(shares))])
 
 
 def collapse_rare(df: DataFrame, group: str, least: int, other: str = "pooled") -> DataFrame:
@@ -102,15 +138,22 @@ def to_grid(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
     return x.select(key, "at", (F.col(value) + (F.col("_v") - F.col(value)) * (F.col("at") - F.col(time)) / (F.col("_t") - F.col(time))).alias(value))
 
 
+def harmonic(n: str) -> Column:
+    """1 + 1/2 + ... + 1/n: added up while n is small, by its expansion beyond."""
+    x = F.col(n)
+    few = F.aggregate(F.sequence(F.lit(1), F.least(x, F.lit(1000)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    return F.when(x <= 1000, few).otherwise(F.ln(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x))
+
+
 def adjust_p(df: DataFrame, p: str = "p", by: Sequence[str] = (), method: str = "bh") -> DataFrame:
-    """Benjamini-Hochberg or -Yekutieli adjusted p over a result table (family = ``by``)."""
-    w = Window.partitionBy(*by)
-    m = F.count(p).over(w)
-    x = df.where(F.col(p).isNotNull()).withColumns({"_m": m, "_r": F.rank().over(w.orderBy(p)) + F.count("*").over(Window.partitionBy(*by, p)) - 1})
-    factor = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i) if method == "by" else F.lit(1.0)
-    raw = F.col(p) * F.col("_m") / F.col("_r") * factor
-    q = F.min(raw).over(w.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return x.withColumn("q", F.least(q, F.lit(1.0))).drop("_m", "_r")
+    """Benjamini-Hochberg or -Yekutieli adjusted p over a result table (family = ``by``): ranks and minima by ranges."""
+    c = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_c"))
+    m = c.groupBy(*by).agg(F.sum("_c").alias("_m"))
+    m = m.withColumn("_h", harmonic("_m") if method == "by" else F.lit(1.0))
+    x = running(c, p, ["_c"], by=by)
+    x = x.join(m, list(by)) if by else x.crossJoin(F.broadcast(m))
+    x = running(x.select(*by, p, (F.col(p) * F.col("_m") / F.col("_c_upto") * F.col("_h")).alias("_q")), p, lows=["_q"], by=by)
+    return df.join(x.select(*by, p, F.least("_q_from", F.lit(1.0)).alias("q")), [*by, p])
 
 
 def balance_weights(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -125,10 +168,14 @@ def debiased(df: DataFrame, y: str, x: str, name: str = "debiased") -> DataFrame
     return with_row(df, F.regr_slope(y, x).alias("_k"), F.regr_intercept(y, x).alias("_c")).withColumn(name, F.col(y) - F.col("_k") * F.col(x) - F.col("_c")).drop("_k", "_c")
 
 
-def robust_z(df: DataFrame, value: str, name: str = "robust_z") -> DataFrame:
-    """(value - median) / (1.4826 MAD)."""
-    x = with_row(df, F.percentile(value, F.lit(0.5)).alias("_m")).withColumn("_a", F.abs(F.col(value) - F.col("_m")))
-    return with_row(x, F.percentile("_a", F.lit(0.5)).alias("_mad")).withColumn(name, (F.col(value) - F.col("_m")) / (1.4826 * F.col("_mad"))).drop("_m", "_a", "_mad")
+def robust_z(df: DataFrame, value: str, name: str = "robust_z", least: int = 0) -> DataFrame:
+    """(value - median) / (1.4826 MAD); null from fewer than ``least`` rows or without spread."""
+    n = df.agg(F.count(value).alias("_n"))
+    x = df.crossJoin(F.broadcast(quantiles(df, value, [0.5]).withColumnRenamed("q0", "_m")))
+    x = x.withColumn("_a", F.abs(F.col(value) - F.col("_m")))
+    x = x.crossJoin(F.broadcast(quantiles(x, "_a", [0.5]).withColumnRenamed("q0", "_mad"))).crossJoin(F.broadcast(n))
+    z = F.when((F.col("_n") >= least) & (F.col("_mad") > 0), (F.col(value) - F.col("_m")) / (1.4826 * F.nullif(F.col("_mad"), F.lit(0.0))))
+    return x.withColumn(name, z).drop("_m", "_a", "_mad", "_n")
 
 
 def outlier_score(long: DataFrame, key: str, column: str, value: str) -> DataFrame:
