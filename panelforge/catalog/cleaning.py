@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.catalog.fixtures import CELLS, ENTITY_LAG, OUTCOMES, SHOTS, VISITS, WIDE, cells, entity_lag, outcomes, shots, visits, wide
 from panelforge.functions import clean
+from panelforge.operators import panel
 from panelforge.registry import q6, query, r6, table
 
 _NAME = "CASE WHEN c_custkey % 5 = 0 THEN 'unknown' ELSE printf('IMPACT %d', c_custkey) END"
@@ -219,4 +220,4 @@ def b23_visit_windows(spark, d):
 def b24_held_out_mask(spark, d):
     e = entity_lag(spark, d)
     held = table(spark, d, "customer").where("c_custkey % 5 = 2").select(F.col("c_custkey").alias("entity"))
-    return e.join(held, "entity", "left_semi").select("entity", r6("lag").alias("lag"))
+    return panel.held_out_only(e, held, "entity").select("entity", r6("lag").alias("lag"))

@@ -77,12 +77,8 @@ def c09_cutoff_join(spark, d):
 
 @query(f"WITH {VISITS}, c AS (SELECT entity, visit, avg(value) AS v, avg(t) AS t FROM visits GROUP BY ALL) SELECT a.entity, a.visit, {q6('a.v')} AS v0, {q6('b.v')} AS v1, {q6('b.t - a.t')} AS gap FROM c a JOIN c b ON a.entity = b.entity AND b.visit = a.visit + 1 WHERE a.v IS NOT NULL AND b.v IS NOT NULL AND b.t > a.t")
 def c10_consecutive_visits(spark, d):
-    from pyspark.sql.window import Window
-
-    c = visits(spark, d).groupBy("entity", "visit").agg(F.avg("value").alias("v0"), F.avg("t").alias("t0"))
-    w = Window.partitionBy("entity").orderBy("visit")
-    x = c.withColumns({"o": F.lead("visit").over(w), "v1": F.lead("v0").over(w), "t1": F.lead("t0").over(w)})
-    return x.where("o = visit + 1 and v0 is not null and v1 is not null and t1 > t0").select("entity", "visit", r6("v0").alias("v0"), r6("v1").alias("v1"), r6(F.col("t1") - F.col("t0")).alias("gap"))
+    c = visits(spark, d).groupBy("entity", "visit").agg(F.avg("value").alias("v"), F.avg("t").alias("t"))
+    return panel.consecutive(c, "entity", "visit", "t", "v").select("entity", "visit", *[r6(x).alias(x) for x in ("v0", "v1", "gap")])
 
 
 @query(f"WITH {SHOTS} SELECT entity, count(DISTINCT dataset) AS datasets FROM shots GROUP BY entity HAVING count(DISTINCT dataset) > 1")
@@ -90,13 +86,24 @@ def c11_id_collision(spark, d):
     return shots(spark, d).groupBy("entity").agg(F.count_distinct("dataset").alias("datasets")).where("datasets > 1")
 
 
-@query("""WITH a AS (SELECT regexp_replace(url, '^[a-z]+://(www\\.|m\\.)?', '') AS k, page_id FROM pages), b AS (SELECT k, min(page_id) AS page_id FROM (SELECT regexp_replace(url, '^[a-z]+://(www\\.|m\\.|blog\\.)?', '') AS k, page_id FROM pages WHERE page_id % 2 = 0) GROUP BY k)
-SELECT a.page_id, b.page_id AS matched, b.k IS NOT NULL AS found FROM a LEFT JOIN b USING (k)""")
-def c12_prefix_tolerant_join(spark, d):
+_TOLERANT = "a AS (SELECT regexp_replace(url, '^[a-z]+://(www\\.|m\\.)?', '') AS k, page_id FROM pages), b AS (SELECT k, min(page_id) AS page_id FROM (SELECT regexp_replace(replace(url, '/en/', '/fr/'), '^[a-z]+://(www\\.|m\\.|blog\\.)?', '') AS k, page_id FROM pages) GROUP BY k)"
+
+
+def _tolerant(spark, d):
+    """Pages beside the French addresses of all pages, whatever the prefix."""
     p = table(spark, d, "pages")
-    a = p.select("page_id", F.regexp_replace("url", r"^[a-z]+://(www\.|m\.)?", "").alias("k"))
-    b = p.where("page_id % 2 = 0").select(F.regexp_replace("url", r"^[a-z]+://(www\.|m\.|blog\.)?", "").alias("k"), "page_id").groupBy("k").agg(F.min("page_id").alias("matched"))
-    return a.join(b, "k", "left").select("page_id", "matched", F.col("matched").isNotNull().alias("found"))
+    other = p.select("page_id", F.replace("url", F.lit("/en/"), F.lit("/fr/")).alias("url"))
+    return panel.tolerant_join(p.select("page_id", "url"), other, F.regexp_replace("url", r"^[a-z]+://(www\.|m\.)?", ""), F.regexp_replace("url", r"^[a-z]+://(www\.|m\.|blog\.)?", ""), "page_id")
+
+
+@query(f"WITH {_TOLERANT} SELECT a.page_id, b.page_id AS matched, b.k IS NOT NULL AS found FROM a LEFT JOIN b USING (k)")
+def c12_prefix_tolerant_join(spark, d):
+    return _tolerant(spark, d).select("page_id", "matched", "found")
+
+
+@query(f"WITH {_TOLERANT} SELECT count(*) AS rows, count(b.k) AS matches, {q6('avg((b.k IS NOT NULL)::INT)')} AS rate FROM a LEFT JOIN b USING (k)")
+def c12_match_rate(spark, d):
+    return panel.match_rate(_tolerant(spark, d)).withColumn("rate", r6("rate"))
 
 
 @query("SELECT count_if(l.doc_id IS NOT NULL) AS in_labels, count_if(l.doc_id IS NULL) AS not_in_labels, count(*) - count(DISTINCT md5(d.text)) AS duplicates, count(DISTINCT d.source) AS sources FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.catalog.fixtures import CELLS, FRAMES, MEASURES, OUTCOMES, VISITS, WIDE, cells, frames, outcomes, visits, wide
-from panelforge.operators import panel
+from panelforge.operators import inference, panel
 from panelforge.registry import q6, query, r6, table
 
 _NAMES = [f"{v}:{m}" for v in range(4) for m in MEASURES]
@@ -62,14 +62,13 @@ def d06_slot_sequence(spark, d):
 
 
 @query(f"""WITH {FRAMES}, b AS (SELECT entity, stratum AS week, count(*) AS n, avg(CAST(emb[1] AS DOUBLE)) AS m0, avg(CAST(emb[64] AS DOUBLE)) AS m63 FROM frames GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, week) AS r FROM b)
-SELECT entity, week, n, {q6('m0')} AS m0, {q6('m63')} AS m63 FROM r WHERE r <= 3""")
+SELECT entity, week, n, {q6('m0')} AS m0, {q6('m63')} AS m63 FROM r WHERE r <= 8""")
 def d07_image_sequence(spark, d):
     from panelforge.operators.vectors import mean_by
 
     f = frames(spark, d).withColumn("week", F.col("stratum"))
     m = mean_by(f, ["entity", "week"], "emb")
-    top = m.withColumn("r", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("n"), "week"))).where("r <= 3")
-    return top.select("entity", "week", "n", r6(F.col("mean")[0]).alias("m0"), r6(F.col("mean")[63]).alias("m63"))
+    return panel.largest_weeks(m, "entity", "week", "n").select("entity", "week", "n", r6(F.col("mean")[0]).alias("m0"), r6(F.col("mean")[63]).alias("m63"))
 
 
 @query(f"""WITH {VISITS}, u AS (SELECT DISTINCT entity, day FROM visits WHERE measure IN ('click', 'view')), x AS (SELECT entity, day, row_number() OVER (PARTITION BY entity ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY entity) AS n FROM u)
@@ -98,3 +97,13 @@ def d11_registry_profile(spark, d):
     p = table(spark, d, "part")
     rows = F.array(F.struct(F.lit("name").alias("col"), F.col("p_name").alias("v")), F.struct(F.lit("size").alias("col"), F.when(F.col("p_size") > 5, F.col("p_size").cast("string")).alias("v")), F.struct(F.lit("one").alias("col"), F.lit("k").alias("v")))
     return panel.profile(p.select(F.inline(rows)), "col", "v").withColumn("coverage", r6("coverage"))
+
+
+@query("WITH p AS (SELECT p_size::DOUBLE AS a, p_retailprice::DOUBLE AS b, p_size * 2.0 + 1 AS c, -p_retailprice::DOUBLE AS d, (p_partkey * 7919 % 997)::DOUBLE AS e FROM part), r AS (SELECT abs(corr(a, b)) AS ab, abs(corr(a, c)) AS ac, abs(corr(b, c)) AS bc, abs(corr(a, d)) AS ad, abs(corr(b, d)) AS bd, abs(corr(a, e)) AS ae, abs(corr(b, e)) AS be FROM p) SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS col, unnest([NULL, CASE WHEN ab > 0.999 THEN 'a' END, CASE WHEN ac > 0.999 THEN 'a' WHEN bc > 0.999 THEN 'b' END, CASE WHEN ad > 0.999 THEN 'a' WHEN bd > 0.999 THEN 'b' END, CASE WHEN ae > 0.999 THEN 'a' WHEN be > 0.999 THEN 'b' END]) AS duplicate_of FROM r")
+def d11_duplicate_columns(spark, d):
+    """Columns of a registry that repeat an earlier one."""
+    size, price = F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")
+    p = table(spark, d, "part").select(size.alias("a"), price.alias("b"), (size * 2 + 1).alias("c"), (-price).alias("d"), (F.col("p_partkey") * 7919 % 997).cast("double").alias("e"))
+    names = list("abcde")
+    found = inference.duplicate_columns(inference.pairwise_covariance(p, names), names)
+    return spark.createDataFrame([(c, found.get(c)) for c in names], "col string, duplicate_of string")

@@ -20,7 +20,7 @@ def g02_top_groups(spark, d):
     return sampling.top_groups(shots(spark, d), "source", 5).groupBy("source").agg(F.count("*").alias("n"), r6(F.avg("lag")).alias("lag"))
 
 
-@query()
+@query(f"WITH {FRAMES}, t AS (SELECT frame, p, list_transform(emb[8 * p + 1 : 8 * p + 8], lambda x: CAST(x AS DOUBLE)) AS tok FROM frames, range(8) r(p)), s AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY abs(list_inner_product(tok, [-3.5, -2.5, -1.5, -0.5, 0.5, 1.5, 2.5, 3.5]::DOUBLE[])) DESC) AS r FROM t) SELECT frame, " + ", ".join(f"{q6(f'avg(tok[{i + 1}])')} AS m{i}" for i in range(8)) + " FROM s WHERE r <= 3 GROUP BY frame")
 def g03_top_patches(spark, d):
     import numpy as np
 
@@ -74,9 +74,9 @@ def g10_entity_pair(spark, d):
     return x.groupBy("entity").agg(F.min_by("frame", "k").alias("a"), F.max_by("frame", "k").alias("b"))
 
 
-@query("SELECT doc_id, min(origin) AS origin FROM (SELECT doc_id, 'a' AS origin FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'b' FROM labels) GROUP BY doc_id")
+@query("SELECT doc_id, min(origin) AS origin FROM (SELECT doc_id, 'a' AS origin FROM documents UNION ALL SELECT doc_id, 'b' FROM labels) GROUP BY doc_id")
 def g11_cohort_union(spark, d):
-    a = table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit("a").alias("origin"))
+    a = table(spark, d, "documents").select("doc_id", F.lit("a").alias("origin"))
     b = table(spark, d, "labels").select("doc_id", F.lit("b").alias("origin"), "quality")
     return panel.keep_first(a.unionByName(b, allowMissingColumns=True), ["doc_id"], ["origin"]).select("doc_id", "origin")
 
@@ -103,3 +103,17 @@ def g13_greedy_decorrelation(spark, d):
 
     kept = sampling.greedy_keep(range(len(names)), redundant)
     return spark.createDataFrame([(int(k), i) for i, k in enumerate(kept)], "dim int, position int")
+
+
+@query(f"WITH {SHOTS}, e AS (SELECT stratum, source, avg(lag) AS effect FROM shots GROUP BY ALL) SELECT stratum, source, CAST(r AS INTEGER) AS rank, {q6('effect')} AS effect FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY abs(effect) DESC, source) AS r FROM e) WHERE r <= 8")
+def g06_effect_profile(spark, d):
+    """The eight strongest sources of each stratum."""
+    e = shots(spark, d).groupBy("stratum", "source").agg(F.avg("lag").alias("effect"))
+    return sampling.strongest(e, ["stratum"], "effect", "source", 8).select("stratum", "source", "rank", r6("effect").alias("effect"))
+
+
+@query(f"WITH {SHOTS}, e AS (SELECT stratum, source, avg(lag) AS effect FROM shots GROUP BY ALL), f AS (SELECT stratum, avg(abs(effect)) AS strength FROM e GROUP BY stratum) SELECT stratum, {q6('strength')} AS strength, CAST(row_number() OVER (ORDER BY strength DESC, stratum) AS INTEGER) AS rank FROM f")
+def g06_family_ranking(spark, d):
+    """Families (strata) by their mean absolute effect."""
+    e = shots(spark, d).groupBy("stratum", "source").agg(F.avg("lag").alias("effect"))
+    return sampling.families(e, "stratum", "effect").select("stratum", r6("strength").alias("strength"), "rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from panelforge.catalog.fixtures import FRAMES, entity_lag, frames
+from panelforge.catalog.fixtures import ENTITY_LAG, FRAMES, entity_lag, frames
 from panelforge.operators import resample, vectors
 from panelforge.registry import q6, query, r6
 
@@ -30,13 +30,18 @@ _TOKEN0 = [E.format(i=1 + 8 * p) for p in range(8)]
 _CENTRE0 = _TOKEN0[2:6]
 
 
-@query(f"WITH {FRAMES} SELECT frame, {q6('(' + ' + '.join(_TOKEN0) + ') / 8')} AS mean, {q6('greatest(' + ', '.join(_TOKEN0) + ')')} AS max, {q6('(' + ' + '.join(_CENTRE0) + ') / 4')} AS centre FROM frames")
+_T = "t AS (SELECT frame, p, list_transform(emb[8 * p + 1 : 8 * p + 8], lambda x: CAST(x AS DOUBLE)) AS tok FROM frames, range(8) r(p)), u AS (SELECT frame, p, tok[1] AS v, tok, sqrt(list_inner_product(tok, tok)) AS nrm, exp(-pow((p - 3.5) / 3.5, 2)) AS g FROM t)"
+
+
+@query(f"WITH {FRAMES}, {_T} SELECT frame, {q6('avg(v)')} AS mean, {q6('max(v)')} AS max, {q6('stddev_pop(v)')} AS std, {q6('avg(v) FILTER (p BETWEEN 2 AND 5)')} AS centre, {q6('avg(v) FILTER (p NOT BETWEEN 2 AND 5)')} AS periphery, {q6('avg(v) * max(v)')} AS product, {q6('sum(v * nrm) / sum(nrm)')} AS norm_weighted, {q6('sum(v * g) / sum(g)')} AS gaussian FROM u GROUP BY frame")
 def h03_patch_pooling(spark, d):
     x = vectors.with_pooled(frames(spark, d).select("frame", "emb"), "emb", vectors.POOLS, 8)
-    return x.select("frame", *[r6(F.col(p)[0]).alias(p) for p in ("mean", "max", "centre")])
+    return x.select("frame", *[r6(F.col(p)[0]).alias(p) for p in vectors.POOLS])
 
 
-@query()
+@query(f"""WITH {FRAMES}, {_T}, n AS (SELECT frame, avg(nrm) AS norm_mean, stddev_pop(nrm) AS norm_std, max(nrm) - min(nrm) AS norm_range, avg(nrm) FILTER (p NOT BETWEEN 2 AND 5) - avg(nrm) FILTER (p BETWEEN 2 AND 5) AS edge FROM u GROUP BY frame), c AS (SELECT frame, p, unnest(tok) AS v, unnest(range(8)) AS k FROM u),
+ g AS (SELECT frame, avg(pow(v - w, 2)) AS gradient FROM (SELECT frame, v, lag(v) OVER (PARTITION BY frame, k ORDER BY p) AS w FROM c) WHERE w IS NOT NULL GROUP BY frame), s AS (SELECT frame, avg(x) AS variance FROM (SELECT frame, k, var_pop(v) AS x FROM c GROUP BY ALL) GROUP BY frame)
+SELECT frame, {q6('norm_mean')} AS norm_mean, {q6('norm_std')} AS norm_std, {q6('norm_range')} AS norm_range, {q6('gradient')} AS gradient, {q6('edge')} AS edge_minus_centre, {q6('variance')} AS variance FROM n JOIN g USING (frame) JOIN s USING (frame)""")
 def h04_texture(spark, d):
     x = vectors.with_pooled(frames(spark, d).select("frame", "emb"), "emb", {"texture": vectors.texture}, 8)
     return x.select("frame", *[r6(F.col("texture")[i]).alias(n) for i, n in enumerate(("norm_mean", "norm_std", "norm_range", "gradient", "edge_minus_centre", "variance"))])
@@ -54,11 +59,17 @@ def h06_layer_summary(spark, d):
     return x.select("frame", r6(F.col("summary")[0]).alias("cls"), r6(F.col("summary")[8]).alias("patch"))
 
 
-@query(f"WITH {FRAMES}, c AS (SELECT stratum AS code, " + ", ".join(f"avg({E.format(i=i + 1)}) AS c{i}" for i in range(8)) + " FROM frames GROUP BY stratum), d AS (SELECT frame, code, " + " + ".join(f"pow({E.format(i=i + 1)} - c{i}, 2)" for i in range(8)) + f" AS distance FROM frames, c) SELECT frame, CAST(arg_min(code, distance) AS INTEGER) AS code, {q6('min(distance)')} AS distance FROM d GROUP BY frame")
+@query(f"""WITH {FRAMES}, l AS (SELECT frame, stratum, unnest(emb)::DOUBLE AS v, unnest(range(64)) AS k FROM frames), m AS (SELECT k, avg(v) AS m, stddev_pop(v) AS s FROM l GROUP BY k), z AS (SELECT frame, stratum, k, (v - m) / s AS z FROM l JOIN m USING (k)), c AS (SELECT stratum AS code, k, avg(z) AS c FROM z GROUP BY ALL),
+ x AS (SELECT frame, code, sum(pow(z - c, 2)) AS distance FROM z JOIN c USING (k) GROUP BY ALL) SELECT frame, CAST(arg_min(code, distance) AS INTEGER) AS code, {q6('min(distance)')} AS distance FROM x GROUP BY frame""")
 def h07_assign_codes(spark, d):
-    f = frames(spark, d).select("frame", "stratum", F.slice("emb", 1, 8).alias("v"))
-    c = np.array([r["mean"] for r in vectors.mean_by(f, ["stratum"], "v").orderBy("stratum").collect()])
-    return vectors.assign(f.select("frame", "v"), "v", c).select("frame", "code", r6("distance").alias("distance"))
+    """Standardised vectors to the nearest of the strata's standardised means."""
+    f = frames(spark, d).select("frame", "stratum", "emb")
+    _, mean, sd = vectors.moments(f, "emb")
+    rows = vectors.mean_by(f, ["stratum"], "emb").orderBy("stratum").collect()
+    centres = (np.array([r["mean"] for r in rows]) - mean) / sd
+    names = F.array(*[F.lit(int(r.stratum)) for r in rows])
+    x = vectors.assign(f.select("frame", "emb"), "emb", centres, mean=mean, sd=sd)
+    return x.select("frame", F.element_at(names, F.col("code") + 1).alias("code"), r6("distance").alias("distance"))
 
 
 @query(f"WITH {FRAMES}, x AS (SELECT frame, list_transform(range(64), lambda i: CAST(emb[i + 1] AS DOUBLE)) AS v, list_transform(range(64), lambda i: CASE WHEN (frame + i) % 3 = 0 AND frame % 10 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS m FROM frames), y AS (SELECT frame, unnest(v) AS v, unnest(m) AS m FROM x) SELECT frame, {q6('CASE WHEN sum(m) > 0 THEN sum(v * m) / sum(m) ELSE avg(v) END')} AS error FROM y GROUP BY frame")
@@ -67,21 +78,25 @@ def h08_masked_mean(spark, d):
     return f.select("frame", r6(vectors.masked_mean("emb", "m")).alias("error"))
 
 
-@query()
+_M01 = ", ".join(str(e) for e in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183))
+
+
+@query(f"WITH {ENTITY_LAG}, b AS (SELECT lag, r, len(list_filter([{_M01}]::DOUBLE[], lambda e: ((entity * 7919 + r * 104729 + entity * r * 31) % 10007 + 0.5::DOUBLE) / 10007 > e)) AS w FROM entity_lag, range(1, 11) x(r)) SELECT CAST(r AS INTEGER) AS replicate, {q6('sum(lag * w) / greatest(sum(w), 1)')} AS s FROM b GROUP BY r")
 def m01_statistic_plug_point(spark, d):
-    x = resample.per_replicate(entity_lag(spark, d).select("entity", "lag", "size"), lambda p: float((p["lag"] * p["weight"]).sum() / max(p["weight"].sum(), 1)), 10)
+    x = resample.per_replicate(entity_lag(spark, d).select("entity", "lag", "size"), lambda p: float((p["lag"].astype(float) * p["weight"]).sum() / max(p["weight"].sum(), 1)), 10, resample.arithmetic_order())
     return x.select("replicate", r6("s").alias("s"))
 
 
-@query()
+@query(f"""WITH {FRAMES}, f AS (SELECT *, entity * 7919 % 10007 % 5 AS fold FROM frames), s AS (SELECT g.fold, count(*) AS n, avg(x1) AS mx, avg(y) AS my, var_pop(x1) AS vx, covar_pop(x1, y) AS c FROM f JOIN (SELECT DISTINCT fold FROM f) g ON f.fold <> g.fold GROUP BY g.fold),
+ p AS (SELECT y, my + (x1 - mx) * (n * c / (n * vx + vx)) AS pred FROM f JOIN s USING (fold)) SELECT {q6('corr(pred, y)')} AS r, count(*) AS n FROM p""")
 def m02_fit_predict_plug_point(spark, d):
     """A callable from rows with ``fold`` to (row, pred): here the library's own ridge."""
-    from panelforge.operators.linear import cross_validated, hashed_fold
+    from panelforge.operators.linear import cross_validated
 
     def fit_predict(df):
-        return cross_validated(df, ["x1", "x2", "x3"], "y", alpha=1.0).predict(df)
+        return cross_validated(df, ["x1"], "y", alpha=1.0).predict(df)
 
-    x = fit_predict(frames(spark, d).select("frame", "x1", "x2", "x3", "y", hashed_fold("entity", 5).alias("fold")))
+    x = fit_predict(frames(spark, d).select("frame", "x1", "y", (F.col("entity") * 7919 % 10007 % 5).cast("int").alias("fold")))
     return x.agg(r6(F.corr("pred", "y")).alias("r"), F.count("*").alias("n"))
 
 

@@ -340,16 +340,21 @@ def forward_selection(g: dict[object, np.ndarray], p: int, most: int = 3, alpha:
     return chosen, best
 
 
-def factor_analysis(rows: DataFrame, vector: str, k: int, rounds: int = 100, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def factor_analysis(rows: DataFrame, vector: str, k: int, rounds: int = 100, tolerance: float = 1e-5, ard: bool = False, most_patterns: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, loadings and noise by EM over observed cells only (missing cells are nulls).
 
     Rows enter as one set of sums per missingness pattern (counts, sums and cross products of its
-    observed cells), computed once on the executors; the iterations only touch those.
+    observed cells), computed once on the executors; the iterations only touch those. ``ard`` weighs
+    each factor's loadings by a precision of its own, so factors that aren't needed go to zero. More
+    than ``most_patterns`` patterns raise: the sums of each are held on the driver.
     """
     x = rows.select(F.transform(vector, lambda v: v.cast("double")).alias("x"))
     x = x.withColumn("pattern", F.array_join(F.transform("x", lambda v: F.when(v.isNull() | F.isnan(v), "0").otherwise("1")), ""))
     x = x.select("pattern", F.filter("x", lambda v: v.isNotNull() & ~F.isnan(v)).alias("x"), F.lit(1.0).alias("w")).where(F.size("x") > 0)
     parts = []
+    n_patterns = x.select("pattern").distinct().limit(most_patterns + 1).count()
+    if n_patterns > most_patterns:
+        raise ValueError(f"more than {most_patterns} patterns of missing cells")
     for pattern, g in _pattern_grams(x).items():
         at = np.flatnonzero([c == "1" for c in pattern])
         parts.append((at, g[0, 0], g[0, 1:], g[1:, 1:]))
@@ -376,7 +381,8 @@ def factor_analysis(rows: DataFrame, vector: str, k: int, rounds: int = 100, tol
             low[at] += ez
             sigma = w @ w.T + np.diag(v)
             like -= 0.5 * (m * np.linalg.slogdet(sigma)[1] + np.trace(np.linalg.solve(sigma, centred)))
-        load = np.stack([np.linalg.solve(low[i] + 1e-9 * np.eye(k), top[i]) if n[i] else load[i] for i in range(p)])
+        strict = np.diag(p / np.maximum((load**2).sum(0), 1e-9)) if ard else 1e-9 * np.eye(k)
+        load = np.stack([np.linalg.solve(low[i] + (psi[i] * strict if ard else strict), top[i]) if n[i] else load[i] for i in range(p)])
         for at, m, a, b in parts:
             d = np.diag(b) - 2 * mean[at] * a + m * mean[at] ** 2
             new_psi[at] += d

@@ -104,3 +104,35 @@ def thin_evenly(df: DataFrame, key: str, time: str, most: int = 12) -> DataFrame
 def profile(long: DataFrame, column: str, value: str) -> DataFrame:
     """Coverage, levels and constancy of each column of a long table."""
     return long.groupBy(column).agg(F.avg(F.col(value).isNotNull().cast("double")).alias("coverage"), F.count_distinct(value).alias("levels"), (F.count_distinct(value) <= 1).alias("constant"))
+
+
+def held_out_only(df: DataFrame, mask: DataFrame | None, key: str) -> DataFrame:
+    """Rows of entities that a trained representation never saw; without a mask there is nothing to score, and that raises."""
+    if mask is None or key not in mask.columns or mask.isEmpty():
+        raise ValueError(f"no held-out mask with column {key!r}: scores on seen entities would count")
+    return df.join(mask.select(key), key, "left_semi")
+
+
+def tolerant_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, value: str) -> DataFrame:
+    """Left rows with the smallest ``value`` of the right rows that have the same normalised key: ``matched``, ``found``."""
+    b = right.groupBy(right_key.alias("_k")).agg(F.min(value).alias("matched"))
+    return left.withColumn("_k", left_key).join(b, "_k", "left").drop("_k").withColumn("found", F.col("matched").isNotNull())
+
+
+def match_rate(joined: DataFrame) -> DataFrame:
+    """Rows, matches and their share."""
+    return joined.agg(F.count("*").alias("rows"), F.count_if("found").alias("matches"), F.avg(F.col("found").cast("double")).alias("rate"))
+
+
+def largest_weeks(df: DataFrame, key: str, week: str, count: str, most: int = 8) -> DataFrame:
+    """Per key the ``most`` weeks with most frames (ties: the earlier week)."""
+    w = Window.partitionBy(key).orderBy(F.desc(count), week)
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def consecutive(df: DataFrame, key: str, order: str, time: str, value: str) -> DataFrame:
+    """Pairs of a visit and the nominal next one, both with a value, in time order: ``v0``, ``v1``, ``gap``."""
+    w = Window.partitionBy(key).orderBy(order)
+    x = df.select(key, order, F.col(value).alias("v0"), F.col(time).alias("_t"), F.lead(order).over(w).alias("_o"), F.lead(value).over(w).alias("v1"), F.lead(time).over(w).alias("_u"))
+    x = x.where((F.col("_o") == F.col(order) + 1) & F.col("v0").isNotNull() & F.col("v1").isNotNull() & (F.col("_u") > F.col("_t")))
+    return x.select(key, order, "v0", "v1", (F.col("_u") - F.col("_t")).alias("gap"))

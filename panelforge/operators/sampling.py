@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelforge.operators.windows import numbered
+
 
 def hash_key(*ids: str, seed: int = 0) -> Column:
     return F.xxhash64(*[F.col(c) for c in ids], F.lit(seed))
@@ -39,6 +41,12 @@ def strongest(df: DataFrame, by: Sequence[str], value: str, tie: str, n: int = 1
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def families(df: DataFrame, family: str, effect: str) -> DataFrame:
+    """Families by mean |effect|, strongest first: a table of few rows."""
+    g = df.groupBy(family).agg(F.avg(F.abs(F.col(effect))).alias("strength"))
+    return numbered(g, [-F.col("strength"), family], name="rank").withColumn("rank", F.col("rank").cast("int"))
+
+
 def greedy_keep(columns: Sequence[str], redundant: Callable[[list[str], str], bool]) -> list[str]:
     """Keep a column unless it is redundant beside those kept; a list of names, on the driver."""
     kept: list[str] = []

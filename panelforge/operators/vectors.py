@@ -112,6 +112,8 @@ POOLS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "max": lambda t: t.max(1),
     "std": lambda t: t.std(1),
     "centre": lambda t: t[:, t.shape[1] // 4 : t.shape[1] - t.shape[1] // 4].mean(1),
+    "periphery": lambda t: np.concatenate([t[:, : t.shape[1] // 4], t[:, t.shape[1] - t.shape[1] // 4 :]], axis=1).mean(1),
+    "product": lambda t: t.mean(1) * t.max(1),
     "norm_weighted": lambda t: (t * np.linalg.norm(t, axis=2, keepdims=True)).sum(1) / np.linalg.norm(t, axis=2).sum(1)[:, None],
     "gaussian": lambda t: np.einsum("npd,p->nd", t, gaussian_centre(t.shape[1]) / gaussian_centre(t.shape[1]).sum()),
 }
@@ -158,18 +160,22 @@ def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def fused(df: DataFrame, vectors: Sequence[str], name: str = "fused") -> DataFrame:
-    """Blocks standardised by their own moments, then concatenated."""
-    parts = []
-    for v in vectors:
+    """Blocks standardised by their own moments (one broadcast row, whatever the dimensions), then concatenated."""
+    row: dict[str, list[float]] = {}
+    for i, v in enumerate(vectors):
         _, mean, sd = moments(df, v)
-        m, s = (F.array(*map(F.lit, map(float, x))) for x in (mean, sd))
-        centred = F.zip_with(v, m, lambda a, b: a.cast("double") - b)
-        parts.append(F.zip_with(centred, s, lambda a, b: a / b))
-    return df.withColumn(name, F.concat(*parts))
+        row |= {f"_m{i}": [float(x) for x in mean], f"_s{i}": [float(x) for x in sd]}
+    one = df.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{c} array<double>" for c in row))
+    x = df.crossJoin(F.broadcast(one))
+    parts = []
+    for i, v in enumerate(vectors):
+        centred = F.zip_with(v, f"_m{i}", lambda a, b: a.cast("double") - b)
+        parts.append(F.zip_with(centred, f"_s{i}", lambda a, b: a / b))
+    return x.withColumn(name, F.concat(*parts)).drop(*row)
 
 
-def assign(df: DataFrame, vector: str, centres: np.ndarray, name: str = "code") -> DataFrame:
-    """The nearest centre of each row and the squared distance (the centres go along with the task); null for a null vector."""
+def assign(df: DataFrame, vector: str, centres: np.ndarray, name: str = "code", mean: np.ndarray | None = None, sd: np.ndarray | None = None) -> DataFrame:
+    """The nearest centre of each row and the squared distance, after (x - mean) / sd if given (the centres go along with the task); null for a null vector."""
     kinds = ", ".join(f"{c} {t}" for c, t in df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +183,7 @@ def assign(df: DataFrame, vector: str, centres: np.ndarray, name: str = "code")
             x = matrix(batch[vector])
             missing = ~batch[vector].is_valid().to_numpy(zero_copy_only=False)
             x = np.nan_to_num(x) if x.size else np.zeros((len(x), centres.shape[1]))
+            x = x if mean is None else (x - mean) / sd
             d = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :]
             at = d.argmin(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32), mask=missing), pa.array(np.maximum(d[np.arange(len(at)), at], 0), mask=missing)], [*batch.schema.names, name, "distance"])
