@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelforge.catalog.fixtures import CELLS, CODES, ENTITY_LAG, FRAMES, OUTCOMES, SHOTS, VISITS, WIDE, cells, codes, entity_lag, frames, outcomes, shots, visits, wide
-from panelforge.operators import aggregate, vectors, windows
+from panelforge.catalog.fixtures import CELLS, CODES, ENTITY_LAG, FRAMES, MEASURES, OUTCOMES, SHOTS, VISITS, WIDE, cells, codes, entity_lag, frames, outcomes, shots, visits, wide
+from panelforge.operators import aggregate, inference, vectors, windows
 from panelforge.registry import q6, query, r6
 
 _DIMS = (0, 31, 63)
@@ -85,10 +85,14 @@ def e11_orthogonal_slope(spark, d):
     return aggregate.residual_slope(frames(spark, d), "entity", "y", "x1", "x2").withColumn("slope", r6("slope"))
 
 
-@query(f"WITH {WIDE} SELECT visit, count(*) AS n, {q6('var_samp(click) + var_samp(view)')} AS trace, {q6('var_samp(click) * var_samp(view) - pow(covar_samp(click, view), 2)')} AS det, {q6('quantile_cont(t, 0.5)')} AS t FROM wide WHERE click IS NOT NULL AND view IS NOT NULL GROUP BY visit HAVING count(*) >= 5")
+_COV3 = {f"{x}{y}": f"covar_samp({p}, {q})" for x, p in zip("abc", ("click", "view", "error")) for y, q in zip("abc", ("click", "view", "error"))}
+_DET3 = "{aa} * ({bb} * {cc} - {bc} * {bc}) - {ab} * ({ab} * {cc} - {bc} * {ac}) + {ac} * ({ab} * {bc} - {bb} * {ac})".format(**_COV3)
+
+
+@query(f"WITH {WIDE} SELECT visit, count(*) AS n, {q6('{aa} + {bb} + {cc}'.format(**_COV3))} AS trace, CAST(round_even(({_DET3}) / 1e6, 3) AS DOUBLE) + 0.0 AS det, {q6('quantile_cont(t, 0.5)')} AS t FROM wide WHERE click IS NOT NULL AND view IS NOT NULL AND error IS NOT NULL GROUP BY visit HAVING count(*) >= 5")
 def e12_population_spread(spark, d):
-    g = wide(spark, d).where("click is not null and view is not null").groupBy("visit").agg(F.count("*").alias("n"), F.var_samp("click").alias("a"), F.var_samp("view").alias("b"), F.covar_samp("click", "view").alias("c"), r6(F.percentile("t", F.lit(0.5))).alias("t")).where("n >= 5")
-    return g.select("visit", "n", r6(F.col("a") + F.col("b")).alias("trace"), r6(F.col("a") * F.col("b") - F.pow(F.col("c"), F.lit(2.0))).alias("det"), "t")
+    g = inference.generalised_variance(wide(spark, d), "visit", ["click", "view", "error"], "t")
+    return g.select("visit", "n", r6("trace").alias("trace"), (F.bround(F.col("det") / 1e6, 3) + 0.0).alias("det"), r6("t").alias("t"))
 
 
 @query(f"WITH {SHOTS} SELECT source, count(*) AS n, count(DISTINCT entity) AS entities, count(DISTINCT dataset) AS datasets FROM shots GROUP BY source")
@@ -183,14 +187,10 @@ def e25_time_leakage(spark, d):
     return x.groupBy("col").agg(F.count("v").alias("n"), r6(F.corr("v", "t")).alias("r")).where("n > 10")
 
 
-@query(f"WITH {WIDE} SELECT " + ", ".join(f"{q6(f'CASE WHEN count_if({a} IS NOT NULL AND {b} IS NOT NULL) > 2 THEN avg({a} * {b}) END')} AS {a}_{b}, count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS n_{a}_{b}" for a, b in (("click", "view"), ("click", "error"), ("view", "error"))) + " FROM wide")
+@query(f"""WITH {WIDE}, l AS (SELECT entity, visit, unnest({MEASURES}) AS m, unnest([{', '.join(MEASURES)}]) AS v FROM wide), k AS (SELECT m, avg(v) AS a, stddev_pop(v) AS s FROM l GROUP BY m), z AS (SELECT entity, visit, m, (v - a) / s AS z FROM l JOIN k USING (m) WHERE v IS NOT NULL)
+SELECT x.m AS a, y.m AS b, count(*) AS n, {q6('CASE WHEN count(*) > 2 THEN avg(x.z * y.z) END')} AS cov FROM z x JOIN z y USING (entity, visit) WHERE x.m <= y.m GROUP BY ALL""")
 def e26_pairwise_covariance(spark, d):
-    w = wide(spark, d)
-    out = []
-    for a, b in (("click", "view"), ("click", "error"), ("view", "error")):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        out += [r6(F.when(F.count_if(both) > 2, F.avg(F.col(a) * F.col(b)))).alias(f"{a}_{b}"), F.count_if(both).alias(f"n_{a}_{b}")]
-    return w.agg(*out)
+    return inference.pairwise_covariance(wide(spark, d), MEASURES).select("a", "b", "n", r6("cov").alias("cov"))
 
 
 @query(f"WITH {CODES}, n AS (SELECT entity, frame, count(*) AS p FROM codes GROUP BY ALL), g AS (SELECT entity, count(*) AS f FROM n GROUP BY entity), h AS (SELECT entity, frame, code, count(*) AS c FROM codes GROUP BY ALL) SELECT h.entity, code, {q6('sum(c / p::DOUBLE) / any_value(f)')} AS share FROM h JOIN n USING (entity, frame) JOIN g ON g.entity = h.entity GROUP BY h.entity, code")
@@ -200,25 +200,18 @@ def e27_code_histogram(spark, d):
 
 @query(f"WITH {CODES}, c AS (SELECT code, patch, count(*) AS n FROM codes GROUP BY ALL), t AS (SELECT code, sum(n) AS t, sum(n * patch) AS s FROM c GROUP BY code) SELECT c.code, CAST(any_value(t) AS BIGINT) AS n, CAST(any_value(s) AS BIGINT) AS patch_sum, {q6('1 + sum(n / t::DOUBLE * ln(n / t::DOUBLE)) / ln(7)')} AS concentration FROM c JOIN t USING (code) WHERE t >= 20 GROUP BY c.code")
 def e28_code_position(spark, d):
-    c = codes(spark, d).groupBy("code", "patch").agg(F.count("*").alias("c"))
-    t = c.groupBy("code").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("patch")).alias("s")).where("n >= 20")
-    p = F.col("c") / F.col("n")
-    return c.join(t, "code").groupBy("code").agg(F.first("n").alias("n"), F.first("s").alias("patch_sum"), r6(1 + F.sum(p * F.ln(p)) / F.ln(F.lit(7.0))).alias("concentration"))
+    return aggregate.code_position(codes(spark, d), "code", "patch", 7, 20).withColumn("concentration", r6("concentration"))
 
 
 @query(f"WITH {FRAMES}, l AS (SELECT frame, i AS k, abs(CAST(emb[i + 1] AS DOUBLE)) AS a FROM frames, range(64) r(i)), c AS (SELECT frame, sum(a * k) / sum(a) AS centre, sum(a) AS mass, quantile_cont(a, 0.75) AS q FROM l GROUP BY frame) SELECT l.frame, {q6('any_value(centre)')} AS centre, {q6('sqrt(sum(a * pow(k - centre, 2)) / any_value(mass))')} AS dispersion, count_if(a >= q) AS top FROM l JOIN c USING (frame) GROUP BY l.frame")
 def e29_activation_centroid(spark, d):
-    l = frames(spark, d).select("frame", F.posexplode("emb").alias("k", "v")).withColumn("a", F.abs(F.col("v").cast("double")))
-    c = l.groupBy("frame").agg((F.sum(F.col("a") * F.col("k")) / F.sum("a")).alias("centre"), F.sum("a").alias("mass"), F.percentile("a", F.lit(0.75)).alias("q"))
-    return l.join(c, "frame").groupBy("frame").agg(r6(F.first("centre")).alias("centre"), r6(F.sqrt(F.sum(F.col("a") * F.pow(F.col("k") - F.col("centre"), F.lit(2.0))) / F.first("mass"))).alias("dispersion"), F.count_if(F.col("a") >= F.col("q")).alias("top"))
+    return aggregate.activation(frames(spark, d), "frame", "emb").select("frame", r6("centre").alias("centre"), r6("dispersion").alias("dispersion"), "top")
 
 
 @query(f"WITH {CELLS}, m AS (SELECT entity, visit, avg(value) AS m FROM cells GROUP BY ALL), s AS (SELECT var_pop(m) AS s FROM m), t AS (SELECT var_pop(value) AS t, count(DISTINCT measure) AS e FROM cells) SELECT {q6('s / t')} AS shared, {q6('1.0 / e')} AS floor FROM s, t")
 def e30_shared_variance(spark, d):
-    c = cells(spark, d)
-    s = c.groupBy("entity", "visit").agg(F.avg("value").alias("m")).agg(F.var_pop("m").alias("s"))
-    t = c.agg(F.var_pop("value").alias("t"), F.count_distinct("measure").alias("e"))
-    return s.crossJoin(t).select(r6(F.col("s") / F.col("t")).alias("shared"), r6(1.0 / F.col("e")).alias("floor"))
+    x = aggregate.shared_variance(cells(spark, d), ["entity", "visit"], "measure", "value")
+    return x.select(r6("shared").alias("shared"), r6("floor").alias("floor"))
 
 
 _RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
@@ -247,6 +240,17 @@ def e33_chi_square(spark, d):
     return aggregate.chi_square(shots(spark, d), "source", "stratum").withColumn("chi2", r6("chi2"))
 
 
+_SERIES = "list_sum(list_transform(range(30), lambda k: CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * pow(x, 2 * k + 1) / (factorial(CAST(k AS INTEGER))::DOUBLE * (2 * k + 1))))"
+
+
+@query(f"""WITH {ENTITY_LAG}, r AS (SELECT grp = 'SGA' AS g, {_RANK.format('lag')} AS r FROM entity_lag), t AS (SELECT sum(pow(c, 3) - c) AS t FROM (SELECT count(*) AS c FROM r GROUP BY r)), s AS (SELECT sum(r) FILTER (g) AS s, count_if(g)::DOUBLE AS n1, count_if(NOT g)::DOUBLE AS n0 FROM r),
+ u AS (SELECT s - n1 * (n1 + 1) / 2 AS u, n1, n0, sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - t / ((n1 + n0) * (n1 + n0 - 1)))) AS sd FROM s, t), z AS (SELECT *, sign(u - n1 * n0 / 2) * greatest(abs(u - n1 * n0 / 2) - 0.5, 0) / sd AS z FROM u), x AS (SELECT *, abs(z) / sqrt(2::DOUBLE) AS x FROM z)
+SELECT {q6('u')} AS u, {q6('z')} AS z, CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, {q6(f'1 - 2 / sqrt(pi()) * {_SERIES}')} AS p FROM x""")
+def e33_mann_whitney(spark, d):
+    x = entity_lag(spark, d).withColumn("g", (F.col("grp") == "SGA").cast("int"))
+    return aggregate.mann_whitney(x, "g", "lag").select(r6("u").alias("u"), r6("z").alias("z"), "n1", "n0", r6("p").alias("p"))
+
+
 @query(f"WITH {ENTITY_LAG}, v AS (SELECT lag, sum(count_if(grp = 'SGA')) OVER w AS a, sum(count_if(grp = 'LGA')) OVER w AS b FROM entity_lag GROUP BY lag WINDOW w AS (ORDER BY lag)), n AS (SELECT count_if(grp = 'SGA') AS na, count_if(grp = 'LGA') AS nb FROM entity_lag) SELECT {q6('max(abs(a / na::DOUBLE - b / nb::DOUBLE))')} AS ks FROM v, n")
 def e33_ks_distance(spark, d):
     return aggregate.ks_distance(entity_lag(spark, d), "grp", "SGA", "LGA", "lag").withColumn("ks", r6("ks"))
@@ -266,3 +270,20 @@ def e34_random_effects(spark, d):
 def e35_tertile_gradient(spark, d):
     x = windows.percentile_cut(entity_lag(spark, d), "lag", [1 / 3, 2 / 3], "tertile")
     return x.groupBy("tertile").agg(F.count("*").alias("n"), r6(F.avg("percentile")).alias("percentile"))
+
+
+@query(f"WITH {ENTITY_LAG}, c AS (SELECT quantile_cont(lag, 0.9) AS c FROM entity_lag), r AS (SELECT lag > c AS g, {_RANK.format('percentile')} AS r FROM entity_lag, c) SELECT {q6('(sum(r) FILTER (g) - count_if(g) * (count_if(g) + 1) / 2.0) / (count_if(g) * count_if(NOT g))')} AS auc, count_if(g) AS n1 FROM r")
+def e35_top_decile(spark, d):
+    """How well the percentile tells the top tenth by lag."""
+    x = windows.percentile_cut(entity_lag(spark, d), "lag", [0.9], "top")
+    return aggregate.auc(x, "top", "percentile").select(r6("auc").alias("auc"), "n1")
+
+
+@query(f"""WITH {FRAMES}, x AS (SELECT entity, frame, y, r, row_number() OVER (PARTITION BY r, entity ORDER BY (frame * 7919 + r * 104729 + frame * r * 31) % 10007, frame) % 2 AS i FROM frames, range(1, 21) q(r)), h AS (SELECT r, entity, avg(y) FILTER (i = 0) AS a, avg(y) FILTER (i = 1) AS b, count(*) AS n FROM x GROUP BY ALL),
+ c AS (SELECT least, r, corr(a, b) AS c, count(*) AS e FROM h, (SELECT unnest([2, 4, 6]) AS least) WHERE n >= least GROUP BY ALL) SELECT least, {q6('avg(c)')} AS r, {q6('avg(2 * c / (1 + c))')} AS reliability, max(e) AS entities FROM c GROUP BY least""")
+def e21_random_halves(spark, d):
+    """Reliability over random halves, by the frames an entity must have."""
+    from panelforge.operators.resample import arithmetic_order
+
+    x = inference.split_halves(frames(spark, d), "entity", "frame", "y", 20, order=arithmetic_order())
+    return x.select("least", r6("r").alias("r"), r6("reliability").alias("reliability"), "entities")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.catalog.fixtures import ENTITY_LAG, FRAMES, codes, entity_lag, frames, wide
-from panelforge.operators import aggregate, geometry, linear, vectors, windows
+from panelforge.operators import aggregate, geometry, inference, linear, resample, vectors, windows
 from panelforge.registry import q6, query, r6
 
 FOLDS = 5
@@ -66,46 +66,81 @@ def i05_partial_correlation(spark, d):
     return e.agg(r6(linear.partial_correlation("lag", "size", "weeks")).alias("pearson"), r6(linear.partial_correlation("r_lag", "r_size", "r_weeks")).alias("spearman"))
 
 
+@query()
+def i05_train_fold(spark, d):
+    """Partial rank correlation given a cubic in time and a group, the nuisance fitted on the other folds only."""
+    e = entity_lag(spark, d)
+    for c in ("lag", "size"):
+        e = windows.ranked(e, c, f"r_{c}")
+    e = e.withColumns({"t": F.col("weeks").cast("double"), "sex": (F.col("entity") % 2).cast("double"), "fold": linear.hashed_fold("entity", FOLDS)})
+    e = e.withColumns({"t2": F.col("t") * F.col("t") / 100, "t3": F.col("t") * F.col("t") * F.col("t") / 10000})
+    x = linear.residuals(e, ["r_lag", "r_size"], ["t", "t2", "t3", "sex"], fold="fold")
+    return x.agg(r6(F.corr("r_lag_res", "r_size_res")).alias("r"), F.count("*").alias("n"))
+
+
 @query(f"WITH {FRAMES}, {_FOLD} SELECT entity, fold FROM folds")
 def i06_dealt_folds(spark, d):
     return linear.dealt_folds(frames(spark, d), "entity", FOLDS)
 
 
-@query()
+_EQUAL = "f AS (SELECT *, entity * 7919 % 10007 % 5 AS fold FROM frames)"
+_RIDGE1 = "s AS (SELECT g.{k}, g.fold, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, covar_pop(x, y) AS c FROM {t} f JOIN (SELECT DISTINCT {k}, fold FROM {t}) g ON f.{k} = g.{k} AND f.fold <> g.fold GROUP BY ALL)"
+
+
+def _equal(spark, d):
+    """Frames with folds that SQL can state."""
+    return frames(spark, d).withColumn("fold", (F.col("entity") * 7919 % 10007 % 5).cast("int"))
+
+
+@query(f"""WITH {FRAMES}, {_EQUAL}, l AS (SELECT unnest(['stratum', 'pooled']) AS level, unnest([stratum, -1]) AS stratum, x1 AS x, y, fold FROM f), k AS (SELECT level || stratum AS k, * FROM l), {_RIDGE1.format(k='k', t='k')}
+SELECT level, stratum, count(*) AS n, {q6('1 - sum(pow(y - my - (x - mx) * (n * c / (n * vx + vx)), 2)) / (var_pop(y) * count(*))')} AS r2 FROM k JOIN s ON k.k = s.k AND k.fold = s.fold GROUP BY ALL HAVING count(*) >= 10""")
 def i07_clock_by_stratum(spark, d):
-    f = _folded(spark, d).withColumn("k", F.concat_ws("|", F.col("stratum").cast("string"), F.col("fold").cast("string")))
-    g = linear.grams(linear.design(f, ["x1", "x2", "x3"], ["y"], keep=["k"]), "k")
-    rows = {}
-    for s in sorted({k.split("|")[0] for k in g}):
-        own = {k: m for k, m in g.items() if k.split("|")[0] == s}
-        total, rss = sum(own.values()), 0.0
-        for m in own.values():
-            v = np.append(-linear.ridge(total - m, 3, 1.0)[:, 0], 1.0)
-            rss += v @ m @ v
-        rows[s] = 1 - rss / (linear.moments_of(total, 0)[2][-1, -1] * total[0, 0])
-    return _result(spark, rows)
+    """A clock for each stratum of enough rows, and the pooled one."""
+    f = _equal(spark, d)
+    both = f.select(F.lit("stratum").alias("level"), F.col("stratum"), "x1", "y", "fold").union(f.select(F.lit("pooled"), F.lit(-1), "x1", "y", "fold"))
+    return inference.clocks(both, ["level", "stratum"], ["x1"], "y", alpha=1.0, least=10).withColumn("r2", r6("r2"))
+
+
+@query()
+def i07_clock_by_layer(spark, d):
+    """A clock for each layer (eighths of the vector) and stratum, from 40 rows."""
+    f = _folded(spark, d).select("stratum", "fold", "y", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("emb", i * 8 + 1, 8))).alias("layer", "v"))
+    return inference.clocks(f, ["layer", "stratum"], "v", "y", least=40).withColumn("r2", r6("r2"))
 
 
 @query()
 def i08_appearance_lag(spark, d):
-    f = _folded(spark, d)
-    p = linear.cross_validated(f, "emb", "y", alpha=50.0).predict(f).withColumn("lag", F.col("pred") - F.col("y"))
-    return p.groupBy("entity").agg(r6(F.avg("lag")).alias("lag"), F.count("*").alias("n"))
+    """Lag of the mean of two encoders' predictions (the halves of the vector), per entity."""
+    f = _folded(spark, d).withColumns({"first": F.slice("emb", 1, 32), "second": F.slice("emb", 33, 32)})
+    for name in ("first", "second"):
+        f = linear.cross_validated(f, name, "y", alpha=50.0).predict(f, name=f"p_{name}")
+    lag = lambda p: r6(F.avg(p - F.col("y")))
+    return f.groupBy("entity").agg(lag((F.col("p_first") + F.col("p_second")) / 2).alias("lag"), lag(F.col("p_first")).alias("first"), lag(F.col("p_second")).alias("second"), F.count("*").alias("n"))
 
 
 @query()
 def i09_weighted_ridge(spark, d):
-    f = windows.balance_weights(_folded(spark, d), "y", 18, 28, 8)
-    p = linear.cross_validated(f, ["x1", "x2", "x3"], "y", alpha=1.0, weight=F.col("weight")).predict(f)
-    calibrated = linear.cross_validated(p, ["pred"], "y", alpha=0.0).predict(p, name="calibrated")
-    return calibrated.agg(r6(F.corr("pred", "y")).alias("r"), r6(F.regr_slope("y", "calibrated")).alias("slope"), F.count("*").alias("n"))
+    """Balance weights of the training rows, predictions calibrated by nested folds."""
+    f = _folded(spark, d)
+    p = inference.calibrated(f, "emb", "y", 18, 28, 8, alpha=50.0).predict(f)
+    return p.agg(r6(F.corr("pred", "y")).alias("r"), r6(F.regr_slope("y", "pred")).alias("slope"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {FRAMES}, {_EQUAL}, l AS (SELECT 'x1' AS k, x1 AS x, y, fold FROM f UNION ALL SELECT 'x2', x2, y, fold FROM f), {_RIDGE1.format(k='k', t='l')}
+SELECT l.k AS metric, {q6('1 - sum(pow(y - my - (x - mx) * (n * c / (n * vx + vx)), 2)) / (var_pop(y) * count(*))')} AS value FROM l JOIN s ON l.k = s.k AND l.fold = s.fold GROUP BY l.k""")
+def i10_feature_sets(spark, d):
+    """Out-of-fold R2 of single features (what more features add, over seeds, is k09)."""
+    f = _equal(spark, d)
+    return _result(spark, {c: linear.held_out_r2(f, [c], "y", alpha=1.0) for c in ("x1", "x2")})
 
 
 @query()
 def i10_increment(spark, d):
-    f = _folded(spark, d)
-    a, b = linear.held_out_r2(f, ["x1"], "y", alpha=1.0), linear.held_out_r2(f, ["x1", "x2", "x3"], "y", alpha=1.0)
-    return _result(spark, {"a": a, "b": b, "increment": b - a})
+    """What the whole vector adds to its first three components, with the spread over fold seeds."""
+    f = frames(spark, d).select("entity", "y", *[F.col("emb")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    names = [f"e{i}" for i in range(64)]
+    x = inference.increments(f, names[:3], names[3:], "y", "entity", 10, alpha=50.0)
+    return inference.spread(x, "increment").select(*[r6(c).alias(c) for c in ("mean", "low", "high", "not_above")], "seeds")
 
 
 def _logistic(f, columns, name):
@@ -121,7 +156,7 @@ def _logistic(f, columns, name):
 
 
 def _labelled(spark, d):
-    return _folded(spark, d).withColumn("label", (F.col("y") > 22.5).cast("int")).cache()
+    return _folded(spark, d).withColumn("label", (F.col("y") > 22.5).cast("int"))
 
 
 @query()
@@ -133,11 +168,12 @@ def i11_logistic_folds(spark, d):
 
 @query()
 def i12_decision_fusion(spark, d):
+    """Sum of the blocks' log odds, the joint model, and the best single block."""
     f = _labelled(spark, d)
     odds = lambda c: F.ln(F.greatest(F.col(c), F.lit(1e-6)) / F.greatest(1 - F.col(c), F.lit(1e-6)))
-    p = _logistic(f, ["x1"], "a").join(_logistic(f, ["x2"], "b"), "frame").join(f.select("frame", "label"), "frame").withColumn("fused", odds("a") + odds("b"))
-    rows = [(n, aggregate.auc(p, "label", n).first()["auc"]) for n in ("a", "b", "fused")]
-    return _result(spark, dict(rows))
+    p = _logistic(f, ["x1"], "a").join(_logistic(f, ["x2"], "b"), "frame").join(_logistic(f, ["x1", "x2"], "joint"), "frame").join(f.select("frame", "label"), "frame").withColumn("fused", odds("a") + odds("b"))
+    rows = {n: aggregate.auc(p, "label", n).first()["auc"] for n in ("a", "b", "fused", "joint")}
+    return _result(spark, rows | {"best_single": max(rows["a"], rows["b"])})
 
 
 @query()
@@ -148,6 +184,22 @@ def i13_pca(spark, d):
     return spark.createDataFrame([(i, float(v), float(s)) for i, (v, s) in enumerate(zip(values, share.cumsum()))], "axis int, variance double, retained double").select("axis", r6("variance").alias("variance"), r6("retained").alias("retained"))
 
 
+@query()
+def i13_pca_by_stratum(spark, d):
+    return inference.pca_by(frames(spark, d), "stratum", "emb", 5).select("stratum", "axis", r6("variance").alias("variance"), r6("retained").alias("retained"))
+
+
+@query()
+def i13_scores(spark, d):
+    """Entity means beside the vector's own components (complete cases), on their two main axes."""
+    f = frames(spark, d)
+    m = vectors.mean_by(f, ["entity"], "emb").select("entity", F.col("mean").alias("pool"))
+    x = f.join(m, "entity").select("frame", F.concat(F.transform("emb", lambda v: v.cast("double")), "pool").alias("v"))
+    _, mean, cov = linear.moments_of(linear.total_gram(linear.design(x, "v")))
+    s = inference.scores(x, "v", mean, linear.principal(cov, 2)[1])
+    return s.select("frame", *[r6(F.col("scores")[i]).alias(f"s{i}") for i in range(2)])
+
+
 @query()
 def i14_velocity_jacobian(spark, d):
     """Per transition: velocity regressed on position, ridge on the intercept too."""
@@ -159,22 +211,27 @@ def i14_velocity_jacobian(spark, d):
     for k, g in sorted(linear.grams(linear.design(x, names, ["v_click", "v_view"], keep=["visit"]), "visit").items()):
         w_ = np.linalg.solve(g[:3, :3] + np.eye(3), g[:3, 3:])
         j = w_[1:].T
-        rows.append((int(k), float(np.trace(j)), float(np.linalg.eigvals(j).real.max()), int(round(g[0, 0]))))
-    return spark.createDataFrame(rows, "visit int, trace double, largest double, n long").select("visit", r6("trace").alias("trace"), r6("largest").alias("largest"), "n")
+        values, axes = np.linalg.eig(j)
+        fixed, axis = -np.linalg.pinv(j) @ w_[0], axes[:, values.real.argmax()].real
+        axis = axis / np.linalg.norm(axis) * np.sign(axis[np.abs(axis).argmax()])
+        rows.append((int(k), float(np.trace(j)), float(values.real.max()), *map(float, fixed), *map(float, axis), int(round(g[0, 0]))))
+    columns = ["trace", "largest", "fixed_click", "fixed_view", "axis_click", "axis_view"]
+    x = spark.createDataFrame(rows, "visit int, " + ", ".join(f"{c} double" for c in columns) + ", n long")
+    return x.select("visit", *[r6(c).alias(c) for c in columns], "n")
 
 
 @query()
 def i15_canonical_correlation(spark, d):
-    f = _folded(spark, d).select("fold", F.slice("emb", 1, 8).alias("a"), F.slice("emb", 9, 8).alias("b")).select("fold", F.concat("a", "b").alias("v"))
-    g = linear.grams(linear.design(f, "v", keep=["fold"]), "fold")
-    return _result(spark, {"in_sample": linear.canonical(linear.moments_of(sum(g.values()))[2], 8)[0][0], "held_out": linear.held_out_canonical(g, 8)})
+    """Of the halves of the vector."""
+    g = linear.grams(linear.design(_folded(spark, d), "emb", keep=["fold"]), "fold")
+    return _result(spark, {"in_sample": linear.canonical(linear.moments_of(sum(g.values()))[2], 32)[0][0], "held_out": linear.held_out_canonical(g, 32)})
 
 
 @query()
 def i16_adjustment_ladder(spark, d):
-    f = frames(spark, d).select(F.concat(F.transform(F.slice("emb", 4, 6), lambda v: v.cast("double")), F.array("y", "x1", "x2", F.col("stratum").cast("double"))).alias("v"))
+    f = frames(spark, d).select(F.concat(F.transform(F.slice("emb", 4, 61), lambda v: v.cast("double")), F.array("y", "x1", "x2", F.col("stratum").cast("double"))).alias("v"))
     _, cov = linear.covariance(f, "v")
-    return _result(spark, linear.ladder(cov, range(6), [6], {"raw": [], "time": [7], "time+size": [7, 8], "time+size+block": [7, 8, 9]}))
+    return _result(spark, linear.ladder(cov, range(61), [61], {"raw": [], "time": [62], "time+size": [62, 63], "time+size+block": [62, 63, 64]}))
 
 
 def _variables(spark, d):
@@ -202,9 +259,17 @@ def i18_split_screen(spark, d):
 
 @query()
 def i19_o_information(spark, d):
-    _, cov = linear.covariance(frames(spark, d), ["x1", "x2", "x3", "y"])
-    tc, dtc, omega, low = linear.o_information(cov)
-    return _result(spark, {"total": tc, "dual": dtc, "omega": omega, "least_eigenvalue": low})
+    """Over all rows and per tertile of y, with the conditioning of the correlations."""
+    f = windows.percentile_cut(frames(spark, d), "y", [1 / 3, 2 / 3], "tertile")
+    g = linear.grams(linear.design(f, ["x1", "x2", "x3", "y"], keep=["tertile"]), "tertile")
+    rows = []
+    for name, m in [("all", sum(g.values())), *((f"tertile {k}", v) for k, v in sorted(g.items()))]:
+        tc, dtc, omega, low = linear.o_information(linear.moments_of(m)[2])
+        high = float(np.linalg.eigvalsh(inference.correlation(m))[-1])
+        rows.append((name, int(round(m[0, 0])), *map(float, (tc, dtc, omega, low, high / low))))
+    columns = ["total", "dual", "omega", "least_eigenvalue", "condition"]
+    x = spark.createDataFrame(rows, "stratum string, n long, " + ", ".join(f"{c} double" for c in columns))
+    return x.select("stratum", "n", *[r6(c).alias(c) for c in columns])
 
 
 @query()
@@ -214,20 +279,38 @@ def i20_factor_analysis(spark, d):
     return spark.createDataFrame([(i, float(m), float(abs(l[0])), float(p)) for i, (m, l, p) in enumerate(zip(mean, load, psi))], "column int, mean double, loading double, noise double")
 
 
+@query()
+def i20_posterior_means(spark, d):
+    """Expected factors of every visit, from a model that leaves out the factors it doesn't need."""
+    w = wide(spark, d).select("entity", "visit", F.array("click", "error", "purchase", "signup", "view").alias("v"))
+    s = w.select(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(5)], *[F.stddev_pop(F.col("v")[i]).alias(f"s{i}") for i in range(5)])
+    w = w.crossJoin(F.broadcast(s)).select("entity", "visit", F.array(*[(F.col("v")[i] - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(5)]).alias("v"))
+    mean, load, psi = linear.factor_analysis(w, "v", 2, 60, ard=True)
+    x = inference.posterior_means(w, "v", mean, load, psi)
+    return x.select("entity", "visit", *[r6(F.abs(F.col("factors")[i])).alias(f"f{i}") for i in range(2)])
+
+
 @query()
 def i21_spectrum(spark, d):
-    """Participation ratio, eigenvalues against column-wise permutations, and angles between halves."""
+    """Leading eigenvalues with bootstrap intervals beside those of permuted columns: mean and 95th percentile."""
+    f = frames(spark, d)
+    g = linear.total_gram(linear.design(f, "emb"))
+    values = np.linalg.eigvalsh(inference.correlation(g))[::-1][:5]
+    real = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "axis int, value double")
+    null = inference.null_spectra(f, "frame", "emb", 20).groupBy("axis").agg(F.avg("value").alias("null_mean"), F.percentile("value", F.lit(0.95)).alias("null_p95"))
+    boot = inference.bootstrap_spectra(f, "entity", "emb", 20).groupBy("axis").agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
+    x = real.join(null, "axis").join(boot, "axis")
+    return x.select("axis", *[r6(c).alias(c) for c in ("value", "low", "high", "null_mean", "null_p95")], (F.col("value") > F.col("null_p95")).alias("above"))
+
+
+@query()
+def i21_stability(spark, d):
+    """Participation ratio, axes up to 90 and 95 % of the variance, and the angle between halves of the entities over splits."""
     f = frames(spark, d)
-    _, cov = linear.covariance(f, "emb")
-    sd = np.sqrt(np.diag(cov))
-    values, axes = linear.principal(cov / np.outer(sd, sd), 5)
-    long = f.select("frame", F.posexplode(F.slice("emb", 1, 12)).alias("dim", "v"))
-    w = Window.partitionBy("dim")
-    shuffled = long.withColumn("i", F.row_number().over(w.orderBy(F.xxhash64("frame", "dim")))).groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("v"))
-    _, null = linear.covariance(shuffled, "v")
-    nsd = np.sqrt(np.diag(null))
-    halves = [linear.principal(linear.covariance(f.where(F.col("frame") % 2 == h), "emb")[1], 2)[1] for h in (0, 1)]
-    return _result(spark, {"participation": linear.participation(np.linalg.eigvalsh(cov)), "first": values[0], "null_first": np.linalg.eigvalsh(null / np.outer(nsd, nsd))[-1], "angle": linear.principal_angles(*halves)[0]})
+    values = np.linalg.eigvalsh(linear.covariance(f, "emb")[1])[::-1]
+    share = values.cumsum() / values.sum()
+    a = inference.half_angles(f, "entity", "emb", 20).agg(F.avg("angle").alias("m"), F.max("angle").alias("x")).first()
+    return _result(spark, {"participation": linear.participation(values), "axes_90": int((share < 0.9).sum()) + 1, "axes_95": int((share < 0.95).sum()) + 1, "angle": a.m, "largest_angle": a.x})
 
 
 @query()

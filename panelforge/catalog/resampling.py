@@ -9,6 +9,8 @@ from panelforge.operators import resample
 from panelforge.registry import q6, query, r6
 
 R = 40
+#: Replicates where a p value comes out.
+RP = 200
 _ORDER = resample.arithmetic_order()
 _KEY = "({k} * 7919 + r * 104729 + {k} * r * 31) % 10007"
 
@@ -19,26 +21,27 @@ def _entities(spark, d):
 
 _ENT = ENTITY_LAG + ", ent AS (SELECT *, entity % 3 AS grp2 FROM entity_lag)"
 _REPS = f"reps AS (SELECT unnest(range(1, {R + 1})) AS r)"
+_REPS_P = f"reps AS (SELECT unnest(range(1, {RP + 1})) AS r)"
 
 
 def _perm(by: str) -> str:
     part = f"PARTITION BY r{by}"
     return f"""a AS (SELECT e.*, r, row_number() OVER ({part} ORDER BY entity) AS i FROM ent e, reps), b AS (SELECT r{by}, row_number() OVER ({part} ORDER BY {_KEY.format(k='entity')}, entity) AS i, lag AS lag_perm FROM ent e, reps),
  n AS (SELECT a.r, abs(corr(a.size, b.lag_perm)) AS s FROM a JOIN b ON a.r = b.r AND a.i = b.i{' AND a.grp2 = b.grp2' if by else ''} GROUP BY a.r), o AS (SELECT abs(corr(size, lag)) AS o FROM ent)
-SELECT {q6('any_value(o)')} AS observed, {q6(f'(1 + count_if(s >= o)) / {R + 1}.0')} AS p, {q6('avg(s)')} AS null_mean, {q6('quantile_cont(s, 0.95)')} AS null_p95 FROM n, o"""
+SELECT {q6('any_value(o)')} AS observed, {q6(f'(1 + count_if(s >= o - 1e-9)) / {RP + 1}.0')} AS p, {q6('avg(s)')} AS null_mean, {q6('quantile_cont(s, 0.95)')} AS null_p95 FROM n, o"""
 
 
 def _test(spark, d, strata):
-    x = resample.permutation_test(_entities(spark, d), "entity", "lag", lambda t: F.corr("size", t), R, _ORDER, strata)
+    x = resample.permutation_test(_entities(spark, d), "entity", "lag", lambda t: F.corr("size", t), RP, _ORDER, strata)
     return x.select(*[r6(c).alias(c) for c in ("observed", "p", "null_mean", "null_p95")])
 
 
-@query(f"WITH {_ENT}, {_REPS}, {_perm('')}")
+@query(f"WITH {_ENT}, {_REPS_P}, {_perm('')}")
 def k01_row_permutation(spark, d):
     return _test(spark, d, [])
 
 
-@query(f"WITH {_ENT}, {_REPS}, {_perm(', grp2')}")
+@query(f"WITH {_ENT}, {_REPS_P}, {_perm(', grp2')}")
 def k02_stratified_permutation(spark, d):
     return _test(spark, d, ["grp2"])
 
@@ -92,17 +95,32 @@ def k08_paired_bootstrap(spark, d):
     return x.select(*[r6(c).alias(c) for c in ("low", "high", "above")], "replicates")
 
 
-@query()
+_FOLDS = "f AS (SELECT f.*, seed, (entity * 7919 + seed * 104729 + entity * seed * 31) % 10007 % 5 AS fold FROM frames f, range(1, 21) q(seed))"
+# a ridge on two standardised features and on the first of them, from the sums of the training rows
+_RIDGE2 = """s AS (SELECT g.seed, g.fold, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS r, covar_pop(x1, y) / stddev_pop(x1) AS c1, covar_pop(x2, y) / stddev_pop(x2) AS c2 FROM f JOIN (SELECT DISTINCT seed, fold FROM f) g ON f.seed = g.seed AND f.fold <> g.fold GROUP BY ALL),
+ w AS (SELECT *, n * c1 / (n + 1) AS b, ((n + 1) * n * c1 - n * r * n * c2) / ((n + 1) * (n + 1) - n * r * n * r) AS b1, ((n + 1) * n * c2 - n * r * n * c1) / ((n + 1) * (n + 1) - n * r * n * r) AS b2 FROM s),
+ e AS (SELECT f.seed, 1 - sum(pow(y - my - (x1 - m1) / s1 * b, 2)) / (var_pop(y) * count(*)) AS small, 1 - sum(pow(y - my - (x1 - m1) / s1 * b1 - (x2 - m2) / s2 * b2, 2)) / (var_pop(y) * count(*)) AS joint FROM f JOIN w ON f.seed = w.seed AND f.fold = w.fold GROUP BY f.seed)"""
+
+
+def _increments(spark, d):
+    from panelforge.operators.inference import increments
+
+    k, s = F.col("entity"), F.col("seed")
+    fold = lambda _: ((k * 7919 + s * 104729 + k * s * 31) % 10007 % 5).cast("int")
+    return increments(frames(spark, d), ["x1"], ["x2"], "y", "entity", 20, fold=fold)
+
+
+@query(f"WITH {FRAMES}, {_FOLDS}, {_RIDGE2} SELECT {q6('avg(joint - small)')} AS mean, {q6('quantile_cont(joint - small, 0.025)')} AS low, {q6('quantile_cont(joint - small, 0.975)')} AS high, {q6('avg((joint - small <= 0)::INT)')} AS not_above, count(*) AS seeds FROM e")
 def k09_seed_spread(spark, d):
     """Increment of features A+B over A across independent fold seeds (never by resampling rows)."""
-    from panelforge.operators.linear import hashed_fold, held_out_r2
+    from panelforge.operators.inference import spread
+
+    return spread(_increments(spark, d), "increment").select(*[r6(c).alias(c) for c in ("mean", "low", "high", "not_above")], "seeds")
 
-    f = frames(spark, d)
-    rows = []
-    for seed in range(3):
-        x = f.withColumn("fold", hashed_fold("entity", 5, seed))
-        rows.append((seed, float(held_out_r2(x, ["x1", "x2"], "y", alpha=1.0) - held_out_r2(x, ["x1"], "y", alpha=1.0))))
-    return spark.createDataFrame(rows, "seed int, increment double")
+
+@query(f"WITH {FRAMES}, {_FOLDS}, {_RIDGE2} SELECT CAST(seed AS INTEGER) AS seed, {q6('small')} AS small, {q6('joint')} AS joint, {q6('joint - small')} AS increment FROM e")
+def k09_increments(spark, d):
+    return _increments(spark, d).select("seed", *[r6(c).alias(c) for c in ("small", "joint", "increment")])
 
 
 @query(f"WITH {_ENT}, {_REPS}, s AS (SELECT r, share, corr(lag, size) AS s FROM (SELECT *, unnest([0.25, 0.5, 1.0])::DOUBLE AS share FROM ent, reps) WHERE {_KEY.format(k='entity')} < share * 10007 GROUP BY r, share) SELECT share, {q6('avg(s)')} AS mean, {q6('stddev_samp(s)')} AS sd, count(*) AS n FROM s GROUP BY share")
@@ -118,12 +136,20 @@ def k11_positive_control(spark, d):
     return resample.gate(one.unpivot([], ["control", "size", "weeks"], "metric", "v"), "control", "metric", "v", 0.5).select("metric", r6("v").alias("v"), "valid")
 
 
-@query(f"WITH {_ENT}, {_REPS}, a AS (SELECT e.*, r, row_number() OVER (PARTITION BY r ORDER BY entity) AS i FROM ent e, reps), b AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY {_KEY.format(k='entity')}, entity) AS i, lag AS l2 FROM ent e, reps), n AS (SELECT a.r, unnest(['size', 'weeks', 'percentile']) AS variable, unnest([abs(corr(size, l2)), abs(corr(weeks, l2)), abs(corr(percentile, l2))]) AS s FROM a JOIN b ON a.r = b.r AND a.i = b.i GROUP BY a.r) SELECT variable, {q6('quantile_cont(s, 0.5)')} AS median, {q6('max(s)')} AS largest FROM n GROUP BY variable")
+@query(f"""WITH {_ENT}, {_REPS_P}, a AS (SELECT e.*, r, row_number() OVER (PARTITION BY r ORDER BY entity) AS i FROM ent e, reps), b AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY {_KEY.format(k='entity')}, entity) AS i, lag AS l2 FROM ent e, reps),
+ n AS (SELECT unnest([round_even(abs(corr(size, l2)), 9), round_even(abs(corr(weeks, l2)), 9), round_even(abs(corr(percentile, l2)), 9)]) AS s FROM a JOIN b ON a.r = b.r AND a.i = b.i GROUP BY a.r), o AS (SELECT unnest([round_even(abs(corr(size, lag)), 9), round_even(abs(corr(weeks, lag)), 9), round_even(abs(corr(percentile, lag)), 9)]) AS s FROM ent),
+ k AS (SELECT max(abs((SELECT avg((o.s <= x.s)::INT) FROM o) - (SELECT avg((n.s <= x.s)::INT) FROM n))) AS ks FROM (SELECT s FROM n UNION ALL SELECT s FROM o) x)
+SELECT {q6('(SELECT quantile_cont(s, 0.5) FROM o)')} AS real_median, {q6('(SELECT quantile_cont(s, 0.9) FROM o)')} AS real_p90, {q6('(SELECT max(s) FROM o)')} AS real_largest, {q6('(SELECT quantile_cont(s, 0.5) FROM n)')} AS null_median, {q6('(SELECT quantile_cont(s, 0.9) FROM n)')} AS null_p90, {q6('(SELECT max(s) FROM n)')} AS null_largest, {q6('ks')} AS ks FROM k""")
 def k12_matched_null(spark, d):
-    p = resample.permuted(_entities(spark, d), "entity", "lag", R, _ORDER)
+    """|r| of all variables against the same of shuffled targets: quantiles of both, and the distance of their distributions."""
+    from panelforge.operators.inference import null_distance
+
     names = ["size", "weeks", "percentile"]
-    n = p.groupBy("replicate").agg(*[F.abs(F.corr(c, "lag_perm")).alias(c) for c in names]).unpivot(["replicate"], names, "variable", "s")
-    return n.groupBy("variable").agg(r6(F.percentile("s", F.lit(0.5))).alias("median"), r6(F.max("s")).alias("largest"))
+    stats = lambda target: [F.bround(F.abs(F.corr(c, target)), 9).alias(c) for c in names]
+    real = _entities(spark, d).agg(*stats("lag")).unpivot([], names, "variable", "s")
+    null = resample.permuted(_entities(spark, d), "entity", "lag", RP, _ORDER).groupBy("replicate").agg(*stats("lag_perm")).unpivot(["replicate"], names, "variable", "s")
+    x = null_distance(real, null)
+    return x.select(*[r6(c).alias(c) for c in x.columns])
 
 
 @query(f"WITH {_ENT}, {_REPS}, h AS (SELECT r, ({_KEY.format(k='entity')}) % 2 AS half, unnest(['size', 'weeks', 'percentile']) AS variable, unnest([corr(lag, size), corr(lag, weeks), corr(lag, percentile)]) AS c FROM ent, reps GROUP BY r, half), pick AS (SELECT r, arg_max(variable, abs(c)) AS variable FROM h WHERE half = 0 GROUP BY r) SELECT p.variable, count(*) AS selected, {q6('avg(abs(h.c))')} AS tested FROM pick p JOIN h ON h.r = p.r AND h.variable = p.variable AND h.half = 1 GROUP BY p.variable")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelforge.catalog.fixtures import CELLS, ENTITY_LAG, FRAMES, SHOTS, VISITS, WIDE, cells, entity_lag, frames, shots, visits, wide
-from panelforge.operators import windows
+from panelforge.operators import inference, windows
 from panelforge.registry import q6, query, r6, table
 
 
@@ -98,6 +98,14 @@ def f12_robust_z(spark, d):
     return windows.robust_z(x, "r", "z").select("entity", r6("z").alias("z"))
 
 
+@query()
+def f12_spline_z(spark, d):
+    """Robust z of what a spline in time leaves of the log value; valid only within the guards."""
+    e = entity_lag(spark, d).select("entity", F.col("weeks").cast("double").alias("weeks"), (F.col("size") + 2000).alias("value"))
+    z = inference.spline_z(e, "value", "weeks")
+    return z.select("entity", r6("z").alias("z"), r6("with_time").alias("with_time"), r6("with_raw").alias("with_raw"), "valid")
+
+
 @query(f"WITH {ENTITY_LAG}, k AS (SELECT regr_slope(lag, weeks) AS k, regr_intercept(lag, weeks) AS c FROM entity_lag) SELECT entity, {q6('lag - k * weeks - c')} AS debiased FROM entity_lag, k")
 def f13_debiased_lag(spark, d):
     return windows.debiased(entity_lag(spark, d), "lag", "weeks").select("entity", r6("debiased").alias("debiased"))

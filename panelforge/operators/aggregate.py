@@ -65,6 +65,29 @@ def icc(df: DataFrame, key: str, value: str, ks: Sequence[int] = (1, 2, 4), leas
     return t.select("a", "N", "k0", "icc", *[(k * F.col("icc") / (1 + (k - 1) * F.col("icc"))).alias(f"rel_{k}") for k in ks])
 
 
+def code_position(codes: DataFrame, code: str, place: str, places: int, least: int = 20) -> DataFrame:
+    """Per code its rows, the sum of their places, and how concentrated it is over ``places`` places (1: in one, 0: even)."""
+    c = codes.groupBy(code, place).agg(F.count("*").alias("_c"))
+    t = c.groupBy(code).agg(F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col(place)).alias(f"{place}_sum")).where(F.col("n") >= least)
+    p = F.col("_c") / F.col("n")
+    return c.join(t, code).groupBy(code).agg(F.first("n").alias("n"), F.first(f"{place}_sum").alias(f"{place}_sum"), (1 + F.sum(p * F.ln(p)) / F.ln(F.lit(float(places)))).alias("concentration"))
+
+
+def activation(df: DataFrame, row: str, vector: str, share: float = 0.75) -> DataFrame:
+    """Centre and dispersion of a row's |activation| over places, and how many places reach its ``share`` quantile."""
+    x = df.select(row, F.posexplode(vector).alias("_k", "_v")).withColumn("_a", F.abs(F.col("_v").cast("double")))
+    c = x.groupBy(row).agg((F.sum(F.col("_a") * F.col("_k")) / F.sum("_a")).alias("centre"), F.sum("_a").alias("_m"), F.percentile("_a", F.lit(share)).alias("_q"))
+    gap = F.col("_k") - F.col("centre")
+    return x.join(c, row).groupBy(row).agg(F.first("centre").alias("centre"), F.sqrt(F.sum(F.col("_a") * gap * gap) / F.first("_m")).alias("dispersion"), F.count_if(F.col("_a") >= F.col("_q")).alias("top"))
+
+
+def shared_variance(long: DataFrame, by: Sequence[str], stream: str, value: str) -> DataFrame:
+    """Variance of the streams' mean over all variance, and the 1 / streams that independent streams give."""
+    s = long.groupBy(*by).agg(F.avg(value).alias("_m")).agg(F.var_pop("_m").alias("_s"))
+    t = long.agg(F.var_pop(value).alias("_t"), F.count_distinct(stream).alias("_e"))
+    return s.crossJoin(t).select((F.col("_s") / F.col("_t")).alias("shared"), (1.0 / F.col("_e")).alias("floor"))
+
+
 def bimodality(df: DataFrame, by: Sequence[str], value: str, least: int = 8) -> DataFrame:
     """(skew^2 + 1) / (kurtosis + 3 (n-1)^2 / ((n-2)(n-3))), population moments, from ``least`` rows."""
     g = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.skewness(value).alias("s"), F.kurtosis(value).alias("k")).where(F.col("n") >= least)
@@ -88,14 +111,17 @@ def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFr
 def normal_p(z: Column) -> Column:
     """Two-sided p of a normal deviate: the series of erf near zero, the continued fraction of erfc in the tail (about 1e-9)."""
     x = F.abs(z) / math.sqrt(2)
-    term, total = x, x
-    for k in range(1, 40):
-        term = -term * x * x / k
-        total = total + term / (2 * k + 1)
-    deep = F.lit(0.0)
-    for k in range(40, 0, -1):
-        deep = F.lit(k / 2) / (x + deep)
-    return F.when(x < 2, 1 - 2 / math.sqrt(math.pi) * total).otherwise(F.exp(-x * x) / (math.sqrt(math.pi) * (x + deep)))
+    near = F.least(x, F.lit(2.0))
+    steps = F.sequence(F.lit(1), F.lit(40))
+    first = F.struct(near.alias("term"), near.alias("total"))
+
+    def added(s: Column, k: Column) -> Column:
+        term = -s["term"] * near * near / k
+        return F.struct(term.alias("term"), (s["total"] + term / (2 * k + 1)).alias("total"))
+
+    series = F.aggregate(steps, first, added)["total"]
+    deep = F.aggregate(F.reverse(steps), F.lit(0.0), lambda acc, k: (k / 2.0) / (x + acc))
+    return F.when(x < 2, 1 - 2 / math.sqrt(math.pi) * series).otherwise(F.exp(-x * x) / (math.sqrt(math.pi) * (x + deep)))
 
 
 def mann_whitney(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.operators import linear, resample
+from panelforge.operators import linear, resample, windows
 from panelforge.operators.lineage import cut
 from panelforge.operators.vectors import matrix
 from panelforge.operators.windows import numbered
@@ -21,7 +21,7 @@ from panelforge.operators.windows import numbered
 
 def keyed(x: DataFrame, by: Sequence[str]) -> dict[tuple, np.ndarray]:
     """Gram matrices by few combined keys, on the driver."""
-    return {tuple(r[c] for c in by): linear._square(r["g"]) for r in linear.gram_table(x, by).toLocalIterator()}
+    return {tuple(r[c] for c in by): linear._square(r["gram"]) for r in linear.gram_table(x, by).toLocalIterator()}
 
 
 def fold_r2(grams: Sequence[np.ndarray], features: Sequence[int], alpha: float) -> float:
@@ -37,18 +37,18 @@ def fold_r2(grams: Sequence[np.ndarray], features: Sequence[int], alpha: float)
 
 
 def increments(df: DataFrame, small: Sequence[str], more: Sequence[str], target: str, entity: str, seeds: int, folds: int = 5, alpha: float = 1.0, fold: Callable[[str], Column] | None = None) -> DataFrame:
-    """``(seed, small, both, increment)``: out-of-fold R2 with and without more features, over independent fold seeds."""
+    """``(seed, small, joint, increment)``: out-of-fold R2 with and without more features, over independent fold seeds."""
     fold = fold or (lambda seed: F.pmod(F.xxhash64(F.col(entity), F.col(seed)), F.lit(folds)).cast("int"))
     x = resample.replicated(df, seeds, "seed").withColumn("fold", fold("seed"))
     x = linear.design(x, [*small, *more], [target], keep=["seed", "fold"])
     n_small, n_all = len(small), len(small) + len(more)
 
     def solved(table: pa.Table) -> pa.Table:
-        g = [linear._square(v) for v in table["g"].to_pylist()]
+        g = [linear._square(v) for v in table["gram"].to_pylist()]
         a, b = fold_r2(g, range(n_small), alpha), fold_r2(g, range(n_all), alpha)
-        return pa.table({"seed": table["seed"][:1], "small": [a], "both": [b], "increment": [b - a]})
+        return pa.table({"seed": table["seed"][:1], "small": [a], "joint": [b], "increment": [b - a]})
 
-    return linear.gram_table(x, ["seed", "fold"]).groupBy("seed").applyInArrow(solved, "seed int, small double, both double, increment double")
+    return linear.gram_table(x, ["seed", "fold"]).groupBy("seed").applyInArrow(solved, "seed int, small double, joint double, increment double")
 
 
 def spread(df: DataFrame, value: str) -> DataFrame:
@@ -103,7 +103,7 @@ def clocks(df: DataFrame, by: Sequence[str], features: str | Sequence[str], targ
     names = list(by)
 
     def solved(table: pa.Table) -> pa.Table:
-        g = [linear._square(v) for v in table["g"].to_pylist()]
+        g = [linear._square(v) for v in table["gram"].to_pylist()]
         n = int(round(sum(m[0, 0] for m in g)))
         rows = 1 if n >= least and len(g) > 1 else 0
         r2 = [fold_r2(g, range(g[0].shape[0] - 2), alpha)] if rows else []
@@ -167,14 +167,14 @@ def null_spectra(df: DataFrame, row: str, vector: str, replicates: int = 200, ax
         at, dim, v = (np.frombuffer(b"".join(table[c].to_pylist()), k) for c, k in (("at", "<i4"), ("dim", "<i4"), ("v", "<f8")))
         out = np.ones((int(at.max()) + 1, dims + 1))
         out[at, dim + 1] = v
-        return pa.table({"replicate": table["replicate"][:1], "g": pa.array([(out.T @ out).tobytes()], pa.binary())})
+        return pa.table({"replicate": table["replicate"][:1], "gram": pa.array([(out.T @ out).tobytes()], pa.binary())})
 
     def spectrum(table: pa.Table) -> pa.Table:
-        values = np.linalg.eigvalsh(correlation(linear._square(linear._added(table["g"]).tobytes())))[::-1][:axes]
+        values = np.linalg.eigvalsh(correlation(linear._square(linear._added(table["gram"]).tobytes())))[::-1][:axes]
         return pa.table({"replicate": pa.array([table["replicate"][0].as_py()] * len(values), pa.int32()), "axis": pa.array(range(len(values)), pa.int32()), "value": pa.array(values)})
 
     cells = x.repartition(max(1, min(n // 256, 512))).mapInArrow(moved, "replicate int, block long, at binary, dim binary, v binary")
-    sums = cells.groupBy("replicate", "block").applyInArrow(beside, "replicate int, g binary")
+    sums = cells.groupBy("replicate", "block").applyInArrow(beside, "replicate int, gram binary")
     return sums.groupBy("replicate").applyInArrow(spectrum, "replicate int, axis int, value double")
 
 
@@ -183,7 +183,7 @@ def bootstrap_spectra(df: DataFrame, entity: str, vector: str, replicates: int,
     x = linear.design(resample.poisson_weights(df, entity, replicates), vector, weight=F.col("weight"), keep=["replicate"])
 
     def spectrum(table: pa.Table) -> pa.Table:
-        values = np.linalg.eigvalsh(correlation(linear._square(table["g"][0].as_py())))[::-1][:axes]
+        values = np.linalg.eigvalsh(correlation(linear._square(table["gram"][0].as_py())))[::-1][:axes]
         return pa.table({"replicate": pa.array([table["replicate"][0].as_py()] * len(values), pa.int32()), "axis": pa.array(range(len(values)), pa.int32()), "value": pa.array(values)})
 
     return linear.gram_table(x, ["replicate"]).groupBy("replicate").applyInArrow(spectrum, "replicate int, axis int, value double")
@@ -195,7 +195,7 @@ def half_angles(df: DataFrame, entity: str, vector: str, replicates: int, axes:
     x = linear.design(resample.replicated(df, replicates).withColumn("half", half), vector, keep=["replicate", "half"])
 
     def angle(table: pa.Table) -> pa.Table:
-        both = [linear.principal(linear.moments_of(linear._square(g))[2], axes)[1] for g in table["g"].to_pylist()]
+        both = [linear.principal(linear.moments_of(linear._square(g))[2], axes)[1] for g in table["gram"].to_pylist()]
         return pa.table({"replicate": table["replicate"][: len(both) - 1], "angle": pa.array([float(linear.principal_angles(*both)[0])] if len(both) == 2 else [], pa.float64())})
 
     return linear.gram_table(x, ["replicate", "half"]).groupBy("replicate").applyInArrow(angle, "replicate int, angle double")
@@ -206,7 +206,7 @@ def pca_by(df: DataFrame, by: str, vector: str, axes: int) -> DataFrame:
     x = linear.design(df, vector, keep=[by])
 
     def solved(table: pa.Table) -> pa.Table:
-        cov = linear.moments_of(linear._square(table["g"][0].as_py()))[2]
+        cov = linear.moments_of(linear._square(table["gram"][0].as_py()))[2]
         values = linear.principal(cov, axes)[0]
         return pa.table({by: pa.array([table[by][0].as_py()] * len(values), table[by].type), "axis": pa.array(range(len(values)), pa.int32()), "variance": pa.array(values), "retained": pa.array(values.cumsum() / np.trace(cov))})
 
@@ -234,7 +234,7 @@ def generalised_variance(df: DataFrame, by: str, columns: Sequence[str], time: s
     x = linear.design(rows, list(columns), keep=[by])
 
     def solved(table: pa.Table) -> pa.Table:
-        g = linear._square(table["g"][0].as_py())
+        g = linear._square(table["gram"][0].as_py())
         n = int(round(g[0, 0]))
         keep = 1 if n >= max(least, 2) else 0
         cov = linear.moments_of(g)[2] if keep else np.eye(1)
@@ -337,3 +337,26 @@ def null_distance(real: DataFrame, null: DataFrame, value: str = "s") -> DataFra
     return q(real, "real").crossJoin(q(null, "null")).crossJoin(ks_distance(both, "_g", "real", "null", value))
 
 
+
+
+def spline_z(df: DataFrame, value: str, time: str, knots: Sequence[float] = (0.25, 0.5, 0.75), least: int = 30, time_limit: float = 0.15, raw_limit: float = 0.8) -> DataFrame:
+    """``df`` with ``z``: log value minus its cubic spline in time, minus the median, over 1.4826 MAD.
+
+    Beside it the rank correlations with time and with the raw value, and ``valid``: |with time| below
+    ``time_limit`` and |with raw| above ``raw_limit``. Values that aren't positive, and too few rows, give null.
+    """
+    x = df.withColumn("_log", F.when(F.col(value) > 0, F.ln(F.col(value).cast("double"))))
+    q = windows.quantiles(x.where("_log is not null"), time, knots)
+    x = x.crossJoin(F.broadcast(q)).crossJoin(F.broadcast(x.agg(F.avg(time).alias("_a"), F.stddev_pop(time).alias("_d"))))
+    scaled = lambda c: (F.col(c) - F.col("_a")) / F.nullif(F.col("_d"), F.lit(0.0))
+    basis = [f"_b{i}" for i in range(3 + len(knots))]
+    powers = [F.pow(scaled(time), F.lit(float(k))) for k in (1, 2, 3)]
+    bends = [F.pow(F.greatest(scaled(time) - scaled(f"q{i}"), F.lit(0.0)), F.lit(3.0)) for i in range(len(knots))]
+    x = cut(x.withColumns(dict(zip(basis, [*powers, *bends]))).drop("_a", "_d", *[f"q{i}" for i in range(len(knots))]))
+    x = linear.residuals(x, ["_log"], basis).drop(*basis)
+    x = windows.robust_z(x, "_log_res", "z", least)
+    ranks = x.where("z is not null")
+    for c, name in (("z", "_rz"), (time, "_rt"), (value, "_rv")):
+        ranks = windows.ranked(ranks, c, name)
+    guards = ranks.agg(F.corr("_rz", "_rt").alias("with_time"), F.corr("_rz", "_rv").alias("with_raw"))
+    return x.drop("_log", "_log_res").crossJoin(F.broadcast(guards)).withColumn("valid", (F.abs("with_time") < time_limit) & (F.abs("with_raw") > raw_limit))

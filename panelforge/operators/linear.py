@@ -32,9 +32,9 @@ HELD = 64 << 20
 
 
 def gram_table(x: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``(by, g binary)``: the Gram matrix of (1, x), weighted, per key. Summed per batch, sent on when full, merged by key."""
+    """``(by, gram binary)``: the Gram matrix of (1, x), weighted, per key. Summed per batch, sent on when full, merged by key."""
     kinds = ", ".join(f"{c} {dict(x.dtypes)[c]}" for c in by)
-    schema = f"{kinds}, g binary"
+    schema = f"{kinds}, gram binary"
     names = list(by)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +44,7 @@ def gram_table(x: DataFrame, by: Sequence[str]) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             columns = [pa.array(list(c), t) for c, t in zip(zip(*total), types)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([g.ravel().tobytes() for g in total.values()], pa.binary())], [*names, "g"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array([g.ravel().tobytes() for g in total.values()], pa.binary())], [*names, "gram"])
 
         for batch in batches:
             a = matrix(batch["_x"])
@@ -68,7 +68,7 @@ def gram_table(x: DataFrame, by: Sequence[str]) -> DataFrame:
             yield out()
 
     def merge(table: pa.Table) -> pa.Table:
-        return pa.table({**{c: table[c][:1] for c in names}, "g": pa.array([_added(table["g"]).tobytes()], pa.binary())})
+        return pa.table({**{c: table[c][:1] for c in names}, "gram": pa.array([_added(table["gram"]).tobytes()], pa.binary())})
 
     return x.select(*names, "_x", "_w").mapInArrow(part, schema).groupBy(*names).applyInArrow(merge, schema)
 
@@ -88,7 +88,7 @@ def _square(g: bytes) -> np.ndarray:
 
 def grams(x: DataFrame, by: str) -> dict[object, np.ndarray]:
     """The Gram matrices of few keys (folds, strata) on the driver."""
-    return {r[by]: _square(r["g"]) for r in gram_table(x, [by]).toLocalIterator()}
+    return {r[by]: _square(r["gram"]) for r in gram_table(x, [by]).toLocalIterator()}
 
 
 def total_gram(x: DataFrame) -> np.ndarray:
@@ -272,7 +272,7 @@ def screen(long: DataFrame, vectors: DataFrame, variable: str, row: str, value:
     x = design(long.where(F.col(value).isNotNull()).join(vectors, row), vector, [value], keep=[variable, fold])
 
     def solved(table: pa.Table) -> pa.Table:
-        g = [_square(v) for v in table["g"].to_pylist()]
+        g = [_square(v) for v in table["gram"].to_pylist()]
         total = sum(g)
         n, p = int(round(total[0, 0])), total.shape[0] - 2
         if n < least or len(g) < 2:

@@ -48,11 +48,11 @@ def permuted(df: DataFrame, key: str, target: str, n: int, order: Order | None =
 
 
 def permutation_test(df: DataFrame, key: str, target: str, statistic: Callable[[str], Column], n: int, order: Order | None = None, strata: Sequence[str] = ()) -> DataFrame:
-    """Observed |statistic|, its p = (1 + #)/(1 + n), and the null's mean and 95th percentile."""
+    """Observed |statistic|, its p = (1 + #)/(1 + n) (equal up to 1e-9 counts), and the null's mean and 95th percentile."""
     observed = df.agg(F.abs(statistic(target)).alias("observed"))
     null = permuted(df, key, target, n, order, strata).groupBy("replicate").agg(F.abs(statistic(f"{target}_perm")).alias("null"))
     x = null.crossJoin(F.broadcast(observed))
-    return x.groupBy("observed").agg(((1 + F.count_if(F.col("null") >= F.col("observed"))) / (1.0 + n)).alias("p"), F.avg("null").alias("null_mean"), F.percentile("null", F.lit(0.95)).alias("null_p95"))
+    return x.groupBy("observed").agg(((1 + F.count_if(F.col("null") >= F.col("observed") - 1e-9)) / (1.0 + n)).alias("p"), F.avg("null").alias("null_mean"), F.percentile("null", F.lit(0.95)).alias("null_p95"))
 
 
 def whole_groups(df: DataFrame, group: str, target: str, n: int, order: Order | None = None) -> DataFrame:

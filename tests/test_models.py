@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import aggregate, geometry, linear, resample, sampling, vectors, windows
+from panelforge.operators import aggregate, geometry, inference, linear, resample, sampling, vectors, windows
 
 
 @pytest.fixture(scope="module")
@@ -169,3 +169,150 @@ def test_csv_round_trip(spark, tmp_path):
     assert tables.read_embeddings(spark, f"{tmp_path}/e", "b", ["k"]).collect()[0].k == 2
     found = tables.discover_files(spark, f"{tmp_path}/e", "*.parquet").collect()
     assert {r.subfolder for r in found} == {"layer=a", "layer=b"}
+
+
+def test_normal_tail_matches_erfc(spark):
+    import math
+
+    z = [0.0, 0.3, 1.0, 1.96, 2.7, 2.9, 4.0, -5.5, 8.0]
+    got = [r.p for r in spark.createDataFrame([(v,) for v in z], "z double").select(aggregate.normal_p(F.col("z")).alias("p")).collect()]
+    assert got == pytest.approx([math.erfc(abs(v) / math.sqrt(2)) for v in z], rel=1e-7, abs=1e-12)
+
+
+def test_null_vectors_have_a_defined_result(spark):
+    rows = [(1, "a", [1.0, 2.0]), (2, "a", None), (3, "a", [3.0, 4.0]), (4, "b", None), (5, "b", [0.0, 0.0]), (6, "c", None)]
+    df = spark.createDataFrame(rows, "i long, k string, v array<double>").repartition(3)
+    assert {r.k: (r.n, r["mean"]) for r in vectors.mean_by(df, ["k"], "v").collect()} == {"a": (2, [2.0, 3.0]), "b": (1, [0.0, 0.0])}
+    assert {r.i: r.code for r in vectors.assign(df, "v", np.array([[0.0, 0.0], [3.0, 4.0]])).collect()} == {1: 0, 2: None, 3: 1, 4: None, 5: 0, 6: None}
+    assert {r.i: r.p for r in vectors.with_pooled(df, "v", {"p": lambda t: t.sum((1, 2))[:, None]}, 1).collect()} == {1: [3.0], 2: None, 3: [7.0], 4: None, 5: [0.0], 6: None}
+    assert {(r.src, r.dst) for r in geometry.nearest(df, "i", "v", 1).collect()} == {(1, 5), (3, 1), (5, 1)}
+    with pytest.raises(Exception, match="different lengths"):
+        vectors.mean_by(spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "k int, v array<double>").coalesce(1), ["k"], "v").collect()
+
+
+def test_numbers_sums_quantiles_and_adjusted_p_by_ranges(spark):
+    r = np.random.default_rng(9)
+    p = np.round(r.random(400) ** 2, 2)
+    fam = r.integers(0, 3, 400)
+    df = spark.createDataFrame([(i, int(f), float(v)) for i, (f, v) in enumerate(zip(fam, p))], "i long, f int, p double").repartition(5)
+    got = {x.i: x.number for x in windows.numbered(df, [-F.col("p"), "i"], ["f"]).collect()}
+    for f in range(3):
+        order = sorted(np.flatnonzero(fam == f), key=lambda i: (-p[i], i))
+        assert [got[i] for i in order] == list(range(1, len(order) + 1))
+    q = windows.quantiles(df, "p", [0.0, 0.33, 0.5, 1.0]).first()
+    assert list(q) == pytest.approx(np.quantile(p, [0, 0.33, 0.5, 1]).tolist())
+    for method in ("bh", "by"):
+        got = {x.i: x.q for x in windows.adjust_p(df, "p", ["f"], method).collect()}
+        for f in range(3):
+            at = np.flatnonzero(fam == f)
+            order = at[np.argsort(-p[at], kind="stable")]
+            m, low = len(at), 1.0
+            for i in order:
+                rank = (p[at] <= p[i]).sum()
+                low = min(low, p[i] * m / rank * (sum(1 / k for k in range(1, m + 1)) if method == "by" else 1))
+                assert got[i] == pytest.approx(low)
+
+
+def _planted_frames(spark, n=240):
+    r = np.random.default_rng(12)
+    x = r.standard_normal((n, 4))
+    y = 24 + 3 * x[:, 0] - 2 * x[:, 1] + r.standard_normal(n)
+    fold = r.integers(0, 4, n)
+    df = spark.createDataFrame([(i, i % 40, int(f), [float(v) for v in a], float(b)) for i, (f, a, b) in enumerate(zip(fold, x, y))], "frame long, entity long, fold int, x array<double>, y double").repartition(4)
+    return x, y, fold, df
+
+
+def _weighted_ridge(x, y, w, alpha):
+    n = w.sum()
+    mx, my = (w[:, None] * x).sum(0) / n, (w * y).sum() / n
+    sd = np.sqrt((w[:, None] * (x - mx) ** 2).sum(0) / n)
+    z = (x - mx) / sd
+    b = np.linalg.solve((w[:, None] * z).T @ z + alpha * np.eye(x.shape[1]), (w[:, None] * z).T @ (y - my)) / sd
+    return my - mx @ b, b
+
+
+def test_nested_calibration_matches_loops(spark):
+    x, y, fold, df = _planted_frames(spark)
+    low, high, bins = 16.0, 32.0, 6
+    bin_ = np.clip(np.floor((y - low) / (high - low) * bins), 0, bins - 1).astype(int)
+
+    def fit(train):
+        counts = np.bincount(bin_[train], minlength=bins)
+        w = 1 / counts[bin_[train]]
+        return _weighted_ridge(x[train], y[train], w / w.mean(), 1.0)
+
+    want = np.zeros(len(y))
+    for f in range(4):
+        ps, ys = [], []
+        for g in set(range(4)) - {f}:
+            a, b = fit((fold != f) & (fold != g))
+            ps.append(a + x[fold == g] @ b)
+            ys.append(y[fold == g])
+        slope, cut = np.polyfit(np.concatenate(ps), np.concatenate(ys), 1)
+        a, b = fit(fold != f)
+        want[fold == f] = cut + slope * (a + x[fold == f] @ b)
+    got = {r.frame: r.pred for r in inference.calibrated(df, "x", "y", low, high, bins).predict(df).collect()}
+    assert [got[i] for i in range(len(y))] == pytest.approx(want.tolist(), rel=1e-8)
+
+
+def test_selection_spectra_and_posteriors(spark):
+    x, y, fold, df = _planted_frames(spark)
+    counts, r2, null = inference.nested_selection(df, "x", "y", "frame", shuffles=5)
+    assert {i for i, n in counts if n == 4} >= {0, 1} and r2 > 0.8 > 0.2 > max(null)
+    null = inference.null_spectra(df, "frame", "x", 30, 4, block=64).groupBy("axis").agg(F.avg("value").alias("m")).orderBy("axis").collect()
+    direct = []
+    for s in range(30):
+        z = np.column_stack([np.random.default_rng([s, j]).permutation(x[:, j]) for j in range(4)])
+        direct.append(np.linalg.eigvalsh(np.corrcoef(z.T))[::-1])
+    assert [r.m for r in null] == pytest.approx(np.mean(direct, 0).tolist(), abs=0.04)
+    boot = inference.bootstrap_spectra(df, "entity", "x", 20, 1).agg(F.avg("value")).first()[0]
+    assert boot == pytest.approx(np.linalg.eigvalsh(np.corrcoef(x.T))[-1], abs=0.25)
+    assert inference.half_angles(df, "entity", "x", 3).count() == 3
+    load, psi, mean = np.array([[1.0], [0.5], [0.0]]), np.array([0.5, 1.0, 1.0]), np.array([1.0, 0.0, 0.0])
+    rows = spark.createDataFrame([(1, [3.0, 1.0, 9.0]), (2, [None, 1.0, 9.0]), (3, [None, None, None])], "i int, v array<double>")
+    got = {r.i: r.factors[0] for r in inference.posterior_means(rows, "v", mean, load, psi).collect()}
+    assert got == pytest.approx({1: (4 + 0.5) / (1 + 2 + 0.25), 2: 0.5 / 1.25, 3: 0.0})
+
+
+def test_ard_leaves_unneeded_factors_out(spark):
+    r = np.random.default_rng(3)
+    v = r.standard_normal((400, 1)) @ np.array([[1.0, 0.8, -0.7, 0.9, 0.6]]) + 0.5 * r.standard_normal((400, 5))
+    df = spark.createDataFrame([([float(a) if r.random() > 0.1 else None for a in row],) for row in v], "v array<double>")
+    _, load, _ = linear.factor_analysis(df, "v", 3, 300, 1e-9, ard=True)
+    size = np.sort((load**2).sum(0))[::-1]
+    assert size[0] > 1.5 and size[1] < 0.05 * size[0]
+
+
+def test_increments_and_clocks_match_loops(spark):
+    x, y, fold, df = _planted_frames(spark)
+    got = inference.clocks(df.withColumn("g", F.lit(1)), ["g"], "x", "y", alpha=2.0, least=10).first()
+    pred = np.zeros(len(y))
+    for f in range(4):
+        a, b = _weighted_ridge(x[fold != f], y[fold != f], np.ones((fold != f).sum()), 2.0)
+        pred[fold == f] = a + x[fold == f] @ b
+    assert got.n == len(y) and got.r2 == pytest.approx(1 - ((y - pred) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+    assert inference.clocks(df.withColumn("g", F.lit(1)), ["g"], "x", "y").count() == 0  # fewer than 500 rows
+    wide = df.select("entity", "y", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
+    s = inference.spread(inference.increments(wide, ["a"], ["b"], "y", "entity", 6), "increment").first()
+    assert 0.1 < s["mean"] < 0.6 and s.low <= s["mean"] <= s.high and s.not_above == 0 and s.seeds == 6
+
+
+def test_spline_z_is_free_of_time(spark):
+    r = np.random.default_rng(2)
+    t = r.uniform(6, 40, 600)
+    v = np.exp(0.02 * t + 0.3 * np.sin(t / 8) + 0.5 * r.standard_normal(600))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(t, v))] + [(700, 9.0, -1.0), (701, 9.0, None)], "i long, t double, v double")
+    rows = inference.spline_z(df, "v", "t").collect()
+    assert len(rows) == 602 and abs(rows[0].with_time) < 0.15 and rows[0].with_raw > 0.8 and rows[0].valid
+    z = [x.z for x in rows if x.z is not None]
+    assert len(z) == 600 and abs(np.median(z)) < 1e-9 and np.median(np.abs(z)) == pytest.approx(1 / 1.4826)
+
+
+def test_held_out_mask_must_be_there(spark):
+    from panelforge.operators import panel
+
+    df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "e int, v double")
+    assert panel.held_out_only(df, df.where("e = 2"), "e").count() == 1
+    for mask in (None, df.limit(0), df.select("v")):
+        with pytest.raises(ValueError):
+            panel.held_out_only(df, mask, "e")
