@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.catalog.fixtures import ENTITY_LAG, FRAMES, codes, entity_lag, frames, wide
+from panelforge.catalog.fixtures import ENTITY_LAG, FRAMES, VISITS, WIDE, codes, entity_lag, frames, wide
 from panelforge.operators import aggregate, geometry, inference, linear, resample, vectors, windows
 from panelforge.registry import q6, query, r6
 
@@ -209,12 +209,8 @@ def i14_velocity_jacobian(spark, d):
     x = w.join(v[0], ["entity", "visit"]).join(v[1], ["entity", "visit"])
     rows = []
     for k, g in sorted(linear.grams(linear.design(x, names, ["v_click", "v_view"], keep=["visit"]), "visit").items()):
-        w_ = np.linalg.solve(g[:3, :3] + np.eye(3), g[:3, 3:])
-        j = w_[1:].T
-        values, axes = np.linalg.eig(j)
-        fixed, axis = -np.linalg.pinv(j) @ w_[0], axes[:, values.real.argmax()].real
-        axis = axis / np.linalg.norm(axis) * np.sign(axis[np.abs(axis).argmax()])
-        rows.append((int(k), float(np.trace(j)), float(values.real.max()), *map(float, fixed), *map(float, axis), int(round(g[0, 0]))))
+        trace, largest, fixed, axis = linear.flow(g, 2)
+        rows.append((int(k), trace, largest, *fixed, *axis, int(round(g[0, 0]))))
     columns = ["trace", "largest", "fixed_click", "fixed_view", "axis_click", "axis_view"]
     x = spark.createDataFrame(rows, "visit int, " + ", ".join(f"{c} double" for c in columns) + ", n long")
     return x.select("visit", *[r6(c).alias(c) for c in columns], "n")
@@ -393,40 +389,76 @@ def i28_cluster_links(spark, d):
     return geometry.cluster_links(_knn(spark, d), frames(spark, d), "frame", "stratum").withColumn("ratio", r6("ratio"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES}, {_V8}, {_KNN}, e AS (SELECT src AS a, dst AS b FROM knn WHERE rank <= 2 UNION SELECT dst, src FROM knn WHERE rank <= 2), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT component, count(*) AS n FROM (SELECT a, least(a, min(b)) AS component FROM r GROUP BY a) GROUP BY component""")
 def i29_components(spark, d):
     return geometry.connected(_knn(spark, d, 2)).groupBy("component").agg(F.count("*").alias("n"))
 
 
 @query()
 def i30_codebook(spark, d):
-    t = vectors.to_tokens(frames(spark, d).select("frame", "emb"), "emb", 8).select("frame", "patch", array_to_vector(F.transform("tok", lambda v: v.cast("double"))).alias("features"))
-    model = KMeans(k=16, seed=7, maxIter=10).fit(t)
-    return model.transform(t).groupBy(F.col("prediction").alias("code")).agg(F.count("*").alias("n"))
+    """Codebooks of two sizes over standardised tokens: rows and mean squared distance of each code."""
+    t = vectors.to_tokens(frames(spark, d).select("frame", "emb"), "emb", 8).select("frame", "patch", "tok")
+    out = None
+    for k in (8, 16):
+        book, mean, sd = geometry.codebook(t, "tok", k, seed=7)
+        x = vectors.assign(t, "tok", book, mean=mean, sd=sd).groupBy(F.lit(k).alias("k"), "code").agg(F.count("*").alias("n"), r6(F.avg("distance")).alias("distance"))
+        out = x if out is None else out.union(x)
+    return out
 
 
 @query()
 def i31_agreement(spark, d):
+    """Agreement of two labellings, and of one with the other permuted among frames."""
+    f = frames(spark, d).withColumn("bin", F.least(F.greatest(F.floor(F.col("y") - 18), F.lit(0)), F.lit(9)))
+    p = resample.permuted(f.select("frame", "stratum", "bin"), "frame", "bin", 1)
+    out = {}
+    for name, x, label in (("", f, "bin"), ("permuted_", p, "bin_perm")):
+        c = geometry.contingency(x, "stratum", label)
+        out |= {f"{name}adjusted_information": geometry.adjusted_information(c), f"{name}matched_share": sum(c[i, j] for i, j in geometry.best_match(c)) / c.sum()}
+    return _result(spark, out)
+
+
+@query(f"""WITH {FRAMES}, c AS (SELECT stratum AS a, least(greatest(floor(y - 18), 0), 9) AS b, count(*) AS n FROM frames GROUP BY ALL), t AS (SELECT sum(n)::DOUBLE AS t FROM c), p AS (SELECT n / t AS p, sum(n) OVER (PARTITION BY a) / t AS pa, sum(n) OVER (PARTITION BY b) / t AS pb FROM c, t)
+SELECT {q6('sum(p * ln(p / (pa * pb)))')} AS information, count(*) AS cells FROM p""")
+def i31_information(spark, d):
+    """Mutual information of two labellings."""
     f = frames(spark, d).withColumn("bin", F.least(F.greatest(F.floor(F.col("y") - 18), F.lit(0)), F.lit(9)))
     c = geometry.contingency(f, "stratum", "bin")
-    match = geometry.best_match(c)
-    return _result(spark, {"adjusted_information": geometry.adjusted_information(c), "matched_share": sum(c[i, j] for i, j in match) / c.sum()})
+    return spark.createDataFrame([(float(geometry.mutual_information(c)), int((c > 0).sum()))], "information double, cells long").withColumn("information", r6("information"))
 
 
 @query()
 def i32_silhouette(spark, d):
-    f = frames(spark, d).select("frame", "y", array_to_vector(F.array("x1", "x2", "x3")).alias("features"))
-    p = KMeans(k=4, seed=3).fit(f).transform(f).cache()
-    return _result(spark, {"silhouette": ClusteringEvaluator().evaluate(p), "largest": p.groupBy("prediction").count().agg(F.max("count")).first()[0]})
+    """Silhouette of a clustering and of the same with every column permuted by itself; size and mean y of each cluster."""
+    f = frames(spark, d).select("frame", "y", "x1", "x2", "x3")
+    n = f
+    for i, c in enumerate(("x1", "x2", "x3")):
+        one = resample.permuted(f.select("frame", c), "frame", c, 1, resample.hash_order(i)).select("frame", F.col(f"{c}_perm").alias(c))
+        n = n.drop(c).join(one, "frame")
+    out = {}
+    for name, x in (("", f), ("null_", n)):
+        x = x.withColumn("features", array_to_vector(F.array("x1", "x2", "x3")))
+        p = KMeans(k=4, seed=3).fit(x).transform(x)
+        out[f"{name}silhouette"] = ClusteringEvaluator().evaluate(p)
+        if not name:
+            for r in p.groupBy("prediction").agg(F.count("*").alias("n"), F.avg("y").alias("y")).collect():
+                out |= {f"size_{r.prediction}": r.n, f"mean_y_{r.prediction}": r.y}
+    return _result(spark, out)
 
 
 @query()
 def i33_topic_factors(spark, d):
+    """Non-negative topics of the entities' code shares: the weight of each code in each topic, and the fit's share of variance."""
     from pyspark.ml.recommendation import ALS
 
     s = vectors.code_shares(codes(spark, d), "entity", "frame", "code").select(F.col("entity").cast("int"), "code", F.col("share").cast("float"))
-    m = ALS(rank=3, maxIter=5, nonnegative=True, seed=1, userCol="entity", itemCol="code", ratingCol="share").fit(s)
-    return m.itemFactors.select(F.col("id").alias("code"), F.size("features").alias("rank"))
+    m = ALS(rank=3, maxIter=10, nonnegative=True, seed=1, regParam=0.001, userCol="entity", itemCol="code", ratingCol="share").fit(s)
+    fit = m.transform(s).agg((1 - F.avg(F.pow(F.col("share") - F.col("prediction"), F.lit(2.0))) / F.avg(F.pow("share", F.lit(2.0)))).alias("explained"))
+    f = m.itemFactors.select(F.col("id").alias("code"), F.posexplode("features").alias("topic", "weight"))
+    t = f.groupBy("topic").agg(F.sum("weight").alias("t"))
+    x = f.join(t, "topic").select("code", "topic", r6(F.when(F.col("t") > 0, F.col("weight") / F.col("t")).otherwise(0.0)).alias("weight"))
+    return x.crossJoin(F.broadcast(fit)).withColumn("explained", F.bround("explained", 3))
 
 
 @query(f"WITH {FRAMES}, {_V8}, {_HALVES}, {_PAIRS}, x AS (SELECT list_distance(p.v, q.v) AS d1, list_distance(r.v, s.v) AS d2 FROM pr JOIN h1 p ON p.frame = a JOIN h1 q ON q.frame = b JOIN h2 r ON r.frame = a JOIN h2 s ON s.frame = b), k AS (SELECT rank() OVER (ORDER BY d1) AS a, rank() OVER (ORDER BY d2) AS b FROM x) SELECT CAST(round_even(corr(a, b), 4) AS DOUBLE) AS similarity FROM k")
@@ -452,10 +484,10 @@ def i35_direction(spark, d):
 
 @query()
 def i36_forward_selection(spark, d):
-    f = _folded(spark, d).select("fold", F.slice("emb", 1, 10).alias("v"), "y")
-    g = linear.grams(linear.design(f, "v", ["y"], keep=["fold"]), "fold")
-    chosen, rss = linear.forward_selection(g, 10)
-    return spark.createDataFrame([(int(c), i) for i, c in enumerate(chosen)], "feature int, position int")
+    """Features of the whole vector chosen inside each outer fold: how many folds chose each, the outer R2 and that of shuffled targets."""
+    counts, r2, null = inference.nested_selection(_folded(spark, d).select("frame", "fold", "emb", "y"), "emb", "y", "frame", most=2, shuffles=4)
+    x = spark.createDataFrame([(int(i), int(n), float(r2), float(max(null))) for i, n in counts], "feature int, folds int, r2 double, null_largest double")
+    return x.select("feature", "folds", r6("r2").alias("r2"), r6("null_largest").alias("null_largest"))
 
 
 @query()
@@ -473,6 +505,16 @@ def i37_forecast(spark, d):
     return _result(spark, rows)
 
 
+@query(f"""WITH {FRAMES}, {_EQUAL}, l AS (SELECT frame, y, fold, x1 AS a, x1 + CAST(frame % 13 AS DOUBLE) / 50 AS b FROM f), s AS (SELECT g.fold, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, y) AS ca, covar_pop(b, y) AS cb FROM l JOIN (SELECT DISTINCT fold FROM l) g ON l.fold <> g.fold GROUP BY g.fold),
+ p AS (SELECT y, my + (a - ma) * (n * ca / (n * va + va)) AS pa, my + (b - mb) * (n * cb / (n * vb + vb)) AS pb FROM l JOIN s USING (fold)) SELECT {q6('corr(pa, y)')} AS "without", {q6('corr(pb, y)')} AS "with", {q6('corr(pa - y, pb - y)')} AS lags FROM p""")
+def i38_shifted_feature(spark, d):
+    """The clock from a feature, and from the same with a covariate mixed in."""
+    f = _equal(spark, d).withColumn("b", F.col("x1") + (F.col("frame") % 13).cast("double") / 50)
+    one = linear.cross_validated(f, ["x1"], "y", alpha=1.0).predict(f, name="pa")
+    x = linear.cross_validated(f, ["b"], "y", alpha=1.0).predict(one, name="pb")
+    return x.agg(r6(F.corr("pa", "y")).alias("without"), r6(F.corr("pb", "y")).alias("with"), r6(F.corr(F.col("pa") - F.col("y"), F.col("pb") - F.col("y"))).alias("lags"))
+
+
 @query()
 def i38_causal_check(spark, d):
     """The clock with and without a covariate and its square, and how both lags correlate."""
@@ -485,26 +527,128 @@ def i38_causal_check(spark, d):
 
 @query()
 def i39_naming_reliability(spark, d):
-    """Codes of two seeds matched by centroid cosine; how their effect profiles correlate."""
-    f = frames(spark, d).select("frame", "y", "x1", F.transform("emb", lambda v: v.cast("double")).alias("v")).withColumn("features", array_to_vector("v"))
+    """Codes of several seeds matched to the first seed's by centroid cosine; how their effect profiles correlate, and in how many seeds by 0.5 or more."""
+    f = frames(spark, d).select("frame", "y", "x1", "x2", "x3", "stratum", F.transform("emb", lambda v: v.cast("double")).alias("v")).withColumn("features", array_to_vector("v"))
+    names = ["y", "x1", "x2", "x3", "stratum"]
     made = []
-    for seed in (1, 2):
+    for seed in (1, 2, 3):
         m = KMeans(k=6, seed=seed, maxIter=10).fit(f)
         c = np.array(m.clusterCenters())
-        e = m.transform(f).groupBy("prediction").agg(F.avg("y").alias("y"), F.avg("x1").alias("x1")).collect()
-        made.append((c / np.linalg.norm(c, axis=1, keepdims=True), {r.prediction: r.y for r in e}))
-    cosine = made[0][0] @ made[1][0].T
-    rows = [(int(i), int(j), float(cosine[i, j]), float(made[0][1][i]), float(made[1][1][j])) for i, j in geometry.best_match(cosine)]
-    return spark.createDataFrame(rows, "a int, b int, cosine double, effect_a double, effect_b double")
+        e = {r.prediction: [float(r[n]) for n in names] for r in m.transform(f).groupBy("prediction").agg(*[F.avg(n).alias(n) for n in names]).collect()}
+        effects = np.array([e.get(i, [0.0] * len(names)) for i in range(len(c))])
+        effects = (effects - effects.mean(0)) / np.maximum(effects.std(0), 1e-12)
+        made.append((c / np.linalg.norm(c, axis=1, keepdims=True), effects))
+    rows = []
+    for seed, (c, effects) in enumerate(made[1:], 2):
+        cosine = made[0][0] @ c.T
+        rows += [(int(i), seed, int(j), float(cosine[i, j]), float(np.corrcoef(made[0][1][i], effects[j])[0, 1])) for i, j in geometry.best_match(cosine)]
+    x = spark.createDataFrame(rows, "code int, seed int, matched int, cosine double, profile_r double")
+    good = x.groupBy("code").agg(F.count_if(F.col("profile_r") >= 0.5).alias("seeds_reliable"))
+    return x.join(good, "code").select("code", "seed", "matched", r6("cosine").alias("cosine"), r6("profile_r").alias("profile_r"), "seeds_reliable")
 
 
 @query()
 def i40_noise_prediction(spark, d):
-    """Does a representation predict an entity's noise level, adjusted for time and a second covariate?"""
+    """Does a representation predict an entity's noise level, adjusted for time and a second covariate? With permutation p and the direction's angle to that of time."""
     from panelforge.catalog.fixtures import visits
 
     dev = windows.left_out_deviation(visits(spark, d).where("measure = 'view'"), "entity", "t", "value").groupBy("entity").agg(F.log1p(F.sqrt(F.avg(F.col("deviation") * F.col("deviation")))).alias("noise"), F.avg("t").alias("time"), F.count("*").cast("double").alias("n"))
-    m = vectors.mean_by(frames(spark, d), ["entity"], "emb").select("entity", F.slice("mean", 1, 5).alias("v"))
-    x = dev.join(m, "entity").select(F.concat("v", F.array("noise", "time", "n")).alias("row"))
-    _, cov = linear.covariance(x, "row")
-    return _result(spark, linear.ladder(cov, range(5), [5], {"raw": [], "time": [6], "time+n": [6, 7]}))
+    m = vectors.mean_by(frames(spark, d), ["entity"], "emb").select("entity", "mean")
+    out = inference.noise_test(dev.join(m, "entity"), "entity", "mean", "noise", ["time", "n"], 40, axes=5)
+    return _result(spark, out)
+
+@query(f"WITH {FRAMES}, l AS (SELECT frame, unnest(emb)::DOUBLE AS v, unnest(range(64)) AS k FROM frames) SELECT CAST(a.k AS INTEGER) AS a, CAST(b.k AS INTEGER) AS b, {q6('covar_samp(a.v, b.v)')} AS cov FROM l a JOIN l b USING (frame) WHERE a.k <= b.k GROUP BY a.k, b.k")
+def i13_covariance(spark, d):
+    """The matrix that components, canonical correlations, spectra and labels start from."""
+    _, cov = linear.covariance(frames(spark, d), "emb")
+    rows = [(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(i, len(cov))]
+    return spark.createDataFrame(rows, "a int, b int, cov double").select("a", "b", r6("cov").alias("cov"))
+
+
+@query(f"""WITH {WIDE}, w AS (SELECT entity, visit, t, click, lead(visit) OVER o AS v2, lead(t) OVER o AS t2, lead(click) OVER o AS y2 FROM wide WINDOW o AS (PARTITION BY entity ORDER BY visit)), x AS (SELECT visit, click AS p, (y2 - click) / (t2 - t) AS v FROM w WHERE v2 = visit + 1 AND t2 > t AND y2 IS NOT NULL AND click IS NOT NULL),
+ g AS (SELECT visit, count(*) + 1.0::DOUBLE AS n, sum(p) AS sp, sum(p * p) + 1 AS spp, sum(v) AS sv, sum(p * v) AS spv, count(*) AS rows FROM x GROUP BY visit), b AS (SELECT visit, rows, (n * spv - sp * sv) / (n * spp - sp * sp) AS slope, (spp * sv - sp * spv) / (n * spp - sp * sp) AS start FROM g)
+SELECT visit, {q6('slope')} AS slope, CAST(round_even(-start / slope, 3) AS DOUBLE) + 0.0 AS fixed, rows AS n FROM b""")
+def i14_single_measure(spark, d):
+    """The flow of one measure: slope of velocity on position, and where it stands still."""
+    w = wide(spark, d)
+    v = windows.velocity(w, "entity", "visit", "t", "click").drop("mid_time")
+    rows = []
+    for k, g in linear.grams(linear.design(w.join(v, ["entity", "visit"]), ["click"], ["velocity"], keep=["visit"]), "visit").items():
+        trace, _, fixed, _ = linear.flow(g, 1)
+        rows.append((int(k), trace, fixed[0], int(round(g[0, 0]))))
+    x = spark.createDataFrame(rows, "visit int, slope double, fixed double, n long")
+    return x.select("visit", r6("slope").alias("slope"), (F.bround("fixed", 3) + 0.0).alias("fixed"), "n")
+
+
+_CORR3 = "c AS (SELECT corr(y, x1) AS a, corr(y, x2) AS b, corr(x1, x2) AS c, corr(y, stratum) AS ys, corr(x1, stratum) AS xs FROM frames)"
+
+
+@query(f"WITH {FRAMES}, {_CORR3} SELECT {q6('sqrt((a * a + b * b - 2 * a * b * c) / (1 - c * c))')} AS r FROM c")
+def i15_one_against_two(spark, d):
+    """The canonical correlation of y with two features: their multiple correlation."""
+    _, cov = linear.covariance(frames(spark, d), ["y", "x1", "x2"])
+    return spark.createDataFrame([(float(linear.canonical(cov, 1, ridge_=1e-13)[0][0]),)], "r double").select(r6("r").alias("r"))
+
+
+@query(f"WITH {FRAMES}, {_CORR3} SELECT unnest(['raw', 'size', 'block']) AS metric, unnest([{q6('abs(a)')}, {q6('abs(a - b * c) / sqrt((1 - b * b) * (1 - c * c))')}, {q6('abs(a - ys * xs) / sqrt((1 - ys * ys) * (1 - xs * xs))')}]) AS value FROM c")
+def i16_pair_ladder(spark, d):
+    """One feature and the target: the rungs are partial correlations."""
+    _, cov = linear.covariance(frames(spark, d), ["x1", "y", "x2", "stratum"])
+    return _result(spark, linear.ladder(cov, [0], [1], {"raw": [], "size": [2], "block": [3]}))
+
+
+@query(f"WITH {FRAMES}, {_CORR3}, d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM c) SELECT {q6('-0.5 * ln(det)')} AS total, {q6('0.5 * (ln(1 - a * a) + ln(1 - b * b) + ln(1 - c * c) - 2 * ln(det))')} AS dual FROM d")
+def i19_triple(spark, d):
+    _, cov = linear.covariance(frames(spark, d), ["y", "x1", "x2"])
+    tc, dtc, _, _ = linear.o_information(cov)
+    return spark.createDataFrame([(float(tc), float(dtc))], "total double, dual double").select(r6("total").alias("total"), r6("dual").alias("dual"))
+
+
+@query(f"WITH {WIDE}, p AS (SELECT (click IS NOT NULL)::INT::VARCHAR || (error IS NOT NULL)::INT::VARCHAR || (view IS NOT NULL)::INT::VARCHAR AS pattern, click, error, view FROM wide) SELECT pattern, count(*) AS n, {q6('coalesce(sum(click), 0) + coalesce(sum(error), 0) + coalesce(sum(view), 0)')} AS total FROM p WHERE pattern <> '000' GROUP BY pattern")
+def i20_patterns(spark, d):
+    """The sums by pattern of missing cells that the factor model starts from."""
+    parts = linear.pattern_sums(wide(spark, d).select(F.array("click", "error", "view").alias("v")), "v")
+    rows = [(k, int(round(g[0, 0])), float(g[0, 1:].sum())) for k, g in parts.items()]
+    return spark.createDataFrame(rows, "pattern string, n long, total double").select("pattern", "n", r6("total").alias("total"))
+
+
+@query(f"WITH {FRAMES}, l AS (SELECT frame, unnest(emb)::DOUBLE AS v, unnest(range(64)) AS k FROM frames), c AS (SELECT a.k AS a, b.k AS b, covar_samp(a.v, b.v) AS c FROM l a JOIN l b USING (frame) GROUP BY ALL) SELECT CAST(round_even(pow(sum(c) FILTER (a = b), 2) / sum(c * c), 4) AS DOUBLE) AS participation FROM c")
+def i21_participation(spark, d):
+    """(sum of eigenvalues)^2 / sum of their squares."""
+    values = np.linalg.eigvalsh(linear.covariance(frames(spark, d), "emb")[1])
+    return spark.createDataFrame([(linear.participation(values),)], "participation double").select(F.bround("participation", 4).alias("participation"))
+
+
+@query(f"""WITH {FRAMES}, d AS (SELECT a.frame, a.stratum AS own, b.stratum AS other, sum(pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2) + pow(a.x3 - b.x3, 2)) AS s, count(*) AS n FROM frames a, frames b GROUP BY ALL), m AS (SELECT frame, max(CASE WHEN n > 1 THEN s / (n - 1) END) FILTER (own = other) AS a, min(s / n) FILTER (own <> other) AS b FROM d GROUP BY frame)
+SELECT CAST(round_even(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS DOUBLE) + 0.0 AS silhouette FROM m""")
+def i32_silhouette_of_strata(spark, d):
+    f = frames(spark, d).select(F.col("stratum").cast("double").alias("prediction"), array_to_vector(F.array("x1", "x2", "x3")).alias("features"))
+    return spark.createDataFrame([(float(ClusteringEvaluator().evaluate(f)),)], "s double").select((F.bround("s", 4) + 0.0).alias("silhouette"))
+
+
+@query(f"""WITH {FRAMES}, z AS (SELECT x1, x2, y, x1 * 2 + stratum AS z FROM frames), m AS (SELECT count(*) * var_pop(x1) + 1 AS a, count(*) * covar_pop(x1, x2) AS b, count(*) * var_pop(x2) + 1 AS c, count(*) * covar_pop(x1, y) AS y1, count(*) * covar_pop(x2, y) AS y2, count(*) * covar_pop(x1, z) AS z1, count(*) * covar_pop(x2, z) AS z2 FROM z),
+ w AS (SELECT c * y1 - b * y2 AS p, a * y2 - b * y1 AS q, c * z1 - b * z2 AS r, a * z2 - b * z1 AS s FROM m) SELECT CAST(round_even(degrees(acos((p * r + q * s) / sqrt((p * p + q * q) * (r * r + s * s)))), 4) AS DOUBLE) + 0.0 AS angle FROM w""")
+def i35_plane_direction(spark, d):
+    """The angle between the directions of two scalars in a plane."""
+    f = frames(spark, d).withColumn("z", F.col("x1") * 2 + F.col("stratum"))
+    w = linear.ridge(linear.total_gram(linear.design(f, ["x1", "x2"], ["y", "z"])), 2, 1.0, False)[1:]
+    cos = w[:, 0] @ w[:, 1] / np.sqrt((w[:, 0] @ w[:, 0]) * (w[:, 1] @ w[:, 1]))
+    return spark.createDataFrame([(float(np.degrees(np.arccos(cos))),)], "a double").select((F.bround("a", 4) + 0.0).alias("angle"))
+
+
+@query(f"""WITH {VISITS}, v AS (SELECT entity, unnest([10.0, 20.0])::DOUBLE AS k, t, value FROM visits WHERE value IS NOT NULL), c AS (SELECT entity, k, max_by(value, t) FILTER (t <= k) AS x, max_by(value, t) AS y FROM v GROUP BY ALL HAVING count_if(t <= k) >= 3 AND count_if(t > k) >= 1), f AS (SELECT *, entity * 7919 % 10007 % 5 AS fold FROM c), {_RIDGE1.format(k='k', t='f')}
+SELECT f.k AS cutoff, {q6('1 - sum(pow(y - my - (x - mx) * (n * c / (n * vx + vx)), 2)) / (var_pop(y) * count(*))')} AS r2 FROM f JOIN s ON f.k = s.k AND f.fold = s.fold GROUP BY f.k""")
+def i37_current_value(spark, d):
+    """The value at a cutoff as a forecast of the final one, out of fold."""
+    from panelforge.catalog.fixtures import visits
+    from panelforge.operators.panel import at_cutoffs
+
+    x = at_cutoffs(visits(spark, d), [10, 20], "entity", "t", "value", 3, 1).withColumn("fold", (F.col("entity") * 7919 % 10007 % 5).cast("int"))
+    return inference.clocks(x, ["cutoff"], ["current"], "final", alpha=1.0, least=1).select("cutoff", r6("r2").alias("r2"))
+
+
+@query(f"""WITH {FRAMES}, {_EQUAL}, k AS (SELECT 0 AS k, frame, entity, x1 AS x, y, fold FROM f), {_RIDGE1.format(k='k', t='k')} SELECT entity, {q6('avg(my + (x - mx) * (n * c / (n * vx + vx)) - y)')} AS lag, count(*) AS n FROM k JOIN s USING (fold) GROUP BY entity""")
+def i08_single_feature_lag(spark, d):
+    f = _equal(spark, d)
+    p = linear.cross_validated(f, ["x1"], "y", alpha=1.0).predict(f.select("entity", "x1", "y", "fold"))
+    return p.groupBy("entity").agg(r6(F.avg(F.col("pred") - F.col("y"))).alias("lag"), F.count("*").alias("n"))

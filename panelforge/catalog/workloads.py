@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelforge.catalog.cleaning import _FILES, _IDS, _RAW, _files, _ids, _raw
 from panelforge.catalog.fixtures import CODES, MEASURES, OUTCOMES, VISITS, codes, frames, outcomes, visits
+from panelforge.operators.aggregate import random_effects
 from panelforge.operators.lineage import scratch
 from panelforge.plans import jobs
 from panelforge.registry import q6, query, r6, table
@@ -74,6 +75,16 @@ def w3_code_effects(spark, d):
     return x.select("code", (F.bround("effect", 3) + 0.0).alias("effect"), "n")
 
 
+@query()
+def w3_code_significance(spark, d):
+    """Permutation p and adjusted q of every code, over 1000 replicates, and the pooled effect of all."""
+    c = codes(spark, d)
+    scores = c.select("entity").distinct().withColumn("score", F.col("entity") * 7919 % 1009)
+    x = jobs.code_effects(c, scores, 1000).withColumns({"all": F.lit("all"), "variance": 1 / (F.col("n") - 3.0)})
+    meta = random_effects(x, ["all"], "effect", "variance").select("pooled", "se", "tau2")
+    return x.crossJoin(F.broadcast(meta)).select("code", "n", *[r6(v).alias(v) for v in ("effect", "p", "q", "pooled", "se", "tau2")])
+
+
 @query(f"""WITH {_IDS}, {_FILES}, x AS (SELECT f.id, f.header, f.file, i.folder, i.pid, i.name FROM files f JOIN ids i ON i.id = f.id), n AS (SELECT *, coalesce(TRY_CAST(regexp_extract(pid, '(?i)IMP[ACT]*\\s*(\\d+)', 1) AS BIGINT), TRY_CAST(regexp_extract(name, '(?i)IMP[ACT]*\\s*(\\d+)', 1) AS BIGINT)) AS k, regexp_replace(folder, '(_ok|_SI|_NO)$', '') AS bare FROM x),
  e AS (SELECT id, CASE WHEN k IS NOT NULL THEN printf('IMP%04d', k) WHEN regexp_full_match(bare, '\\d+') THEN 'NHC_' || bare ELSE bare END AS entity, coalesce(nullif(header, ''), CASE WHEN regexp_matches(file, '^\\d{{8}}\\.') THEN file[1:8] END, folder) AS study_date, regexp_replace(regexp_replace(regexp_replace(file, '\\.png$', ''), '_(debug|overlay|mask)$', ''), '^\\d+_(NHC_\\d+_)?', '') AS key FROM n)
 SELECT id, entity, study_date, key, quality, row_number() OVER (PARTITION BY entity, study_date, key ORDER BY id) > 1 AS is_duplicate FROM e LEFT JOIN (SELECT doc_id AS id, min(quality) AS quality FROM labels GROUP BY 1) USING (id)""")

@@ -217,3 +217,36 @@ def sampled_pairs(df: DataFrame, row: str, n: int, draw: Callable[[int], Column]
     d = d.select(*[(F.pmod(draw(side), F.lit(max(total, 1))) + 1).alias(f"_{side}") for side in (1, 2)])
     one, two = x.select(F.col("number").alias("_1"), F.col(row).alias("a")), x.select(F.col("number").alias("_2"), F.col(row).alias("b"))
     return d.join(one, "_1").join(two, "_2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def codebook(tokens: DataFrame, vector: str, k: int, seed: int = 0, rounds: int = 10, sample: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres in standardised units, and the tokens' means and deviations.
+
+    Fitted on a hash sample of about ``sample`` tokens; codes that no token of it chose move to the
+    tokens farthest from their own centre, followed by one more pass of means.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from panelforge.operators.vectors import assign, mean_by, moments
+
+    n, mean, sd = moments(tokens, vector)
+    share = min(1.0, sample / max(n, 1))
+    x = tokens.select(F.transform(vector, lambda v: v.cast("double")).alias("_t")).where(F.col("_t").isNotNull())
+    if share < 1:
+        x = x.where(F.pmod(F.xxhash64("_t", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    one = x.sparkSession.createDataFrame([([float(v) for v in mean], [float(v) for v in sd])], "_m array<double>, _d array<double>")
+    z = F.zip_with(F.zip_with("_t", "_m", lambda a, b: a - b), "_d", lambda a, b: a / b)
+    x = cut(x.crossJoin(F.broadcast(one)).select(z.alias("_z")))
+    fit = np.array(KMeans(k=k, seed=seed, maxIter=rounds).fit(x.select(array_to_vector("_z").alias("features"))).clusterCenters())
+    centres = np.vstack([fit, np.zeros((k - len(fit), fit.shape[1]))])
+    near = assign(x, "_z", centres)
+    used = {r.code for r in near.select("code").distinct().collect()} & set(range(len(fit)))
+    dead = [c for c in range(k) if c not in used]
+    if dead:
+        far = near.orderBy(F.desc("distance"), "_z").select("_z").limit(len(dead)).collect()
+        for c, r in zip(dead, far):
+            centres[c] = r["_z"]
+        for r in mean_by(assign(x, "_z", centres), ["code"], "_z").collect():
+            centres[r.code] = r["mean"]
+    return centres, mean, sd

@@ -360,3 +360,31 @@ def spline_z(df: DataFrame, value: str, time: str, knots: Sequence[float] = (0.2
         ranks = windows.ranked(ranks, c, name)
     guards = ranks.agg(F.corr("_rz", "_rt").alias("with_time"), F.corr("_rz", "_rv").alias("with_raw"))
     return x.drop("_log", "_log_res").crossJoin(F.broadcast(guards)).withColumn("valid", (F.abs("with_time") < time_limit) & (F.abs("with_raw") > raw_limit))
+
+
+def noise_test(df: DataFrame, entity: str, vector: str, noise: str, covariates: Sequence[str], replicates: int, axes: int = 5) -> dict[str, float]:
+    """First canonical correlation of the vector's main axes with the noise, raw and with the covariates added one by one.
+
+    Each rung has a p: the noise permuted among entities. ``angle``: between the directions of noise and
+    of the first covariate (degrees; near 0 means that the one stands for the other).
+    """
+    _, mean, cov = linear.moments_of(linear.total_gram(linear.design(df, vector)))
+    k = min(axes, len(mean))
+    x = scores(df.select(entity, noise, *covariates, vector), vector, mean, linear.principal(cov, k)[1], "_s")
+    row = lambda target: F.concat("_s", F.array(F.col(target).cast("double"), *[F.col(c).cast("double") for c in covariates]))
+    rungs = {"raw": []} | {"+".join(covariates[: i + 1]): list(range(k + 1, k + 2 + i)) for i in range(len(covariates))}
+
+    def ladder(g: np.ndarray) -> dict[str, float]:
+        return linear.ladder(linear.moments_of(g)[2], range(k), [k], rungs)
+
+    total = linear.total_gram(linear.design(x.withColumn("_v", row(noise)), "_v"))
+    real = ladder(total)
+    moved = resample.permuted(x, entity, noise, replicates).withColumn("_v", row(f"{noise}_perm"))
+    null = [ladder(g) for g in linear.grams(linear.design(moved, "_v", keep=["replicate"]), "replicate").values()]
+    out = dict(real)
+    for name in rungs:
+        out[f"p_{name}"] = (1 + sum(n[name] >= real[name] - 1e-9 for n in null)) / (1.0 + len(null))
+    c = linear.moments_of(total)[2]
+    a, b = (np.linalg.pinv(c[:k, :k]) @ c[:k, i] for i in (k, k + 1))
+    out["angle"] = float(np.degrees(np.arccos(np.clip(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)), -1, 1))))
+    return out

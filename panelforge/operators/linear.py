@@ -340,6 +340,26 @@ def forward_selection(g: dict[object, np.ndarray], p: int, most: int = 3, alpha:
     return chosen, best
 
 
+def flow(g: np.ndarray, p: int, ridge_: float = 1.0) -> tuple[float, float, list[float], list[float]]:
+    """Velocity regressed on position (ridge on the intercept too): trace, largest real eigenvalue, fixed point and expanding axis."""
+    w = np.linalg.solve(g[: p + 1, : p + 1] + ridge_ * np.eye(p + 1), g[: p + 1, p + 1 :])
+    j = w[1:].T
+    values, axes = np.linalg.eig(j)
+    axis = axes[:, values.real.argmax()].real
+    axis = axis / np.linalg.norm(axis) * np.sign(axis[np.abs(axis).argmax()])
+    return float(np.trace(j)), float(values.real.max()), [float(v) for v in -np.linalg.pinv(j) @ w[0]], [float(v) for v in axis]
+
+
+def pattern_sums(rows: DataFrame, vector: str, most: int = 100_000) -> dict[str, np.ndarray]:
+    """By pattern of observed cells (1) and missing ones (0): the Gram matrix of (1, observed cells). More than ``most`` patterns raise."""
+    x = rows.select(F.transform(vector, lambda v: v.cast("double")).alias("x"))
+    x = x.withColumn("pattern", F.array_join(F.transform("x", lambda v: F.when(v.isNull() | F.isnan(v), "0").otherwise("1")), ""))
+    x = x.select("pattern", F.filter("x", lambda v: v.isNotNull() & ~F.isnan(v)).alias("x")).where(F.size("x") > 0)
+    if x.select("pattern").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} patterns of missing cells")
+    return _pattern_grams(x)
+
+
 def factor_analysis(rows: DataFrame, vector: str, k: int, rounds: int = 100, tolerance: float = 1e-5, ard: bool = False, most_patterns: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, loadings and noise by EM over observed cells only (missing cells are nulls).
 
@@ -348,14 +368,8 @@ def factor_analysis(rows: DataFrame, vector: str, k: int, rounds: int = 100, tol
     each factor's loadings by a precision of its own, so factors that aren't needed go to zero. More
     than ``most_patterns`` patterns raise: the sums of each are held on the driver.
     """
-    x = rows.select(F.transform(vector, lambda v: v.cast("double")).alias("x"))
-    x = x.withColumn("pattern", F.array_join(F.transform("x", lambda v: F.when(v.isNull() | F.isnan(v), "0").otherwise("1")), ""))
-    x = x.select("pattern", F.filter("x", lambda v: v.isNotNull() & ~F.isnan(v)).alias("x"), F.lit(1.0).alias("w")).where(F.size("x") > 0)
     parts = []
-    n_patterns = x.select("pattern").distinct().limit(most_patterns + 1).count()
-    if n_patterns > most_patterns:
-        raise ValueError(f"more than {most_patterns} patterns of missing cells")
-    for pattern, g in _pattern_grams(x).items():
+    for pattern, g in pattern_sums(rows, vector, most_patterns).items():
         at = np.flatnonzero([c == "1" for c in pattern])
         parts.append((at, g[0, 0], g[0, 1:], g[1:, 1:]))
     p = max((int(at.max()) for at, *_ in parts), default=-1) + 1

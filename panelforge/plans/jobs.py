@@ -38,7 +38,7 @@ def code_effects(codes: DataFrame, scores: DataFrame, replicates: int = 100, ord
     x = x.withColumn("ra", windows.average_rank(["code"], "clr")).withColumn("rb", windows.average_rank(["code"], "score"))
     observed = x.groupBy("code").agg(F.corr("ra", "rb").alias("effect"), F.count("*").alias("n"))
     null = resample.permuted(x, "entity", "rb", replicates, order, ["code"]).groupBy("code", "replicate").agg(F.abs(F.corr("ra", "rb_perm")).alias("null"))
-    p = null.join(observed, "code").groupBy("code", "effect", "n").agg(((1 + F.count_if(F.col("null") >= F.abs("effect"))) / (1.0 + replicates)).alias("p"))
+    p = null.join(observed, "code").groupBy("code", "effect", "n").agg(((1 + F.count_if(F.col("null") >= F.abs("effect") - 1e-9)) / (1.0 + replicates)).alias("p"))
     return windows.adjust_p(p, method="by")
 
 
