@@ -59,11 +59,10 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _classes(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch["doc_id"]
         for a, b, data, offsets in slices(batch["text"]):
             values, n = shingles(data, offsets, k)
             keys = [_sums(mix(values ^ U64(salt)), n).view(np.int64) for salt in (0, 0x5851F42D4C957F2D)]
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1])], ["doc_id", "n_shingles", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["key"].slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1])], ["doc_id", "key", "n_shingles", "k1", "k2"])
 
 
 def _universe(k: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,12 +120,11 @@ def _segments(values: np.ndarray, n: np.ndarray, band: np.ndarray) -> tuple[np.n
 
 def _signatures(parts: int, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch["doc_id"].to_numpy()
-        for a, b, data, offsets in slices(batch["text"], 1 << 18):
+        for _, _, data, offsets in slices(batch["text"], 1 << 18):
             values, n = shingles(data, offsets, k)
             if not len(values):
                 continue
-            keys, kept = ids[a:b][n > 0], n[n > 0]
+            keys, kept = _sums(mix(values), n).view(np.int64)[n > 0], n[n > 0]
             band = np.searchsorted(BANDS, kept)
             out: list[tuple[np.ndarray, np.ndarray, int]] = []
             mixed, seg, who, tag, content, length = _segments(values, kept, band)
@@ -279,10 +277,14 @@ def _remaining(table: pa.Table) -> pa.Table:
 
 def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, data, offsets in slices(batch["text"]):
+        for _, _, data, offsets in slices(batch["text"]):
             values, n = shingles(data, offsets, k)
             at = np.concatenate([[0], np.cumsum(n)])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array([values[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary()), pa.array([_sketch(values[x:y]) for x, y in zip(at, at[1:])], pa.binary())], ["doc_id", "grams", "sketch"])
+            yield pa.RecordBatch.from_pydict({
+                "set": pa.array(_sums(mix(values), n).view(np.int64)),
+                "grams": pa.array([values[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary()),
+                "sketch": pa.array([_sketch(values[x:y]) for x, y in zip(at, at[1:])], pa.binary()),
+            })
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,45 +301,49 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets link, compared whole."""
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("left")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("right")), "b")
+    left = pairs.join(sets.select(F.col("set").alias("a"), F.col("grams").alias("left")), "a")
+    both = left.join(sets.select(F.col("set").alias("b"), F.col("grams").alias("right")), "b")
     return both.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for each row of ``docs``.
+    """``(doc_id, n_shingles, component_id, key, component)`` for each row of ``docs``.
 
     Null or empty texts and texts without words have 0 shingles and are their own component; a text
-    of fewer than ``k`` words is one shingle, so it links with equal sequences only. Repeated rows
-    with one id keep one row each. Null ids stay single (component null). Other columns are ignored.
+    of fewer than ``k`` words is one shingle, so it links with equal sequences only. Rows are judged by
+    their own texts, whatever their ids: repeated ids keep a row each. ``component_id`` is the smallest id
+    of the component (null ids don't count; null without any other). ``key`` is a hash of id and text,
+    ``component`` one of the component (null without shingles). Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sized = written(rows.mapInArrow(partial(_classes, k), "doc_id long, n_shingles long, k1 long, k2 long"))
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    sized = written(keyed.mapInArrow(partial(_classes, k), "doc_id long, key long, n_shingles long, k1 long, k2 long"))
     total = sized.agg(F.sum("n_shingles")).first()[0] or 0
     parts = int(max(4 * partitions(spark), total // PART + 1))
 
-    classes = sized.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # a class is a set, told by its hash k1; one of its rows brings the text
+    classes = sized.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"))
     shared = (
         rows.mapInArrow(partial(_universe, k, parts), blocks.SCHEMA)
         .groupBy("part").applyInArrow(_shared, "k1 long, shared long")
         .groupBy("k1").agg(F.sum("shared").alias("shared"))
     )
-    near = checkpointed(classes.join(shared, "k1").where(F.col("shared") * DEN >= F.col("n_shingles") * NUM).select(F.col("rep").alias("doc_id"), "n_shingles"))
+    near = checkpointed(classes.join(shared, "k1").where(F.col("shared") * DEN >= F.col("n_shingles") * NUM).select(F.col("rep").alias("key"), "n_shingles"))
     left, left_total = near.agg(F.count("*"), F.sum("n_shingles")).first()
-    texts = written(rows.join(_sized(near.select("doc_id"), left), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = written(keyed.join(_sized(near.select("key"), left), "key", "left_semi").dropDuplicates(["key"]).select("text"))
 
     parts = int(max(4 * partitions(spark), 3 * (left_total or 0) // PART + 1))
     found = written(
         texts.mapInArrow(partial(_signatures, parts, k), blocks.SCHEMA + ", sizes binary")
         .groupBy("part").applyInArrow(_matched, "a long, b long, n_a long, n_b long, sig long, part int")
     )
-    sets = written(texts.mapInArrow(partial(_sets, k), "doc_id long, grams binary, sketch binary"))
+    sets = written(texts.mapInArrow(partial(_sets, k), "set long, grams binary, sketch binary"))
     tried = found.where("sig < 0").select("a", "b").distinct()
     links = checkpointed(_links(tried, sets))
     # signatures of many members: join what components the likeliest pairs join, then try all that is left
     hot = found.where("sig >= 0").select("part", "sig", "a", "n_a")
-    sketches = sets.select(F.col("doc_id").alias("a"), "sketch")
+    sketches = sets.select(F.col("set").alias("a"), "sketch")
     for best in () if hot.isEmpty() else (True, False):
         of = written(hot.join(components(links).withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a")))
         open_ = of.groupBy("part", "sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).where("x < y").select("part", "sig", "pieces")
@@ -353,9 +359,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             tried, links = tried.unionAll(more), links.unionAll(checkpointed(_links(more, sets)))
     joined = components(links)
 
-    of_class = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = sized.where("n_shingles > 0").join(of_class, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "component_id")
-    return out.unionAll(sized.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked = checkpointed(joined.withColumnRenamed("node", "k1").join(classes.select("k1", "least"), "k1"))
+    linked = linked.join(linked.groupBy("component").agg(F.min("least").alias("first")), "component").select("k1", "component", "first")
+    of_class = classes.join(linked, "k1", "left")
+    of_class = of_class.select("k1", "k2", "n_shingles", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"), F.coalesce("component", "k1").alias("component"))
+    out = sized.where("n_shingles > 0").join(of_class, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "component_id", "key", "component")
+    return out.unionAll(sized.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "key", F.lit(None).cast("long")))
 
 
 def _sized(ids: DataFrame, count: int) -> DataFrame:

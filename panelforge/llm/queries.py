@@ -33,7 +33,7 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @_query
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"))
+    return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @_query
@@ -75,7 +75,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(_table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return found.select("row.doc_id", F.expr("crc32(cast(row.doc_id as string)) % 5 = 0").alias("held_out"), "lang_pred", "score")
+    return found.select("row.doc_id", F.expr("coalesce(crc32(cast(row.doc_id as string)) % 5 = 0, false)").alias("held_out"), "lang_pred", "score")
 
 
 #: Titles with runs of signs: pages of machine-made junk. Their URLs are the list; other addresses of the same page fall with them.
