@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 REPEATS, ENTROPY, SEED = 4.0, 0.95, 17
 #: Blocks of a source, at least, and tokens of a block beyond that.
 BLOCKS, BLOCK = 64, 1_000_000
-STEPS = 24
+STEPS, AT_ONCE = 24, 6
 SMALL = 8 << 20
 
 
@@ -30,27 +30,28 @@ def _weights(sources: DataFrame, exponent: float) -> DataFrame:
     return sources.withColumn("w", F.exp(F.lit(float(exponent)) * (F.log("tokens") - F.log("total"))))
 
 
-def _state(sources: DataFrame, exponent: float) -> tuple[float, float]:
-    """Entropy as a share of the largest possible, and passes over the most repeated source per pass over the least."""
-    w = _weights(sources, exponent)
-    r = w.agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("w")).alias("wl"), F.max(F.col("w") / F.col("tokens")).alias("hi"), F.min(F.col("w") / F.col("tokens")).alias("lo"), F.count("*").alias("n")).first()
-    return (math.log(r.z) - r.wl / r.z) / math.log(r.n) if r.n > 1 else 1.0, r.hi / r.lo
+def _states(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
+    """For each exponent, in one job: entropy as a share of the largest possible, and passes over the most repeated source per pass over the least."""
+    tried = sources.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(exponents)], "_i int, _x double")
+    w = sources.crossJoin(F.broadcast(tried)).withColumn("w", F.exp(F.col("_x") * (F.log("tokens") - F.log("total"))))
+    per = F.col("w") / F.col("tokens")
+    rows = w.groupBy("_i").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("w")).alias("wl"), F.max(per).alias("hi"), F.min(per).alias("lo"), F.count("*").alias("n")).orderBy("_i").collect()
+    return [((math.log(r.z) - r.wl / r.z) / math.log(r.n) if r.n > 1 else 1.0, r.hi / r.lo) for r in rows]
 
 
 def exponent_for(sources: DataFrame, repeats: float | None = REPEATS, entropy: float | None = ENTROPY) -> float:
-    """Bisect the exponent: within ``repeats`` passes of the least passed source, and entropy down to its target."""
+    """Bisect the exponent, ``AT_ONCE`` halvings a job: within ``repeats`` passes of the least passed source, and entropy down to its target."""
     found = 0.0
-    for wanted in (("repeats", repeats), ("entropy", entropy)):
-        if wanted[1] is None:
-            continue
-        # the exponent grows until this holds: few enough repeats, or an entropy no higher than asked for
-        holds = (lambda x: _state(sources, x)[1] <= wanted[1]) if wanted[0] == "repeats" else (lambda x: _state(sources, x)[0] <= wanted[1])
-        if holds(found):
+    # the exponent grows until this holds: few enough repeats, or an entropy no higher than asked for
+    for place, limit in ((1, repeats), (0, entropy)):
+        if limit is None or _states(sources, [found])[0][place] <= limit:
             continue
         low, high = found, 1.0
-        for _ in range(STEPS):
-            middle = (low + high) / 2
-            low, high = (low, middle) if holds(middle) else (middle, high)
+        for _ in range(STEPS // AT_ONCE):
+            grid = [low + (high - low) * i / (1 << AT_ONCE) for i in range(1, 1 << AT_ONCE)]
+            holds = [s[place] <= limit for s in _states(sources, grid)]
+            first = holds.index(True) if True in holds else len(grid)
+            low, high = ([low, *grid][first], [*grid, high][first])
         found = high
     return found
 
