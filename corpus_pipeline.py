@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelforge.llm.decontaminate import leaks
 from panelforge.llm.language_id import identify
@@ -33,14 +34,22 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of a repeated id one row."""
-    found = jaccard_components(docs)
-    out = _without(docs, found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id")
-    again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    """Of each group of near duplicates the document with the smallest id; of rows with equal id and text one.
+
+    Rows of one id with different texts are documents of their own; a text without words has no group.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"))
+    found = written(jaccard_components(docs).select("doc_id", "key", "component"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    groups = found.where("component is not null").groupBy("component").agg(least, F.count("*").alias("n")).where("n > 1")
+    gone = found.join(groups, "component").where("key <> first.key").select("key").distinct()
+    out = _without(rows, gone, "key")
+    again = checkpointed(found.groupBy("key").count().where("count > 1").select("key"))
     if again.isEmpty():
-        return out.select(*docs.columns)
-    once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(out, again, "doc_id").select(*docs.columns).unionByName(once.select(*docs.columns))
+        return out.select("row.*")
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    once = out.join(again, "key", "left_semi").withColumn("turn", turn).where("turn = 1")
+    return _without(out, again, "key").select("row.*").unionByName(once.select("row.*"))
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
