@@ -215,15 +215,17 @@ def _packed(limit: int, folder: str, batches: Iterator[pa.RecordBatch]) -> Itera
 def write_packages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, limit: int = PACKAGE) -> DataFrame:
     """``(name, size)``: package files that hold a record for each row of ``pages``, in the shared folder.
 
-    Only files of this table count: what a task that was run again may leave besides is never read. Rows with equal payloads of at least ``least`` bytes revisit the one with the smallest id; rows with
-    that id itself, and rows without an id, are responses. Null payloads are empty. An empty table gives no package.
+    Only files of this table count: what a task that was run again may leave besides is never read. Rows
+    with equal payloads of at least ``least`` bytes revisit the one with the smallest id; all rows with
+    that id are responses, and rows without an id revisit it (are responses if none has one). Null
+    payloads are empty. An empty table gives no package.
     """
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= least, F.sha1(F.encode("html", "UTF-8"))))
     same = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = written(same)
     near = F.broadcast(same) if same.count() * 96 <= SMALL else same
-    rows = rows.join(near, "digest", "left").select(F.col("id").cast("string").alias("id"), "url", "html", F.when(F.col("first") != F.col("id"), F.col("first")).cast("string").alias("first"))
+    rows = rows.join(near, "digest", "left").select(F.col("id").cast("string").alias("id"), "url", "html", F.when(~F.col("first").eqNullSafe(F.col("id")), F.col("first")).cast("string").alias("first"))
     folder = f"{shared_dir(pages.sparkSession)}/packages-{uuid.uuid4().hex}"
     return written(rows.mapInArrow(partial(_packed, limit, folder), "name string, size long"))
 

@@ -679,3 +679,86 @@ def test_mixing_join_of_rare_sextuples_gives_the_scores_of_the_table(spark, monk
     joined = score()
     assert [i for i, _ in table] == [i for i, _ in joined] and [x for _, x in table] == pytest.approx([x for _, x in joined], rel=1e-9)
     assert all(x < 0 for i, x in table if i < 40)
+
+
+LONG = " ".join(words(30_000, 99)) + " SPDX-License-Identifier: MIT"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """A very long text, empty ones, nulls in every column, rows that repeat, columns with clashing names."""
+    clash = ["key", "row", "part", "component", "list", "score", "labels", "n_words", "block", "weight", "item_id", "listed", "host", "first", "_source"]
+    base = [(1, LONG, "en", "a"), (2, "", "en", "a"), (3, None, "fr", None), (None, "the house and the tree", None, "b"), (4, "the house and the tree", "en", "b"), (4, "the house and the tree", "en", "b"), (5, " \n\t ", None, None), (None, None, None, None)]
+    rows = [(*r, *[f"x{i}"] * len(clash)) for i, r in enumerate(base)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in clash)).repartition(3)
+
+
+def _tied(rows, place):
+    """Results of the repeated row are equal."""
+    same = [tuple(v for k, v in r.asDict().items() if k not in place) for r in rows if r.doc_id == 4]
+    assert len(same) == 2 and same[0] == same[1]
+
+
+def test_odd_rows_for_each_operator(spark, odd):
+    n_long = len(split(LONG))
+    r = ngram_jaccard.jaccard_components(odd).collect()
+    assert len(r) == 8 and {x.doc_id: x.component_id for x in r if x.doc_id} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
+    assert max(x.n_shingles for x in r) == len(shingle_set(LONG))
+    _tied(r, ())
+    r = substring.without_repeats(odd, carry=["doc_id"]).select("row.doc_id", "n_words", "n_removed").collect()
+    assert len(r) == 8 and max(x.n_words for x in r) == n_long and sum(x.n_removed for x in r) == 0
+    _tied(r, ())
+    r = context_mixing.mixing_scores(odd).collect()
+    assert len(r) == 8 and max(x.n_tokens for x in r) == n_long + 1 and all(x.score <= 0 for x in r) and sum(x.doc_id is None for x in r) == 2
+    _tied(r, ())
+    r = licenses.license_scan(odd).collect()
+    assert len(r) == 8 and [x.labels for x in r if x.doc_id == 1] == ["mit"] and [x.score for x in r if x.doc_id == 3] == [0.0]
+    _tied(r, ())
+    pages = odd.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"), "host", "first", "listed", "key")
+    r = warc_zip.read_packages(warc_zip.write_packages(pages)).collect()
+    assert len(r) == 8 and sum(x.record_type == "revisit" for x in r) == 3 and max(x.payload_bytes for x in r) == len(LONG.encode()) and not any(x.error for x in r)
+    r = source_mixing.mix_sources(odd).select("row.doc_id", "n_tokens", "weight", "epoch").collect()
+    assert len([x for x in r if x.epoch == 0]) == 8 and max(x.n_tokens for x in r) == n_long
+    r = language_id.identify(odd, carry=["doc_id", "score"]).select("row.doc_id", "lang_pred", "score").collect()
+    assert len(r) == 8 and {x.lang_pred for x in r if x.doc_id in (2, 3, 5)} == {"und"} and {x.lang_pred for x in r if x.doc_id in (1, 4)} == {"en"}
+    _tied(r, ())
+    r = url_filter.url_verdicts(pages, pages).collect()
+    assert len(r) == 8 and {(x.host, x.path, x.rule, x.verdict) for x in r} == {("", "", None, "allow")}
+    bench = spark.createDataFrame([(7, "the house and the tree", "c"), (8, " ".join(split(LONG, False)[500:560]), "c"), (None, None, None)], "item_id long, text string, doc_id string")
+    r = decontaminate.leaks(odd, bench).collect()
+    assert sorted((x.doc_id or 0, x.item_id) for x in r) == [(0, 7), (1, 8), (4, 7), (4, 7)]
+
+
+def test_pipeline_of_nothing_and_of_odd_rows(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    keep = ["doc_id", "text", "lang", "source", "weight", "key", "row"]
+    for name, df in (("none", odd.limit(0)), ("odd", odd)):
+        df.select(*keep).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(7, "nothing of the kind is here at all today")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    out = {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()}
+    assert out == {1, 4}
+
+
+def test_rows_of_one_id_keep_their_other_texts_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(words(40, 80)), " ".join(words(40, 81))
+    df = spark.createDataFrame([(1, a, "x"), (1, b, "x"), (1, a, "x"), (2, a + " z", "y")], "doc_id long, text string, lang string")
+    got = corpus_pipeline.one_of_each_group(spark, df, "")
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(1, a), (1, b)]) and got.columns == df.columns
+
+
+def test_temperature_stays_within_its_bounds():
+    """On separable data the likelihood grows without end: the temperature stops at its lower bound."""
+    s = np.array([[5.0, 0.0], [0.0, 5.0]] * 20)
+    assert language_id.temperature(s, np.array([0, 1] * 20)) == pytest.approx(math.exp(-3), rel=1e-3)
+    assert language_id.temperature(s, np.array([1, 0] * 20)) == pytest.approx(math.exp(3), rel=1e-3)
+
+
+def test_language_id_predicts_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language_id.identify(docs, carry=["doc_id", "lang"]).where(F.expr("crc32(cast(row.doc_id as string)) % 5 = 0") & F.col("row.lang").isNotNull())
+    n, right = found.agg(F.count("*"), F.avg((F.col("lang_pred") == F.col("row.lang")).cast("double"))).first()
+    assert n > 100 and right >= 0.97
