@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from panelforge.catalog.cleaning import _FILES, _IDS, _RAW, _files, _ids, _raw
@@ -33,11 +31,11 @@ def l01_incremental_ingest(spark, d):
 
 @query(f"SELECT event_type, {q6('avg(value)')} AS mean, count(*) AS n, CAST(epoch(time_bucket(INTERVAL '5 days', ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS start FROM events GROUP BY event_type, time_bucket(INTERVAL '5 days', ts, TIMESTAMP '1970-01-01') HAVING count(*) >= 20")
 def l02_drift_monitor(spark, d):
-    """The tumbling-window monitor as a stream (complete at the end of the input)."""
-    name = f"drift_{uuid.uuid4().hex}"
-    q = incremental.drift(_stream(spark, d), "time", "event_type", "value", late=None).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("event_type", r6("mean").alias("mean"), "n", F.unix_seconds("start").alias("start"))
+    """The tumbling-window monitor as a stream with a watermark, in update mode into a table."""
+    path, check = scratch(spark, "drift"), scratch(spark, "drift-state")
+    incremental.drift_to_table(_stream(spark, d), "time", "event_type", "value", path, check).awaitTermination()
+    parts = spark.read.schema("start timestamp, event_type string, mean double, n long, epoch int").parquet(path)
+    return incremental.latest_drift(parts, "event_type").select("event_type", r6("mean").alias("mean"), "n", F.unix_seconds("start").alias("start"))
 
 
 @query(f"SELECT event_type, count(value) AS n, {q6('sum(value)')} AS s, {q6('sum(value * value)')} AS ss FROM events GROUP BY event_type")

@@ -41,3 +41,19 @@ def merge_sums(stream: DataFrame, group: str, value: str, path: str, checkpoint:
 
 def merged_sums(parts: DataFrame, group: str) -> DataFrame:
     return parts.groupBy(group).agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")])
+
+
+def drift_to_table(stream: DataFrame, time: str, group: str, value: str, path: str, checkpoint: str, width: str = "5 days", late: str = "2 days") -> StreamingQuery:
+    """The monitor in update mode: each micro-batch writes the windows it changed. Rows later than the watermark are left out."""
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    g = drift(stream, time, group, value, width, late, least=1)
+    return g.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_drift(parts: DataFrame, group: str, least: int = 20) -> DataFrame:
+    """The last state of each window of at least ``least`` rows."""
+    last = parts.groupBy("start", group).agg(F.max_by(F.struct("mean", "n"), "epoch").alias("x"))
+    return last.select("start", group, "x.mean", "x.n").where(F.col("n") >= least)
