@@ -126,7 +126,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_labels: int) -> tuple
 
 
 def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least negative log-likelihood, by golden section on its logarithm from -3 to 3; on separable data it ends at the lower bound."""
+    """The temperature of least negative log-likelihood, by golden section on its logarithm from -3 to 3; on separable data it ends below 1, where the loss no longer falls."""
     if not len(labels):
         return 1.0
 
