@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.llm.collocations import collocations
 from panelforge.llm.context_mixing import mixing_scores
 from panelforge.llm.decontaminate import leaks
 from panelforge.llm.embedding_dedup import embedding_components
@@ -93,6 +94,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 # -- DuckDB SQL with the same rows, for the queries that SQL can express ----------------------------
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -140,3 +146,20 @@ z AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www\\.|m\\.)',
 l AS (SELECT DISTINCT c FROM z WHERE c IS NOT NULL AND regexp_matches(html, '{JUNK_TITLE}'))
 SELECT page_id, host, path, CASE {_RULES_SQL.format(*(f"'{h}{p}'" for _, h, p in _SORTED))} END AS rule,
  CASE {_RULES_SQL.format(*(f"'{v}'" for v, _, _ in _SORTED))} WHEN c IN (SELECT c FROM l) THEN 'block' ELSE 'allow' END AS verdict FROM z"""
+
+
+SQL["op11_collocations"] = f"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, string_split_regex(coalesce({_LOWER.format("text")}, ''), '[.,;:!?\\x0A-\\x0D]') AS p FROM documents),
+p AS (SELECT d, lang, unnest(range(1, len(p) + 1)) AS j, unnest(p) AS p FROM d), w AS (SELECT d, lang, j, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+u AS (SELECT lang, unnest(w) AS g FROM w), n AS (SELECT lang, count(*) AS n FROM u GROUP BY lang), f1 AS (SELECT lang, g, count(*) AS f FROM u GROUP BY ALL),
+g2 AS (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) AS g FROM w WHERE len(w) >= 2), f2 AS (SELECT lang, g, count(*) AS f FROM g2 GROUP BY ALL HAVING count(*) >= 10),
+g3 AS (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM w WHERE len(w) >= 3), f3 AS (SELECT lang, g, count(*) AS f FROM g3 GROUP BY ALL HAVING count(*) >= 10),
+i AS (SELECT lang, g, max(f) AS f FROM (SELECT lang, g[1:2] AS g, f FROM f3 UNION ALL SELECT lang, g[2:3], f FROM f3) GROUP BY ALL),
+c AS (SELECT f2.lang, f2.g, f2.f AS a, x.f AS l, y.f AS r, (1000000::HUGEINT * f2.f * f2.f) // (x.f::HUGEINT * y.f) AS score FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.g = f2.g[1] JOIN f1 y ON y.lang = f2.lang AND y.g = f2.g[2]
+ LEFT JOIN i ON i.lang = f2.lang AND i.g = f2.g WHERE i.f IS NULL OR 100 * i.f < 50 * f2.f),
+t AS (SELECT f3.lang, f3.g, f3.f AS a, x.f AS l1, yz.f AS r1, xy.f AS l2, z.f AS r2, (1000000::HUGEINT * f3.f * f3.f) // (x.f::HUGEINT * yz.f) AS s1, (1000000::HUGEINT * f3.f * f3.f) // (xy.f::HUGEINT * z.f) AS s2
+ FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.g = f3.g[1] JOIN f1 z ON z.lang = f3.lang AND z.g = f3.g[3] JOIN f2 xy ON xy.lang = f3.lang AND xy.g = f3.g[1:2] JOIN f2 yz ON yz.lang = f3.lang AND yz.g = f3.g[2:3]),
+e AS (SELECT lang, g, a, l, r, score FROM c UNION ALL SELECT lang, g, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END, CASE WHEN s2 < s1 THEN r2 ELSE r1 END, least(s1, s2) FROM t),
+o AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT k.lang, rank, phrase, a, l, r, n, score FROM k JOIN n ON n.lang = k.lang WHERE rank <= 2000"""
