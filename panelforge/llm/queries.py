@@ -15,7 +15,9 @@ from panelforge.llm.language_id import identify
 from panelforge.llm.licenses import license_scan
 from panelforge.llm.ngram_jaccard import jaccard_components
 from panelforge.llm.source_mixing import mix_sources
+from panelforge.llm.spelling import spelling_variants
 from panelforge.llm.substring import without_repeats
+from panelforge.llm.topk_search import top_products
 from panelforge.llm.url_filter import RULES, host_of, url_verdicts
 from panelforge.llm.warc_zip import read_packages, write_packages
 
@@ -99,6 +101,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_topk_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(_table(spark, sf_dir, "embeddings"))
+
+
 # -- DuckDB SQL with the same rows, for the queries that SQL can express ----------------------------
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -163,3 +175,28 @@ e AS (SELECT lang, g, a, l, r, score FROM c UNION ALL SELECT lang, g, a, CASE WH
 o AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score FROM e),
 k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
 SELECT k.lang, rank, phrase, a, l, r, n, score FROM k JOIN n ON n.lang = k.lang WHERE rank <= 2000"""
+
+
+SQL["op12_spelling_variants"] = f"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS t),
+d AS (SELECT row_number() OVER () AS d, coalesce(CAST(doc_id AS VARCHAR), '') AS id, {_LOWER.format("text")} AS x FROM documents WHERE text IS NOT NULL),
+r AS (SELECT d, id, unnest(regexp_extract_all(x, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS w FROM d), g AS (SELECT d, id, w, count(*) AS n FROM r GROUP BY ALL),
+b AS (SELECT w, n, hex(encode(id || ':' || w)) AS x FROM g),
+h AS (SELECT w, n, xor(list_reduce([4294967295] || list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)), lambda c, y: xor(t.t[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) AS h FROM b, t),
+k AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) + 2 AS BIGINT)) ELSE w END AS word FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM k WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+p AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+c AS (SELECT DISTINCT word, n, a || z AS cut FROM p),
+e AS (SELECT x.word, x.n, y.word AS other, y.n AS m FROM p x JOIN p y ON x.a = y.a AND x.z = y.z AND x.i = y.i AND x.word <> y.word
+ UNION ALL SELECT c.word, c.n, v.word, v.n FROM c JOIN v ON v.word = c.cut UNION ALL SELECT v.word, v.n, c.word, c.n FROM c JOIN v ON v.word = c.cut),
+o AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS k FROM e),
+f AS (SELECT v.word, v.n, coalesce(near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN o ON o.word = v.word AND o.k = 1),
+q AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT q.word, f.form, q.k + 1 FROM q JOIN f ON f.word = q.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, k) AS root FROM q GROUP BY word) q ON q.word = f.word"""
+
+SQL["op13_topk_products"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+p AS (SELECT q.r AS q, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r AND len(q.x) = len(c.x)),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10"""
