@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from panelforge.llm.store import shared_dir, written
 
 #: Bytes of records after which a package is closed.
-PACKAGE = 8 << 20
+PACKAGE = 32 << 20
+#: Bytes of an index that are read at a time.
+STEP = 1 << 20
 SMALL = 16 << 20
 DATA, INDEX, MANIFEST = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 DATE = "2000-01-01T00:00:00Z"
@@ -99,18 +101,71 @@ class Package:
     def whole(self, name: str) -> bytes:
         return self.range(name, 0, self.members[name][2])
 
+    def lines(self, name: str) -> Iterator[bytes]:
+        """The lines of a member, read (and unzipped, if its name ends so) range by range."""
+        unzip = zlib.decompressobj(31) if name.endswith(".gz") else None
+        size, left, inside = self.members[name][2], b"", False
+        for at in range(0, size, STEP):
+            data = self.range(name, at, min(STEP, size - at))
+            if unzip is not None:
+                out = []
+                while data:  # an index may be of many gzip members
+                    out.append(unzip.decompress(data))
+                    data, inside = unzip.unused_data, not unzip.eof
+                    if unzip.eof:
+                        unzip = zlib.decompressobj(31)
+                data = b"".join(out)
+            *whole, left = (left + data).split(b"\n")
+            yield from whole
+        yield left
+        if inside:
+            raise EOFError("the index breaks off")
+
+    def located(self, filename: str) -> str:
+        """The data member that an index line names, by its whole name or by a last part that no other has."""
+        for name in (filename, f"archive/{filename}"):
+            if name in self.members:
+                return name
+        base = filename.rsplit("/", 1)[-1]
+        found = [m for m in self.members if m.startswith("archive/") and m.rsplit("/", 1)[-1] == base]
+        if len(found) != 1:
+            raise ValueError(f"{len(found)} members are named {filename}")
+        return found[0]
+
     def records(self) -> Iterator[tuple[dict[str, str], dict[str, str], bytes] | str]:
-        """WARC headers, HTTP headers and payload of each record that an index names; of one that can't be read, what is wrong."""
-        for name in sorted(m for m in self.members if m.startswith("indexes/") and m.endswith(".cdxj")):
-            for line in self.whole(name).splitlines():
-                if not line.strip():
-                    continue
-                try:
-                    where = json.loads(line[line.index(b"{") :])
-                    data = "archive/" + where.get("filename", DATA).rsplit("/", 1)[-1]
-                    yield parse(gzip.decompress(self.range(data, int(where["offset"]), int(where["length"]))))
-                except (ValueError, KeyError, EOFError, OSError, zlib.error) as e:
-                    yield f"{type(e).__name__}: {e}"
+        """WARC headers, HTTP headers and payload of each record that an index names; of one that can't be read, what is wrong.
+
+        Indexes are CDXJ (key, timestamp, JSON) or CDX (columns named by the letters of a first line), as they are or gzipped; a
+        package without one, or with one that breaks off, tells so.
+        """
+        names = sorted(m for m in self.members if re.fullmatch(r"indexes/.*\.cdxj?(\.gz)?", m))
+        if not names:
+            yield "no index"
+        for name in names:
+            letters: list[str] = []
+            try:
+                for line in self.lines(name):
+                    if line.startswith(b" CDX"):
+                        letters = line.decode("utf-8", "replace").split()[1:]
+                    elif line.strip():
+                        yield self._record(line, letters)
+            except _BROKEN as e:
+                yield f"{name}: {type(e).__name__}: {e}"
+
+    def _record(self, line: bytes, letters: list[str]) -> tuple[dict[str, str], dict[str, str], bytes] | str:
+        try:
+            if letters:
+                of = dict(zip(letters, line.decode().split(), strict=True))
+                where = {"filename": of["g"], "offset": of["V"], "length": of["S"]}
+            else:
+                where = json.loads(line[line.index(b"{") :])
+            return parse(gzip.decompress(self.range(self.located(where.get("filename", DATA)), int(where["offset"]), int(where["length"]))))
+        except _BROKEN as e:
+            return f"{type(e).__name__}: {e}"
+
+
+#: What a damaged package can raise.
+_BROKEN = (ValueError, KeyError, AttributeError, TypeError, EOFError, OSError, zlib.error, struct.error)
 
 
 def _headers(block: bytes) -> dict[str, str]:
@@ -174,7 +229,8 @@ def package(records: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
 
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    """The file system and path of a URI; Hadoop's names of object stores are the ones that Arrow has for them."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", uri)))
 
 
 def _put(folder: str, data: bytes) -> str:
@@ -242,7 +298,11 @@ def _row(found: tuple[dict[str, str], dict[str, str], bytes] | str, payloads: bo
     revisit, error = kind == "revisit", None
     if not revisit and stated != digest(payload):
         error = "payload and digest differ"
-    size = int(http.get("content-length", len(payload))) if revisit else len(payload)
+    size = len(payload)
+    if revisit and "content-length" in http:
+        if not re.fullmatch(r"\d{1,18}", http["content-length"]):
+            return _row(f"length of payload: {http['content-length'][:80]}", payloads)
+        size = int(http["content-length"])
     return bare(warc.get("warc-record-id", "")), warc.get("warc-target-uri"), size, stated, kind, bare(warc.get("warc-refers-to", "")) if revisit else None, payload.decode("utf-8", "replace") if payloads and not revisit else None, error
 
 
@@ -261,7 +321,7 @@ def _read(payloads: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                         if len(rows) == 512:
                             yield batch_of(rows)
                             rows = []
-                except (ValueError, struct.error) as e:
+                except _BROKEN as e:
                     rows.append(_row(f"{type(e).__name__}: {e}", payloads))
             if rows:
                 yield batch_of(rows)
@@ -270,8 +330,8 @@ def _read(payloads: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
     """A row for each record of package files given as ``(name, size)`` rows; ids are text.
 
-    A record or index line that can't be read, and a file that is no package, give a row with ``error``
-    (and nothing else); a payload that doesn't have its digest has ``error`` beside its columns.
+    A record or index line that can't be read, a revisit whose length of payload is no number, an index that breaks off, a package without an
+    index, and a file that is no package give a row with ``error`` (and nothing else) each; the records beside it are read. A payload that doesn't have its digest has ``error`` beside its columns.
     """
     return packages.select("name", "size").mapInArrow(partial(_read, payloads), "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, html string, error string")
 
