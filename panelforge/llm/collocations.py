@@ -33,8 +33,8 @@ SEPARATORS[[0x20, 0x09]] = True
 
 #: Words up to which their hashes are broadcast (8 bytes each); beyond, the hashes themselves are the ids.
 DICTIONARY = 4 << 20
-#: Entries of a shard's filter, and tokens for each part of a merge.
-SHARD, PART = 1 << 21, 1 << 22
+#: Words a task holds before it sends its counts on, entries of a shard's filter, and tokens for each part of a merge.
+KNOWN, SHARD, PART = 1 << 18, 1 << 20, 1 << 20
 #: Bytes up to which a table of words or pairs is broadcast.
 SMALL = 16 << 20
 
@@ -186,7 +186,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((found, counts))
             for x, n in zip(langs, np.bincount(doc, minlength=len(langs)).tolist()):
                 totals[x] = totals.get(x, 0) + n
-            if len(known) >= 1 << 19:
+            if len(known) >= KNOWN:
                 yield from rows()
             elif len(held) >= 64:
                 lanes, sums = summed(np.concatenate([h for h, _ in held])[None], np.concatenate([c for _, c in held]))
