@@ -193,11 +193,33 @@ def e26_pairwise_covariance(spark, d):
     return inference.pairwise_covariance(wide(spark, d), MEASURES).select("a", "b", "n", r6("cov").alias("cov"))
 
 
-@query(f"WITH {CODES}, n AS (SELECT entity, frame, count(*) AS p FROM codes GROUP BY ALL), g AS (SELECT entity, count(*) AS f FROM n GROUP BY entity), h AS (SELECT entity, frame, code, count(*) AS c FROM codes GROUP BY ALL) SELECT h.entity, code, {q6('sum(c / p::DOUBLE) / any_value(f)')} AS share FROM h JOIN n USING (entity, frame) JOIN g ON g.entity = h.entity GROUP BY h.entity, code")
+#: Codes as they come, and with every third (entity, code) pair absent.
+SPARSE = CODES + ", sparse AS (SELECT * FROM codes WHERE (entity * 7 + code) % 3 > 0)"
+
+
+def _shares(rows: str) -> str:
+    """Shares of all codes by entity, zeros included: entities times codes."""
+    return f"""n AS (SELECT entity, frame, count(*) AS p FROM {rows} GROUP BY ALL), g AS (SELECT entity, count(*) AS f FROM n GROUP BY entity), h AS (SELECT entity, frame, code, count(*) AS c FROM {rows} GROUP BY ALL),
+ u AS (SELECT h.entity, code, sum(c / p::DOUBLE) AS s FROM h JOIN n USING (entity, frame) GROUP BY h.entity, code), grid AS (SELECT entity, f, code FROM g, (SELECT DISTINCT code FROM {rows})),
+ shares AS (SELECT grid.entity, grid.code, coalesce(s, 0) / f AS share FROM grid LEFT JOIN u ON u.entity = grid.entity AND u.code = grid.code)"""
+
+
+def sparse_codes(spark, d):
+    return codes(spark, d).where((F.col("entity") * 7 + F.col("code")) % 3 > 0)
+
+
+@query(f"WITH {CODES}, {_shares('codes')} SELECT entity, code, {q6('share')} AS share FROM shares")
 def e27_code_histogram(spark, d):
     return vectors.code_shares(codes(spark, d), "entity", "frame", "code").select("entity", "code", r6("share").alias("share"))
 
 
+@query(f"WITH {SPARSE}, {_shares('sparse')}, p AS (SELECT *, ln(greatest(share / sum(share) OVER (PARTITION BY entity), 1e-6)) AS l FROM shares) SELECT entity, code, {q6('share')} AS share, {q6('l - avg(l) OVER (PARTITION BY entity)')} AS clr FROM p")
+def e27_absent_codes(spark, d):
+    """Codes that an entity lacks: share 0, and a log-ratio against the floor."""
+    x = windows.clr(vectors.code_shares(sparse_codes(spark, d), "entity", "frame", "code"), "entity", "share")
+    return x.select("entity", "code", r6("share").alias("share"), r6("clr").alias("clr"))
+
+
 @query(f"WITH {CODES}, c AS (SELECT code, patch, count(*) AS n FROM codes GROUP BY ALL), t AS (SELECT code, sum(n) AS t, sum(n * patch) AS s FROM c GROUP BY code) SELECT c.code, CAST(any_value(t) AS BIGINT) AS n, CAST(any_value(s) AS BIGINT) AS patch_sum, {q6('1 + sum(n / t::DOUBLE * ln(n / t::DOUBLE)) / ln(7)')} AS concentration FROM c JOIN t USING (code) WHERE t >= 20 GROUP BY c.code")
 def e28_code_position(spark, d):
     return aggregate.code_position(codes(spark, d), "code", "patch", 7, 20).withColumn("concentration", r6("concentration"))

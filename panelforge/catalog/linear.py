@@ -434,7 +434,7 @@ def i32_silhouette(spark, d):
     f = frames(spark, d).select("frame", "y", "x1", "x2", "x3")
     n = f
     for i, c in enumerate(("x1", "x2", "x3")):
-        one = resample.permuted(f.select("frame", c), "frame", c, 1, resample.hash_order(i)).select("frame", F.col(f"{c}_perm").alias(c))
+        one = resample.permuted(f.select("frame", c), "frame", c, 1, seed=i).select("frame", F.col(f"{c}_perm").alias(c))
         n = n.drop(c).join(one, "frame")
     out = {}
     for name, x in (("", f), ("null_", n)):

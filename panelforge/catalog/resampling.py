@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.catalog.fixtures import ENTITY_LAG, FRAMES, entity_lag, frames
 from panelforge.operators import resample
+from panelforge.operators.bijection import partner_sql
 from panelforge.registry import q6, query, r6
 
 R = 40
@@ -24,15 +25,19 @@ _REPS = f"reps AS (SELECT unnest(range(1, {R + 1})) AS r)"
 _REPS_P = f"reps AS (SELECT unnest(range(1, {RP + 1})) AS r)"
 
 
+def _moved(by: str = "", key: str = "entity") -> str:
+    """Rows by number (within ``by``), and for each replicate the number that takes a row's place."""
+    part = f"PARTITION BY {by} " if by else ""
+    return f"num AS (SELECT *, row_number() OVER ({part}ORDER BY {key}) AS i, count(*) OVER ({part}) AS of_n FROM ent), a AS (SELECT num.*, r, {partner_sql('i', 'of_n', 'r')} AS j FROM num, reps)"
+
+
 def _perm(by: str) -> str:
-    part = f"PARTITION BY r{by}"
-    return f"""a AS (SELECT e.*, r, row_number() OVER ({part} ORDER BY entity) AS i FROM ent e, reps), b AS (SELECT r{by}, row_number() OVER ({part} ORDER BY {_KEY.format(k='entity')}, entity) AS i, lag AS lag_perm FROM ent e, reps),
- n AS (SELECT a.r, abs(corr(a.size, b.lag_perm)) AS s FROM a JOIN b ON a.r = b.r AND a.i = b.i{' AND a.grp2 = b.grp2' if by else ''} GROUP BY a.r), o AS (SELECT abs(corr(size, lag)) AS o FROM ent)
-SELECT {q6('any_value(o)')} AS observed, {q6(f'(1 + count_if(s >= o - 1e-9)) / {RP + 1}.0')} AS p, {q6('avg(s)')} AS null_mean, {q6('quantile_cont(s, 0.95)')} AS null_p95 FROM n, o"""
+    return f"""{_moved(by)}, s AS (SELECT a.r, abs(corr(a.size, b.lag)) AS s FROM a JOIN num b ON b.i = a.j{f' AND a.{by} = b.{by}' if by else ''} GROUP BY a.r), o AS (SELECT abs(corr(size, lag)) AS o FROM ent)
+SELECT {q6('any_value(o)')} AS observed, {q6(f'(1 + count_if(s >= o - 1e-9)) / {RP + 1}.0')} AS p, {q6('avg(s)')} AS null_mean, {q6('quantile_cont(s, 0.95)')} AS null_p95 FROM s, o"""
 
 
 def _test(spark, d, strata):
-    x = resample.permutation_test(_entities(spark, d), "entity", "lag", lambda t: F.corr("size", t), RP, _ORDER, strata)
+    x = resample.permutation_test(_entities(spark, d), "entity", "lag", lambda t: F.corr("size", t), RP, strata)
     return x.select(*[r6(c).alias(c) for c in ("observed", "p", "null_mean", "null_p95")])
 
 
@@ -41,37 +46,37 @@ def k01_row_permutation(spark, d):
     return _test(spark, d, [])
 
 
-@query(f"WITH {_ENT}, {_REPS_P}, {_perm(', grp2')}")
+@query(f"WITH {_ENT}, {_REPS_P}, {_perm('grp2')}")
 def k02_stratified_permutation(spark, d):
     return _test(spark, d, ["grp2"])
 
 
-@query(f"WITH {_ENT}, {_REPS}, a AS (SELECT e.*, r, row_number() OVER (PARTITION BY r ORDER BY entity) AS i FROM ent e, reps), b AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY {_KEY.format(k='entity')}, entity) AS i, lag AS l2, weeks AS w2 FROM ent e, reps) SELECT CAST(a.r AS INTEGER) AS replicate, {q6('corr(size, l2)')} AS a, {q6('corr(l2, w2)')} AS kept FROM a JOIN b ON a.r = b.r AND a.i = b.i GROUP BY a.r")
+@query(f"WITH {_ENT}, {_REPS}, {_moved()} SELECT CAST(a.r AS INTEGER) AS replicate, {q6('corr(a.size, b.lag)')} AS a, {q6('corr(b.lag, b.weeks)')} AS kept FROM a JOIN num b ON b.i = a.j GROUP BY a.r")
 def k03_block_permutation(spark, d):
     """Rows of the block (lag, weeks) are permuted together, so its inner correlation stays."""
     e = _entities(spark, d).withColumn("block", F.struct("lag", "weeks"))
-    p = resample.permuted(e, "entity", "block", R, _ORDER)
+    p = resample.permuted(e, "entity", "block", R)
     return p.groupBy("replicate").agg(r6(F.corr("size", "block_perm.lag")).alias("a"), r6(F.corr("block_perm.lag", "block_perm.weeks")).alias("kept"))
 
 
-@query(f"WITH {_ENT}, {_REPS}, a AS (SELECT e.*, r, row_number() OVER (PARTITION BY r ORDER BY entity) AS i FROM ent e, reps), b AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY {_KEY.format(k='entity')}, entity) AS i, lag AS l2 FROM ent e, reps), c AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY ({_KEY.format(k='entity')}) * 17 % 9973, entity) AS i, weeks AS w2 FROM ent e, reps) SELECT CAST(a.r AS INTEGER) AS replicate, {q6('corr(l2, w2)')} AS broken FROM a JOIN b ON a.r = b.r AND a.i = b.i JOIN c ON a.r = c.r AND a.i = c.i GROUP BY a.r")
+@query(f"WITH {_ENT}, {_REPS}, {_moved()}, c AS (SELECT i, r, {partner_sql('i', 'of_n', 'r', 1)} AS k FROM num, reps) SELECT CAST(a.r AS INTEGER) AS replicate, {q6('corr(b.lag, d.weeks)')} AS broken FROM a JOIN c ON a.r = c.r AND a.i = c.i JOIN num b ON b.i = a.j JOIN num d ON d.i = c.k GROUP BY a.r")
 def k04_column_permutation(spark, d):
-    """Each column permuted by an order of its own (parallel analysis): inner correlations go."""
+    """Each column permuted by a bijection of its own (parallel analysis): inner correlations go."""
     e = _entities(spark, d)
-    one = resample.permuted(e, "entity", "lag", R, _ORDER).select("replicate", "entity", "lag_perm")
-    two = resample.permuted(e, "entity", "weeks", R, lambda r, k: _ORDER(r, k) * 17 % 9973).select("replicate", "entity", "weeks_perm")
+    one = resample.permuted(e, "entity", "lag", R).select("replicate", "entity", "lag_perm")
+    two = resample.permuted(e, "entity", "weeks", R, seed=1).select("replicate", "entity", "weeks_perm")
     return one.join(two, ["replicate", "entity"]).groupBy("replicate").agg(r6(F.corr("lag_perm", "weeks_perm")).alias("broken"))
 
 
-@query(f"WITH {FRAMES}, {_REPS}, g AS (SELECT entity, min(y) AS t FROM frames GROUP BY entity), a AS (SELECT g.*, r, row_number() OVER (PARTITION BY r ORDER BY entity) AS i FROM g, reps), b AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY {_KEY.format(k='entity')}, entity) AS i, t AS t2 FROM g, reps), p AS (SELECT a.r, a.entity, t2 FROM a JOIN b ON a.r = b.r AND a.i = b.i) SELECT CAST(r AS INTEGER) AS replicate, {q6('corr(x1, t2)')} AS s FROM frames JOIN p USING (entity) GROUP BY r")
+@query(f"WITH {FRAMES}, {_REPS}, ent AS (SELECT entity, min(y) AS t FROM frames GROUP BY entity), {_moved()}, p AS (SELECT a.r, a.entity, b.t FROM a JOIN num b ON b.i = a.j) SELECT CAST(r AS INTEGER) AS replicate, {q6('corr(x1, t)')} AS s FROM frames JOIN p USING (entity) GROUP BY r")
 def k05_whole_group_permutation(spark, d):
-    x = resample.whole_groups(frames(spark, d).withColumn("t", F.col("y")), "entity", "t", R, _ORDER)
+    x = resample.whole_groups(frames(spark, d).withColumn("t", F.col("y")), "entity", "t", R)
     return x.groupBy("replicate").agg(r6(F.corr("x1", "t_perm")).alias("s"))
 
 
-@query(f"WITH {FRAMES}, {_REPS}, a AS (SELECT f.*, r, row_number() OVER (PARTITION BY r, entity ORDER BY frame) AS i FROM frames f, reps), b AS (SELECT entity, r, row_number() OVER (PARTITION BY r, entity ORDER BY {_KEY.format(k='frame')}, frame) AS i, y AS y2 FROM frames f, reps) SELECT CAST(a.r AS INTEGER) AS replicate, {q6('corr(x1, y2)')} AS s FROM a JOIN b ON a.r = b.r AND a.i = b.i AND a.entity = b.entity GROUP BY a.r")
+@query(f"WITH {FRAMES}, {_REPS}, ent AS (SELECT * FROM frames), {_moved('entity', 'frame')} SELECT CAST(a.r AS INTEGER) AS replicate, {q6('corr(a.x1, b.y)')} AS s FROM a JOIN num b ON b.i = a.j AND b.entity = a.entity GROUP BY a.r")
 def k06_time_shuffle(spark, d):
-    x = resample.shuffled_times(frames(spark, d), "entity", "frame", "y", R, _ORDER)
+    x = resample.shuffled_times(frames(spark, d), "entity", "frame", "y", R)
     return x.groupBy("replicate").agg(r6(F.corr("x1", "y_perm")).alias("s"))
 
 
@@ -136,8 +141,8 @@ def k11_positive_control(spark, d):
     return resample.gate(one.unpivot([], ["control", "size", "weeks"], "metric", "v"), "control", "metric", "v", 0.5).select("metric", r6("v").alias("v"), "valid")
 
 
-@query(f"""WITH {_ENT}, {_REPS_P}, a AS (SELECT e.*, r, row_number() OVER (PARTITION BY r ORDER BY entity) AS i FROM ent e, reps), b AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY {_KEY.format(k='entity')}, entity) AS i, lag AS l2 FROM ent e, reps),
- n AS (SELECT unnest([round_even(abs(corr(size, l2)), 9), round_even(abs(corr(weeks, l2)), 9), round_even(abs(corr(percentile, l2)), 9)]) AS s FROM a JOIN b ON a.r = b.r AND a.i = b.i GROUP BY a.r), o AS (SELECT unnest([round_even(abs(corr(size, lag)), 9), round_even(abs(corr(weeks, lag)), 9), round_even(abs(corr(percentile, lag)), 9)]) AS s FROM ent),
+@query(f"""WITH {_ENT}, {_REPS_P}, {_moved()},
+ n AS (SELECT unnest([round_even(abs(corr(a.size, b.lag)), 9), round_even(abs(corr(a.weeks, b.lag)), 9), round_even(abs(corr(a.percentile, b.lag)), 9)]) AS s FROM a JOIN num b ON b.i = a.j GROUP BY a.r), o AS (SELECT unnest([round_even(abs(corr(size, lag)), 9), round_even(abs(corr(weeks, lag)), 9), round_even(abs(corr(percentile, lag)), 9)]) AS s FROM ent),
  k AS (SELECT max(abs((SELECT avg((o.s <= x.s)::INT) FROM o) - (SELECT avg((n.s <= x.s)::INT) FROM n))) AS ks FROM (SELECT s FROM n UNION ALL SELECT s FROM o) x)
 SELECT {q6('(SELECT quantile_cont(s, 0.5) FROM o)')} AS real_median, {q6('(SELECT quantile_cont(s, 0.9) FROM o)')} AS real_p90, {q6('(SELECT max(s) FROM o)')} AS real_largest, {q6('(SELECT quantile_cont(s, 0.5) FROM n)')} AS null_median, {q6('(SELECT quantile_cont(s, 0.9) FROM n)')} AS null_p90, {q6('(SELECT max(s) FROM n)')} AS null_largest, {q6('ks')} AS ks FROM k""")
 def k12_matched_null(spark, d):
@@ -147,7 +152,7 @@ def k12_matched_null(spark, d):
     names = ["size", "weeks", "percentile"]
     stats = lambda target: [F.bround(F.abs(F.corr(c, target)), 9).alias(c) for c in names]
     real = _entities(spark, d).agg(*stats("lag")).unpivot([], names, "variable", "s")
-    null = resample.permuted(_entities(spark, d), "entity", "lag", RP, _ORDER).groupBy("replicate").agg(*stats("lag_perm")).unpivot(["replicate"], names, "variable", "s")
+    null = resample.permuted(_entities(spark, d), "entity", "lag", RP).groupBy("replicate").agg(*stats("lag_perm")).unpivot(["replicate"], names, "variable", "s")
     x = null_distance(real, null)
     return x.select(*[r6(c).alias(c) for c in x.columns])
 

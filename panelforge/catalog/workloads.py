@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelforge.catalog.aggregates import SPARSE, _shares, sparse_codes
 from panelforge.catalog.cleaning import _FILES, _IDS, _RAW, _files, _ids, _raw
 from panelforge.catalog.fixtures import CODES, MEASURES, OUTCOMES, VISITS, codes, frames, outcomes, visits
 from panelforge.operators.aggregate import random_effects
@@ -64,21 +65,34 @@ def w2_clock_lag(spark, d):
 _RANKS = "rank() OVER (PARTITION BY code ORDER BY {0}) + (count(*) OVER (PARTITION BY code, {0}) - 1) / 2.0"
 
 
-@query(f"""WITH {CODES}, n AS (SELECT entity, frame, count(*) AS p FROM codes GROUP BY ALL), g AS (SELECT entity, count(*) AS f FROM n GROUP BY entity), h AS (SELECT entity, frame, code, count(*) AS c FROM codes GROUP BY ALL), s AS (SELECT h.entity, code, sum(c / p::DOUBLE) / any_value(f) AS share FROM h JOIN n USING (entity, frame) JOIN g ON g.entity = h.entity GROUP BY h.entity, code),
- c AS (SELECT entity, code, round_even(ln(greatest(share / sum(share) OVER (PARTITION BY entity), 1e-6)) - avg(ln(greatest(share / 1, 1e-6))) OVER (PARTITION BY entity), 9) AS clr, entity * 7919 % 1009 AS score FROM s), r AS (SELECT code, {_RANKS.format('clr')} AS a, {_RANKS.format('score')} AS b FROM c) SELECT code, CAST(round_even(corr(a, b), 3) AS DOUBLE) + 0.0 AS effect, count(*) AS n FROM r GROUP BY code""")
+def _effects(rows: str) -> str:
+    """Effect of each code: rank correlation of its log-ratio with the score, over all entities."""
+    return f"""{_shares(rows)}, c AS (SELECT entity, code, ln(greatest(share / sum(share) OVER (PARTITION BY entity), 1e-6)) AS l, entity * 7919 % 1009 AS score FROM shares),
+ l AS (SELECT entity, code, score, l - avg(l) OVER (PARTITION BY entity) AS clr FROM c), k AS (SELECT code, {_RANKS.format('clr')} AS a, {_RANKS.format('score')} AS b FROM l) SELECT code, CAST(round_even(corr(a, b), 3) AS DOUBLE) + 0.0 AS effect, count(*) AS n FROM k GROUP BY code"""
+
+
+def _scores(c):
+    return c.select("entity").distinct().withColumn("score", F.col("entity") * 7919 % 1009)
+
+
+@query(f"WITH {CODES}, {_effects('codes')}")
 def w3_code_effects(spark, d):
     c = codes(spark, d)
-    scores = c.select("entity").distinct().withColumn("score", F.col("entity") * 7919 % 1009)
-    x = jobs.code_effects(c, scores, 20)
-    return x.select("code", (F.bround("effect", 3) + 0.0).alias("effect"), "n")
+    return jobs.code_effects(c, _scores(c), 20).select("code", (F.bround("effect", 3) + 0.0).alias("effect"), "n")
+
+
+@query(f"WITH {SPARSE}, {_effects('sparse')}")
+def w3_absent_codes(spark, d):
+    """The same where entities lack codes: their zeros take part."""
+    c = sparse_codes(spark, d)
+    return jobs.code_effects(c, _scores(c), 20).select("code", (F.bround("effect", 3) + 0.0).alias("effect"), "n")
 
 
 @query()
 def w3_code_significance(spark, d):
     """Permutation p and adjusted q of every code, over 1000 replicates, and the pooled effect of all."""
     c = codes(spark, d)
-    scores = c.select("entity").distinct().withColumn("score", F.col("entity") * 7919 % 1009)
-    x = jobs.code_effects(c, scores, 1000).withColumns({"all": F.lit("all"), "variance": 1 / (F.col("n") - 3.0)})
+    x = jobs.code_effects(c, _scores(c), 1000).withColumns({"all": F.lit("all"), "variance": 1 / (F.col("n") - 3.0)})
     meta = random_effects(x, ["all"], "effect", "variance").select("pooled", "se", "tau2")
     return x.crossJoin(F.broadcast(meta)).select("code", "n", *[r6(v).alias(v) for v in ("effect", "p", "q", "pooled", "se", "tau2")])
 

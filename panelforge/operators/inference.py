@@ -241,7 +241,7 @@ def generalised_variance(df: DataFrame, by: str, columns: Sequence[str], time: s
         return pa.table({by: table[by][:keep], "n": pa.array([n][:keep], pa.int64()), "trace": pa.array([float(np.trace(cov))][:keep], pa.float64()), "det": pa.array([float(np.linalg.det(cov))][:keep], pa.float64())})
 
     g = linear.gram_table(x, [by]).groupBy(by).applyInArrow(solved, f"{by} {dict(x.dtypes)[by]}, n long, trace double, det double")
-    return g.join(rows.groupBy(by).agg(F.percentile(time, F.lit(0.5)).alias(time)), by)
+    return g.join(windows.quantiles(rows, time, [0.5], [by]).withColumnRenamed("q0", time), by)
 
 
 def pairwise_covariance(df: DataFrame, columns: Sequence[str], least: int = 3) -> DataFrame:
@@ -304,9 +304,13 @@ def nested_selection(df: DataFrame, features: str, target: str, row: str, fold:
     chosen, r2 = outer(linear.grams(linear.design(df, features, [target], keep=[fold]), fold))
     null = []
     if shuffles:
-        moved = resample.permuted(df.select(row, fold, features, target), row, target, shuffles)
-        g = keyed(linear.design(moved, features, [f"{target}_perm"], keep=["replicate", fold]), ["replicate", fold])
-        null = [outer({f: m for (k, f), m in g.items() if k == r})[1] for r in sorted({k for k, _ in g})]
+        # complete rows are shuffled; their vectors are read once: all replicates' targets stand beside them in one Gram matrix a fold
+        whole = df.where(F.col(target).isNotNull() & F.col(features).isNotNull() & ~F.exists(features, lambda v: v.isNull() | F.isnan(v)))
+        moved = resample.with_permutations(whole.select(row, fold, features, F.col(target).cast("double").alias(target)), row, target, shuffles)
+        wide = linear.design(moved.withColumn("_all", F.concat(F.transform(features, lambda v: v.cast("double")), "perms")), "_all", keep=[fold])
+        g = linear.grams(wide, fold)
+        size = next(iter(g.values())).shape[0] - shuffles if g else 0
+        null = [outer({f: m[np.ix_(at, at)] for f, m in g.items()})[1] for r in range(shuffles if g else 0) for at in [[*range(size), size + r]]]
     counts = sorted(((i, chosen.count(i)) for i in set(chosen)), key=lambda x: (-x[1], x[0]))
     return counts, r2, null
 
@@ -379,8 +383,11 @@ def noise_test(df: DataFrame, entity: str, vector: str, noise: str, covariates:
 
     total = linear.total_gram(linear.design(x.withColumn("_v", row(noise)), "_v"))
     real = ladder(total)
-    moved = resample.permuted(x, entity, noise, replicates).withColumn("_v", row(f"{noise}_perm"))
-    null = [ladder(g) for g in linear.grams(linear.design(moved, "_v", keep=["replicate"]), "replicate").values()]
+    whole = x.withColumn("_v", row(noise)).where(~F.exists("_v", lambda v: v.isNull() | F.isnan(v))).withColumn(noise, F.col(noise).cast("double"))
+    moved = resample.with_permutations(whole, entity, noise, replicates).withColumn("_v", F.concat("_v", "perms"))
+    g = linear.total_gram(linear.design(moved, "_v"))
+    base = k + 2 + len(covariates)  # of the matrix: the constant, the axes, the noise, the covariates
+    null = [ladder(g[np.ix_(at, at)]) for r in range(replicates) for at in [[*range(k + 1), base + r, *range(k + 2, base)]]]
     out = dict(real)
     for name in rungs:
         out[f"p_{name}"] = (1 + sum(n[name] >= real[name] - 1e-9 for n in null)) / (1.0 + len(null))

@@ -1,17 +1,22 @@
 """Permutation nulls, bootstraps and gates, on entity-level tables.
 
-Order comes from hashes of (replicate, id), so a retried task draws the same replicate. Replicates are
-a column; statistics that are sums of products need no Python.
+A permutation is a keyed bijection of row numbers (``bijection``): rows are numbered once, whatever the
+replicates, and only the target's numbers move. Bootstraps draw by hashes of (replicate, id). A retried task
+draws the same replicate. Replicates are a column; statistics that are sums of products need no Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators.bijection import with_partner
+from panelforge.operators.lineage import cut
 from panelforge.operators.windows import numbered
 
 Order = Callable[[str, str], Column]
@@ -31,40 +36,58 @@ def replicated(df: DataFrame, n: int, name: str = "replicate") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
-def permuted(df: DataFrame, key: str, target: str, n: int, order: Order | None = None, strata: Sequence[str] = ()) -> DataFrame:
-    """Per replicate the target permuted among rows (within ``strata``): column ``<target>_perm``.
+def _numbered(df: DataFrame, key: str, target: str, strata: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` with its number within ``strata`` (``_i``) and their sizes (``_n``), and the targets by number (``_j``)."""
+    x = cut(numbered(df, [key], strata, "_i"))
+    if strata:
+        sizes = x.groupBy(*strata).agg(F.count("*").alias("_n"))
+        same = [F.col(f"x.{c}").eqNullSafe(F.col(f"s.{c}")) for c in strata]
+        x = x.alias("x").join(sizes.alias("s"), reduce(and_, same)).select("x.*", "s._n")
+    else:
+        x = x.withColumn("_n", F.lit(x.count()))
+    return x, x.select(*[F.col(c).alias(f"_{c}") for c in strata], F.col("_i").alias("_j"), F.col(target).alias(f"{target}_perm"))
 
-    Rows are numbered once by key, and once per replicate in its order, both by ranges; the numbers
-    are joined. A replicate doesn't have to fit one task.
+
+def permuted(df: DataFrame, key: str, target: str, n: int, strata: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """Per replicate (1 to ``n``) the target permuted among rows (within ``strata``): column ``<target>_perm``.
+
+    Rows are numbered once by key, by ranges; a replicate's partner is computed, and the targets are
+    joined by number. A replicate doesn't have to fit one task, and no replicate is sorted. Rows ride along with each replicate: for wide
+    rows use ``with_permutations``.
     """
-    order = order or hash_order()
-    x = replicated(numbered(df, [key], strata, "_i"), n)
-    y = numbered(replicated(df.select(*strata, key, target), n), [order("replicate", key), key], ["replicate", *strata], "_i")
-    y = y.select("replicate", *[F.col(c).alias(f"_{c}") for c in strata], F.col("_i").alias("_j"), F.col(target).alias(f"{target}_perm")).withColumnRenamed("replicate", "_r")
-    same = (F.col("replicate") == F.col("_r")) & (F.col("_i") == F.col("_j"))
-    for c in strata:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return x.join(y, same).drop("_i", "_j", "_r", *[f"_{c}" for c in strata])
+    x, y = _numbered(df, key, target, strata)
+    x = with_partner(replicated(x, n), "_i", "_n", "replicate", "_p", seed)
+    same = [F.col("_p") == F.col("_j"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in strata]]
+    return x.join(y, reduce(and_, same)).drop("_i", "_j", "_n", "_p", *[f"_{c}" for c in strata])
+
+
+def with_permutations(df: DataFrame, key: str, target: str, n: int, name: str = "perms", seed: int = 0) -> DataFrame:
+    """``df`` with an array of ``n`` targets: element r - 1 is what replicate r puts in the row's place. Only numbers and targets move, not the rows' vectors."""
+    x, y = _numbered(df, key, target, ())
+    moved = with_partner(replicated(x.select("_i", "_n"), n), "_i", "_n", "replicate", "_p", seed)
+    both = F.sort_array(F.collect_list(F.struct("replicate", f"{target}_perm")))
+    lists = moved.join(y, F.col("_p") == F.col("_j")).groupBy("_i").agg(F.transform(both, lambda s: s[f"{target}_perm"]).alias(name))
+    return x.join(lists, "_i").drop("_i", "_n")
 
 
-def permutation_test(df: DataFrame, key: str, target: str, statistic: Callable[[str], Column], n: int, order: Order | None = None, strata: Sequence[str] = ()) -> DataFrame:
+def permutation_test(df: DataFrame, key: str, target: str, statistic: Callable[[str], Column], n: int, strata: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """Observed |statistic|, its p = (1 + #)/(1 + n) (equal up to 1e-9 counts), and the null's mean and 95th percentile."""
     observed = df.agg(F.abs(statistic(target)).alias("observed"))
-    null = permuted(df, key, target, n, order, strata).groupBy("replicate").agg(F.abs(statistic(f"{target}_perm")).alias("null"))
+    null = permuted(df, key, target, n, strata, seed).groupBy("replicate").agg(F.abs(statistic(f"{target}_perm")).alias("null"))
     x = null.crossJoin(F.broadcast(observed))
     return x.groupBy("observed").agg(((1 + F.count_if(F.col("null") >= F.col("observed") - 1e-9)) / (1.0 + n)).alias("p"), F.avg("null").alias("null_mean"), F.percentile("null", F.lit(0.95)).alias("null_p95"))
 
 
-def whole_groups(df: DataFrame, group: str, target: str, n: int, order: Order | None = None) -> DataFrame:
+def whole_groups(df: DataFrame, group: str, target: str, n: int, seed: int = 0) -> DataFrame:
     """Permute the target among groups (one target per group), then give it to their rows."""
     groups = df.groupBy(group).agg(F.min(target).alias(target))
-    p = permuted(groups, group, target, n, order).select(group, "replicate", f"{target}_perm")
+    p = permuted(groups, group, target, n, seed=seed).select(group, "replicate", f"{target}_perm")
     return df.join(p, group)
 
 
-def shuffled_times(df: DataFrame, entity: str, key: str, time: str, n: int, order: Order | None = None) -> DataFrame:
+def shuffled_times(df: DataFrame, entity: str, key: str, time: str, n: int, seed: int = 0) -> DataFrame:
     """Times permuted within each entity."""
-    return permuted(df, key, time, n, order, [entity])
+    return permuted(df, key, time, n, [entity], seed)
 
 
 def poisson_weights(df: DataFrame, key: str, n: int, order: Order | None = None, modulus: int = 10007) -> DataFrame:

@@ -191,9 +191,17 @@ def assign(df: DataFrame, vector: str, centres: np.ndarray, name: str = "code",
     return df.mapInArrow(run, f"{kinds}, {name} int, distance double")
 
 
-def code_shares(df: DataFrame, entity: str, frame: str, code: str) -> DataFrame:
-    """Per entity the mean over its frames of each code's share of the frame's patches."""
-    c = df.groupBy(entity, frame, code).agg(F.count("*").alias("_c"))
+def code_shares(df: DataFrame, entity: str, frame: str, code: str, known: Sequence[int] | None = None) -> DataFrame:
+    """Per entity the mean over its frames of each code's share of the frame's patches: a row for every entity and code.
+
+    A code that an entity lacks has share 0, as in a full matrix (so a log-ratio of the shares sees it). The codes are
+    ``known`` (the codebook's), or else those that occur in the table; they must be few, the entities need not be.
+    """
+    c = df.where(F.col(code).isNotNull()).groupBy(entity, frame, code).agg(F.count("*").alias("_c"))
     n = c.groupBy(entity, frame).agg(F.sum("_c").alias("_p"))
     f = n.groupBy(entity).agg(F.count("*").alias("_f"))
-    return c.join(n, [entity, frame]).join(f, entity).groupBy(entity, code).agg((F.sum(F.col("_c") / F.col("_p")) / F.first("_f")).alias("share"))
+    found = c.join(n, [entity, frame]).groupBy(entity, code).agg(F.sum(F.col("_c") / F.col("_p")).alias("_s"))
+    kind = dict(df.dtypes)[code]
+    names = F.array(*[F.lit(k).cast(kind) for k in known]) if known is not None else None
+    grid = f.withColumn(code, F.explode(names)) if known is not None else f.crossJoin(F.broadcast(c.agg(F.collect_set(code).alias("_codes")))).withColumn(code, F.explode("_codes"))
+    return grid.join(found, [entity, code], "left").select(entity, code, (F.coalesce("_s", F.lit(0.0)) / F.col("_f")).alias("share"))

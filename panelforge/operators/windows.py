@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,55 +20,88 @@ def average_rank(by: Sequence[str], order: str | Column) -> Column:
     return F.rank().over(w.orderBy(o)) + (F.count("*").over(w.partitionBy(*by, o)) - 1) / 2.0
 
 
-def dealt_by_range(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
-    """``df`` range-partitioned by ``keys`` and kept so, with the partition in ``_part``: what is before a row is in its partition or in a lower one."""
-    return cut(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+#: Rows up to which an order is made in one task (a checked count); beyond, it is made by ranges.
+ONE_TASK = 200_000
+
+
+def _ordered(df: DataFrame, keys: Sequence[str | Column]) -> tuple[DataFrame, bool]:
+    """``df`` computed once: few rows as they are, and True; more of them range-partitioned by ``keys``, with the partition in ``_part``.
+
+    By ranges, what is before a row is in its partition or in a lower one.
+    """
+    x = cut(df)
+    if x.count() <= ONE_TASK:
+        return x, True
+    return cut(x.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())), False
+
+
+def _same(by: Sequence[str], a: str, b: str) -> list[Column]:
+    return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), name: str = "number") -> DataFrame:
     """Row numbers from 1 within ``by`` in a total ``order``, by ranges: neither the rows nor a group have to fit one task."""
     names = [f"_o{i}" for i in range(len(order))]
     asc = [F.col(o) if isinstance(o, str) else o for o in order]
-    x = dealt_by_range(df.withColumns(dict(zip(names, asc))), [*by, *names])
+    x, few = _ordered(df.withColumns(dict(zip(names, asc))), [*by, *names])
+    if few:
+        return x.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*names)).cast("long")).drop(*names)
     sizes = x.groupBy("_part", *by).agg(F.count("*").alias("_c"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_part", *by, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
     inner = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*names))
-    one = F.col("x._part") == F.col("s._part")
-    for c in by:
-        one = one & F.col(f"x.{c}").eqNullSafe(F.col(f"s.{c}"))
+    one = reduce(and_, _same(by, "x", "s"), F.col("x._part") == F.col("s._part"))
     out = x.withColumn("_i", inner).alias("x").join(sizes.alias("s"), one)
     return out.select(*[F.col(f"x.{c}") for c in df.columns], (F.col("_i") + F.col("_before")).cast("long").alias(name))
 
 
 def running(df: DataFrame, value: str, sums: Sequence[str] = (), lows: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """For rows with distinct ``value`` (within ``by``): ``<c>_upto``, sums over the rows up to and with each, and ``<c>_from``, minima from each on."""
-    x = dealt_by_range(df, [*by, value])
+    x, few = _ordered(df, [*by, value])
+    w = Window.partitionBy(*([] if few else ["_part"]), *by).orderBy(value)
+    x = x.withColumns({f"{c}_upto": F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in sums} | {f"{c}_from": F.min(c).over(w.rowsBetween(0, Window.unboundedFollowing)) for c in lows})
+    if few:
+        return x
     totals = x.groupBy("_part", *by).agg(*[F.sum(c).alias(f"{c}_t") for c in sums], *[F.min(c).alias(f"{c}_l") for c in lows])
     whole = Window.partitionBy(*by).orderBy("_part")
     below, above = whole.rowsBetween(Window.unboundedPreceding, -1), whole.rowsBetween(1, Window.unboundedFollowing)
     totals = totals.select("_part", *by, *[F.coalesce(F.sum(f"{c}_t").over(below), F.lit(0)).alias(f"{c}_t") for c in sums], *[F.min(f"{c}_l").over(above).alias(f"{c}_l") for c in lows])
-    w = Window.partitionBy("_part", *by).orderBy(value)
-    x = x.withColumns({f"{c}_upto": F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in sums} | {f"{c}_from": F.min(c).over(w.rowsBetween(0, Window.unboundedFollowing)) for c in lows})
-    x = x.join(totals, ["_part", *by])
-    return x.select(*df.columns, *[(F.col(f"{c}_upto") + F.col(f"{c}_t")).alias(f"{c}_upto") for c in sums], *[F.least(f"{c}_from", f"{c}_l").alias(f"{c}_from") for c in lows])
-
-
-def ranked(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """Global average ranks: rows are reduced to counts by value, those summed up by ranges, and joined back by value."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
-    ranks = running(counts, value, ["_c"]).select(value, (F.col("_c_upto") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(name))
-    return df.join(ranks, value, "left")
-
-
-def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
-    """One row of exact quantiles ``q0``, ``q1``, ... (linear between neighbours): values are counted, and the counts summed up by ranges."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    x = cut(running(counts, "_v", ["_c"]))
-    n = x.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n")).first()["n"]
-    at = [(int(p * (n - 1) + 1e-9), p * (n - 1)) for p in shares]
-    above = lambda k: F.min(F.when(F.col("_c_upto") > k, F.col("_v")))
-    return x.agg(*[(above(k) + (F.coalesce(above(k + 1), above(k)) - above(k)) * max(0.0, t - k)).alias(f"q{i}") for i, (k, t) in enumerate(at)])
+    x = x.alias("x").join(totals.alias("s"), reduce(and_, _same(by, "x", "s"), F.col("x._part") == F.col("s._part")))
+    return x.select(*[F.col(f"x.{c}") for c in df.columns], *[(F.col(f"{c}_upto") + F.col(f"{c}_t")).alias(f"{c}_upto") for c in sums], *[F.least(f"{c}_from", f"{c}_l").alias(f"{c}_from") for c in lows])
+
+
+def ranked(df: DataFrame, value: str, name: str = "rank", by: Sequence[str] = ()) -> DataFrame:
+    """Average ranks (within ``by``; null for a null value): rows are reduced to counts by value, those summed up by ranges, and joined back by value.
+
+    The rows are computed once: a sum of doubles that came out differently a second time would find no rank.
+    """
+    df = cut(df)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    ranks = running(counts, value, ["_c"], by=by).select(*by, value, (F.col("_c_upto") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(name))
+    one = reduce(and_, _same(by, "x", "s"), F.col(f"x.{value}") == F.col(f"s.{value}"))
+    return df.alias("x").join(ranks.alias("s"), one, "left").select("x.*", f"s.{name}")
+
+
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles ``q0``, ``q1``, ... (linear between neighbours), one row, or one per group of ``by``.
+
+    Values are counted, and the counts summed up by ranges, so neither the rows nor a group's distinct values have to fit one
+    task. A group without a value has no row (nulls without ``by``).
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    x = running(counts, "_v", ["_c"], by=by)
+    if not by:
+        x = cut(x)
+    n = x.groupBy(*by).agg(F.sum("_c").alias("_all"))
+    x = x.crossJoin(F.broadcast(n)) if not by else x.alias("x").join(n.alias("s"), reduce(and_, _same(by, "x", "s"))).select("x.*", "s._all")
+    picks = []
+    for i, p in enumerate(shares):
+        at = F.lit(float(p)) * (F.col("_all") - 1)
+        k = F.floor(at + 1e-9)
+        above = lambda m: F.min(F.when(F.col("_c_upto") > m, F.col("_v")))
+        picks += [above(k).alias(f"_l{i}"), above(k + 1).alias(f"_h{i}"), F.max(F.greatest(at - k, F.lit(0.0))).alias(f"_s{i}")]
+    q = x.groupBy(*by).agg(*picks)
+    return q.select(*by, *[(F.col(f"_l{i}") + (F.coalesce(f"_h{i}", f"_l{i}") - F.col(f"_l{i}")) * F.col(f"_s{i}")).alias(f"q{i}") for i in range(len(shares))])
 
 
 def clr(df: DataFrame, key: str, value: str, floor: float = 1e-6) -> DataFrame:
@@ -180,5 +215,5 @@ def robust_z(df: DataFrame, value: str, name: str = "robust_z", least: int = 0)
 
 def outlier_score(long: DataFrame, key: str, column: str, value: str) -> DataFrame:
     """Per entity the largest |x - median| / std over its observed columns."""
-    s = long.groupBy(column).agg(F.percentile(value, F.lit(0.5)).alias("_m"), F.stddev_pop(value).alias("_s"))
+    s = long.groupBy(column).agg(F.stddev_pop(value).alias("_s")).join(quantiles(long, value, [0.5], [column]).withColumnRenamed("q0", "_m"), column)
     return long.join(s, column).groupBy(key).agg(F.max(F.abs(F.col(value) - F.col("_m")) / F.col("_s")).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions import clean
-from panelforge.operators import aggregate, linear, panel, resample, vectors, windows
+from panelforge.operators import aggregate, lineage, linear, panel, resample, vectors, windows
 
 
 def entity_panel(visits: DataFrame, outcomes: DataFrame, slots: Sequence[int], measures: Sequence[str]) -> DataFrame:
@@ -31,13 +31,17 @@ def clock_lag(frames: DataFrame, features: str | Sequence[str], target: str, ent
     return windows.debiased(e, "lag", "time").join(outcomes, entity, "left")
 
 
-def code_effects(codes: DataFrame, scores: DataFrame, replicates: int = 100, order: resample.Order | None = None) -> DataFrame:
-    """W3: code shares per entity, CLR, rank correlation with a score, permutation p, adjusted over codes."""
-    s = windows.clr(vectors.code_shares(codes, "entity", "frame", "code"), "entity", "share")
+def code_effects(codes: DataFrame, scores: DataFrame, replicates: int = 100, seed: int = 0, known: Sequence[int] | None = None) -> DataFrame:
+    """W3: code shares per entity (0 for codes that an entity lacks), CLR, rank correlation with a score, permutation p, adjusted over codes.
+
+    ``known``: the codes of the codebook; without it, those that occur.
+    """
+    s = windows.clr(vectors.code_shares(codes, "entity", "frame", "code", known), "entity", "share")
     x = s.join(scores, "entity").select("entity", "code", "clr", "score")
-    x = x.withColumn("ra", windows.average_rank(["code"], "clr")).withColumn("rb", windows.average_rank(["code"], "score"))
+    x = windows.ranked(windows.ranked(x, "clr", "ra", ["code"]), "score", "rb", ["code"])
+    x = lineage.cut(x.where("ra is not null and rb is not null"))
     observed = x.groupBy("code").agg(F.corr("ra", "rb").alias("effect"), F.count("*").alias("n"))
-    null = resample.permuted(x, "entity", "rb", replicates, order, ["code"]).groupBy("code", "replicate").agg(F.abs(F.corr("ra", "rb_perm")).alias("null"))
+    null = resample.permuted(x, "entity", "rb", replicates, ["code"], seed).groupBy("code", "replicate").agg(F.abs(F.corr("ra", "rb_perm")).alias("null"))
     p = null.join(observed, "code").groupBy("code", "effect", "n").agg(((1 + F.count_if(F.col("null") >= F.abs("effect") - 1e-9)) / (1.0 + replicates)).alias("p"))
     return windows.adjust_p(p, method="by")
 

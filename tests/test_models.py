@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.operators.bijection import partners
 from panelforge.operators import aggregate, geometry, inference, linear, resample, sampling, vectors, windows
 
 
@@ -123,17 +124,61 @@ def test_components_and_matching(spark):
 
 
 def test_permutation_p_is_even_under_the_null(spark):
+    """Over many independent tables the p values are even: 300 draws against the 40 grid values of 39 replicates."""
     r = np.random.default_rng(6)
     ps = []
-    for _ in range(4):
-        df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(r.standard_normal((60, 2)))], "k long, a double, b double")
-        p = resample.permutation_test(df, "k", "b", lambda t: F.corr("a", t), 50).first().p
-        ps.append(p)
-    assert all(1 / 51 <= p <= 1 for p in ps) and np.mean(ps) > 0.1
+    for _ in range(300):
+        a, b = r.standard_normal((2, 25))
+        i = np.arange(1, 26)
+        null = [abs(np.corrcoef(a, b[partners(i, np.full(25, 25), np.full(25, k)) - 1])[0, 1]) for k in range(1, 40)]
+        ps.append((1 + sum(v >= abs(np.corrcoef(a, b)[0, 1]) - 1e-9 for v in null)) / 40)
+    ps = np.sort(ps)
+    assert np.abs(ps - np.arange(1, 301) / 300).max() < 1.63 / np.sqrt(300) + 1 / 40  # Kolmogorov's 1 % bound, and a grid step
     strong = spark.createDataFrame([(i, float(i), float(i)) for i in range(40)], "k long, a double, b double")
     assert resample.permutation_test(strong, "k", "b", lambda t: F.corr("a", t), 50).first().p == pytest.approx(1 / 51)
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 10, 101, 997])
+def test_partners_are_even_bijections(n):
+    i, draws = np.arange(1, n + 1), 4000 if n <= 10 else 60
+    at = np.stack([partners(i, np.full(n, n), np.full(n, r)) for r in range(draws)])
+    assert (np.sort(at, axis=1) == i).all()
+    assert (partners(i, np.full(n, n), np.full(n, 3), seed=1) != at[3]).any() or n <= 2
+    if n == 10:  # each place takes each number equally often, and each pair of places each pair of numbers: chi-square within 5 deviations
+        for cells, code in ((10, at[:, 0] - 1), (10, at[:, 7] - 1), (90, (at[:, 2] - 1) * 10 + at[:, 6] - 1)):
+            seen = np.bincount(code, minlength=int(code.max()) + 1)
+            seen = seen[seen > 0]
+            assert len(seen) == cells
+            chi = ((seen - draws / cells) ** 2).sum() / (draws / cells)
+            assert abs(chi - (cells - 1)) < 5 * np.sqrt(2 * (cells - 1))
+
+
+def test_permutations_beside_the_rows(spark):
+    df = spark.createDataFrame([(i, float(i * i), [float(i)]) for i in range(50)], "k long, v double, x array<double>").repartition(3)
+    rows = resample.with_permutations(df, "k", "v", 7).collect()
+    assert len(rows) == 50 and all(len(r.perms) == 7 and r.v == r.k**2 and r.x == [float(r.k)] for r in rows)
+    for r in range(7):
+        assert sorted(x.perms[r] for x in rows) == sorted(x.v for x in rows)
+    long = {(r.k, r.replicate): r.v_perm for r in resample.permuted(df, "k", "v", 7).collect()}
+    assert long == {(r.k, i + 1): v for r in rows for i, v in enumerate(r.perms)}
+
+
+def test_ranges_and_one_task_agree(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    df = spark.createDataFrame([(int(g), float(np.round(v, 1)), int(i)) for i, (g, v) in enumerate(zip(r.integers(0, 3, 400), r.standard_normal(400)))], "g long, v double, i long").repartition(5)
+    out = []
+    for limit in (200_000, 10):
+        monkeypatch.setattr(windows, "ONE_TASK", limit)
+        out.append((
+            sorted((x.i, x.number) for x in windows.numbered(df, ["v", "i"], ["g"]).collect()), sorted((x.i, x["rank"]) for x in windows.ranked(df, "v", by=["g"]).collect()),
+            sorted((x.g, x.q0, x.q1, x.q2) for x in windows.quantiles(df, "v", [0.1, 0.5, 0.77], ["g"]).collect()), sorted((x.i, round(x.q, 12)) for x in windows.adjust_p(df.withColumn("p", F.abs("v") / 9)).collect()),
+        ))
+    assert out[0] == out[1]
+    for g, *q in out[0][2]:
+        v = [x.v for x in df.where(F.col("g") == g).collect()]
+        assert q == pytest.approx(list(np.quantile(v, [0.1, 0.5, 0.77])))
+
+
 def test_permutation_keeps_the_values(spark):
     df = spark.createDataFrame([(i, i % 3, float(i)) for i in range(30)], "k long, s int, v double")
     p = resample.permuted(df, "k", "v", 3, strata=["s"]).groupBy("replicate", "s").agg(F.sum("v").alias("a"), F.sum("v_perm").alias("b"))
