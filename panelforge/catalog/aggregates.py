@@ -259,7 +259,7 @@ def e33_kruskal(spark, d):
 
 @query(f"WITH {SHOTS}, r AS (SELECT source, count(*) AS r FROM shots GROUP BY 1), c AS (SELECT stratum, count(*) AS c FROM shots GROUP BY 1), o AS (SELECT source, stratum, count(*) AS o FROM shots GROUP BY ALL), t AS (SELECT count(*) AS t FROM shots) SELECT {q6('sum(pow(coalesce(o, 0) - r * c / t::DOUBLE, 2) / (r * c / t::DOUBLE))')} AS chi2, (count(DISTINCT source) - 1) * (count(DISTINCT stratum) - 1) AS df FROM r CROSS JOIN c CROSS JOIN t LEFT JOIN o USING (source, stratum)")
 def e33_chi_square(spark, d):
-    return aggregate.chi_square(shots(spark, d), "source", "stratum").withColumn("chi2", r6("chi2"))
+    return aggregate.chi_square(shots(spark, d), "source", "stratum").select("chi2", "df").withColumn("chi2", r6("chi2"))
 
 
 _SERIES = "list_sum(list_transform(range(30), lambda k: CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * pow(x, 2 * k + 1) / (factorial(CAST(k AS INTEGER))::DOUBLE * (2 * k + 1))))"
@@ -275,7 +275,32 @@ def e33_mann_whitney(spark, d):
 
 @query(f"WITH {ENTITY_LAG}, v AS (SELECT lag, sum(count_if(grp = 'SGA')) OVER w AS a, sum(count_if(grp = 'LGA')) OVER w AS b FROM entity_lag GROUP BY lag WINDOW w AS (ORDER BY lag)), n AS (SELECT count_if(grp = 'SGA') AS na, count_if(grp = 'LGA') AS nb FROM entity_lag) SELECT {q6('max(abs(a / na::DOUBLE - b / nb::DOUBLE))')} AS ks FROM v, n")
 def e33_ks_distance(spark, d):
-    return aggregate.ks_distance(entity_lag(spark, d), "grp", "SGA", "LGA", "lag").withColumn("ks", r6("ks"))
+    return aggregate.ks_distance(entity_lag(spark, d), "grp", "SGA", "LGA", "lag").select(r6("ks").alias("ks"))
+
+
+@query(f"""WITH {SHOTS}, r AS (SELECT stratum AS g, {_RANK.format('lag')} AS r FROM shots), t AS (SELECT sum(pow(c, 3) - c) AS t FROM (SELECT count(*) AS c FROM r GROUP BY r)), h AS (SELECT sum(s * s / n) AS x, sum(n)::DOUBLE AS n, count(*) AS k FROM (SELECT sum(r) AS s, count(*) AS n FROM r GROUP BY g)),
+ v AS (SELECT (12 / (n * (n + 1)) * x - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h, k - 1 AS df FROM h, t) SELECT {q6('h')} AS h, df, {q6('exp(-h / 2)')} AS p FROM v""")
+def e33_kruskal_p(spark, d):
+    """Three groups, so two degrees of freedom, whose tail is exp(-h / 2)."""
+    x = windows.ranked(shots(spark, d), "lag", "r")
+    return aggregate.kruskal(x, "stratum", "r").select(r6("h").alias("h"), "df", r6("p").alias("p"))
+
+
+_TWO = "x AS (SELECT part % 2 AS a, (part // 2) % 2 AS b FROM shots), o AS (SELECT a, b, count(*) AS o, sum(count(*)) OVER (PARTITION BY a)::DOUBLE * sum(count(*)) OVER (PARTITION BY b) / sum(count(*)) OVER () AS e FROM x GROUP BY a, b)"
+
+
+@query(f"""WITH {SHOTS}, {_TWO}, y AS (SELECT sum(pow(greatest(abs(o - e) - 0.5, 0), 2) / e) AS yates FROM o), x2 AS (SELECT yates, sqrt(yates / 2) AS x FROM y) SELECT {q6('yates')} AS yates, {q6(f'1 - 2 / sqrt(pi()) * {_SERIES}')} AS p FROM x2""")
+def e33_yates(spark, d):
+    """Two by two, corrected; one degree of freedom is the normal tail."""
+    x = shots(spark, d).select((F.col("part") % 2).alias("a"), (F.floor(F.col("part") / 2) % 2).alias("b"))
+    return aggregate.chi_square(x, "a", "b").select(r6("yates").alias("yates"), r6("p").alias("p"))
+
+
+@query(f"""WITH {ENTITY_LAG}, v AS (SELECT lag, sum(count_if(grp = 'SGA')) OVER w AS a, sum(count_if(grp = 'LGA')) OVER w AS b FROM entity_lag GROUP BY lag WINDOW w AS (ORDER BY lag)), n AS (SELECT count_if(grp = 'SGA')::DOUBLE AS na, count_if(grp = 'LGA')::DOUBLE AS nb FROM entity_lag),
+ k AS (SELECT max(abs(a / na - b / nb)) AS ks, max(na * nb / (na + nb)) AS m FROM v, n), l AS (SELECT ks, greatest(ks * sqrt(m), 1e-3) AS l FROM k), j AS (SELECT ks, l, unnest(range(1, 51)) AS j FROM l)
+SELECT {q6('max(ks)')} AS ks, {q6('CASE WHEN max(l) < 1 THEN 1 - sqrt(2 * pi()) / max(l) * sum(exp(-(2 * j - 1) * (2 * j - 1) * pi() * pi() / (8 * l * l))) ELSE 2 * sum((CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * l * l)) END')} AS p FROM j""")
+def e33_ks_p(spark, d):
+    return aggregate.ks_distance(entity_lag(spark, d), "grp", "SGA", "LGA", "lag").select(r6("ks").alias("ks"), r6("p").alias("p"))
 
 
 _EFFECTS = "eff AS (SELECT stratum, source, avg(lag) AS e, var_samp(lag) / count(*) AS v FROM shots GROUP BY ALL HAVING count(*) > 5)"

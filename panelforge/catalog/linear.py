@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.catalog.fixtures import ENTITY_LAG, FRAMES, VISITS, WIDE, codes, entity_lag, frames, wide
-from panelforge.operators import aggregate, geometry, inference, linear, resample, vectors, windows
+from panelforge.operators import aggregate, geometry, inference, linear, neighbours, resample, screens, vectors, windows
 from panelforge.registry import q6, query, r6
 
 FOLDS = 5
@@ -238,7 +238,7 @@ def _variables(spark, d):
 @query()
 def i17_screen(spark, d):
     f = _folded(spark, d).select("frame", "fold", "emb")
-    return linear.screen(_variables(spark, d), f, "variable", "frame", "value", "emb", "fold").withColumn("r2", r6("r2"))
+    return screens.screen(_variables(spark, d), f, "variable", "frame", "value", "emb", "fold").withColumn("r2", r6("r2"))
 
 
 @query()
@@ -247,8 +247,8 @@ def i18_split_screen(spark, d):
     f = _folded(spark, d).select("frame", "fold", "emb")
     long = _variables(spark, d)
     half = F.pmod(F.xxhash64("frame"), F.lit(2))
-    first = linear.screen(long.where(half == 0), f, "variable", "frame", "value", "emb", "fold", least=50)
-    second = linear.screen(long.where(half == 1), f, "variable", "frame", "value", "emb", "fold", least=50)
+    first = screens.screen(long.where(half == 0), f, "variable", "frame", "value", "emb", "fold", least=50)
+    second = screens.screen(long.where(half == 1), f, "variable", "frame", "value", "emb", "fold", least=50)
     best = first.orderBy(F.desc("r2"), "variable").limit(2).withColumnRenamed("r2", "ranked").drop("n")
     return best.join(second, "variable").select("variable", r6("ranked").alias("ranked"), "n", r6("r2").alias("tested"))
 

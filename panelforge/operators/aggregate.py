@@ -124,6 +124,53 @@ def normal_p(z: Column) -> Column:
     return F.when(x < 2, 1 - 2 / math.sqrt(math.pi) * series).otherwise(F.exp(-x * x) / (math.sqrt(math.pi) * (x + deep)))
 
 
+# Coefficients of Lanczos' approximation of the gamma function (g = 7, nine terms).
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for positive numbers."""
+    z = F.when(x < 0.5, x).otherwise(x - 1)  # below one half: gamma(x) = gamma(x + 1) / x
+    t = z + len(LANCZOS) - 1.5
+    total = F.lit(LANCZOS[0])
+    for i, c in enumerate(LANCZOS[1:], 1):
+        total = total + c / (z + i)
+    up = 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.ln(t) - t + F.ln(total)
+    return F.when(x < 0.5, up - F.ln(x)).otherwise(up)
+
+
+#: Terms of the series and of the continued fraction; both need about the square root of the degrees of freedom.
+TERMS = 400
+
+
+def chi_square_p(chi2: Column, df: Column) -> Column:
+    """Upper tail of the chi-square distribution: the regularised incomplete gamma function, by its series below the mean and by its continued fraction above."""
+    s, x = df.cast("double") / 2, chi2.cast("double") / 2
+    scale = F.exp(s * F.ln(x) - x - log_gamma(s))
+    steps = F.sequence(F.lit(1), F.lit(TERMS))
+    first = F.struct((1 / s).alias("term"), (1 / s).alias("total"))
+
+    def added(acc: Column, k: Column) -> Column:
+        term = acc["term"] * F.least(x, s + 1) / (s + k)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    lower = scale * F.aggregate(steps, first, added)["total"]
+    above = F.greatest(x, s + 1)
+    deep = F.aggregate(F.reverse(steps), F.lit(0.0), lambda acc, k: k * (k - s) / (above + 2 * k + 1 - s - acc))
+    upper = scale / (above + 1 - s - deep)
+    return F.when((x <= 0) | (df <= 0), F.lit(1.0)).when(x < s + 1, 1 - lower).otherwise(upper)
+
+
+def kolmogorov_p(distance: Column, n1: Column, n2: Column) -> Column:
+    """Asymptotic two-sided p of the two-sample Kolmogorov-Smirnov distance: its alternating series, or near zero the theta form."""
+    lam = distance * F.sqrt(n1.cast("double") * n2 / (n1 + n2))
+    safe = F.greatest(lam, F.lit(1e-3))
+    steps = F.sequence(F.lit(1), F.lit(50))
+    tail = 2 * F.aggregate(steps, F.lit(0.0), lambda acc, k: acc + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * safe * safe))
+    odd = F.aggregate(steps, F.lit(0.0), lambda acc, k: acc + F.exp(-F.pow(2.0 * k - 1, F.lit(2.0)) * (math.pi**2 / 8) / (safe * safe)))
+    return F.when(lam < 1e-3, 1.0).when(lam < 1, 1 - math.sqrt(2 * math.pi) / safe * odd).otherwise(tail)
+
+
 def mann_whitney(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """U of ``label`` 1 against 0, its tie-corrected normal deviate (with continuity correction) and two-sided p."""
     g = auc(df, label, score, by)
@@ -136,27 +183,32 @@ def mann_whitney(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
 
 
 def kruskal(df: DataFrame, group: str, rank: str) -> DataFrame:
-    """Tie-corrected H from ranks (``rank`` holds average ranks)."""
-    g = df.groupBy(group).agg(F.sum(rank).alias("r"), F.count(rank).alias("n")).agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("x"), F.sum("n").alias("n"))
+    """Tie-corrected H from ranks (``rank`` holds average ranks), with the degrees of freedom and the p of the chi-square tail."""
+    g = df.groupBy(group).agg(F.sum(rank).alias("r"), F.count(rank).alias("n")).agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("x"), F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("groups"))
     ties = df.groupBy(rank).agg(F.count("*").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = F.col("n")
-    return g.crossJoin(F.broadcast(ties)).select(((12.0 / (n * (n + 1)) * F.col("x") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))).alias("h"), "n")
+    return g.crossJoin(F.broadcast(ties)).select(((12.0 / (n * (n + 1)) * F.col("x") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))).alias("h"), "n", (F.col("groups") - 1).alias("df")).withColumn("p", chi_square_p(F.col("h"), F.col("df")))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Chi-square of a table of counts (of two by two with Yates' correction beside it), degrees of freedom and p."""
     c = df.groupBy(a, b).agg(F.count("*").alias("o"))
     rows, cols, total = c.groupBy(a).agg(F.sum("o").alias("ra")), c.groupBy(b).agg(F.sum("o").alias("cb")), c.agg(F.sum("o").alias("t"))
     grid = rows.crossJoin(cols).crossJoin(total).join(c, [a, b], "left").withColumn("e", F.col("ra") * F.col("cb") / F.col("t"))
-    o = F.coalesce("o", F.lit(0))
-    return grid.agg(F.sum((o - F.col("e")) * (o - F.col("e")) / F.col("e")).alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"))
+    gap = F.abs(F.coalesce("o", F.lit(0)) - F.col("e"))
+    less = F.greatest(gap - 0.5, F.lit(0.0))
+    x = grid.agg(F.sum(gap * gap / F.col("e")).alias("chi2"), F.sum(less * less / F.col("e")).alias("_y"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"))
+    x = x.withColumn("yates", F.when(F.col("df") == 1, F.col("_y"))).withColumn("p", chi_square_p(F.coalesce("yates", "chi2"), F.col("df")))
+    return x.select("chi2", "df", "yates", "p")
 
 
 def ks_distance(df: DataFrame, group: str, first: str, second: str, value: str) -> DataFrame:
-    """Largest distance between two groups' distribution functions, over distinct values summed up by ranges."""
+    """Largest distance between two groups' distribution functions, over distinct values summed up by ranges, and its asymptotic p."""
     c = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b"))
     t = c.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     x = running(c, value, ["a", "b"]).crossJoin(F.broadcast(t))
-    return x.agg(F.max(F.abs(F.col("a_upto") / F.col("na") - F.col("b_upto") / F.col("nb"))).alias("ks"))
+    x = x.agg(F.max(F.abs(F.col("a_upto") / F.col("na") - F.col("b_upto") / F.col("nb"))).alias("ks"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return x.select("ks", kolmogorov_p(F.col("ks"), F.col("na"), F.col("nb")).alias("p"))
 
 
 def random_effects(df: DataFrame, by: Sequence[str], effect: str, variance: str) -> DataFrame:

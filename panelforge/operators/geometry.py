@@ -6,6 +6,7 @@ nearest per row, and the lists are merged. The pairs are never rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -113,6 +114,22 @@ def cluster_links(edges: DataFrame, labels: DataFrame, node: str, label: str) ->
     return e.join(rows, "a").join(cols, "b").crossJoin(F.broadcast(total)).select("a", "b", "observed", (F.col("observed") * F.col("t") / (F.col("ra") * F.col("cb"))).alias("ratio"))
 
 
+def cluster_graph(links: DataFrame, over: float = 1.0) -> DataFrame:
+    """``(cluster, degree, component, clusters, links, branch, tree)``: the graph of clusters whose ratio either way passes ``over``.
+
+    ``branch``: degree of 3 or more; ``tree``: a component with one link fewer than clusters. Clusters without a link are components of their own.
+    """
+    every = links.select(F.col("a").alias("cluster")).unionAll(links.select("b")).distinct()
+    e = links.where((F.col("a") != F.col("b")) & (F.col("ratio") > over)).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    e = cut(e)
+    degree = e.select(F.col("src").alias("cluster")).unionAll(e.select("dst")).groupBy("cluster").agg(F.count("*").alias("degree"))
+    of = connected(e) if not e.isEmpty() else e.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    x = every.join(degree, "cluster", "left").join(of.withColumnRenamed("node", "cluster"), "cluster", "left")
+    x = x.select("cluster", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("component", "cluster").alias("component"))
+    sizes = x.groupBy("component").agg(F.count("*").alias("clusters"), (F.sum("degree") / 2).cast("long").alias("links"))
+    return x.join(sizes, "component").select("cluster", "degree", "component", "clusters", "links", (F.col("degree") >= 3).alias("branch"), (F.col("links") == F.col("clusters") - 1).alias("tree"))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``(node, component)`` by label propagation with pointer jumping, until nothing changes; lineage is cut each round."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionAll(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
@@ -131,10 +148,10 @@ def connected(edges: DataFrame) -> DataFrame:
 def contingency(df: DataFrame, a: str, b: str) -> np.ndarray:
     """Counts of two labellings (few labels each)."""
     rows = df.groupBy(a, b).count().collect()
-    left, right = sorted({r[a] for r in rows}), sorted({r[b] for r in rows})
+    left, right = ({v: i for i, v in enumerate(sorted({r[c] for r in rows}))} for c in (a, b))
     out = np.zeros((len(left), len(right)))
     for r in rows:
-        out[left.index(r[a]), right.index(r[b])] = r["count"]
+        out[left[r[a]], right[r[b]]] = r["count"]
     return out
 
 
@@ -147,19 +164,37 @@ def mutual_information(c: np.ndarray) -> float:
     return _entropy(c.sum(1)) + _entropy(c.sum(0)) - _entropy(c.ravel())
 
 
-def expected_information(c: np.ndarray) -> float:
-    """Mean mutual information of labellings with the same sizes (hypergeometric)."""
-    from math import exp, lgamma, log
+#: Terms of a sum that are held at a time.
+_TERMS = 1 << 16
 
-    n, a, b = int(c.sum()), c.sum(1).astype(int), c.sum(0).astype(int)
-    f = lambda x: lgamma(x + 1)
-    total = 0.0
-    for i in a:
-        for j in b:
-            for k in range(max(1, i + j - n), min(i, j) + 1):
-                p = exp(f(i) + f(j) + f(n - i) + f(n - j) - f(n) - f(k) - f(i - k) - f(j - k) - f(n - i - j + k))
-                total += k / n * log(n * k / (i * j)) * p
-    return total
+
+def _expected_cell(n: int, a: int, b: int) -> float:
+    """Mean of k/n log(n k / (a b)) with k hypergeometric: terms by the ratio of neighbours, out from the mode until they are nothing."""
+    low, high = max(0, a + b - n), min(a, b)
+    mode = min(high, max(low, (a + 1) * (b + 1) // (n + 2)))
+    mass, total = 1.0, mode / n * math.log(n * mode / (a * b)) if mode else 0.0
+
+    for step in (1, -1):
+        at, last = mode, 0.0
+        while low <= at + step <= high and last > -745:
+            k = np.arange(at + step, max(low, min(high, at + step * _TERMS)) + step, step, dtype=np.float64)
+            if step == 1:  # p(k) / p(k - 1)
+                ratio = (a - k + 1) * (b - k + 1) / (k * (n - a - b + k))
+            else:  # p(k) / p(k + 1)
+                ratio = (k + 1) * (n - a - b + k + 1) / ((a - k) * (b - k))
+            logs = last + np.cumsum(np.log(ratio))
+            p = np.exp(logs)
+            mass += p.sum()
+            total += (p[k > 0] * k[k > 0] / n * np.log(n * k[k > 0] / (a * b))).sum()
+            at, last = int(k[-1]), float(logs[-1])
+    return total / mass  # scaled by their own sum: no large logarithms cancel
+
+
+def expected_information(c: np.ndarray) -> float:
+    """Mean mutual information of labellings with the same sizes (hypergeometric); cells of the same sizes are worked out once."""
+    n, a, b = int(c.sum()), c.sum(1).astype(np.int64), c.sum(0).astype(np.int64)
+    left, right = (np.unique(v[v > 0], return_counts=True) for v in (a, b))
+    return float(sum(_expected_cell(n, int(i), int(j)) * int(x) * int(y) for i, x in zip(*left) for j, y in zip(*right)))
 
 
 def adjusted_information(c: np.ndarray) -> float:
@@ -223,7 +258,7 @@ def codebook(tokens: DataFrame, vector: str, k: int, seed: int = 0, rounds: int
     """Centres in standardised units, and the tokens' means and deviations.
 
     Fitted on a hash sample of about ``sample`` tokens; codes that no token of it chose move to the
-    tokens farthest from their own centre, followed by one more pass of means.
+    tokens farthest from their own centre, followed by one more pass of means. No token gives no centres.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -231,6 +266,8 @@ def codebook(tokens: DataFrame, vector: str, k: int, seed: int = 0, rounds: int
     from panelforge.operators.vectors import assign, mean_by, moments
 
     n, mean, sd = moments(tokens, vector)
+    if not n:
+        return np.zeros((0, 0)), mean, sd
     share = min(1.0, sample / max(n, 1))
     x = tokens.select(F.transform(vector, lambda v: v.cast("double")).alias("_t")).where(F.col("_t").isNotNull())
     if share < 1:

@@ -68,6 +68,8 @@ def calibrated(df: DataFrame, features: str | Sequence[str], target: str, low: f
     place = F.least(F.greatest(F.floor((t - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
     x = linear.design(df.withColumn("_bin", place), features, [target], keep=[fold, "_bin"])
     g = keyed(x, [fold, "_bin"])
+    if not g:
+        return linear.Ridge({}, features)
     folds = sorted({f for f, _ in g})
     size = next(iter(g.values())).shape[0]
     p = size - 2
@@ -301,7 +303,10 @@ def nested_selection(df: DataFrame, features: str, target: str, row: str, fold:
             chosen += picked
         return chosen, float(1 - rss / (linear.moments_of(total, 0)[2][-1, -1] * total[0, 0]))
 
-    chosen, r2 = outer(linear.grams(linear.design(df, features, [target], keep=[fold]), fold))
+    found = linear.grams(linear.design(df, features, [target], keep=[fold]), fold)
+    if not found:
+        return [], float("nan"), []
+    chosen, r2 = outer(found)
     null = []
     if shuffles:
         # complete rows are shuffled; their vectors are read once: all replicates' targets stand beside them in one Gram matrix a fold
@@ -338,7 +343,7 @@ def null_distance(real: DataFrame, null: DataFrame, value: str = "s") -> DataFra
 
     both = real.select(value, F.lit("real").alias("_g")).unionByName(null.select(value, F.lit("null").alias("_g")))
     q = lambda df, n: df.agg(F.percentile(value, F.lit(0.5)).alias(f"{n}_median"), F.percentile(value, F.lit(0.9)).alias(f"{n}_p90"), F.max(value).alias(f"{n}_largest"))
-    return q(real, "real").crossJoin(q(null, "null")).crossJoin(ks_distance(both, "_g", "real", "null", value))
+    return q(real, "real").crossJoin(q(null, "null")).crossJoin(ks_distance(both, "_g", "real", "null", value).select("ks"))
 
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,11 @@ HELD = 64 << 20
 
 
 def gram_table(x: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``(by, gram binary)``: the Gram matrix of (1, x), weighted, per key. Summed per batch, sent on when full, merged by key."""
+    """``(by, gram binary)``: the Gram matrix of (1, x), weighted, per key. Summed per task, sent on when ``HELD`` bytes are held (within a batch, too), merged by key.
+
+    The shuffle is at most a matrix for each key that a task meets, and one more for each time it had to send on. For keys so many
+    that their matrices don't fit, sort by key first (``screens.sorted_grams``).
+    """
     kinds = ", ".join(f"{c} {dict(x.dtypes)[c]}" for c in by)
     schema = f"{kinds}, gram binary"
     names = list(by)
@@ -53,17 +58,21 @@ def gram_table(x: DataFrame, by: Sequence[str]) -> DataFrame:
             types = [batch[c].type for c in names]
             a = np.column_stack([np.ones(len(a)), a])
             w = batch["_w"].to_numpy(zero_copy_only=False)
-            keys = list(zip(*(batch[c].to_pylist() for c in names)))
-            places: dict[tuple, list[int]] = {}
-            for i, k in enumerate(keys):
-                places.setdefault(k, []).append(i)
-            for k, at in places.items():
-                own = a[at]
-                held += 0 if k in total else own.shape[1] ** 2 * 8
-                total[k] = total.get(k, 0) + (own * w[at, None]).T @ own
-            if held > HELD:
-                yield out()
-                total, held = {}, 0
+            index = pd.DataFrame({c: batch[c].to_pandas() for c in names}).groupby(names, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(index, kind="stable")
+            starts = np.flatnonzero(np.diff(index[order], prepend=-1))
+            firsts = zip(*(batch[c].take(pa.array(order[starts])).to_pylist() for c in names))
+            for k, s, e in zip(firsts, starts, np.append(starts[1:], len(order))):
+                own = a[order[s:e]]
+                gram = (own * w[order[s:e], None]).T @ own
+                if k in total:
+                    total[k] += gram
+                    continue
+                total[k] = gram
+                held += gram.nbytes
+                if held > HELD:
+                    yield out()
+                    total, held = {}, 0
         if total:
             yield out()
 
@@ -140,6 +149,8 @@ class Ridge:
     def predict(self, df: DataFrame, fold: str = "fold", name: str = "pred") -> DataFrame:
         """Each row predicted by the weights that didn't see its fold."""
         folds = sorted(self.weights)
+        if not folds:  # nothing to learn from: no prediction
+            return design(df, self.features, keep=df.columns).select(*df.columns, F.lit(None).cast("double").alias(name))
         table, at = np.stack([self.weights[f][:, 0] for f in folds]), {f: i for i, f in enumerate(folds)}
         x = design(df, self.features, keep=df.columns)
         kinds, columns = ", ".join(f"{c} {t}" for c, t in df.dtypes), df.columns
@@ -155,8 +166,10 @@ class Ridge:
 
 
 def cross_validated(df: DataFrame, features: str | Sequence[str], target: str, fold: str = "fold", alpha: float = 50.0, weight: Column | None = None, standardize: str = "train") -> Ridge:
-    """Ridge with every fold held out in turn, from one Gram matrix per fold (train = total - fold)."""
+    """Ridge with every fold held out in turn, from one Gram matrix per fold (train = total - fold). No complete row gives no weights, and null predictions."""
     g = grams(design(df, features, [target], weight, [fold]), fold)
+    if not g:
+        return Ridge({}, features)
     total = sum(g.values())
     p = total.shape[0] - 2
     out = {}
@@ -174,8 +187,10 @@ def cross_validated(df: DataFrame, features: str | Sequence[str], target: str, f
 
 
 def held_out_r2(df: DataFrame, features: str | Sequence[str], target: str, fold: str = "fold", alpha: float = 50.0) -> float:
-    """Out-of-fold R2 from the Gram matrices alone."""
+    """Out-of-fold R2 from the Gram matrices alone; nan without a complete row."""
     g = grams(design(df, features, [target], keep=[fold]), fold)
+    if not g:
+        return float("nan")
     total = sum(g.values())
     p, rss = total.shape[0] - 2, 0.0
     for own in g.values():
@@ -264,29 +279,6 @@ def ladder(cov: np.ndarray, left: Sequence[int], right: Sequence[int], rungs: di
     return out
 
 
-def screen(long: DataFrame, vectors: DataFrame, variable: str, row: str, value: str, vector: str, fold: str, alpha: float = 50.0, least: int = 150) -> DataFrame:
-    """``(variable, n, r2)``: one representation against many variables, each on its own complete rows, out of fold.
-
-    A variable's systems are solved where its Gram matrices meet: a task holds the folds of one variable.
-    """
-    x = design(long.where(F.col(value).isNotNull()).join(vectors, row), vector, [value], keep=[variable, fold])
-
-    def solved(table: pa.Table) -> pa.Table:
-        g = [_square(v) for v in table["gram"].to_pylist()]
-        total = sum(g)
-        n, p = int(round(total[0, 0])), total.shape[0] - 2
-        if n < least or len(g) < 2:
-            return pa.table({variable: table[variable][:0], "n": pa.array([], pa.int64()), "r2": pa.array([], pa.float64())})
-        rss = 0.0
-        for own in g:
-            v = np.append(-ridge(total - own, p, alpha)[:, 0], 1.0)
-            rss += v @ own @ v
-        return pa.table({variable: table[variable][:1], "n": pa.array([n]), "r2": pa.array([float(1 - rss / (moments_of(total, 0)[2][-1, -1] * n))])})
-
-    kind = dict(x.dtypes)[variable]
-    return gram_table(x, [variable, fold]).groupBy(variable).applyInArrow(solved, f"{variable} {kind}, n long, r2 double")
-
-
 def o_information(cov: np.ndarray) -> tuple[float, float, float, float]:
     """Total correlation, dual total correlation, their difference, and the correlation matrix's smallest eigenvalue."""
     sd = np.sqrt(np.diag(cov))

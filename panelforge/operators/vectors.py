@@ -1,7 +1,7 @@
 """Vector and token tables: pooling, medians, fusion, texture, code assignment.
 
-Sums of vectors are taken per Arrow batch and key, then merged by a second aggregation, so a key with very
-many rows sends a few partial sums, not its rows.
+Sums of vectors are taken per task and key, then merged in two steps, so a key with very many rows sends a
+few partial sums, not its rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,23 +36,47 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return out
 
 
+#: Bytes of running sums that a task holds before they go out, and tasks whose sums meet in the first of two merges.
+HELD, FAN = 64 << 20, 64
+
+
 def _partial_sums(keys: list[str], vector: str, weight: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(keys, fan, sums)``: a task's running sums by key (rows, weights, vectors, weighted vectors) as packed doubles."""
+    total: dict[tuple, np.ndarray] = {}
+    types: list[pa.DataType] = []
+    context = TaskContext.get()
+    fan = context.partitionId() // FAN if context else 0
+
+    def out() -> pa.RecordBatch:
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*total), types)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(total), fan, np.int32)), pa.array([v.tobytes() for v in total.values()], pa.binary())], [*keys, "_fan", "_sums"])
+
+    held = 0
     for batch in batches:
         batch = batch.filter(batch[vector].is_valid())
         if not batch.num_rows:
             continue
         x = matrix(batch[vector])
+        types = [batch[k].type for k in keys]
         w = np.ones(len(x)) if weight is None else np.nan_to_num(batch[weight].to_numpy(zero_copy_only=False).astype(float))
-        frame = pd.DataFrame({k: batch[k].to_pandas() for k in keys})
-        group = frame.groupby(keys, sort=True, dropna=False)
-        index = group.ngroup().to_numpy()
-        n = int(index.max()) + 1
+        index = pd.DataFrame({k: batch[k].to_pandas() for k in keys}).groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
         order = np.argsort(index, kind="stable")
-        start = np.searchsorted(index[order], np.arange(n))
-        plain, weighed = np.add.reduceat(x[order], start), np.add.reduceat((x * w[:, None])[order], start)
-        first = batch.select(keys).take(pa.array(order[start]))
-        sums = [pa.array(list(v), pa.list_(pa.float64())) for v in (plain, weighed)]
-        yield pa.RecordBatch.from_arrays([*first.columns, pa.array(np.bincount(index, minlength=n)), pa.array(np.bincount(index, w, minlength=n)), *sums], [*keys, "n", "w", "s", "ws"])
+        start = np.flatnonzero(np.diff(index[order], prepend=-1))
+        rows = np.diff(np.append(start, len(order)))
+        sums = np.column_stack([rows, np.add.reduceat(w[order], start), np.add.reduceat(x[order], start), np.add.reduceat((x * w[:, None])[order], start)])
+        for key, own in zip(zip(*(batch[k].take(pa.array(order[start])).to_pylist() for k in keys)), sums):
+            if key in total:
+                if len(total[key]) != len(own):
+                    raise ValueError("vectors of different lengths")
+                total[key] += own
+                continue
+            total[key] = own.copy()
+            held += own.nbytes
+            if held > HELD:
+                yield out()
+                total, held = {}, 0
+    if total:
+        yield out()
 
 
 def sum_arrays(column: str, length: int) -> Column:
@@ -59,19 +84,39 @@ def sum_arrays(column: str, length: int) -> Column:
     return F.array(*[F.sum(F.col(column)[i]) for i in range(length)])
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    add = lambda c: pa.array([matrix(table[c]).sum(0)], pa.list_(pa.float64()))
-    return pa.table({**{k: table[k][:1] for k in table.column_names if k not in ("n", "w", "s", "ws")}, "n": [int(sum(table["n"].to_pylist()))], "w": [float(sum(table["w"].to_pylist()))], "s": add("s"), "ws": add("ws")})
+def _added(column: pa.ChunkedArray) -> np.ndarray:
+    """The sum of packed doubles, one after another."""
+    total: np.ndarray | None = None
+    for v in column:
+        one = np.frombuffer(v.as_buffer())
+        if total is not None and len(one) != len(total):
+            raise ValueError("vectors of different lengths")
+        total = one.copy() if total is None else np.add(total, one, out=total)
+    return total
 
 
 def mean_by(df: DataFrame, keys: Sequence[str], vector: str, weight: str | None = None) -> DataFrame:
-    """``(keys, n, mean)``: element-wise mean by key of the rows with a vector; weighted, the plain mean where weights sum to nothing. A key without any vector has no row."""
+    """``(keys, n, mean)``: element-wise mean by key of the rows with a vector; weighted, the plain mean where weights sum to nothing. A key without any vector has no row.
+
+    A task sends a key's sums once (or each time it holds too many keys); those of ``FAN`` tasks meet first, then their sums, so a
+    key that all tasks have is no large group anywhere.
+    """
     x = df.select(*keys, vector, *([weight] if weight else []))
     kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-    schema = f"{kinds}, n long, w double, s array<double>, ws array<double>"
-    parts = x.mapInArrow(partial(_partial_sums, list(keys), vector, weight), schema)
-    g = parts.groupBy(*keys).applyInArrow(lambda table: _merged(table), schema)
-    return g.select(*keys, "n", F.when(F.col("w") > 0, F.transform("ws", lambda v: v / F.col("w"))).otherwise(F.transform("s", lambda v: v / F.col("n"))).alias("mean"))
+    names = list(keys)
+
+    def some(table: pa.Table) -> pa.Table:
+        return pa.table({**{k: table[k][:1] for k in names}, "_sums": pa.array([_added(table["_sums"]).tobytes()], pa.binary())})
+
+    def every(table: pa.Table) -> pa.Table:
+        v = _added(table["_sums"])
+        plain, weighed = v[2:].reshape(2, -1)
+        mean = weighed / v[1] if v[1] > 0 else plain / v[0]
+        return pa.table({**{k: table[k][:1] for k in names}, "n": pa.array([int(v[0])]), "mean": pa.array([mean], pa.list_(pa.float64()))})
+
+    parts = x.mapInArrow(partial(_partial_sums, names, vector, weight), f"{kinds}, _fan int, _sums binary")
+    met = parts.groupBy(*keys, "_fan").applyInArrow(some, f"{kinds}, _sums binary")
+    return met.groupBy(*keys).applyInArrow(every, f"{kinds}, n long, mean array<double>")
 
 
 def median_by(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
@@ -151,8 +196,10 @@ def masked_mean(values: str, mask: str) -> Column:
 
 
 def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, means and population standard deviations of a vector column (0 becomes 1)."""
+    """Rows, means and population standard deviations of a vector column (0 becomes 1); empty ones without a vector."""
     r = mean_by(df.withColumn("_k", F.lit(0)), ["_k"], vector).first()
+    if r is None:
+        return 0, np.zeros(0), np.zeros(0)
     q = mean_by(df.select(F.lit(0).alias("_k"), F.transform(vector, lambda v: v.cast("double") * v.cast("double")).alias("_q")), ["_k"], "_q").first()
     mean = np.array(r["mean"])
     sd = np.sqrt(np.maximum(np.array(q["mean"]) - mean**2, 0))
