@@ -10,8 +10,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelforge.catalog.aggregates import sparse_codes
 from panelforge.catalog.fixtures import ENTITY_LAG, FRAMES, VISITS, WIDE, codes, entity_lag, frames, wide
-from panelforge.operators import aggregate, geometry, inference, linear, neighbours, resample, screens, vectors, windows
+from panelforge.operators import aggregate, factors, geometry, inference, lineage, linear, neighbours, resample, screens, vectors, windows
 from panelforge.registry import q6, query, r6
 
 FOLDS = 5
@@ -271,7 +272,7 @@ def i19_o_information(spark, d):
 @query()
 def i20_factor_analysis(spark, d):
     w = wide(spark, d).select(F.array("click", "error", "purchase", "signup", "view").alias("v"))
-    mean, load, psi = linear.factor_analysis(w, "v", 1, 60)
+    mean, load, psi = factors.factor_analysis(w, "v", 1, 60)
     return spark.createDataFrame([(i, float(m), float(abs(l[0])), float(p)) for i, (m, l, p) in enumerate(zip(mean, load, psi))], "column int, mean double, loading double, noise double")
 
 
@@ -281,7 +282,7 @@ def i20_posterior_means(spark, d):
     w = wide(spark, d).select("entity", "visit", F.array("click", "error", "purchase", "signup", "view").alias("v"))
     s = w.select(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(5)], *[F.stddev_pop(F.col("v")[i]).alias(f"s{i}") for i in range(5)])
     w = w.crossJoin(F.broadcast(s)).select("entity", "visit", F.array(*[(F.col("v")[i] - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(5)]).alias("v"))
-    mean, load, psi = linear.factor_analysis(w, "v", 2, 60, ard=True)
+    mean, load, psi = factors.factor_analysis(w, "v", 2, 60, ard=True)
     x = inference.posterior_means(w, "v", mean, load, psi)
     return x.select("entity", "visit", *[r6(F.abs(F.col("factors")[i])).alias(f"f{i}") for i in range(2)])
 
@@ -389,6 +390,38 @@ def i28_cluster_links(spark, d):
     return geometry.cluster_links(_knn(spark, d), frames(spark, d), "frame", "stratum").withColumn("ratio", r6("ratio"))
 
 
+@query(f"""WITH RECURSIVE {FRAMES}, {_V8}, {_KNN}, e AS (SELECT f.stratum AS a, g.stratum AS b, count(*) AS observed FROM knn JOIN frames f ON f.frame = src JOIN frames g ON g.frame = dst GROUP BY ALL), q AS (SELECT a, b, observed * sum(observed) OVER () / (sum(observed) OVER (PARTITION BY a) * sum(observed) OVER (PARTITION BY b)) AS ratio FROM e),
+ l AS (SELECT DISTINCT least(a, b) AS s, greatest(a, b) AS t FROM q WHERE a <> b AND ratio > 0.5), u AS (SELECT s AS a, t AS b FROM l UNION SELECT t, s FROM l), c AS (SELECT DISTINCT a AS cluster FROM e UNION SELECT DISTINCT b FROM e), g AS (SELECT cluster, (SELECT count(*) FROM u WHERE u.a = cluster) AS degree FROM c),
+ r AS (SELECT cluster AS a, cluster AS b FROM c UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a), m AS (SELECT a AS cluster, min(b) AS component FROM r GROUP BY a)
+SELECT g.cluster, degree, component, count(*) OVER (PARTITION BY component) AS clusters, CAST(sum(degree) OVER (PARTITION BY component) // 2 AS BIGINT) AS links, degree >= 3 AS branch, sum(degree) OVER (PARTITION BY component) // 2 = count(*) OVER (PARTITION BY component) - 1 AS tree FROM g JOIN m USING (cluster)""")
+def i28_cluster_graph(spark, d):
+    """The graph of strata that are neighbours at least half as often as chance has it: degrees, components, branches, trees."""
+    links = geometry.cluster_links(_knn(spark, d), frames(spark, d), "frame", "stratum")
+    return geometry.cluster_graph(links, 0.5)
+
+
+def _found(spark, d, k=10):
+    return neighbours.approximate_nearest(frames(spark, d).select("frame", "emb"), "frame", "emb", k)
+
+
+@query()
+def i23_approximate(spark, d):
+    """Neighbours by descent against the exact ones: recall, and how many there are."""
+    return neighbours.recall(_knn(spark, d), _found(spark, d)).select(F.bround("recall", 4).alias("recall"), "entries")
+
+
+@query()
+def i26_approximate(spark, d):
+    """Intrinsic dimensions over the neighbours that descent found."""
+    found = lineage.cut(_found(spark, d))
+    return geometry.two_nn(found).crossJoin(geometry.levina_bickel(found, 10)).select(*[F.bround(c, 4).alias(c) for c in ("mle", "regression", "dimension", "harmonic")])
+
+
+@query()
+def i29_approximate(spark, d):
+    return geometry.connected(_found(spark, d, 2)).groupBy("component").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH RECURSIVE {FRAMES}, {_V8}, {_KNN}, e AS (SELECT src AS a, dst AS b FROM knn WHERE rank <= 2 UNION SELECT dst, src FROM knn WHERE rank <= 2), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT component, count(*) AS n FROM (SELECT a, least(a, min(b)) AS component FROM r GROUP BY a) GROUP BY component""")
 def i29_components(spark, d):
@@ -447,18 +480,24 @@ def i32_silhouette(spark, d):
     return _result(spark, out)
 
 
+def _code_vectors(spark, d):
+    return factors.code_vectors(vectors.code_shares(sparse_codes(spark, d), "entity", "frame", "code"), "entity", "code", "share", range(16))
+
+
 @query()
 def i33_topic_factors(spark, d):
-    """Non-negative topics of the entities' code shares: the weight of each code in each topic, and the fit's share of variance."""
-    from pyspark.ml.recommendation import ALS
-
-    s = vectors.code_shares(codes(spark, d), "entity", "frame", "code").select(F.col("entity").cast("int"), "code", F.col("share").cast("float"))
-    m = ALS(rank=3, maxIter=10, nonnegative=True, seed=1, regParam=0.001, userCol="entity", itemCol="code", ratingCol="share").fit(s)
-    fit = m.transform(s).agg((1 - F.avg(F.pow(F.col("share") - F.col("prediction"), F.lit(2.0))) / F.avg(F.pow("share", F.lit(2.0)))).alias("explained"))
-    f = m.itemFactors.select(F.col("id").alias("code"), F.posexplode("features").alias("topic", "weight"))
-    t = f.groupBy("topic").agg(F.sum("weight").alias("t"))
-    x = f.join(t, "topic").select("code", "topic", r6(F.when(F.col("t") > 0, F.col("weight") / F.col("t")).otherwise(0.0)).alias("weight"))
-    return x.crossJoin(F.broadcast(fit)).withColumn("explained", F.bround("explained", 3))
+    """Non-negative topics of the entities' code shares, absent codes as zeros: the weight of each code in each topic, and the fit's share of squares."""
+    h, explained = factors.topics(_code_vectors(spark, d), "v", 3)
+    rows = [(c, t, float(h[t, c]), float(explained)) for t in range(len(h)) for c in range(h.shape[1])]
+    return spark.createDataFrame(rows, "code int, topic int, weight double, explained double").select("code", "topic", F.bround("weight", 4).alias("weight"), F.bround("explained", 4).alias("explained"))
+
+
+@query()
+def i33_rank_sweep(spark, d):
+    """What topics explain by their number, beside the same of shares whose codes were shuffled among entities, and the strongest time trend of a topic."""
+    v = lineage.cut(_code_vectors(spark, d))
+    rows = factors.rank_sweep(v, "entity", "v", (1, 2, 4))
+    return spark.createDataFrame(rows, "topics int, explained double, shuffled double").select("topics", F.bround("explained", 4).alias("explained"), F.bround("shuffled", 4).alias("shuffled"))
 
 
 @query(f"WITH {FRAMES}, {_V8}, {_HALVES}, {_PAIRS}, x AS (SELECT list_distance(p.v, q.v) AS d1, list_distance(r.v, s.v) AS d2 FROM pr JOIN h1 p ON p.frame = a JOIN h1 q ON q.frame = b JOIN h2 r ON r.frame = a JOIN h2 s ON s.frame = b), k AS (SELECT rank() OVER (ORDER BY d1) AS a, rank() OVER (ORDER BY d2) AS b FROM x) SELECT CAST(round_even(corr(a, b), 4) AS DOUBLE) AS similarity FROM k")

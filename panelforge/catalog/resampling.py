@@ -94,6 +94,19 @@ def k07_bootstrap_interval(spark, d):
     return x.select(*[r6(c).alias(c) for c in ("low", "middle", "high")], "replicates")
 
 
+@query(f"WITH {_ENT}, {_REPS} SELECT CAST(r AS INTEGER) AS replicate, count(*) AS weights, count(*) AS entities FROM ent, reps GROUP BY r")
+def k07_multinomial_weights(spark, d):
+    """Every exact bootstrap draws as many entities as there are."""
+    x = resample.multinomial_weights(_entities(spark, d).select("entity"), "entity", R)
+    return x.groupBy("replicate").agg(F.sum("weight").alias("weights"), F.count("*").alias("entities"))
+
+
+@query()
+def k07_exact_interval(spark, d):
+    x = resample.bootstrap_interval(_entities(spark, d), "entity", resample.weighted_correlation("lag", "size"), R, exact=True)
+    return x.select(*[r6(c).alias(c) for c in ("low", "middle", "high")], "replicates")
+
+
 @query(f"WITH {_ENT}, {_REPS}, {_BOOT}, s AS (SELECT r, {_wcorr('lag', 'size')} - {_wcorr('lag', 'weeks')} AS s FROM bt GROUP BY r) SELECT {q6('quantile_cont(s, 0.025)')} AS low, {q6('quantile_cont(s, 0.975)')} AS high, {q6('avg((s > 0)::INT)')} AS above, count(*) AS replicates FROM s")
 def k08_paired_bootstrap(spark, d):
     x = resample.paired_difference(_entities(spark, d), "entity", resample.weighted_correlation("lag", "size"), resample.weighted_correlation("lag", "weeks"), R, _ORDER)

@@ -43,8 +43,7 @@ def l02_drift_monitor(spark, d):
 def l03_running_sums(spark, d):
     path, check = scratch(spark, "sums"), scratch(spark, "sums-state")
     incremental.merge_sums(_stream(spark, d), "event_type", "value", path, check).awaitTermination()
-    parts = spark.read.schema("event_type string, n long, s double, ss double, epoch int").parquet(path)
-    return incremental.merged_sums(parts, "event_type").select("event_type", "n", r6("s").alias("s"), r6("ss").alias("ss"))
+    return incremental.latest_sums(spark, path, "event_type string, n long, s double, ss double").select("event_type", "n", r6("s").alias("s"), r6("ss").alias("ss"))
 
 
 _NAMES = [f"{s}_{m}" for s in range(4) for m in MEASURES]

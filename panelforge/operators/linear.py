@@ -342,61 +342,12 @@ def flow(g: np.ndarray, p: int, ridge_: float = 1.0) -> tuple[float, float, list
     return float(np.trace(j)), float(values.real.max()), [float(v) for v in -np.linalg.pinv(j) @ w[0]], [float(v) for v in axis]
 
 
-def pattern_sums(rows: DataFrame, vector: str, most: int = 100_000) -> dict[str, np.ndarray]:
-    """By pattern of observed cells (1) and missing ones (0): the Gram matrix of (1, observed cells). More than ``most`` patterns raise."""
+def pattern_sums(rows: DataFrame, vector: str, most: int = 10_000) -> dict[str, np.ndarray] | None:
+    """By pattern of observed cells (1) and missing ones (0): the Gram matrix of (1, observed cells). None if there are more than ``most`` patterns."""
     x = rows.select(F.transform(vector, lambda v: v.cast("double")).alias("x"))
     x = x.withColumn("pattern", F.array_join(F.transform("x", lambda v: F.when(v.isNull() | F.isnan(v), "0").otherwise("1")), ""))
     x = x.select("pattern", F.filter("x", lambda v: v.isNotNull() & ~F.isnan(v)).alias("x")).where(F.size("x") > 0)
-    if x.select("pattern").distinct().limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} patterns of missing cells")
-    return _pattern_grams(x)
-
-
-def factor_analysis(rows: DataFrame, vector: str, k: int, rounds: int = 100, tolerance: float = 1e-5, ard: bool = False, most_patterns: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, loadings and noise by EM over observed cells only (missing cells are nulls).
-
-    Rows enter as one set of sums per missingness pattern (counts, sums and cross products of its
-    observed cells), computed once on the executors; the iterations only touch those. ``ard`` weighs
-    each factor's loadings by a precision of its own, so factors that aren't needed go to zero. More
-    than ``most_patterns`` patterns raise: the sums of each are held on the driver.
-    """
-    parts = []
-    for pattern, g in pattern_sums(rows, vector, most_patterns).items():
-        at = np.flatnonzero([c == "1" for c in pattern])
-        parts.append((at, g[0, 0], g[0, 1:], g[1:, 1:]))
-    p = max((int(at.max()) for at, *_ in parts), default=-1) + 1
-    n, s, q = np.zeros(p), np.zeros(p), np.zeros(p)
-    for at, m, a, b in parts:
-        n[at] += m
-        s[at] += a
-        q[at] += np.diag(b)
-    mean = s / np.maximum(n, 1)
-    psi = np.maximum(q / np.maximum(n, 1) - mean**2, 1e-6)
-    load = np.random.default_rng(0).standard_normal((p, k)) * np.sqrt(psi)[:, None] * 0.3
-    last = -np.inf
-    for _ in range(rounds):
-        top, low = np.zeros((p, k)), np.zeros((p, k, k))
-        new_psi, like = np.zeros(p), 0.0
-        for at, m, a, b in parts:
-            w, v = load[at], psi[at]
-            centred = b - np.outer(mean[at], a) - np.outer(a, mean[at]) + m * np.outer(mean[at], mean[at])
-            inner = np.linalg.inv(np.eye(k) + (w / v[:, None]).T @ w)
-            beta = inner @ (w / v[:, None]).T
-            ez = m * inner + beta @ centred @ beta.T
-            top[at] += centred @ beta.T
-            low[at] += ez
-            sigma = w @ w.T + np.diag(v)
-            like -= 0.5 * (m * np.linalg.slogdet(sigma)[1] + np.trace(np.linalg.solve(sigma, centred)))
-        strict = np.diag(p / np.maximum((load**2).sum(0), 1e-9)) if ard else 1e-9 * np.eye(k)
-        load = np.stack([np.linalg.solve(low[i] + (psi[i] * strict if ard else strict), top[i]) if n[i] else load[i] for i in range(p)])
-        for at, m, a, b in parts:
-            d = np.diag(b) - 2 * mean[at] * a + m * mean[at] ** 2
-            new_psi[at] += d
-        psi = np.maximum((new_psi - (load * top).sum(1)) / np.maximum(n, 1), 1e-6)
-        if abs(like - last) < tolerance * abs(last):
-            break
-        last = like
-    return mean, load, psi
+    return None if x.select("pattern").distinct().limit(most + 1).count() > most else _pattern_grams(x)
 
 
 def _pattern_grams(x: DataFrame) -> dict[str, np.ndarray]:

@@ -7,11 +7,13 @@ draws the same replicate. Replicates are a column; statistics that are sums of p
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,15 +101,62 @@ def poisson_weights(df: DataFrame, key: str, n: int, order: Order | None = None,
     return replicated(df, n).withColumn("weight", w)
 
 
+#: Rows that share a leaf of the multinomial's tree.
+LEAF = 1024
+
+
+def _leaf_counts(n: int, leaf: int, replicate: int, seed: int, known: dict[tuple[int, int], int]) -> np.ndarray:
+    """How often a replicate of n draws takes each row of a leaf: counts are split down a tree of row ranges by binomials, each seeded by its place."""
+    draw = lambda *place: np.random.Generator(np.random.Philox(key=[seed, replicate], counter=[0, 0, *place]))
+    low, high, count = 0, -(-n // LEAF), n
+    while high - low > 1:
+        middle = (low + high) // 2
+        rows = lambda a, b: min(b * LEAF, n) - a * LEAF
+        left = known.get((low, high))
+        if left is None:
+            left = known[low, high] = int(draw(low, high).binomial(count, rows(low, middle) / rows(low, high)))
+        if leaf < middle:
+            high, count = middle, left
+        else:
+            low, count = middle, count - left
+    size = min((leaf + 1) * LEAF, n) - leaf * LEAF
+    return draw(leaf, (1 << 62) + leaf).multinomial(count, np.full(size, 1 / size))
+
+
+def multinomial_weights(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """Bootstrap weights per (replicate, row): exactly multinomial, so a replicate's weights sum to the rows.
+
+    Rows are numbered once; a weight follows from the number alone, so it is the same for any partitioning and nothing is shuffled for it.
+    """
+    x = cut(numbered(df, [key], name="_i"))
+    rows, names, kinds = x.count(), df.columns, ", ".join(f"{c} {t}" for c, t in df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[dict[tuple[int, int], int]] = [{} for _ in range(n)]
+        for batch in batches:
+            at = batch["_i"].to_numpy() - 1
+            leaves = at // LEAF
+            for r in range(n):
+                weight = np.zeros(len(at), np.int64)
+                for leaf in np.unique(leaves).tolist():
+                    own = leaves == leaf
+                    weight[own] = _leaf_counts(rows, leaf, r + 1, seed, known[r])[at[own] % LEAF]
+                if len(known[r]) > 1 << 12:
+                    known[r].clear()
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(np.full(len(at), r + 1, np.int32)), pa.array(weight)], [*names, "replicate", "weight"])
+
+    return x.mapInArrow(run, f"{kinds}, replicate int, weight long")
+
+
 def weighted_correlation(a: str, b: str, w: str = "weight") -> Column:
     n, x, y, wt = F.sum(w), F.col(a), F.col(b), F.col(w)
     sx, sy, sxy, sxx, syy = (F.sum(wt * v) for v in (x, y, x * y, x * x, y * y))
     return (n * sxy - sx * sy) / F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
 
 
-def bootstrap_interval(df: DataFrame, key: str, statistic: Column, n: int, order: Order | None = None, level: float = 0.95) -> DataFrame:
-    """Percentile interval of a weighted statistic over entity bootstraps; degenerate replicates are left out."""
-    s = poisson_weights(df, key, n, order).groupBy("replicate").agg(statistic.alias("s")).where(F.col("s").isNotNull() & ~F.isnan("s"))
+def bootstrap_interval(df: DataFrame, key: str, statistic: Column, n: int, order: Order | None = None, level: float = 0.95, exact: bool = False) -> DataFrame:
+    """Percentile interval of a weighted statistic over entity bootstraps (``exact``: multinomial weights); degenerate replicates are left out."""
+    s = (multinomial_weights(df, key, n) if exact else poisson_weights(df, key, n, order)).groupBy("replicate").agg(statistic.alias("s")).where(F.col("s").isNotNull() & ~F.isnan("s"))
     low = (1 - level) / 2
     return s.agg(F.percentile("s", F.lit(low)).alias("low"), F.percentile("s", F.lit(0.5)).alias("middle"), F.percentile("s", F.lit(1 - low)).alias("high"), F.count("*").alias("replicates"))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators.bijection import partners
-from panelforge.operators import aggregate, geometry, inference, linear, resample, sampling, vectors, windows
+from panelforge.operators import aggregate, factors, geometry, inference, linear, resample, sampling, vectors, windows
 
 
 @pytest.fixture(scope="module")
@@ -88,7 +88,7 @@ def test_factor_analysis_with_missing_cells(spark):
     w = np.array([1.0, 0.8, -0.6, 0.5, 0.0])
     x = np.outer(r.standard_normal(1500), w) + 0.4 * r.standard_normal((1500, 5)) + 2
     x[r.random(x.shape) < 0.15] = np.nan
-    mean, load, psi = linear.factor_analysis(spark.createDataFrame([([None if np.isnan(v) else float(v) for v in row],) for row in x], "v array<double>"), "v", 1)
+    mean, load, psi = factors.factor_analysis(spark.createDataFrame([([None if np.isnan(v) else float(v) for v in row],) for row in x], "v array<double>"), "v", 1)
     load = load[:, 0] * np.sign(load[0, 0])
     assert np.allclose(mean, 2, atol=0.15) and np.allclose(load, w, atol=0.12) and np.allclose(psi, 0.16, atol=0.08)
 
@@ -323,7 +323,7 @@ def test_ard_leaves_unneeded_factors_out(spark):
     r = np.random.default_rng(3)
     v = r.standard_normal((400, 1)) @ np.array([[1.0, 0.8, -0.7, 0.9, 0.6]]) + 0.5 * r.standard_normal((400, 5))
     df = spark.createDataFrame([([float(a) if r.random() > 0.1 else None for a in row],) for row in v], "v array<double>")
-    _, load, _ = linear.factor_analysis(df, "v", 3, 300, 1e-9, ard=True)
+    _, load, _ = factors.factor_analysis(df, "v", 3, 300, 1e-9, ard=True)
     size = np.sort((load**2).sum(0))[::-1]
     assert size[0] > 1.5 and size[1] < 0.05 * size[0]
 
