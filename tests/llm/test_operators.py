@@ -666,10 +666,40 @@ def test_mixing_draws_by_full_count():
     single = np.zeros(1 << 16, np.int64)
     single[keys.astype(int)] = n
     batch = context_mixing.pa.RecordBatch.from_pydict({"vals": [keys.astype("<u8").tobytes()], "counts": [n.astype("<i8").tobytes()]})
-    row, = context_mixing._drawn(single, 1e-3, iter([batch]))
+    row, = context_mixing._drawn(single, 1e-3, 1, iter([batch]))
     assert np.frombuffer(row["times"][0].as_py(), "<i8").tolist() == pytest.approx([64_000, 64], abs=1)
 
 
+def test_mixing_streams_learn_all_that_is_drawn_and_grow_with_the_corpus(spark, monkeypatch):
+    """Many short streams against the mean of their twins; more text changes the weights' part in a score, the base score aside."""
+    m = context_mixing
+    monkeypatch.setattr(m, "LEARN", 200)
+    rows = [(i, " ".join(words(60, i)), False) for i in range(30)] + [(99, " ".join(words(40, 3)), True)]
+    seen = []
+    real = m.learned
+    monkeypatch.setattr(m, "learned", lambda keys, times, paths: seen.append((keys, times, paths)) or real(keys, times, paths))
+    data = np.frombuffer("".join(t for _, t, h in rows if not h).encode(), np.uint8)
+    keys, n = m.merged(m.sextuples(data, np.array([0, len(data)])), np.ones(len(data), np.int64))
+    single = np.zeros(1 << 16, np.int64)
+    pair, c = m.merged(keys & np.uint64(0xFFFF), n)
+    single[pair.astype(int)] = c
+    batch = m.pa.RecordBatch.from_pydict({"vals": [keys.tobytes()], "counts": [n.tobytes()]})
+    found = m.pa.Table.from_batches(list(m._drawn(single, 1.0, 9, iter([batch]))))
+    assert sorted(found["stream"].to_pylist()) == list(range(9))
+    assert sum(np.frombuffer(x, "<i8").sum() for x in found["times"].to_pylist()) == len(data)  # a share of 1 takes every occurrence
+    total = np.zeros(256 * m.GATES * (len(m.ORDERS) + 1) + 1)
+    for i in range(9):
+        out = m._stream_weights(found.slice(i, 1))
+        total += np.frombuffer(out["data"][0].as_py(), "<f8")
+    want = sum(real(k, t, p) * t.sum() for k, t, p in seen) / len(data)
+    assert np.allclose((total[:-1] / total[-1]).reshape(want.shape), want) and total[-1] == len(data)
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    score = lambda d, s: {r.doc_id: r.score for r in m.mixing_scores(d, held_out=F.col("held"), share=s).collect()}
+    few, every = score(df, 0.05), score(df, 1.0)
+    assert few[99] != every[99] and abs(few[99] - every[99]) < 0.2 * abs(few[99])
+    assert score(df.repartition(5), 1.0)[99] == pytest.approx(every[99], rel=1e-9)
+
+
 def test_mixing_join_of_rare_sextuples_gives_the_scores_of_the_table(spark, monkeypatch):
     rows = [(i, " ".join(words(60, i)), i % 5 == 0) for i in range(40)] + [(40, None, True), (41, "", False)]
     df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, held boolean")
