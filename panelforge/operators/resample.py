@@ -105,13 +105,13 @@ def poisson_weights(df: DataFrame, key: str, n: int, order: Order | None = None,
 LEAF = 1024
 
 
-def _leaf_counts(n: int, leaf: int, replicate: int, seed: int, known: dict[tuple[int, int], int]) -> np.ndarray:
-    """How often a replicate of n draws takes each row of a leaf: counts are split down a tree of row ranges by binomials, each seeded by its place."""
+def _leaf_counts(n: int, block: int, leaf: int, replicate: int, seed: int, known: dict[tuple[int, int], int]) -> np.ndarray:
+    """How often a replicate of n draws takes each row of a leaf of ``block`` rows: counts are split down a tree of row ranges by binomials, each seeded by its place."""
     draw = lambda *place: np.random.Generator(np.random.Philox(key=[seed, replicate], counter=[0, 0, *place]))
-    low, high, count = 0, -(-n // LEAF), n
+    low, high, count = 0, -(-n // block), n
     while high - low > 1:
         middle = (low + high) // 2
-        rows = lambda a, b: min(b * LEAF, n) - a * LEAF
+        rows = lambda a, b: min(b * block, n) - a * block
         left = known.get((low, high))
         if left is None:
             left = known[low, high] = int(draw(low, high).binomial(count, rows(low, middle) / rows(low, high)))
@@ -119,7 +119,7 @@ def _leaf_counts(n: int, leaf: int, replicate: int, seed: int, known: dict[tuple
             high, count = middle, left
         else:
             low, count = middle, count - left
-    size = min((leaf + 1) * LEAF, n) - leaf * LEAF
+    size = min((leaf + 1) * block, n) - leaf * block
     return draw(leaf, (1 << 62) + leaf).multinomial(count, np.full(size, 1 / size))
 
 
@@ -129,18 +129,18 @@ def multinomial_weights(df: DataFrame, key: str, n: int, seed: int = 0) -> DataF
     Rows are numbered once; a weight follows from the number alone, so it is the same for any partitioning and nothing is shuffled for it.
     """
     x = cut(numbered(df, [key], name="_i"))
-    rows, names, kinds = x.count(), df.columns, ", ".join(f"{c} {t}" for c, t in df.dtypes)
+    rows, block, names, kinds = x.count(), LEAF, df.columns, ", ".join(f"{c} {t}" for c, t in df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[dict[tuple[int, int], int]] = [{} for _ in range(n)]
         for batch in batches:
             at = batch["_i"].to_numpy() - 1
-            leaves = at // LEAF
+            leaves = at // block
             for r in range(n):
                 weight = np.zeros(len(at), np.int64)
                 for leaf in np.unique(leaves).tolist():
                     own = leaves == leaf
-                    weight[own] = _leaf_counts(rows, leaf, r + 1, seed, known[r])[at[own] % LEAF]
+                    weight[own] = _leaf_counts(rows, block, leaf, r + 1, seed, known[r])[at[own] % block]
                 if len(known[r]) > 1 << 12:
                     known[r].clear()
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(np.full(len(at), r + 1, np.int32)), pa.array(weight)], [*names, "replicate", "weight"])
