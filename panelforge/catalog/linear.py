@@ -487,16 +487,16 @@ def _code_vectors(spark, d):
 @query()
 def i33_topic_factors(spark, d):
     """Non-negative topics of the entities' code shares, absent codes as zeros: the weight of each code in each topic, and the fit's share of squares."""
-    h, explained = factors.topics(_code_vectors(spark, d), "v", 3)
+    h, explained = factors.topics(_code_vectors(spark, d), "v", 3, 60, 1e-5)
     rows = [(c, t, float(h[t, c]), float(explained)) for t in range(len(h)) for c in range(h.shape[1])]
     return spark.createDataFrame(rows, "code int, topic int, weight double, explained double").select("code", "topic", F.bround("weight", 4).alias("weight"), F.bround("explained", 4).alias("explained"))
 
 
 @query()
 def i33_rank_sweep(spark, d):
-    """What topics explain by their number, beside the same of shares whose codes were shuffled among entities, and the strongest time trend of a topic."""
+    """What topics explain by their number, beside the same of shares whose codes were shuffled among entities."""
     v = lineage.cut(_code_vectors(spark, d))
-    rows = factors.rank_sweep(v, "entity", "v", (1, 2, 4))
+    rows = factors.rank_sweep(v, "entity", "v", (1, 3), rounds=20, tolerance=1e-4)
     return spark.createDataFrame(rows, "topics int, explained double, shuffled double").select("topics", F.bround("explained", 4).alias("explained"), F.bround("shuffled", 4).alias("shuffled"))
 
 

@@ -34,7 +34,11 @@ def summed(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndar
         return pa.table({"fan": pa.array([0], pa.int32()), "sums": pa.array([_added(table["sums"]).tobytes()], pa.binary())})
 
     schema = "fan int, sums binary"
-    met = df.mapInArrow(run, schema).groupBy("fan").applyInArrow(added, schema)
+    parts = df.mapInArrow(run, schema)
+    if df.rdd.getNumPartitions() <= FAN:  # so few vectors that the driver adds them
+        rows = parts.collect()
+        return sum((np.frombuffer(r.sums) for r in rows[1:]), np.frombuffer(rows[0].sums).copy()) if rows else None
+    met = parts.groupBy("fan").applyInArrow(added, schema)
     row = met.groupBy("fan").applyInArrow(added, schema).first()
     return None if row is None else np.frombuffer(row.sums).copy()
 
@@ -201,10 +205,10 @@ def shuffled_columns(df: DataFrame, row: str, vector: str, seed: int = 0) -> Dat
     return moved.groupBy("number").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]).alias(vector))
 
 
-def rank_sweep(df: DataFrame, row: str, vector: str, ranks: Sequence[int], seed: int = 0) -> list[tuple[int, float, float]]:
+def rank_sweep(df: DataFrame, row: str, vector: str, ranks: Sequence[int], seed: int = 0, rounds: int = 50, tolerance: float = 1e-6) -> list[tuple[int, float, float]]:
     """``(rank, explained, explained of shuffled columns)`` for each number of topics: what structure between codes adds."""
     null = cut(shuffled_columns(df, row, vector, seed))
-    return [(k, topics(df, vector, k)[1], topics(null, vector, k)[1]) for k in ranks]
+    return [(k, *(topics(x, vector, k, rounds, tolerance)[1] for x in (df, null))) for k in ranks]
 
 
 def factor_analysis(rows: DataFrame, vector: str, k: int, rounds: int = 100, tolerance: float = 1e-5, ard: bool = False, most_patterns: int = 10_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
