@@ -230,6 +230,11 @@ def e29_activation_centroid(spark, d):
     return aggregate.activation(frames(spark, d), "frame", "emb").select("frame", r6("centre").alias("centre"), r6("dispersion").alias("dispersion"), "top")
 
 
+@query(f"WITH {FRAMES}, l AS (SELECT frame, i AS k, abs(CAST(emb[i + 1] AS DOUBLE)) AS a FROM frames, range(64) r(i)), c AS (SELECT frame, quantile_cont(a, 0.75) AS q FROM l GROUP BY frame) SELECT CAST(k AS INTEGER) AS place, count(*) AS rows, count_if(a >= q) AS top FROM l JOIN c USING (frame) GROUP BY k")
+def e29_position_histogram(spark, d):
+    return aggregate.position_histogram(frames(spark, d), "frame", "emb")
+
+
 @query(f"WITH {CELLS}, m AS (SELECT entity, visit, avg(value) AS m FROM cells GROUP BY ALL), s AS (SELECT var_pop(m) AS s FROM m), t AS (SELECT var_pop(value) AS t, count(DISTINCT measure) AS e FROM cells) SELECT {q6('s / t')} AS shared, {q6('1.0 / e')} AS floor FROM s, t")
 def e30_shared_variance(spark, d):
     x = aggregate.shared_variance(cells(spark, d), ["entity", "visit"], "measure", "value")

@@ -46,6 +46,25 @@ def i02_grouped_ridge(spark, d):
     return p.select("frame", "fold", r6("pred").alias("pred"))
 
 
+@query(f"""WITH {FRAMES}, {_FOLD}, s AS (SELECT f.fold, count(*) AS n, avg(x1) AS mx, avg(y) AS my, var_pop(x1) AS vx, covar_pop(x1, y) AS c FROM fr JOIN (SELECT DISTINCT fold FROM folds) f ON fr.fold <> f.fold GROUP BY f.fold),
+ a AS (SELECT unnest([0.5, 5.0, 500.0])::DOUBLE AS alpha), p AS (SELECT alpha, y, my + (x1 - mx) * n * c / (n * vx + alpha * vx) AS pred FROM fr JOIN s USING (fold), a) SELECT alpha, {q6('1 - sum(pow(y - pred, 2)) / (var_pop(y) * count(*))')} AS r2 FROM p GROUP BY alpha""")
+def i02_alpha_path(spark, d):
+    found = linear.alpha_path(_folded(spark, d), ["x1"], "y", (0.5, 5.0, 500.0))
+    return spark.createDataFrame(list(found.items()), "alpha double, r2 double").select("alpha", r6("r2").alias("r2"))
+
+
+@query(f"WITH {FRAMES}, s AS (SELECT count(*) AS n, avg(x1) AS mx, avg(y) AS my, var_pop(x1) AS vx, covar_pop(x1, y) AS c FROM frames) SELECT frame, {q6('my + (x1 - mx) * n * c / (n * vx + 5 * vx)')} AS pred FROM frames, s")
+def i02_in_sample(spark, d):
+    f = _folded(spark, d)
+    return linear.in_sample(f, ["x1"], "y", alpha=5.0).predict(f.select("frame", "fold", "x1")).select("frame", r6("pred").alias("pred"))
+
+
+@query(f"WITH {FRAMES} SELECT frame, {q6('y - avg(y) OVER (PARTITION BY stratum)')} AS y_res FROM frames")
+def i03_levels(spark, d):
+    """Residuals on the levels of a category: what is left beside its group's mean."""
+    return linear.residuals(frames(spark, d), ["y"], [], levels=["stratum"]).select("frame", r6("y_res").alias("y_res"))
+
+
 @query(f"WITH {FRAMES} SELECT frame, {q6('y - regr_slope(y, x1) OVER () * x1 - regr_intercept(y, x1) OVER ()')} AS y_res FROM frames")
 def i03_residualise(spark, d):
     return linear.residuals(frames(spark, d), ["y"], ["x1"]).select("frame", r6("y_res").alias("y_res"))

@@ -57,6 +57,12 @@ def g07_capped_sample(spark, d):
     return sampling.capped(frames(spark, d), ["entity"], F.col("frame") * 7919 % 10007, "frame", 3).select("entity", "frame")
 
 
+@query(f"WITH {FRAMES}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY frame * 7919 % 10007, frame) AS r FROM frames), k AS (SELECT entity, frame, row_number() OVER (ORDER BY frame * 7919 % 10007, frame) AS k FROM r WHERE r <= 3) SELECT entity, frame FROM k WHERE k <= 100")
+def g07_capped_overall(spark, d):
+    """A cap for each entity, then one for all."""
+    return sampling.capped(frames(spark, d), ["entity"], F.col("frame") * 7919 % 10007, "frame", 3, 100).select("entity", "frame")
+
+
 @query(f"""WITH {FRAMES}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY frame * 7919 % 10007, frame) - 1 AS r, count(*) OVER (PARTITION BY entity) AS n FROM frames)
 SELECT entity, frame, CAST(draw AS INTEGER) AS draw FROM (SELECT entity, frame, unnest(range(r, 8, n)) AS draw FROM r WHERE r < 8)""")
 def g08_exact_budget(spark, d):

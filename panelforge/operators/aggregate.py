@@ -81,6 +81,13 @@ def activation(df: DataFrame, row: str, vector: str, share: float = 0.75) -> Dat
     return x.join(c, row).groupBy(row).agg(F.first("centre").alias("centre"), F.sqrt(F.sum(F.col("_a") * gap * gap) / F.first("_m")).alias("dispersion"), F.count_if(F.col("_a") >= F.col("_q")).alias("top"))
 
 
+def position_histogram(df: DataFrame, row: str, vector: str, share: float = 0.75) -> DataFrame:
+    """``(place, rows, top)``: by place in how many rows it is, and in how many its |activation| reaches the row's ``share`` quantile."""
+    x = df.select(row, F.posexplode(vector).alias("place", "_v")).withColumn("_a", F.abs(F.col("_v").cast("double")))
+    q = x.groupBy(row).agg(F.percentile("_a", F.lit(share)).alias("_q"))  # of one row's places
+    return x.join(q, row).groupBy("place").agg(F.count("*").alias("rows"), F.count_if(F.col("_a") >= F.col("_q")).alias("top"))
+
+
 def shared_variance(long: DataFrame, by: Sequence[str], stream: str, value: str) -> DataFrame:
     """Variance of the streams' mean over all variance, and the 1 / streams that independent streams give."""
     s = long.groupBy(*by).agg(F.avg(value).alias("_m")).agg(F.var_pop("_m").alias("_s"))

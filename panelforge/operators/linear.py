@@ -201,8 +201,51 @@ def held_out_r2(df: DataFrame, features: str | Sequence[str], target: str, fold:
     return 1 - rss / (cov[-1, -1] * total[0, 0])
 
 
-def residuals(df: DataFrame, columns: Sequence[str], covariates: Sequence[str], fold: str | None = None, suffix: str = "_res") -> DataFrame:
-    """Columns minus their least-squares fit on covariates (and an intercept); with ``fold``, fitted on the other folds."""
+def alpha_path(df: DataFrame, features: str | Sequence[str], target: str, alphas: Sequence[float], fold: str = "fold") -> dict[float, float]:
+    """Out-of-fold R2 for each penalty, from the same Gram matrices (nan without a complete row)."""
+    g = grams(design(df, features, [target], keep=[fold]), fold)
+    out = {}
+    for alpha in alphas:
+        if not g:
+            out[alpha] = float("nan")
+            continue
+        total = sum(g.values())
+        rss = 0.0
+        for own in g.values():
+            v = np.append(-ridge(total - own, total.shape[0] - 2, alpha)[:, 0], 1.0)
+            rss += v @ own @ v
+        out[alpha] = float(1 - rss / (moments_of(total, 0)[2][-1, -1] * total[0, 0]))
+    return out
+
+
+def in_sample(df: DataFrame, features: str | Sequence[str], target: str, fold: str = "fold", alpha: float = 50.0) -> Ridge:
+    """The ridge of all rows, for each fold that there is: its predictions are those of rows it has seen."""
+    g = grams(design(df, features, [target], keep=[fold]), fold)
+    if not g:
+        return Ridge({}, features)
+    total = sum(g.values())
+    w = ridge(total, total.shape[0] - 2, alpha)
+    return Ridge({f: w for f in g}, features)
+
+
+def with_levels(df: DataFrame, columns: Sequence[str], most: int = 1000) -> tuple[DataFrame, list[str]]:
+    """A 0/1 column for each level of categorical columns but the smallest one (null is a level); more than ``most`` levels raise."""
+    out, names = df, []
+    for c in columns:
+        levels = [r[0] for r in df.select(c).distinct().limit(most + 1).collect()]
+        if len(levels) > most:
+            raise ValueError(f"more than {most} levels of {c}")
+        for i, v in enumerate(sorted(levels, key=lambda x: (x is None, x if x is not None else 0))[1:]):
+            names.append(f"_{c}_{i}")
+            out = out.withColumn(names[-1], F.col(c).eqNullSafe(F.lit(v)).cast("double"))
+    return out, names
+
+
+def residuals(df: DataFrame, columns: Sequence[str], covariates: Sequence[str], fold: str | None = None, suffix: str = "_res", levels: Sequence[str] = ()) -> DataFrame:
+    """Columns minus their least-squares fit on covariates, the levels of categorical ones and an intercept; with ``fold``, fitted on the other folds."""
+    if levels:
+        wide, names = with_levels(df, levels)
+        return residuals(wide, columns, [*covariates, *names], fold, suffix).drop(*names)
     bad = set(columns) & set(covariates)
     if bad:
         raise ValueError(f"a covariate can't be a target: {sorted(bad)}")

@@ -15,10 +15,11 @@ def hash_key(*ids: str, seed: int = 0) -> Column:
     return F.xxhash64(*[F.col(c) for c in ids], F.lit(seed))
 
 
-def capped(df: DataFrame, by: Sequence[str], order: Column, tie: str, cap: int) -> DataFrame:
-    """At most ``cap`` rows per key, in the given pseudo-random order."""
+def capped(df: DataFrame, by: Sequence[str], order: Column, tie: str, cap: int, overall: int | None = None) -> DataFrame:
+    """At most ``cap`` rows per key, in the given pseudo-random order; of these the first ``overall`` of all, in the same order (by ranges)."""
     w = Window.partitionBy(*by).orderBy(order, tie)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+    x = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+    return x if overall is None else numbered(x, [order, tie], name="_r").where(F.col("_r") <= overall).drop("_r")
 
 
 def exactly(df: DataFrame, by: Sequence[str], order: Column, tie: str, budget: int) -> DataFrame:
