@@ -7,7 +7,8 @@ few partial sums, not its rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators.lineage import cut
+from panelforge.operators.windows import quantiles
+
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column of one length as a float64 matrix. A null vector is a row of nan, a null number nan; other lengths raise."""
@@ -119,11 +123,38 @@ def mean_by(df: DataFrame, keys: Sequence[str], vector: str, weight: str | None
     return met.groupBy(*keys).applyInArrow(every, f"{kinds}, n long, mean array<double>")
 
 
+#: Rows of a group whose vectors are sorted in one task; larger groups go by ranges of (group, element).
+GROUP = 4096
+
+
 def median_by(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
-    """Element-wise exact median by key, from one row per element."""
-    x = df.select(*keys, F.posexplode(vector).alias("_i", "_v"))
-    m = x.groupBy(*keys, "_i").agg(F.percentile(F.col("_v").cast("double"), F.lit(0.5)).alias("_m"))
-    return m.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("median"))
+    """Element-wise exact median by key; missing numbers (null or nan) are left out, an element without any is null, and so is a key without a vector.
+
+    Groups of at most ``GROUP`` rows (counted first) are one matrix each; of larger ones every element's values are counted and the counts
+    summed up by ranges, so no task holds a group.
+    """
+    names, kinds = list(keys), ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
+    x = df.select(*keys, F.transform(vector, lambda v: v.cast("double")).alias("_x"))
+    large = cut(x.groupBy(*keys).agg(F.count("_x").alias("_n")).where(F.col("_n") > GROUP))
+    same = lambda one: reduce(and_, [F.col(f"x.{k}").eqNullSafe(F.col(f"{one}.{k}")) for k in names])
+    few = large.isEmpty()
+    rest = x if few else x.alias("x").join(large.alias("l"), same("l"), "left_anti")
+
+    def median(table: pa.Table) -> pa.Table:
+        column = table["_x"].filter(table["_x"].is_valid())
+        values = matrix(column) if len(column) else np.zeros((0, 0))
+        seen = np.isfinite(values) | np.isinf(values)
+        out = [float(np.median(v[s])) if s.any() else None for v, s in zip(values.T, seen.T)] if len(column) else None
+        return pa.table({**{k: table[k][:1] for k in names}, "median": pa.array([out], pa.list_(pa.float64()))})
+
+    found = rest.groupBy(*keys).applyInArrow(lambda table: median(table), f"{kinds}, median array<double>")
+    if few:
+        return found
+    own = x.alias("x").join(large.alias("l"), same("l"), "left_semi").select(*keys, F.posexplode("_x").alias("_i", "_v"))
+    every = own.groupBy(*keys).agg(F.max("_i").alias("_last")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    q = quantiles(own.where(~F.isnan("_v")), "_v", [0.5], [*keys, "_i"])
+    both = every.alias("x").join(q.alias("q"), same("q") & (F.col("x._i") == F.col("q._i")), "left").select(*[f"x.{k}" for k in names], "x._i", "q.q0")
+    return found.unionByName(both.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "q0"))), lambda e: e["q0"]).alias("median")))
 
 
 def to_tokens(df: DataFrame, vector: str, width: int) -> DataFrame:

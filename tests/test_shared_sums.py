@@ -80,6 +80,25 @@ def test_sums_by_key_are_sent_on_within_a_task(spark, monkeypatch):
             assert got[k or None][0] == len(at) and np.allclose(got[k or None][1], want)
 
 
+@pytest.mark.parametrize("group", [vectors.GROUP, 25])
+def test_medians_of_small_and_large_groups(spark, monkeypatch, group):
+    monkeypatch.setattr(vectors, "GROUP", group)
+    r = np.random.default_rng(9)
+    x = np.round(r.standard_normal((200, 4)), 1)
+    x[r.random(x.shape) < 0.2] = np.nan
+    key = np.minimum(r.integers(0, 9, 200), 4)
+    x[key == 2, 1] = np.nan
+    rows = [(int(k) if k else None, None if i % 40 == 0 else [None if np.isnan(v) else float(v) for v in row]) for i, (k, row) in enumerate(zip(key, x))]
+    df = spark.createDataFrame([*rows, (77, None)], "k long, x array<double>").repartition(3)
+    got = {v.k: v["median"] for v in vectors.median_by(df, ["k"], "x").collect()}
+    assert got.pop(77) is None and len(got) == 5
+    for k in range(5):
+        own = x[[i for i in range(200) if key[i] == k and i % 40]]
+        want = [None if np.isnan(c).all() else float(np.nanmedian(c)) for c in own.T]
+        assert got[k or None] == [None if v is None else pytest.approx(v) for v in want]
+    assert vectors.median_by(df.limit(0), ["k"], "x").count() == 0
+
+
 @pytest.fixture(scope="module")
 def clusters(spark):
     r = np.random.default_rng(11)
