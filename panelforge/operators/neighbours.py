@@ -82,7 +82,7 @@ def _buckets(x: DataFrame, rows: int, tables: int, leaf: int, seed: int) -> Data
     """``(id, v, table, bucket, part)``: the side of its mean on which each row lies, for as many random directions as the rows ask for."""
     mean = mean_by(x.withColumn("_k", F.lit(0)), ["_k"], "v").first()
     centre = np.nan_to_num(np.array(mean["mean"], float))
-    bits = max(0, int(np.ceil(np.log2(max(1.0, 2 * rows / leaf)))))
+    bits = int(np.ceil(np.log2(2 * rows / leaf))) if rows > leaf else 0
     planes = np.random.default_rng(seed).standard_normal((tables, bits, len(centre)))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,17 +99,19 @@ def _buckets(x: DataFrame, rows: int, tables: int, leaf: int, seed: int) -> Data
     return found.join(large, ["table", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("id", "table"), parts).cast("int")).drop("_n")
 
 
-def approximate_nearest(df: DataFrame, row: str, vector: str, k: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray] = euclidean, tables: int = 4, leaf: int = LEAF, rounds: int = 12, still: float = 0.002, seed: int = 0) -> DataFrame:
+def approximate_nearest(df: DataFrame, row: str, vector: str, k: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray] = euclidean, tables: int = 4, leaf: int = LEAF, rounds: int = 8, still: float = 0.01, seed: int = 0, width: int | None = None) -> DataFrame:
     """``(src, dst, rank, dist)`` as ``geometry.nearest`` gives it, but of neighbours found, not of all.
 
-    ``rounds`` bounds the rounds; they end once less than the share ``still`` of the list entries is new. A round moves
-    each row's vector to at most ``2 k + 1`` places. Null vectors have and are no neighbours; a table of fewer rows than ``leaf`` gives the exact
+    Lists of ``width`` entries (by default ``4 k``) are kept until the end, as the nearest of many dimensions are often only reached by way of
+    farther ones. ``rounds`` bounds the rounds; they end once less than the share ``still`` of the entries is new. A round moves
+    each row's vector to at most ``2 width + 1`` places. Null vectors have and are no neighbours; a table of fewer rows than ``leaf`` gives the exact
     lists. Distances are exact; what may be missed are neighbours that no common neighbour leads to.
     """
     x = cut(df.where(F.col(vector).isNotNull()).select(F.col(row).cast("long").alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("v")))
     rows = x.count()
     if rows < 2:
         return df.sparkSession.createDataFrame([], "src long, dst long, dist double, rank int")
+    top, k = k, width or 4 * k
     kind = "src long, dst long, dist double"
     keys = ["table", "bucket", "part"]
     dealt = _buckets(x, rows, tables, leaf, seed).repartition(*keys).sortWithinPartitions(*keys)
@@ -126,7 +128,7 @@ def approximate_nearest(df: DataFrame, row: str, vector: str, k: int, distance:
         lists = better
         if new < still * rows * k:
             break
-    return lists.select("src", "dst", "dist", "rank")
+    return lists.where(F.col("rank") <= top).select("src", "dst", "dist", "rank")
 
 
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
