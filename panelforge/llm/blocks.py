@@ -68,6 +68,23 @@ def block_values(table: pa.Table, extra: dict[str, int] | None = None, width: in
     return tuple(out)
 
 
+def count_rows(keys: np.ndarray, counts: np.ndarray, hashes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Blocks without hashes: of each key only a count, dealt out by the key's hash."""
+    part = parts_of(hashes, parts)
+    order = np.argsort(part, kind="stable")
+    part, keys, counts = part[order], keys[order].astype("<i8"), counts[order].astype("<u4")
+    names, cut = np.unique(part, return_index=True)
+    ends = np.append(cut[1:], len(part))
+    packs = [pa.array([x[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()) for x in (keys, counts)]
+    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *packs, pa.array([b""] * len(names), pa.binary())], ["part", "owners", "counts", "tails"])
+
+
+def count_values(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and counts of blocks without hashes."""
+    keys, counts = (b"".join(table[name].to_pylist()) for name in ("owners", "counts"))
+    return np.frombuffer(keys, "<i8"), np.frombuffer(counts, "<u4")
+
+
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of each run of equal values in a sorted array."""
     if not len(values):

@@ -8,7 +8,8 @@ so no link is lost. Units go to segments by cost (signatures emitted and matches
 length; empty and one-shingle segments come last). Candidates are then verified on whole sets.
 
 Before that the universe is reduced, still without loss: a document of whose shingles less than a share
-of t occur in another set has no partner. Copies of one set stand as one class throughout, signatures
+of t occur in another set has no partner. Shingles that very many sets hold are told beforehand, by tasks
+that see them in several sets; they only count for their sets and aren't dealt out. Copies of one set stand as one class throughout, signatures
 shared by many sets link to one centre first, and only those whose members are still in different
 components are compared further, so groups of copies don't expand into pairs.
 """
@@ -20,6 +21,8 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ PIECE = 2048
 FIRST = 8
 #: Hashes per part of an exchange.
 PART = 1_000_000
+#: Sets of one task that make a shingle hot, hot shingles (8 bytes each) that are broadcast, and shingles a task keeps count of.
+HOT, HOTTEST, COUNTED = 64, 1 << 20, 1 << 18
 
 
 def bands(limit: int = 1 << 40) -> np.ndarray:
@@ -57,26 +62,73 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def _classes(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Frequent:
+    """How many sets held a shingle, for those that two sets of one slice held; where these get too many, the rarest are forgotten."""
+
+    def __init__(self) -> None:
+        self.values, self.counts = np.zeros(0, U64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray, n: np.ndarray, keys: np.ndarray) -> None:
+        """Count a slice: each document's distinct shingles, how many it has, and its set's key (copies of a set count once)."""
+        first = np.zeros(len(n), bool)
+        first[np.unique(keys, return_index=True)[1]] = True
+        found = np.sort(values[np.repeat(first, n)])
+        start, length = blocks.runs(found)
+        values = np.concatenate([self.values, found[start[length > 1]]])
+        counts = np.concatenate([self.counts, length[length > 1]])
+        order = np.argsort(values, kind="stable")
+        start, _ = blocks.runs(values[order])
+        self.values = values[order][start]
+        self.counts = np.add.reduceat(counts[order], start) if len(start) else counts
+        if len(self.values) > COUNTED:
+            keep = np.sort(np.argsort(-self.counts, kind="stable")[: COUNTED // 2])
+            self.values, self.counts = self.values[keep], self.counts[keep]
+
+
+_CLASSES = "doc_id long, key long, n_shingles long, k1 long, k2 long"
+
+
+def _classes(k: int, hot: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and keys of each row's set; rows of size -1 tell this task's hot shingles (``k1``) and their sets (``k2``)."""
+    names, frequent = ["doc_id", "key", "n_shingles", "k1", "k2"], Frequent()
     for batch in batches:
         for a, b, data, offsets in slices(batch["text"]):
             values, n = shingles(data, offsets, k)
             keys = [_sums(mix(values ^ U64(salt)), n).view(np.int64) for salt in (0, 0x5851F42D4C957F2D)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["key"].slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1])], ["doc_id", "key", "n_shingles", "k1", "k2"])
+            frequent.add(values, n, keys[0])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["key"].slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1])], names)
+    at = frequent.counts >= hot
+    values, counts = frequent.values[at], frequent.counts[at]
+    none = pa.nulls(len(values), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(values), -1)), pa.array(values.view(np.int64)), pa.array(counts)], names)
 
 
-def _universe(k: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _universe(k: int, parts: int, hot: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the sets' shingles; of the hot ones only how many a set has, as a block without hashes."""
+    known = np.frombuffer(hot.value, "<u8")
     for batch in batches:
         for _, _, data, offsets in slices(batch["text"]):
             values, n = shingles(data, offsets, k)
-            if len(values):
-                keys = _sums(mix(values), n).view(np.int64)
-                yield blocks.block_rows(values, np.repeat(np.arange(len(n)), n), keys, parts)
+            if not len(values):
+                continue
+            keys = _sums(mix(values), n).view(np.int64)
+            owner = np.repeat(np.arange(len(n)), n)
+            if len(known):
+                sure = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+                count = np.bincount(owner[sure], minlength=len(n))
+                some = np.flatnonzero(count)
+                # by hash of the set, so that its copies meet
+                yield blocks.count_rows(keys[some], count[some], mix(keys[some].view(U64)), parts)
+                values, owner = values[~sure], owner[~sure]
+            yield blocks.block_rows(values, owner, keys, parts)
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """For each set, how many of its shingles of this part occur in another set."""
-    values, owner = blocks.block_values(table)
+    """For each set, how many of its shingles of this part occur in another set; and, told apart, how many hot ones it has."""
+    plain = pa.compute.greater(pa.compute.binary_length(table["tails"]), 0)
+    sure, told = blocks.count_values(table.filter(pa.compute.invert(plain)))
+    sure, first = np.unique(sure, return_index=True)
+    values, owner = blocks.block_values(table.filter(plain))
     order = np.argsort(values)
     values, owner = values[order], owner[order]
     start, length = blocks.runs(values)
@@ -91,7 +143,7 @@ def _shared(table: pa.Table) -> pa.Table:
     new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     owner = owner[new]
     start, length = blocks.runs(owner)
-    return pa.table({"k1": pa.array(owner[start], pa.int64()), "shared": pa.array(length, pa.int64())})
+    return pa.table({"k1": pa.array(np.concatenate([owner[start], sure]), pa.int64()), "shared": pa.array(np.concatenate([length, told[first]]), pa.int64())})
 
 
 #: Cost of the first and the second unit by a segment's length.
@@ -306,26 +358,32 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, hot: int = HOT) -> DataFrame:
     """``(doc_id, n_shingles, component_id, key, component)`` for each row of ``docs``.
 
     Null or empty texts and texts without words have 0 shingles and are their own component; a text
     of fewer than ``k`` words is one shingle, so it links with equal sequences only. Rows are judged by
     their own texts, whatever their ids: repeated ids keep a row each. ``component_id`` is the smallest id
     of the component (null ids don't count; null without any other). ``key`` is a hash of id and text,
-    ``component`` one of the component (null without shingles). Other columns are ignored.
+    ``component`` one of the component (null without shingles). Other columns are ignored. Shingles that ``hot`` sets
+    of a task hold are counted apart; that changes what is shuffled, not the result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    sized = written(keyed.mapInArrow(partial(_classes, k), "doc_id long, key long, n_shingles long, k1 long, k2 long"))
+    sized = written(keyed.mapInArrow(partial(_classes, k, hot), _CLASSES))
+    # tasks saw these in two sets at least, so they need no proof; those beyond the broadcast go the ordinary way
+    most = sized.where("n_shingles < 0").groupBy("k1").agg(F.sum("k2").alias("n")).orderBy(F.desc("n"), "k1").limit(HOTTEST)
+    known = np.sort(most.select("k1").toArrow()["k1"].to_numpy().view(U64))
+    known = spark.sparkContext.broadcast(known.astype("<u8").tobytes())
+    sized = sized.where("n_shingles >= 0")
     total = sized.agg(F.sum("n_shingles")).first()[0] or 0
     parts = int(max(4 * partitions(spark), total // PART + 1))
 
     # a class is a set, told by its hash k1; one of its rows brings the text
     classes = sized.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"))
     shared = (
-        rows.mapInArrow(partial(_universe, k, parts), blocks.SCHEMA)
+        rows.mapInArrow(partial(_universe, k, parts, known), blocks.SCHEMA)
         .groupBy("part").applyInArrow(_shared, "k1 long, shared long")
         .groupBy("k1").agg(F.sum("shared").alias("shared"))
     )

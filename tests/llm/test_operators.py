@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,37 @@ def test_jaccard_components(docs, none):
     assert ngram_jaccard.jaccard_components(none).count() == 0
 
 
+def test_jaccard_counts_hot_shingles_apart(spark):
+    """Lines that most sets hold, copies of a set, and sets of hot shingles only: the rows are those without hot shingles."""
+    line = " ".join(words(30, 90))
+    t = {i: f"{line} {' '.join(words(8 + 3 * (i % 7), 200 + i // 3))}" + " more" * (i % 3 == 1) for i in range(60)}
+    t |= {60: line, 61: line, 62: f"{line} end", 63: "", 64: t[5], 65: t[5], 66: "few words"}
+    sets = {i: shingle_set(x) for i, x in t.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = union(sets, links)
+    for parts, hot in ((2, 2), (1, 10)):
+        docs = spark.createDataFrame(list(t.items()), "doc_id long, text string").repartition(parts)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(docs, hot=hot).collect()}
+        assert got == {i: (len(sets[i]), want[i]) for i in sets}
+
+
+def test_hot_shingles_are_counted_once_a_set(monkeypatch):
+    n, keys = np.array([2, 2, 1, 3]), np.array([7, 7, 8, 9])
+    values = np.array([1, 5, 1, 5, 5, 2, 3, 5], np.uint64)
+    seen = ngram_jaccard.Frequent()
+    for _ in range(3):
+        seen.add(values, n, keys)
+    assert (seen.values.tolist(), seen.counts.tolist()) == ([5], [9])
+    monkeypatch.setattr(ngram_jaccard, "COUNTED", 4)
+    seen.add(np.tile(np.arange(10, 15, dtype=np.uint64), 2), np.array([5, 5]), np.array([1, 2]))
+    assert len(seen.values) == 2 and 5 in seen.values  # the rarest are forgotten, the most frequent stays
+    rows = ngram_jaccard._universe(5, 4, type("B", (), {"value": b""}), iter([]))
+    assert list(rows) == []
+    keys = np.array([3, -4, 9], np.int64)
+    table = pa.Table.from_batches([blocks.count_rows(keys, np.array([1, 2, 3]), text.mix(keys.view(np.uint64)), 4)])
+    assert sorted(zip(*(x.tolist() for x in blocks.count_values(table)))) == [(-4, 2), (3, 1), (9, 3)]
+
+
 def test_jaccard_judges_rows_of_one_id_by_their_own_texts(spark):
     a, b, c = (" ".join(words(60, i)) for i in (70, 71, 72))
     rows = [(5, a), (5, b), (7, b + " tail"), (3, a + " tail"), (None, c), (9, c + " x"), (None, ""), (5, a)]
