@@ -178,3 +178,26 @@ def k13_repeated_split(spark, d):
     h = x.groupBy("replicate", "half").agg(*[F.corr("lag", c).alias(c) for c in names]).unpivot(["replicate", "half"], names, "variable", "c")
     pick = h.where("half = 0").groupBy("replicate").agg(F.max_by("variable", F.abs(F.col("c"))).alias("variable"))
     return pick.join(h.where("half = 1"), ["replicate", "variable"]).groupBy("variable").agg(F.count("*").alias("selected"), r6(F.avg(F.abs(F.col("c")))).alias("tested"))
+
+
+_AXES = f"""{FRAMES}, ent AS (SELECT entity, avg(list_sum(list_transform(emb[1:32], lambda x: CAST(x AS DOUBLE)))) AS first, avg(list_sum(list_transform(emb[33:64], lambda x: CAST(x AS DOUBLE)))) AS second,
+ CASE WHEN entity % 5 > 0 THEN avg(y) END AS size, CASE WHEN entity % 7 > 0 THEN CAST(avg(stratum) > 4.5 AS INTEGER) END AS late, max(x1) AS peak FROM frames GROUP BY entity)"""
+
+
+@query(f"""WITH {_AXES}, {_REPS_P}, long AS (SELECT entity, first, second, unnest([{{'anchor': 'size', 'metric': 'r', 'y': CAST(size AS DOUBLE)}}, {{'anchor': 'late', 'metric': 'auc', 'y': CAST(late AS DOUBLE)}}, {{'anchor': 'peak', 'metric': 'r', 'y': peak}}]) AS s FROM ent),
+l AS (SELECT entity, s.anchor AS anchor, s.metric AS metric, s.y AS y, first, second FROM long WHERE s.y IS NOT NULL),
+m AS (UNPIVOT (SELECT * FROM l) ON first, second INTO NAME axis VALUE z),
+num AS (SELECT *, row_number() OVER (PARTITION BY anchor, axis ORDER BY entity) AS i, count(*) OVER (PARTITION BY anchor, axis) AS of_n FROM m),
+a AS (SELECT num.*, r, {partner_sql('i', 'of_n', 'r')} AS j FROM num, (SELECT r FROM reps)),
+e AS (SELECT axis, anchor, metric, z, y, 0 AS r FROM num UNION ALL SELECT a.axis, a.anchor, a.metric, a.z, b.y, a.r FROM a JOIN num b ON b.anchor = a.anchor AND b.axis = a.axis AND b.i = a.j),
+k AS (SELECT *, rank() OVER (PARTITION BY axis, anchor, r ORDER BY z) + (count(*) OVER (PARTITION BY axis, anchor, r, z) - 1) / 2.0 AS k FROM e),
+v AS (SELECT axis, anchor, metric, r, count(*) AS n, CASE WHEN metric = 'auc' THEN (sum(k * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0) ELSE corr(z, y) END AS value FROM k GROUP BY axis, anchor, metric, r),
+w AS (SELECT *, abs(value - CASE WHEN metric = 'auc' THEN 0.5 ELSE 0.0 END) AS far FROM v)
+SELECT o.axis, o.anchor, o.metric, {q6('o.value')} AS value, {q6(f'(1 + count_if(w.far >= o.far - 1e-9)) / {RP + 1}.0')} AS p, o.n FROM w o JOIN w ON w.axis = o.axis AND w.anchor = o.anchor AND w.r > 0 WHERE o.r = 0 GROUP BY o.axis, o.anchor, o.metric, o.value, o.n""")
+def k14_axis_anchors(spark, d):
+    """Two axes over whole vectors against anchors that some entities lack: r or AUC by kind, with permutation p."""
+    half = lambda at: F.avg(F.aggregate(F.slice("emb", at, 32), F.lit(0.0), lambda s, v: s + v.cast("double")))
+    e = frames(spark, d).groupBy("entity").agg(half(1).alias("first"), half(33).alias("second"), F.avg("y").alias("size"), (F.avg("stratum") > 4.5).cast("int").alias("late"), F.max("x1").alias("peak"))
+    e = e.withColumns({"size": F.when(F.col("entity") % 5 > 0, F.col("size")), "late": F.when(F.col("entity") % 7 > 0, F.col("late"))})
+    x = resample.anchored(e, "entity", ["first", "second"], {"size": "r", "late": "auc", "peak": "r"}, RP)
+    return x.select("axis", "anchor", "metric", r6("value").alias("value"), r6("p").alias("p"), "n")

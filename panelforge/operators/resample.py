@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators.bijection import with_partner
 from panelforge.operators.lineage import cut
-from panelforge.operators.windows import numbered
+from panelforge.operators.windows import numbered, ranked
 
 Order = Callable[[str, str], Column]
 
@@ -186,3 +186,43 @@ def per_replicate(df: DataFrame, statistic: Callable[[pd.DataFrame], float], n:
         return pd.DataFrame({"replicate": [key_[0]], "s": [float(statistic(rows))]})
 
     return poisson_weights(df, key, n, order).groupBy("replicate").applyInPandas(run, "replicate int, s double")
+
+
+def anchored(df: DataFrame, key: str, axes: Sequence[str], anchors: dict[str, str], n: int = 200, seed: int = 0) -> DataFrame:
+    """``(axis, anchor, metric, value, p, n)``: what each axis has to do with each anchor, with a two-sided permutation p.
+
+    ``anchors`` says how a column is held against the axes: ``r`` (Pearson) or ``auc`` (a flag of 0 and 1; ties count
+    half, and what is tested is the distance from a half). An anchor's rows are those with a value whose axes are all there; its
+    values are permuted among them, ``n`` times, the same permutation for all axes. Both measures are sums over rows of a fixed
+    score (the axis, or its rank) and the permuted value, so a replicate is an aggregate and ranks are made once.
+    ``value`` and ``p`` are null where an axis or an anchor is constant; anchors without rows give none.
+    """
+    wrong = sorted(set(anchors.values()) - {"r", "auc"})
+    if wrong:
+        raise ValueError(f"an anchor is held against axes by r or auc, not by {', '.join(wrong)}")
+    whole = reduce(and_, [F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double")) for a in axes])
+    sides = [F.struct(F.lit(name).alias("anchor"), F.lit(kind).alias("metric"), F.col(name).cast("double").alias("y")) for name, kind in anchors.items()]
+    x = df.where(whole).select(F.col(key).alias("_key"), *[F.col(a).cast("double").alias(f"_a{i}") for i, a in enumerate(axes)], F.explode(F.array(*sides)).alias("_s"))
+    x = x.select("_key", *[f"_a{i}" for i in range(len(axes))], "_s.*").where("y is not null and not isnan(y)")
+    x = cut(x)
+    for i in range(len(axes)):
+        x = ranked(x, f"_a{i}", f"_k{i}", by=["anchor"])
+    score = [F.when(F.col("metric") == "auc", F.col(f"_k{i}")).otherwise(F.col(f"_a{i}")).alias(f"_z{i}") for i in range(len(axes))]
+    x = cut(x.select("_key", "anchor", "metric", "y", *score))
+    moved = permuted(x, "_key", "y", n, ["anchor"], seed).drop("y").withColumnRenamed("y_perm", "y")
+    rows = x.withColumn("replicate", F.lit(0)).unionByName(moved)
+
+    def measured(z: str) -> Column:
+        ones, zeros = F.sum("y"), F.sum(1 - F.col("y"))
+        auc = (F.sum(F.col(z) * F.col("y")) - ones * (ones + 1) / 2) / F.nullif(ones * zeros, F.lit(0.0))
+        r = F.covar_pop(z, "y") / F.nullif(F.stddev_pop(z) * F.stddev_pop("y"), F.lit(0.0))
+        return F.when(F.col("metric") == "auc", F.when(F.min(z) < F.max(z), auc)).otherwise(r)
+
+    every = F.array(*[F.struct(F.lit(a).alias("axis"), measured(f"_z{i}").alias("value")) for i, a in enumerate(axes)])
+    found = cut(rows.groupBy("anchor", "metric", "replicate").agg(F.count("*").alias("n"), every.alias("_v")).select("anchor", "metric", "replicate", "n", F.inline("_v")))
+    far = F.abs(F.col("value") - F.when(F.col("metric") == "auc", 0.5).otherwise(0.0))
+    real = found.where("replicate = 0").select("axis", "anchor", "metric", "value", "n", far.alias("_far"))
+    null = found.where("replicate > 0").select("axis", "anchor", far.alias("_null"))
+    p = (1 + F.count_if(F.col("_null") >= F.col("_far") - 1e-9)) / F.lit(n + 1.0)
+    out = real.join(null, ["axis", "anchor"]).groupBy("axis", "anchor", "metric", "value", "n").agg(p.alias("p"))
+    return out.select("axis", "anchor", "metric", "value", F.when(F.col("value").isNotNull(), F.col("p")).alias("p"), "n")
