@@ -118,3 +118,24 @@ def test_logistic_folds_and_fusion(spark, frames):
     want = {k: pair_auc(label, v) for k, v in want.items()}
     got = {r["metric"]: r["value"] for r in rows_of(spark, "i12_decision_fusion")}
     assert got == pytest.approx(want | {"best_single": max(want["a"], want["b"])}, abs=2e-3)
+
+
+def test_axis_labels_after_rotation(spark, frames):
+    """Varimax by rotating two axes at a time (Kaiser's angle) until none moves; axes may change places."""
+    load = axes_of(frames["emb"], 3)[1].copy()
+    for _ in range(500):
+        turned = 0.0
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            u, v = load[:, i] ** 2 - load[:, j] ** 2, 2 * load[:, i] * load[:, j]
+            angle = np.arctan2(2 * (u @ v - u.sum() * v.sum() / len(u)), (u @ u - v @ v) - (u.sum() ** 2 - v.sum() ** 2) / len(u)) / 4
+            c, s = np.cos(angle), np.sin(angle)
+            load[:, [i, j]] = load[:, [i, j]] @ np.array([[c, -s], [s, c]])
+            turned = max(turned, abs(angle))
+        if turned < 1e-12:
+            break
+    want = [np.abs(load[:, k]).reshape(4, 16).mean(1) for k in range(3)]
+    got = np.zeros((3, 4))
+    for r in rows_of(spark, "i22_axis_labels"):
+        got[r["axis"], r["block"]] = r["loading"]
+    for own in got:
+        assert min(np.abs(own - w).max() for w in want) < 1e-3
