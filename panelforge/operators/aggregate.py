@@ -110,7 +110,7 @@ def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFr
     c = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_q"))
     x = running(c, score, ["_q"], by=by)
     u = F.sum(F.col("_p") * (F.col("_q_upto") - F.col("_q") / 2.0))
-    t = F.col("_p") + F.col("_q")
+    t = (F.col("_p") + F.col("_q")).cast("double")  # cubes of counts pass 64 bits
     g = x.groupBy(*by).agg(u.alias("u"), F.sum("_p").alias("n1"), F.sum("_q").alias("n0"), F.sum(t * t * t - t).alias("ties"))
     return g.select(*by, (F.col("u") / F.nullif(F.col("n1") * F.col("n0"), F.lit(0))).alias("auc"), "u", "ties", "n1", "n0")
 
@@ -192,8 +192,8 @@ def mann_whitney(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
 def kruskal(df: DataFrame, group: str, rank: str) -> DataFrame:
     """Tie-corrected H from ranks (``rank`` holds average ranks), with the degrees of freedom and the p of the chi-square tail."""
     g = df.groupBy(group).agg(F.sum(rank).alias("r"), F.count(rank).alias("n")).agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("x"), F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("groups"))
-    ties = df.groupBy(rank).agg(F.count("*").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    n = F.col("n")
+    t, n = F.col("t").cast("double"), F.col("n").cast("double")  # cubes of counts pass 64 bits from 2,097,152 rows on
+    ties = df.groupBy(rank).agg(F.count("*").alias("t")).agg(F.sum(t * t * t - t).alias("ties"))
     return g.crossJoin(F.broadcast(ties)).select(((12.0 / (n * (n + 1)) * F.col("x") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))).alias("h"), "n", (F.col("groups") - 1).alias("df")).withColumn("p", chi_square_p(F.col("h"), F.col("df")))
 
 

@@ -190,3 +190,13 @@ def test_running_sums_stay_small_over_many_batches(spark, tmp_path):
     again = {r.g: (r.n, r.s or 0.0) for r in incremental.latest_sums(spark, path, "g string, n long, s double, ss double").collect()}
     assert again == got
     shutil.rmtree(source)
+
+
+def test_tied_ranks_of_millions_of_rows(spark):
+    """Cubes of 2,200,000 rows pass 64 bits."""
+    x = spark.range(0, 2_200_000, 1, 4).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 3).alias("g"))
+    low = 550_000.5
+    r = aggregate.kruskal(x.withColumn("r", F.when(F.col("y") == 0, low).otherwise(low + 1_100_000)), "g", "r").first()
+    assert r.n == 2_200_000 and r.df == 2 and 0 <= r.h < 1e-3
+    m = aggregate.mann_whitney(x.withColumn("s", F.lit(1)), "y", "s").first()
+    assert m.auc == 0.5
