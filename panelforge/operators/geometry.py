@@ -1,13 +1,14 @@
 """Nearest neighbours, graphs, intrinsic dimension and cluster comparison.
 
-Exact neighbours come from pairs of blocks: each row meets each block once, a block pair keeps its k
-nearest per row, and the lists are merged. The pairs are never rows.
+Exact neighbours come from groups of rows that meet all others, batch by batch: a product of single precision and a bound of
+its rounding tell which pairs may be among a row's k nearest, and only those are worked out. The pairs are never rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +20,50 @@ from panelforge.operators.lineage import cut
 from panelforge.operators.vectors import matrix
 from panelforge.operators.windows import numbered
 
+#: Rows of a group that are compared with all others in one task, at least; and the groups at most, so that the copies of the table grow with it.
 BLOCK = 2048
+MOST_GROUPS = 64
+#: Rows of a group compared with a batch at a time, and others that give each its first bound.
+TILE, FIRST = 512, 512
 
 
-def _nan_matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return matrix(column)
+@dataclass(frozen=True)
+class Metric:
+    """A distance between rows of two matrices; called, it gives all of them.
+
+    ``rows`` gives those of pairs, from differences. ``left(a, limit, slack) @ right(b, slack).T`` is at most zero wherever the distance is within the
+    row's ``limit``, if ``slack`` covers the rounding of the product; elsewhere it mostly isn't. ``least``: cells a row has to have.
+    """
+
+    every: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    rows: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    left: Callable[[np.ndarray, np.ndarray, float], np.ndarray]
+    right: Callable[[np.ndarray, float], np.ndarray]
+    least: int | None = None
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.every(a, b)
+
+    def usable(self, v: np.ndarray) -> np.ndarray:
+        if self.least is None:
+            return np.isfinite(v).all(1)
+        return ~np.isinf(v).any(1) & ((~np.isnan(v)).sum(1) >= max(1, self.least))
 
 
-def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :]
     return np.sqrt(np.maximum(d, 0))
 
 
-def masked(least: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+euclidean = Metric(
+    _euclidean,
+    lambda a, b: np.sqrt(((a - b) ** 2).sum(1)),
+    lambda a, limit, slack: np.hstack([-2 * a, ((1 - slack) * (a * a).sum(1) - (1 + slack) * limit * limit)[:, None], np.ones((len(a), 1))]),
+    lambda b, slack: np.hstack([b, np.ones((len(b), 1)), (1 - slack) * (b * b).sum(1)[:, None]]),
+)
+
+
+def masked(least: int) -> Metric:
     """Distance over the common observed cells scaled to all p; pairs with too few are infinitely far."""
 
     def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,37 +74,109 @@ def masked(least: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
         out = np.sqrt(np.maximum(d, 0) * a.shape[1] / np.maximum(common, 1))
         return np.where(common >= least, out, np.inf)
 
-    return distance
-
-
-def nearest(df: DataFrame, row: str, vector: str, k: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray] = euclidean, blocks: int | None = None) -> DataFrame:
-    """``(src, dst, rank, dist)``: the k nearest others of each row; ties by id. Null vectors have and are no neighbours. Work is quadratic, memory a block pair."""
-    x = df.where(F.col(vector).isNotNull()).select(F.col(row).cast("long").alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
+    def rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        gap = a - b
+        common = (~np.isnan(gap)).sum(1)
+        return np.where(common >= least, np.sqrt(np.nansum(gap * gap, axis=1) * a.shape[1] / np.maximum(common, 1)), np.inf)
+
+    def left(a: np.ndarray, limit: np.ndarray, slack: float) -> np.ndarray:
+        there, a0 = ~np.isnan(a), np.nan_to_num(a)
+        return np.hstack([(1 - slack) * a0 * a0 - ((1 + slack) * limit * limit / a.shape[1])[:, None] * there, -2 * a0, there])
+
+    def right(b: np.ndarray, slack: float) -> np.ndarray:
+        b0 = np.nan_to_num(b)
+        return np.hstack([~np.isnan(b), b0, (1 - slack) * b0 * b0])
+
+    return Metric(distance, rows, left, right, least)
+
+
+class _Nearest:
+    """The ``k`` nearest others of a group of rows, among batches of others: a product tells which pairs may be among them, and only those are worked out."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int, metric: Metric):
+        ok = metric.usable(v)
+        self.ids, self.v, self.k, self.metric = ids[ok], v[ok], k, metric
+        self.dst, self.dist = np.zeros((len(self.ids), k), np.int64), np.full((len(self.ids), k), np.inf)
+
+    def _keep(self, s: int, r: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        """Merge pairs of rows from ``s`` on into their lists, ties by id."""
+        touched, at = np.unique(r, return_inverse=True)
+        held = self.dist[s + touched]
+        row = np.concatenate([np.repeat(np.arange(len(touched)), self.k), at])
+        dst, dist = np.concatenate([self.dst[s + touched].ravel(), ids]), np.concatenate([held.ravel(), d])
+        order = np.lexsort((dst, np.round(dist, 9), row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(touched)))[row]
+        order = order[place < self.k]
+        self.dst[s + touched], self.dist[s + touched] = dst[order].reshape(-1, self.k), dist[order].reshape(-1, self.k)
+
+    def meet(self, ids: np.ndarray, v: np.ndarray) -> None:
+        ok = self.metric.usable(v)
+        ids, v = ids[ok], v[ok]
+        if not len(ids) or not len(self.ids):
+            return
+        largest = max(np.nanmax(np.abs(self.v)), np.nanmax(np.abs(v)))
+        kind = np.float32 if 1e-9 < largest < 1e9 else np.float64
+        slack = float(8 * (v.shape[1] + 8) * np.finfo(kind).eps)
+        right = self.metric.right(v, slack).astype(kind).T
+        for s in range(0, len(self.ids), TILE):
+            a, own = self.v[s : s + TILE], self.ids[s : s + TILE]
+            limit = self.dist[s : s + TILE, -1]
+            if np.isinf(limit).any():  # a bound from a few of the others
+                d = self.metric(a, v[:FIRST])
+                d[own[:, None] == ids[None, :FIRST]] = np.inf
+                if d.shape[1] >= self.k:
+                    few = np.argpartition(d, self.k - 1, axis=1)[:, : self.k]
+                    r = np.repeat(np.arange(len(a)), self.k)
+                    apart = np.where(np.isfinite(d[r, few.ravel()]), self.metric.rows(a[r], v[few.ravel()]), np.inf)
+                    limit = np.minimum(limit, apart.reshape(-1, self.k).max(1))
+            limit = np.minimum(limit, 4 * (1 + largest) * v.shape[1]) + 2e-9
+            near = np.flatnonzero((self.metric.left(a, limit, slack).astype(kind) @ right) <= 0)
+            for part in np.array_split(near, -(-len(near) // (1 << 16))) if len(near) else ():
+                r, c = np.divmod(part, len(ids))
+                apart = self.metric.rows(a[r], v[c])
+                ok = np.isfinite(apart) & (own[r] != ids[c]) & (apart <= limit[r])
+                if ok.any():
+                    self._keep(s, r[ok], ids[c[ok]], apart[ok])
+
+    def pairs(self) -> pa.RecordBatch:
+        ok = np.isfinite(self.dist)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, ok.sum(1))), pa.array(self.dst[ok]), pa.array(self.dist[ok])], ["src", "dst", "dist"])
+
+
+def nearest(df: DataFrame, row: str, vector: str, k: int, distance: Metric = euclidean, blocks: int | None = None) -> DataFrame:
+    """``(src, dst, rank, dist)``: the k nearest others of each row; ties by id. Null vectors have and are no neighbours.
+
+    Each group of rows meets all others in one task, batch by batch. Work is quadratic; a task holds its group and a batch, and the table moves once for each group (at
+    most ``MOST_GROUPS``).
+    """
+    x = df.where(F.col(vector).isNotNull()).select(F.col(row).cast("long").alias("id"), F.col(vector).alias("v"))
     if blocks is None:
-        blocks = max(1, -(-x.count() // BLOCK))
-    x = x.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    src = x.select(F.col("b").alias("i"), others.alias("j"), "id", "v", F.lit(0).alias("side"))
-    dst = x.select(others.alias("i"), F.col("b").alias("j"), "id", "v", F.lit(1).alias("side"))
-
-    def pair(table: pa.Table) -> pa.Table:
-        side, ids, v = table["side"].to_numpy(), table["id"].to_numpy(), _nan_matrix(table["v"])
-        a, b = side == 0, side == 1
-        ia, ib = ids[a], ids[b]
-        out = []
-        order = np.argsort(ib)
-        ib, vb = ib[order], v[b][order]
-        for s in range(0, len(ia), 512):
-            d = distance(v[a][s : s + 512], vb)
-            d[ia[s : s + 512, None] == ib[None, :]] = np.inf
-            at = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(d, at, axis=1)
-            out.append((np.repeat(ia[s : s + 512], at.shape[1]), ib[at].ravel(), near.ravel()))
-        src_, dst_, d_ = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        ok = np.isfinite(d_)
-        return pa.table({"src": pa.array(src_[ok], pa.int64()), "dst": pa.array(dst_[ok], pa.int64()), "dist": pa.array(d_[ok], pa.float64())})
-
-    local = src.unionAll(dst).groupBy("i", "j").applyInArrow(pair, "src long, dst long, dist double")
+        blocks = min(MOST_GROUPS, max(1, -(-x.count() // BLOCK)))
+    own = x.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("i"), F.lit(0).alias("side"), "id", "v")
+    others = x.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.lit(1).alias("side"), "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, found = None, [], None
+        for batch in batches:
+            group = batch["i"].to_numpy() * 2 + batch["side"].to_numpy()
+            for g in np.unique(group):  # sorted: a group's own rows come before the others
+                part = batch.filter(pa.array(group == g)) if group[0] != group[-1] else batch
+                ids, v = part["id"].to_numpy(), matrix(part["v"])
+                if g % 2 == 0:
+                    if g != at and found is not None:
+                        yield found.pairs()
+                    held = [*(held if g == at else []), (ids, v)]
+                    at, found = g, None
+                    continue
+                if found is None:
+                    found = _Nearest(np.concatenate([i for i, _ in held]), np.concatenate([w for _, w in held]), k, distance)
+                    held = []
+                found.meet(ids, v)
+        if found is not None:
+            yield found.pairs()
+
+    local = own.unionAll(others).repartitionById(blocks, F.col("i")).sortWithinPartitions("i", "side").mapInArrow(run, "src long, dst long, dist double")
     w = Window.partitionBy("src").orderBy(F.bround("dist", 9), "dst")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
