@@ -27,8 +27,8 @@ def read_embeddings(spark: SparkSession, path: str, layer: str | None = None, co
 
 
 def write_by(df: DataFrame, path: str, *columns: str, kind: str = "parquet") -> None:
-    """Write one folder per value of ``columns`` (each value's rows meet in as many files as AQE sees fit)."""
-    df.repartition(*[F.col(c) for c in columns]).write.mode("overwrite").partitionBy(*columns).format(kind).save(path)
+    """Write one folder per value of ``columns``: few files for a small value, more for one whose rows pass the advisory size of a partition."""
+    df.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns).format(kind).save(path)
 
 
 def flatten_labels(df: DataFrame, column: str = "json", order: str = "order") -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import aggregate, factors, geometry, resample
+from panelforge.sources import tables
 from panelforge.streaming import incremental
 
 
@@ -200,3 +201,18 @@ def test_tied_ranks_of_millions_of_rows(spark):
     assert r.n == 2_200_000 and r.df == 2 and 0 <= r.h < 1e-3
     m = aggregate.mann_whitney(x.withColumn("s", F.lit(1)), "y", "s").first()
     assert m.auc == 0.5
+
+
+def test_a_large_value_is_written_by_several_tasks(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(size)
+    spark.conf.set(size, "64k")
+    try:
+        x = spark.range(0, 100_000, 1, 8).select(F.xxhash64("id").alias("k"), F.when(F.col("id") < 10, "few").otherwise("many").alias("g"))
+        tables.write_by(x, f"{tmp_path}/e", "g")
+    finally:
+        spark.conf.set(size, old)
+    files = {g: len([f for f in os.listdir(f"{tmp_path}/e/g={g}") if f.endswith(".parquet")]) for g in ("few", "many")}
+    assert files["many"] > 4 and files["few"] == 1
+    got = {r.g: r["count"] for r in spark.read.parquet(f"{tmp_path}/e").groupBy("g").count().collect()}
+    assert got == {"few": 10, "many": 99_990}
