@@ -74,6 +74,7 @@ def with_permutations(df: DataFrame, key: str, target: str, n: int, name: str =
 
 def permutation_test(df: DataFrame, key: str, target: str, statistic: Callable[[str], Column], n: int, strata: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """Observed |statistic|, its p = (1 + #)/(1 + n) (equal up to 1e-9 counts), and the null's mean and 95th percentile."""
+    df = cut(df)
     observed = df.agg(F.abs(statistic(target)).alias("observed"))
     null = permuted(df, key, target, n, strata, seed).groupBy("replicate").agg(F.abs(statistic(f"{target}_perm")).alias("null"))
     x = null.crossJoin(F.broadcast(observed))
