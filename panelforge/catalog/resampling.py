@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.catalog.fixtures import ENTITY_LAG, FRAMES, entity_lag, frames
 from panelforge.operators import resample
 from panelforge.operators.bijection import partner_sql
+from panelforge.operators.lineage import cut
 from panelforge.registry import q6, query, r6
 
 R = 40
@@ -164,8 +165,9 @@ def k12_matched_null(spark, d):
 
     names = ["size", "weeks", "percentile"]
     stats = lambda target: [F.bround(F.abs(F.corr(c, target)), 9).alias(c) for c in names]
-    real = _entities(spark, d).agg(*stats("lag")).unpivot([], names, "variable", "s")
-    null = resample.permuted(_entities(spark, d), "entity", "lag", RP).groupBy("replicate").agg(*stats("lag_perm")).unpivot(["replicate"], names, "variable", "s")
+    e = cut(_entities(spark, d))
+    real = e.agg(*stats("lag")).unpivot([], names, "variable", "s")
+    null = resample.permuted(e, "entity", "lag", RP).groupBy("replicate").agg(*stats("lag_perm")).unpivot(["replicate"], names, "variable", "s")
     x = null_distance(real, null)
     return x.select(*[r6(c).alias(c) for c in x.columns])
 
