@@ -199,12 +199,14 @@ def balance_weights(df: DataFrame, value: str, low: float, high: float, bins: in
 
 
 def debiased(df: DataFrame, y: str, x: str, name: str = "debiased") -> DataFrame:
-    """y minus its straight-line regression on x."""
+    """y minus its straight-line regression on x; the rows are computed once."""
+    df = cut(df)
     return with_row(df, F.regr_slope(y, x).alias("_k"), F.regr_intercept(y, x).alias("_c")).withColumn(name, F.col(y) - F.col("_k") * F.col(x) - F.col("_c")).drop("_k", "_c")
 
 
 def robust_z(df: DataFrame, value: str, name: str = "robust_z", least: int = 0) -> DataFrame:
-    """(value - median) / (1.4826 MAD); null from fewer than ``least`` rows or without spread."""
+    """(value - median) / (1.4826 MAD); null from fewer than ``least`` rows or without spread. The rows are computed once."""
+    df = cut(df)
     n = df.agg(F.count(value).alias("_n"))
     x = df.crossJoin(F.broadcast(quantiles(df, value, [0.5]).withColumnRenamed("q0", "_m")))
     x = x.withColumn("_a", F.abs(F.col(value) - F.col("_m")))

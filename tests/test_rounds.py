@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import aggregate, factors, geometry, resample
+from panelforge.operators import aggregate, factors, geometry, resample, windows
 from panelforge.sources import tables
 from panelforge.streaming import incremental
 
@@ -216,3 +216,22 @@ def test_a_large_value_is_written_by_several_tasks(spark, tmp_path):
     assert files["many"] > 4 and files["few"] == 1
     got = {r.g: r["count"] for r in spark.read.parquet(f"{tmp_path}/e").groupBy("g").count().collect()}
     assert got == {"few": 10, "many": 99_990}
+
+
+def test_rows_are_computed_once(spark):
+    """A robust z and a permutation test read their input's rows once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    x = spark.range(0, 50, 1, 2).select("id", (F.col("id") * 7 % 11).cast("double").alias("a"), (F.col("id") * 5 % 13).cast("double").alias("b"))
+    once = lambda: x.mapInArrow(count, "id long, a double, b double")
+    windows.robust_z(once(), "a").collect()
+    assert seen.value == 50
+    windows.debiased(once(), "a", "b").collect()
+    assert seen.value == 100
+    resample.permutation_test(once(), "id", "a", lambda t: F.corr("b", t), 3).collect()
+    assert seen.value == 150
