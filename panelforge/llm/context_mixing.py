@@ -3,13 +3,14 @@
 Bytes are predicted bit by bit. Predictors of several orders count (context, bits so far) in the
 training texts; their stretched probabilities are combined by weights that a gate (bits so far, and how
 often the longest context was seen) selects; an adaptive map then refines the result. Counts and the
-map cover all training texts. The weights are learned online, bit after bit, from a share of all byte
-occurrences, drawn by hash (``SHARE``; a share of 1 takes all), with each one's own occurrence left out of its counts.
-The draws are dealt by hash into streams of about ``LEARN`` occurrences, as many as the corpus asks for; a stream
-is learned in hash order, and the streams' weights are averaged by their occurrences. Neither partitions nor the order of rows change
-a score. The weights are fixed while scoring.
+map cover all training texts. The weights are learned online, bit after bit, from all byte occurrences
+of the training texts, with each one's own occurrence left out of its counts. Up to ``LEARN`` occurrences are one
+stream, learned in hash order. Of more, each part learns where its counts are: a sextuple of n occurrences comes in visits of equal weight,
+as many as n is times the part's mean; the visits are dealt by hash into streams of about ``LEARN``, and all streams' weights
+are averaged, each gate's by the occurrences that passed it. Neither partitions nor the order of rows change
+a score. The weights are fixed while scoring. (``share`` below 1 draws that share by hash instead.)
 The texts come in as sextuples (five bytes of context and the next) with their counts in the training
-texts, dealt out by the last two bytes of context. A part so holds every sextuple that its contexts of
+texts, dealt out by the last two bytes of context, into parts whose number only the corpus decides. A part so holds every sextuple that its contexts of
 two or more bytes need, and counts them exactly; single bytes of context have one table of 65536 numbers.
 
 Each distinct sextuple is scored once, in its part. Those of a share of at least 1/2097152 of all bytes
@@ -37,12 +38,14 @@ from panelforge.llm.text import LOWER, U64, counts_of, mix, slices, spans, word_
 ORDERS = (1, 2, 3, 5)
 GRAM_HEAD, GRAM_BITS = 1 << 21, 22
 GATES, STEPS = 3, 24
-#: The share of byte occurrences that the weights are learned from (of small corpora at least ``LEARN``, or all).
-SHARE = 1 / 256
+#: The share of byte occurrences that the weights are learned from: all.
+SHARE = 1.0
 #: Byte occurrences of a stream, about; how many are one step; passes over them; step size.
 LEARN, TOGETHER, PASSES, RATE = 1 << 17, 256, 2, 0.02
-#: Bytes of training text for a part of the counts.
-PART = 16 << 20
+#: Rounds over all occurrences, if parts learn by themselves; each starts from the mean of the last.
+ROUNDS = 3
+#: Bytes of text for a part of the counts, and the parts of sextuples at least.
+PART, PARTS = 16 << 20, 64
 HEAD = 65536
 #: Groups in which the streams' weights are added up before all are.
 FAN = 256
@@ -235,21 +238,69 @@ def _stream_weights(table: pa.Table) -> pa.Table:
     return pa.table({"i": pa.array([int(table["stream"][0].as_py()) % FAN], pa.int32()), "data": pa.array([np.append(weights.ravel() * mass, mass).astype("<f8").tobytes()], pa.binary())})
 
 
+def _visits(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sextuples with their occurrences, by stream: places of the keys (ascending), their visits' hashes and weights.
+
+    A visit weighs at most 1 (the mean count), so frequent sextuples come often and no step is longer than one of single occurrences.
+    """
+    mean = n.sum() / len(n)
+    often = np.ceil(n / mean).astype(np.int64)
+    streams = max(1, round(int(often.sum()) / LEARN))
+    at = np.repeat(np.arange(len(keys), dtype=np.int32), often)
+    start = np.cumsum(often) - often
+    stream = (((mix(keys + U64(2)) % U64(streams)).astype(np.int64)[at] + np.arange(len(at)) - start[at]) % streams).astype(np.int32)  # in turn, from one that the hash names
+    order = np.argsort(stream, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(stream[order])) + 1):
+        x = at[own]
+        yield x, mix(mix(keys[x]) + (own - start[x]).astype(U64)), (n / mean / often)[x]
+
+
+def _part_weights(single: np.ndarray, start: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all training occurrences of the parts: by gate the streams' weights times the occurrences that passed it, and these."""
+    total = np.zeros((256 * GATES, len(ORDERS) + 2))
+    for batch in batches:
+        for keys, n in _part_rows(batch):
+            table = Counts(single, keys, n)
+            keys, n = keys[n > 0], n[n > 0]
+            for at, order, weight in _visits(keys, n) if len(keys) else ():
+                own, place = np.unique(at, return_inverse=True)
+                seen = _bits(keys[own], table.paths(keys[own]))
+                order = np.argsort(order)
+                weights = _taught(start, place[order], weight[order], seen)
+                count = np.bincount(place, weight) * (n.sum() / len(n))
+                mass = np.bincount(seen[1].ravel(), np.repeat(count, 8), minlength=len(weights))
+                total[:, :-1] += weights * mass[:, None]
+                total[:, -1] += mass
+    yield pa.RecordBatch.from_pydict({"i": pa.array([0], pa.int32()), "data": pa.array([total.astype("<f8").tobytes()], pa.binary())})
+
+
+def _bits(keys: np.ndarray, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, gates and bits of sextuples (a row each), without their own occurrence."""
+    x, gate, bits = np.empty((len(keys), 8, len(ORDERS) + 1)), np.empty((len(keys), 8), np.int16), np.empty((len(keys), 8), np.int8)
+    for d, (node, bit) in enumerate(_steps(keys)):
+        x[:, d], gate[:, d] = _inputs(paths, d, node, bit, True)
+        bits[:, d] = bit
+    return x, gate, bits
+
+
 def learned(keys: np.ndarray, times: np.ndarray, paths: np.ndarray) -> np.ndarray:
     """Weights by gate, from sextuples (taken in hash order), how often each counts and their paths."""
-    n_in = len(ORDERS) + 1
-    weights = np.full((256 * GATES, n_in), 0.3)
     order = np.argsort(mix(keys))
-    keys, times, paths = keys[order], times[order].astype(float), paths[:, :, order]
+    return _taught(np.full((256 * GATES, len(ORDERS) + 1), 0.3), order, times[order], _bits(keys, paths))
+
+
+def _taught(weights: np.ndarray, order: np.ndarray, times: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """``weights`` after passes over rows of ``table`` in an order, each counting so many times. The eight bits have different gates, so one step does all."""
+    inputs, gates, bits = table
+    weights, times = weights.copy(), times.astype(float)
     for t in range(PASSES):
-        for a in range(0, len(keys), TOGETHER):
-            key, c, own = keys[a : a + TOGETHER], times[a : a + TOGETHER], paths[:, :, a : a + TOGETHER]
-            for d, (node, bit) in enumerate(_steps(key)):
-                x, gate = _inputs(own, d, node, bit, True)
-                err = (bit - _squash((weights[gate] * x).sum(1))) * c
-                mass = np.bincount(gate, c, minlength=len(weights))
-                step = np.stack([np.bincount(gate, err * x[:, i], minlength=len(weights)) for i in range(n_in)], axis=1)
-                weights += RATE / (1 + t) * step / np.sqrt(mass + 1)[:, None]
+        for a in range(0, len(order), TOGETHER):
+            own = order[a : a + TOGETHER]
+            x, gate, c = inputs[own].reshape(-1, weights.shape[1]), gates[own].ravel(), np.repeat(times[a : a + TOGETHER], 8)
+            err = (bits[own].ravel() - _squash((weights[gate] * x).sum(1))) * c
+            mass = np.bincount(gate, c, minlength=len(weights))
+            step = np.stack([np.bincount(gate, err * x[:, i], minlength=len(weights)) for i in range(x.shape[1])], axis=1)
+            weights += RATE / (1 + t) * step / np.sqrt(mass + 1)[:, None]
     return weights
 
 
@@ -447,11 +498,31 @@ def _gram_known(buckets: int, table: pa.Table) -> pa.Table:
     return _by_bucket(owner[order][start], buckets, total=total, known=np.zeros(len(start), np.int64))
 
 
+def _drawn_weights(grams: DataFrame, single: np.ndarray, share: float, n_grams: int) -> np.ndarray:
+    """From a share of the occurrences, at least ``LEARN`` of them: the draws are sent to their streams."""
+    rate = min(1.0, max(share, LEARN / max(n_grams, 1)))
+    streams = max(1, round(n_grams * rate / LEARN))
+    drawn = grams.mapInArrow(partial(_drawn, single, rate, streams), "stream long, vals binary, times binary, paths binary")
+    met = drawn.groupBy("stream").applyInArrow(_stream_weights, "i int, data binary").groupBy("i").applyInArrow(_sum_floats, "i int, data binary")
+    row = met.withColumn("i", F.lit(0)).groupBy("i").applyInArrow(_sum_floats, "i int, data binary").first()
+    return np.full((256 * GATES, len(ORDERS) + 1), 0.3) if row is None else (lambda v: (v[:-1] / v[-1]).reshape(256 * GATES, -1))(np.frombuffer(row.data, "<f8"))
+
+
+def _all_weights(grams: DataFrame, single: np.ndarray) -> np.ndarray:
+    """From all occurrences: each part learns its own, and only weights meet, after each round."""
+    weights = np.full((256 * GATES, len(ORDERS) + 1), 0.3)
+    for _ in range(ROUNDS):
+        row = grams.mapInArrow(partial(_part_weights, single, weights), "i int, data binary").groupBy("i").applyInArrow(_sum_floats, "i int, data binary").first()
+        total = np.frombuffer(row.data, "<f8").reshape(256 * GATES, -1)
+        weights = np.where(total[:, -1:] > 0, total[:, :-1] / np.maximum(total[:, -1:], 1e-300), weights)
+    return weights
+
+
 def mixing_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: object = None, share: float = SHARE) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte)`` for each row.
 
     ``held_out`` (a boolean column or expression; null counts as false) marks the rows not to learn
-    from; by default those whose crc32(id as text) mod 5 is 1. ``share`` of all training bytes give the weights (1: all). Null texts count as empty: one token
+    from; by default those whose crc32(id as text) mod 5 is 1. ``share`` of all training bytes give the weights (by default all). Null texts count as empty: one token
     (the end), score 0, bits per byte null. Without any training row every count is 0 and each bit has
     probability one half. Repeated rows are scored alike. Other columns are ignored.
     """
@@ -473,17 +544,13 @@ def mixing_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     head_count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["count"], "<i8") for r in frequent)])
     order = np.argsort(head)
 
-    grams = written(rows.select("text", "held_out").mapInArrow(partial(_gather, parts, "bytes"), kind).groupBy("part").applyInArrow(lambda table: _summed(6, table), total))
+    pieces = int(max(PARTS, size // PART))
+    grams = written(rows.select("text", "held_out").mapInArrow(partial(_gather, pieces, "bytes"), kind).groupBy("part").applyInArrow(lambda table: _summed(6, table), total))
     n_grams = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     single = np.zeros(1 << 16, np.int64)
     for r in grams.mapInArrow(_singles, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         single[r.pair] = r.n
-    rate = min(1.0, max(share, LEARN / max(n_grams, 1)))
-    streams = max(1, round(n_grams * rate / LEARN))
-    drawn = grams.mapInArrow(partial(_drawn, single, rate, streams), "stream long, vals binary, times binary, paths binary")
-    met = drawn.groupBy("stream").applyInArrow(_stream_weights, "i int, data binary").groupBy("i").applyInArrow(_sum_floats, "i int, data binary")
-    row = met.withColumn("i", F.lit(0)).groupBy("i").applyInArrow(_sum_floats, "i int, data binary").first()
-    weights = np.full((256 * GATES, len(ORDERS) + 1), 0.3) if row is None else (lambda v: (v[:-1] / v[-1]).reshape(256 * GATES, -1))(np.frombuffer(row.data, "<f8"))
+    weights = _all_weights(grams, single) if share >= 1 and n_grams > LEARN else _drawn_weights(grams, single, share, n_grams)
     refined = _squash((np.arange(STEPS) + 0.5) * (16 / STEPS) - 8)[None, :].repeat(256, 0).ravel()
     for r in grams.mapInArrow(partial(_learn_map, single, weights), "i int, data binary").groupBy("i").applyInArrow(_sum_floats, "i int, data binary").collect():
         hits = np.frombuffer(r.data, "<f8").reshape(-1, 2)

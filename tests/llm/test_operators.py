@@ -824,3 +824,34 @@ def test_language_id_predicts_held_out_documents(spark):
     found = language_id.identify(docs, carry=["doc_id", "lang"]).where(F.expr("crc32(cast(row.doc_id as string)) % 5 = 0") & F.col("row.lang").isNotNull())
     n, right = found.agg(F.count("*"), F.avg((F.col("lang_pred") == F.col("row.lang")).cast("double"))).first()
     assert n > 100 and right >= 0.97
+
+
+def test_mixing_learns_from_every_training_byte_whatever_the_partitions(spark, monkeypatch):
+    """Past one stream, too: visits keep all occurrences, none weighs more than 1, and by default nothing is drawn."""
+    m = context_mixing
+    monkeypatch.setattr(m, "LEARN", 500)
+    monkeypatch.setattr(m, "_drawn_weights", lambda *a: pytest.fail("weights come from a draw"))
+    keys, n = np.arange(300, dtype=np.uint64) << np.uint64(8), np.r_[np.ones(280, np.int64), np.full(20, 900)]
+    total, streams = np.zeros(300), list(m._visits(keys, n))
+    for at, _, weight in streams:
+        assert weight.max() <= 1
+        total += np.bincount(at, weight, minlength=300)
+    assert len(streams) > 1 or sum(len(x) for x, *_ in streams) <= 750
+    assert total * n.sum() / 300 == pytest.approx(n)
+    data = np.frombuffer(" ".join(words(2000, 1)).encode(), np.uint8)
+    every, count = m.merged(m.sextuples(data, np.array([0, len(data)])), np.ones(len(data), np.int64))
+    single = np.zeros(1 << 16, np.int64)
+    np.add.at(single, (every & np.uint64(0xFFFF)).astype(int), count)
+    batch = m.pa.RecordBatch.from_pydict({"vals": [every.tobytes()], "counts": [count.tobytes()]})
+    out, = m._part_weights(single, np.full((256 * m.GATES, len(m.ORDERS) + 1), 0.3), iter([batch]))
+    assert np.frombuffer(out["data"][0].as_py(), "<f8").reshape(256 * m.GATES, -1)[:, -1].sum() == pytest.approx(8 * len(data))
+    rows = [(i, " ".join(words(60, i)), False) for i in range(30)] + [(99, " ".join(words(40, 3)), True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (2, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got.append([x for _, x in sorted((r.doc_id, r.score) for r in m.mixing_scores(df.repartition(parts), held_out=F.col("held")).collect())])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == pytest.approx(got[1], rel=1e-9)
