@@ -25,6 +25,8 @@ BLOCK = 2048
 MOST_GROUPS = 64
 #: Rows of a group compared with a batch at a time, and others that give each its first bound.
 TILE, FIRST = 512, 512
+#: Numbers that a task packs before they go out (some 64 kB for each of 64 groups, so a batch of 10,000 blocks is bounded), and others that a group meets at a time, about.
+PACK, MEET = 1 << 19, 4096
 
 
 @dataclass(frozen=True)
@@ -144,45 +146,87 @@ class _Nearest:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, ok.sum(1))), pa.array(self.dst[ok]), pa.array(self.dist[ok])], ["src", "dst", "dist"])
 
 
+def _packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A row for each group: its rows' ids and numbers."""
+    i, ids, v = map(np.concatenate, zip(*held))
+    order = np.argsort(i, kind="stable")
+    takes = np.split(order, np.flatnonzero(np.diff(i[order])) + 1)
+    return pa.RecordBatch.from_pydict({
+        "i": pa.array([int(i[x[0]]) for x in takes], pa.int32()), "ids": pa.array([ids[x].astype("<i8").tobytes() for x in takes], pa.binary()),
+        "v": pa.array([v[x].tobytes() for x in takes], pa.binary()), "width": pa.array([v.shape[1]] * len(takes), pa.int32()),
+    })
+
+
+def _unpacked(ids: pa.Scalar, v: pa.Scalar, width: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    ids, data, width = np.frombuffer(ids.as_buffer(), "<i8"), v.as_buffer(), width.as_py()
+    return ids, np.frombuffer(data, "<f8" if len(data) == 8 * width * len(ids) else "<f4").reshape(len(ids), width).astype(np.float64)
+
+
 def nearest(df: DataFrame, row: str, vector: str, k: int, distance: Metric = euclidean, blocks: int | None = None) -> DataFrame:
     """``(src, dst, rank, dist)``: the k nearest others of each row; ties by id. Null vectors have and are no neighbours.
 
-    Each group of rows meets all others in one task, batch by batch. Work is quadratic; a task holds its group and a batch, and the table moves once for each group (at
+    Each group of rows meets all others in one task, batch by batch. Rows travel packed, many to a block, and the blocks are dealt out before they are
+    copied, so a table in few files is copied by many tasks. Work is quadratic; a task holds its group and a batch, and the table moves once for each group (at
     most ``MOST_GROUPS``).
     """
     x = df.where(F.col(vector).isNotNull()).select(F.col(row).cast("long").alias("id"), F.col(vector).alias("v"))
     if blocks is None:
         blocks = min(MOST_GROUPS, max(1, -(-x.count() // BLOCK)))
-    own = x.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("i"), F.lit(0).alias("side"), "id", "v")
-    others = x.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.lit(1).alias("side"), "id", "v")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if len(batch):
+                v = matrix(batch["v"])
+                single = pa.types.is_float32(batch["v"].type.value_type)
+                held.append((batch["i"].to_numpy(), batch["id"].to_numpy(), v.astype("<f4" if single else "<f8")))
+                size += v.size
+            if size > PACK:
+                yield _packed(held)
+                held, size = [], 0
+        if held:
+            yield _packed(held)
+
+    groups = F.concat(F.array(F.struct(F.col("i").alias("g"), F.lit(0).alias("side"))), F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct(i.alias("g"), F.lit(1).alias("side"))))
+    packed = x.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("i"), "id", "v").mapInArrow(pack, "i int, ids binary, v binary, width int")
+    copies = packed.repartition(blocks).select(F.inline(groups).alias("i", "side"), "ids", "v", "width")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, found = None, [], None
+        at, own, found, held = None, [], None, []
+
+        def meet(least: int) -> None:
+            nonlocal held
+            if held and sum(len(i) for i, _ in held) >= least:
+                found.meet(*map(np.concatenate, zip(*held)))
+                held = []
+
         for batch in batches:
-            group = batch["i"].to_numpy() * 2 + batch["side"].to_numpy()
-            for g in np.unique(group):  # sorted: a group's own rows come before the others
-                part = batch.filter(pa.array(group == g)) if group[0] != group[-1] else batch
-                ids, v = part["id"].to_numpy(), matrix(part["v"])
-                if g % 2 == 0:
-                    if g != at and found is not None:
+            for i, side, *block in zip(batch["i"].to_pylist(), batch["side"].to_pylist(), batch["ids"], batch["v"], batch["width"]):
+                if i != at:  # sorted: a group's own rows come before the others
+                    if found is not None:
+                        meet(1)
                         yield found.pairs()
-                    held = [*(held if g == at else []), (ids, v)]
-                    at, found = g, None
+                    at, own, found = i, [], None
+                if side == 0:
+                    own.append(_unpacked(*block))
                     continue
                 if found is None:
-                    found = _Nearest(np.concatenate([i for i, _ in held]), np.concatenate([w for _, w in held]), k, distance)
-                    held = []
-                found.meet(ids, v)
+                    found = _Nearest(*map(np.concatenate, zip(*own)), k, distance) if own else _Nearest(np.zeros(0, np.int64), np.zeros((0, block[2].as_py())), k, distance)
+                    own = []
+                held.append(_unpacked(*block))
+                meet(MEET)
         if found is not None:
+            meet(1)
             yield found.pairs()
 
-    local = own.unionAll(others).repartitionById(blocks, F.col("i")).sortWithinPartitions("i", "side").mapInArrow(run, "src long, dst long, dist double")
+    local = copies.repartitionById(blocks, F.col("i")).sortWithinPartitions("i", "side").mapInArrow(run, "src long, dst long, dist double")
     w = Window.partitionBy("src").orderBy(F.bround("dist", 9), "dst")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def affinity(edges: DataFrame, scale_rank: int) -> DataFrame:
     """Self-tuning weights exp(-d^2 / (s_i s_j)), s the distance to the ``scale_rank``-th neighbour; symmetric by the larger."""
+    edges = cut(edges)  # read three times
     s = edges.where(F.col("rank") == scale_rank).select(F.col("src").alias("node"), F.col("dist").alias("s"))
     x = edges.join(s.withColumnRenamed("node", "src").withColumnRenamed("s", "s1"), "src").join(s.withColumnRenamed("node", "dst").withColumnRenamed("s", "s2"), "dst")
     x = x.withColumn("w", F.exp(-F.col("dist") * F.col("dist") / (F.col("s1") * F.col("s2"))))
@@ -198,13 +242,14 @@ def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 def two_nn(edges: DataFrame) -> DataFrame:
     """Two-nearest-neighbour dimension: maximum likelihood, and regression through the origin with F = i/(n+1)."""
     r = edges.where("rank <= 2").groupBy("src").agg(F.max(F.when(F.col("rank") == 1, F.col("dist"))).alias("r1"), F.max(F.when(F.col("rank") == 2, F.col("dist"))).alias("r2")).where("r1 > 0")
-    x = r.select("src", F.ln(F.col("r2") / F.col("r1")).alias("m"))
+    x = cut(r.select("src", F.ln(F.col("r2") / F.col("r1")).alias("m")))
     n = x.count()
     e = numbered(x, ["m", "src"]).withColumn("y", -F.ln(1 - F.col("number") / float(n + 1)))
     return e.agg((F.count("*") / F.sum("m")).alias("mle"), (F.sum(F.col("m") * F.col("y")) / F.sum(F.col("m") * F.col("m"))).alias("regression"))
 
 
 def levina_bickel(edges: DataFrame, k: int) -> DataFrame:
+    edges = cut(edges)  # read twice
     t = edges.where(F.col("rank") <= k).join(edges.where(F.col("rank") == k).select("src", F.col("dist").alias("t")), "src")
     per = t.where((F.col("rank") < k) & (F.col("dist") > 0)).groupBy("src").agg((F.count("*") / F.sum(F.ln(F.col("t") / F.col("dist")))).alias("d"))
     return per.agg(F.avg("d").alias("dimension"), (F.count("*") / F.sum(1 / F.col("d"))).alias("harmonic"))
@@ -214,6 +259,7 @@ def cluster_links(edges: DataFrame, labels: DataFrame, node: str, label: str) ->
     """Observed over expected neighbour edges between clusters."""
     l1, l2 = labels.select(F.col(node).alias("src"), F.col(label).alias("a")), labels.select(F.col(node).alias("dst"), F.col(label).alias("b"))
     e = edges.join(l1, "src").join(l2, "dst").groupBy("a", "b").agg(F.count("*").alias("observed"))
+    e = cut(e)  # read four times
     rows, cols, total = e.groupBy("a").agg(F.sum("observed").alias("ra")), e.groupBy("b").agg(F.sum("observed").alias("cb")), e.agg(F.sum("observed").alias("t"))
     return e.join(rows, "a").join(cols, "b").crossJoin(F.broadcast(total)).select("a", "b", "observed", (F.col("observed") * F.col("t") / (F.col("ra") * F.col("cb"))).alias("ratio"))
 
