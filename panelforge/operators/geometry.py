@@ -121,6 +121,7 @@ class _Nearest:
         kind = np.float32 if 1e-9 < largest < 1e9 else np.float64
         slack = float(8 * (v.shape[1] + 8) * np.finfo(kind).eps)
         right = self.metric.right(v, slack).astype(kind).T
+        product, below = np.empty((TILE, len(ids)), kind), np.empty((TILE, len(ids)), bool)
         for s in range(0, len(self.ids), TILE):
             a, own = self.v[s : s + TILE], self.ids[s : s + TILE]
             limit = self.dist[s : s + TILE, -1]
@@ -133,7 +134,8 @@ class _Nearest:
                     apart = np.where(np.isfinite(d[r, few.ravel()]), self.metric.rows(a[r], v[few.ravel()]), np.inf)
                     limit = np.minimum(limit, apart.reshape(-1, self.k).max(1))
             limit = np.minimum(limit, 4 * (1 + largest) * v.shape[1]) + 2e-9
-            near = np.flatnonzero((self.metric.left(a, limit, slack).astype(kind) @ right) <= 0)
+            np.matmul(self.metric.left(a, limit, slack).astype(kind), right, out=product[: len(a)])
+            near = np.flatnonzero(np.less_equal(product[: len(a)], 0, out=below[: len(a)]))
             for part in np.array_split(near, -(-len(near) // (1 << 16))) if len(near) else ():
                 r, c = np.divmod(part, len(ids))
                 apart = self.metric.rows(a[r], v[c])
