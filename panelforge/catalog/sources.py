@@ -38,14 +38,16 @@ def a03_token_grids(spark, d):
 SELECT CAST(o_custkey AS VARCHAR) AS entity, CAST(o_orderkey AS VARCHAR) AS scan, f AS type, CAST(i AS INTEGER) AS index, CAST(n AS VARCHAR) AS path, q AS spacing FROM x""")
 def a04_flatten_label_json(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    x = li.join(o, li.l_orderkey == o.o_orderkey)
+    parts = tables.tasks_for(spark, li.count() + o.count())
+    li, o = li.repartition(parts, "l_orderkey"), o.repartition(parts, "o_orderkey")
+    x = li.join(o.hint("merge"), li.l_orderkey == o.o_orderkey)
     rank = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").alias("spacing"), F.col("l_returnflag").alias("type"))
     scans = x.groupBy("o_custkey", "o_orderkey").agg(F.sort_array(F.collect_list(rank)).alias("r"))
     items = F.transform("r", lambda y: F.struct(y.l_linenumber.cast("string").alias("path"), y.type.alias("type"), y.spacing.alias("spacing"), F.lit(1.0).alias("confidence")))
     scan = F.struct(F.lit(20.0).alias("weeks"), F.lit("2024").alias("scan_date"), items.alias("items"))
     one = F.create_map(F.col("o_custkey").cast("string"), F.struct(F.create_map(F.col("o_orderkey").cast("string"), scan).alias("scans")))
     lines = scans.select(F.to_json(one).alias("json"), F.col("o_orderkey").alias("order"))
-    return tables.flatten_labels(lines).select("entity", "scan", "type", "index", "path", "spacing")
+    return tables.flatten_labels(lines, partitions=parts).select("entity", "scan", "type", "index", "path", "spacing")
 
 
 @query(r"SELECT split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) AS folder, split_part(url, '/', -1) AS file, count(*) AS n FROM pages WHERE NOT regexp_matches(url, '\?') GROUP BY ALL")

@@ -31,12 +31,26 @@ def write_by(df: DataFrame, path: str, *columns: str, kind: str = "parquet") ->
     df.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns).format(kind).save(path)
 
 
-def flatten_labels(df: DataFrame, column: str = "json", order: str = "order") -> DataFrame:
-    """One row per labelled item of nested JSON; of equal (entity, scan, type, index) the last in order wins."""
+#: Rows for a task that sorts them.
+ROWS = 1 << 19
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Partitions of about ``ROWS`` rows, at least the session's number: what a task sorts then doesn't grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
+def flatten_labels(df: DataFrame, column: str = "json", order: str = "order", partitions: int | None = None) -> DataFrame:
+    """One row per labelled item of nested JSON; of equal (entity, scan, type, index) the last in order wins.
+
+    ``partitions``: tasks that the items are dealt out to, where the session's number would make one task's too many.
+    """
     x = df.select(order, F.explode(F.from_json(column, LABELS)).alias("entity", "p"))
     x = x.select(order, "entity", F.explode("p.scans").alias("scan", "s"))
     x = x.select(order, "entity", "scan", "s.weeks", "s.scan_date", F.posexplode("s.items").alias("index", "item"))
     x = x.select(order, "entity", "scan", "weeks", "scan_date", "index", "item.*")
+    if partitions is not None:
+        x = x.repartition(partitions, "entity", "scan", "type", "index")
     last = Window.partitionBy("entity", "scan", "type", "index").orderBy(F.desc(order))
     return x.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", order)
 
