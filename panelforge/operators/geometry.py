@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.operators.lineage import cut
+from panelforge.operators.lineage import cut, forget, scratch, stored
 from panelforge.operators.vectors import matrix
 from panelforge.operators.windows import numbered
 
@@ -283,17 +283,20 @@ def cluster_graph(links: DataFrame, over: float = 1.0) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """``(node, component)`` by label propagation with pointer jumping, until nothing changes; lineage is cut each round."""
+    """``(node, component)`` by label propagation with pointer jumping, until nothing changes; each round is stored, and the one before it goes."""
+    spark, path, r = edges.sparkSession, scratch(edges.sparkSession, "components"), 0
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionAll(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    both = cut(both)
-    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")))
+    both = stored(both, f"{path}/links")
+    label = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")), f"{path}/{r}")
     while True:
         new = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m")).join(label, "a").select("a", F.least("m", "c").alias("c"))
         jump = new.select(F.col("a").alias("c"), F.col("c").alias("cc"))
-        new = cut(new.join(jump, "c", "left").select("a", F.least("c", F.coalesce("cc", "c")).alias("c")))
+        new = stored(new.join(jump, "c", "left").select("a", F.least("c", F.coalesce("cc", "c")).alias("c")), f"{path}/{r + 1}")
         changed = new.join(label.withColumnRenamed("c", "old"), "a").where("c <> old").limit(1).count()
-        label = new
+        forget(spark, f"{path}/{r}")
+        label, r = new, r + 1
         if not changed:
+            forget(spark, f"{path}/links")
             return label.select(F.col("a").alias("node"), F.col("c").alias("component"))
 
 

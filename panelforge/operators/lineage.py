@@ -29,3 +29,19 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once; later steps read it from the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` as Parquet and read from there: what a loop's rounds hand on.
+
+    Its size is that of its files. A checkpoint carries on the estimate of its plan, which joins multiply: in a loop the number itself grows
+    without bound (millions of digits after some fifteen rounds) and fills the driver.
+    """
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``stored`` wrote, once nothing reads it any more."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
