@@ -31,13 +31,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Shuffles of a query are removed when it ends, not when the driver happens to collect garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written to ``path`` as Parquet and read from there: what a loop's rounds hand on.
+    """``df`` written to ``path`` as Parquet and read from there: what a loop's rounds hand on. Its shuffles go once it is written.
 
     Its size is that of its files. A checkpoint carries on the estimate of its plan, which joins multiply: in a loop the number itself grows
     without bound (millions of digits after some fifteen rounds) and fills the driver.
     """
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN, "false")
+    conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
